@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, common, licenses
+from corpusloom.llm import bpe, common, fingerprints, licenses, quality
 
 
 def op3_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +40,22 @@ def op4_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and host verdicts for all documents."""
+    found = quality.quality(common.read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.compare_edits(common.read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_segment_tree": op3_bpe_segment_tree,
     "op4_license_automaton": op4_license_automaton,
+    "op5_quality_hosts": op5_quality_hosts,
+    "op10_one_permutation": op10_one_permutation,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_quality_hosts": quality.ORACLE_SQL}
