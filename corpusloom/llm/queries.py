@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, common, fingerprints, licenses, quality
+from corpusloom.llm import bpe, common, fingerprints, licenses, packing, quality, repair, warc
 
 
 def op3_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +51,38 @@ def op10_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(common.read(spark, sf_dir, "documents"))
 
 
+def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through WARC archives and back."""
+    path = common.scratch_path(spark, "warc")
+    warc.write_archives(common.read(spark, sf_dir, "pages"), path)
+    found = warc.read_archives(spark, path)
+    return found.select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "verified"
+    )
+
+
+def op8_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids through Re-Pair files and back."""
+    path = common.scratch_path(spark, "shards")
+    repair.write_shards(common.read(spark, sf_dir, "documents"), path)
+    found = repair.read_shards(spark, path)
+    return found.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    found = packing.cut_and_pack(common.read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_segments": op1_warc_segments,
     "op3_bpe_segment_tree": op3_bpe_segment_tree,
     "op4_license_automaton": op4_license_automaton,
     "op5_quality_hosts": op5_quality_hosts,
+    "op8_repair_shards": op8_repair_shards,
+    "op9_genetic_packing": op9_genetic_packing,
     "op10_one_permutation": op10_one_permutation,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_quality_hosts": quality.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_segments": warc.ORACLE_SQL, "op5_quality_hosts": quality.ORACLE_SQL}
