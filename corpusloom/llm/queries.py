@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, common, fingerprints, licenses, packing, quality, repair, warc
+from corpusloom.llm import bpe, common, fingerprints, licenses, packing, pii, quality, repair, warc
 
 
 def op3_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,12 @@ def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data and secrets."""
+    found = pii.with_surrogates(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.size("_kinds").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("_kinds")), ",").alias("kinds"))
+
+
 def op8_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids through Re-Pair files and back."""
     path = common.scratch_path(spark, "shards")
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_segment_tree": op3_bpe_segment_tree,
     "op4_license_automaton": op4_license_automaton,
     "op5_quality_hosts": op5_quality_hosts,
+    "op6_surrogates": op6_surrogates,
     "op8_repair_shards": op8_repair_shards,
     "op9_genetic_packing": op9_genetic_packing,
     "op10_one_permutation": op10_one_permutation,
