@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, common, fingerprints, licenses, packing, pii, quality, repair, warc
+from corpusloom.llm import bpe, common, fingerprints, licenses, linededup, packing, pii, quality, repair, warc
 
 
 def op3_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,12 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("_kinds").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("_kinds")), ",").alias("kinds"))
 
 
+def op7_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their repeated lines."""
+    found = linededup.remove_repeated_lines(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.col("_removed").alias("n_removed"))
+
+
 def op8_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids through Re-Pair files and back."""
     path = common.scratch_path(spark, "shards")
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_automaton": op4_license_automaton,
     "op5_quality_hosts": op5_quality_hosts,
     "op6_surrogates": op6_surrogates,
+    "op7_line_join": op7_line_join,
     "op8_repair_shards": op8_repair_shards,
     "op9_genetic_packing": op9_genetic_packing,
     "op10_one_permutation": op10_one_permutation,
