@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, common, fingerprints, licenses, linededup, packing, pii, quality, repair, warc
+from corpusloom.llm import bpe, common, fingerprints, licenses, linededup, minhash, packing, pii, quality, repair, warc
+
+
+def op2_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return minhash.classes(common.read(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op3_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +94,7 @@ def op9_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_segments": op1_warc_segments,
+    "op2_bag_minhash": op2_bag_minhash,
     "op3_bpe_segment_tree": op3_bpe_segment_tree,
     "op4_license_automaton": op4_license_automaton,
     "op5_quality_hosts": op5_quality_hosts,
