@@ -15,6 +15,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,10 @@ SHARD, FILE_SHARDS = 500_000, 32
 SYMBOLS, FIRST_RULE = 65_536, 49_408
 LEAST, PER_ROUND, ROUNDS = 6, 4096, 12
 SLOTS = 1 << 20
-#: magic, bytes after the header, partition, ids of the partition before it, documents, rules, symbols
-HEADER = struct.Struct("<4sQIQIII")
+#: magic, bytes after the header, partition, ids of the partition before it, ids, documents, rules, symbols
+HEADER = struct.Struct("<4sQIQQIII")
+#: The two bytes of each id.
+PLAIN_IDS = [i.to_bytes(2, "little") for i in range(FIRST_RULE)]
 END_ID = 2
 
 
@@ -73,11 +76,10 @@ def compress(ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def expansions(rules: np.ndarray) -> list[bytes]:
-    """The ids (16-bit) of each rule."""
-    made: list[bytes] = []
+    """The ids (16-bit) of each symbol: plain ids, then nonterminals."""
+    made = PLAIN_IDS.copy()
     for a, b in rules.tolist():
-        left, right = (made[x - FIRST_RULE] if x >= FIRST_RULE else x.to_bytes(2, "little") for x in (a, b))
-        made.append(left + right)
+        made.append(made[a] + made[b])
     return made
 
 
@@ -87,17 +89,17 @@ def pack(partition: int, before: int, doc_ids: list[int | None], ids: list[bytes
     last[np.cumsum(sizes) - 1] = True
     rules, seq, last = compress(np.frombuffer(b"".join(ids), "<u2"), last)
     ends = (np.flatnonzero(last) + 1).astype("<u4")
-    lengths = np.array([len(x) // 2 for x in expansions(rules)], "<u4")
+    lengths = np.array([len(x) // 2 for x in expansions(rules)[FIRST_RULE:]], "<u4")
     null = np.array([d is None for d in doc_ids], np.uint8)
     body = b"".join((np.array([d or 0 for d in doc_ids], "<i8").tobytes(), null.tobytes(), ends.tobytes(), rules.astype("<u2").tobytes(), lengths.tobytes(), seq.astype("<u2").tobytes()))
-    return HEADER.pack(MAGIC, len(body), partition, before, len(doc_ids), len(rules), len(seq)) + body
+    return HEADER.pack(MAGIC, len(body), partition, before, int(sizes.sum()), len(doc_ids), len(rules), len(seq)) + body
 
 
 class Shard:
     """One stored shard; decode(k) gives the ids of its k-th document alone."""
 
     def __init__(self, header: tuple, body: memoryview):
-        _, _, self.partition, self.before, docs, rules, symbols = header
+        _, _, self.partition, self.before, self.total, docs, rules, symbols = header
         at = 0
 
         def take(kind: str, n: int) -> np.ndarray:
@@ -109,7 +111,10 @@ class Shard:
         ids, null = take("<i8", docs), take("u1", docs)
         self.doc_ids = [None if n else int(i) for i, n in zip(ids, null, strict=True)]
         self.ends, self.rules, self.lengths, self.seq = take("<u4", docs), take("<u2", 2 * rules).reshape(-1, 2), take("<u4", rules), take("<u2", symbols)
-        self.made = expansions(self.rules)
+
+    @cached_property
+    def made(self) -> list[bytes]:
+        return expansions(self.rules)
 
     def length(self, k: int) -> int:
         """Ids of a document, from the stored lengths."""
@@ -121,8 +126,7 @@ class Shard:
         return self.seq[self.ends[k - 1] if k else 0 : self.ends[k]]
 
     def decode(self, k: int) -> np.ndarray:
-        made, part = self.made, self._symbols(k).tolist()
-        return np.frombuffer(b"".join([made[x - FIRST_RULE] if x >= FIRST_RULE else x.to_bytes(2, "little") for x in part]), "<u2")
+        return np.frombuffer(b"".join(map(self.made.__getitem__, self._symbols(k).tolist())), "<u2")
 
 
 def shards(content: bytes) -> Iterator[Shard]:
@@ -171,8 +175,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 for s in shards(batch.column("content")[k].as_py()):
-                    n = sum(s.length(i) for i in range(len(s.doc_ids)))
-                    yield pa.RecordBatch.from_pydict({"partition": pa.array([s.partition], pa.int32()), "n": pa.array([s.before + n], pa.int64())})
+                    yield pa.RecordBatch.from_pydict({"partition": pa.array([s.partition], pa.int32()), "n": pa.array([s.before + s.total], pa.int64())})
 
     def decoded(batches):
         for batch in batches:
