@@ -1,6 +1,6 @@
 """Removal of repeated and nearly repeated lines by an exact set-similarity join (operator 7).
 
-A line is the set of its lower-cased words. Lines with equal sets form a class; a class goes if a class that
+A line is the set of its lower-cased words, parted by ASCII white space. Lines with equal sets form a class; a class goes if a class that
 occurs earlier (by document, then line) has a Jaccard similarity of 0.8 or more, and of every class only its first
 line stays. Words are ordered by rarity, so the prefix of a line holds its rarest words: two similar lines share
 one of them. The length and positional filters thin out the candidates and the word sets decide.
@@ -20,6 +20,7 @@ table; other columns stay as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,64 +29,103 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import write_table
-from corpusloom.llm.encoding import Remembered
 
 #: Similarity of 4/5 in integers: with sizes a and b, the overlap is at least 4 (a + b) / 9.
 SLOTS, SLOT_BLOCK = 1 << 24, 1 << 16
 MASK40 = (1 << 40) - 1
-FIRST_ROUND, GROWTH = 4, 8
+FIRST_ROUND, GROWTH = 64, 16
 BITS = 1 << 26
 CLASSES = 200_000
+TOGETHER = 40_000
 LINE = "doc long, tag long, line int"
-
-
-def hash_word(word: str) -> int:
-    return xxhash.xxh64_intdigest(word)
-
-
-_words = Remembered(hash_word, 400_000)
+U = np.uint64
+#: White space that parts words, besides line ends.
+PARTS = np.zeros(256, bool)
+PARTS[[*range(9, 14), *range(28, 33)]] = True
+BASE = 0x9E3779B97F4A7C15
+REACH = 1 << 22
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective mix of 64-bit words (finalizer of a public generator; fixed values)."""
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+@cache
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    made = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        found = np.full(REACH, base, U)
+        found[0] = 1
+        made.append(np.cumprod(found, dtype=U))
+    return made[0], made[1]
+
+
+def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and line number of each word of a text in UTF-8: polynomials over the bytes, for all words at once."""
+    data = np.frombuffer(raw, np.uint8)
+    up, down = powers()
+    if len(data) >= REACH:  # one very long line: word by word
+        found = [(k, w) for k, line in enumerate(raw.split(b"\n")) for w in line.translate(SPACED).split()]
+        sums = np.array([sum(c * pow(BASE, i, 1 << 64) for i, c in enumerate(w)) % (1 << 64) for _, w in found], U)
+        return mixed(sums + np.array([len(w) for _, w in found], U)), np.array([k for k, _ in found], np.int64)
+    blank = np.concatenate([[True], PARTS[data], [True]])
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(data * up[: len(data)], out=sums[1:], dtype=U)
+    hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
+    return hashes, np.searchsorted(np.flatnonzero(data == 10), starts)
+
+
+SPACED = bytes(32 if PARTS[c] else c for c in range(256))
 
 
 class Lines:
-    """The word sets of the lines of some documents, each in the order of rarity."""
+    """The word sets of the lines of some documents, each in the order of rarity; lines without words are left out."""
 
     def __init__(self, parts: list[tuple[int, int, int, list[str]]], rarity: np.ndarray | None):
-        words, counts, self.doc, self.tag, self.line = [], [], [], [], []
-        for doc, tag, begin, lines in parts:
-            for k, line in enumerate(lines, begin):
-                if found := line.lower().split():
-                    words += found
-                    counts.append(len(found))
-                    self.doc.append(doc)
-                    self.tag.append(tag)
-                    self.line.append(k)
-        n = len(counts)
-        hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-        owner = np.repeat(np.arange(n, dtype=np.uint64), counts)
-        rank = np.zeros(len(words), np.uint64) if rarity is None else rarity[hashes & np.uint64(SLOTS - 1)].astype(np.uint64)
-        key = (owner << np.uint64(48)) | (rank << np.uint64(40)) | (hashes & np.uint64(MASK40))
+        counts = [len(p[3]) for p in parts]
+        hashes, owner = hashed_words("\n".join([x for p in parts for x in p[3]]).lower().encode())
+        rank = np.zeros(len(hashes), U) if rarity is None else rarity[hashes & U(SLOTS - 1)].astype(U)
+        key = (owner.astype(U) << U(48)) | (rank << U(40)) | (hashes & U(MASK40))
         key.sort()
         key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-        self.owner = (key >> np.uint64(48)).astype(np.int64)
-        self.rank = (key >> np.uint64(40)) & np.uint64(255)
-        self.word = (key & np.uint64(MASK40)).astype(np.int64)
-        self.size = np.bincount(self.owner, minlength=n)
-        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64) if n else np.zeros(0, np.int64)
+        full, self.owner, self.size = np.unique((key >> U(48)).astype(np.int64), return_inverse=True, return_counts=True)
+        self.rank = (key >> U(40)) & U(255)
+        self.word = (key & U(MASK40)).astype(np.int64)
+        self.start = (np.cumsum(self.size) - self.size).astype(np.int64)
+        of = np.repeat(np.arange(len(parts)), counts)[full] if len(full) else np.zeros(0, np.int64)
+        before = np.cumsum(counts) - counts
+        self.doc, self.tag, begin = (np.array([p[k] for p in parts], np.int64)[of] for k in (0, 1, 2))
+        self.line = (begin + full - before[of]).astype(np.int32)
+        if len(full):
+            each = mixed(self.word.astype(U) + U(1))
+            #: equal sets have equal sums
+            self.name = mixed(np.add.reduceat(each, self.start) + self.size.astype(U)).astype(np.int64)
+            #: bit k: whether an odd number of words falls on it; a differing bit tells of a differing word
+            self.odd = np.bitwise_xor.reduceat(U(1) << (each >> U(58)), self.start).astype(np.int64)
+        else:
+            self.name = self.odd = np.zeros(0, np.int64)
 
 
 def in_parts(batches, most: int = 60_000) -> Iterator[list[tuple[int, int, int, list[str]]]]:
     """(doc, tag, number of the first line, lines) of some documents at a time, with at most so many lines."""
     for batch in batches:
-        part, room = [], most
+        part, room, chars = [], most, 0
         for doc, tag, text in zip(batch.column("doc").to_pylist(), batch.column("tag").to_pylist(), batch.column("text").to_pylist(), strict=True):
             lines, at = [] if text is None else text.split("\n"), 0
             while at < len(lines):
                 part.append((doc, tag, at, lines[at : at + room]))
                 taken = len(part[-1][3])
                 at, room = at + taken, room - taken
-                if not room or len(part) == 300:
+                chars += len(text)
+                if not room or chars > 600_000:
                     yield part
-                    part, room = [], most
+                    part, room, chars = [], most, 0
         if part:
             yield part
 
@@ -95,10 +135,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("tag"), "text")
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """For each slot 0 (its word stands in one line) or 1 + 8 log2 of its lines."""
+COUNTED = f"block int, at binary, n binary, class long, {LINE}"
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """Rows of two kinds: each line with words (class, doc, tag, line), and the slots that a task has counted (block)."""
+    names = ["block", "at", "n", "class", "doc", "tag", "line"]
 
-    def counts(batches):
+    def run(batches):
         found = np.zeros(SLOTS, np.uint16)
         pending: list[np.ndarray] = []
 
@@ -108,16 +152,25 @@ def rarity(docs: DataFrame) -> np.ndarray:
             pending.clear()
 
         for part in in_parts(batches):
-            slots = (Lines(part, None).word & (SLOTS - 1)).astype(np.uint32)
-            pending.append(slots)
+            lines = Lines(part, None)
+            pending.append((lines.word & (SLOTS - 1)).astype(np.uint32))
             if sum(map(len, pending)) > 2_000_000:
                 settle()
+            n = len(lines.name)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *map(pa.array, (lines.name, lines.doc, lines.tag, lines.line))], names=names)
         if pending:
             settle()
         for block in range(0, SLOTS, SLOT_BLOCK):
             at = np.flatnonzero(found[block : block + SLOT_BLOCK]).astype("<u2")
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([block // SLOT_BLOCK], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([found[block : block + SLOT_BLOCK][at].astype("<u2").tobytes()], pa.binary())], names=["block", "at", "n"])
+                values = [pa.array([block // SLOT_BLOCK], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([found[block : block + SLOT_BLOCK][at].astype("<u2").tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*values, *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.int32())], names=names)
+
+    return docs.mapInArrow(run, COUNTED)
+
+
+def rarity(rows: DataFrame) -> np.ndarray:
+    """For each slot 0 (its word stands in one line) or 1 + 8 log2 of its lines, from rows of counted()."""
 
     def summed(batches):
         blocks: dict[int, np.ndarray] = {}
@@ -129,33 +182,32 @@ def rarity(docs: DataFrame) -> np.ndarray:
             level = np.where(total > 1, np.minimum(255, 1 + 8 * np.log2(np.maximum(total, 1))), 0).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "level"])
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.mapInArrow(counts, "block int, at binary, n binary").repartition(parts, "block").mapInArrow(summed, "block int, level binary")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = rows.where("block is not null").select("block", "at", "n").repartition(parts, "block").mapInArrow(summed, "block int, level binary")
     out = np.zeros(SLOTS, np.uint8)
-    for r in rows.collect():  # at most 256 blocks of 64 KB
+    for r in made.collect():  # at most 256 blocks of 64 KB
         out[r.block * SLOT_BLOCK : (r.block + 1) * SLOT_BLOCK] = np.frombuffer(r.level, np.uint8)
     return out
 
 
-INDEX = f"kind int, word long, class long, {LINE}, size int, at int"
+INDEX = "word long, class long, doc long, place long, shape long, odd long"
 
 
 def emitted(docs: DataFrame, known) -> DataFrame:
-    """A row for each line (kind 0) and, for the least line of a class in a task, one for each prefix word (kind 1)."""
+    """A row for each prefix word of the least line of a class in a task.
+
+    place is the line number; shape holds the size above and the word's rank in the line below.
+    """
 
     def run(batches):
         least: dict[int, tuple] = {}
         for part in in_parts(batches):
             lines = Lines(part, known.value)
-            n = len(lines.size)
+            n = len(lines.name)
             if not n:
                 continue
-            raw, starts = lines.word.tobytes(), lines.start.tolist()
-            ends = [*starts[1:], len(lines.word)]
-            # equal sets have equal ranks, and so equal orders
-            classes = np.fromiter((xxhash.xxh64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(starts, ends, strict=True)), np.uint64, n).astype(np.int64)
             fresh = np.zeros(n, bool)
-            for k, (name, place) in enumerate(zip(classes.tolist(), zip(lines.doc, lines.tag, lines.line, strict=True), strict=True)):
+            for k, (name, place) in enumerate(zip(lines.name.tolist(), zip(lines.doc.tolist(), lines.line.tolist(), strict=True), strict=True)):
                 if name not in least or place < least[name]:
                     if len(least) >= CLASSES:
                         least.clear()
@@ -165,60 +217,70 @@ def emitted(docs: DataFrame, known) -> DataFrame:
             at = np.arange(len(lines.word)) - np.repeat(lines.start, lines.size)
             use = (at < prefix[lines.owner]) & (lines.rank > 0) & fresh[lines.owner]
             own = lines.owner[use]
-            doc, tag, line = np.array(lines.doc, np.int64), np.array(lines.tag, np.int64), np.array(lines.line, np.int32)
-            zero = np.zeros(n, np.int32)
-            for kind, word, of, size, place in ((0, zero.astype(np.int64), np.arange(n), lines.size, zero), (1, lines.word[use], own, lines.size[own], at[use])):
-                m = len(of)
-                for i in range(0, m, 50_000):
-                    s = slice(i, i + 50_000)
-                    columns = [np.full(len(of[s]), kind, np.int32), word[s], classes[of[s]], doc[of[s]], tag[of[s]], line[of[s]], size[s].astype(np.int32), place[s].astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "word", "class", "doc", "tag", "line", "size", "at"])
+            columns = [lines.word[use], lines.name[own], lines.doc[own], lines.line[own].astype(np.int64), (lines.size[own].astype(np.int64) << 32) | at[use], lines.odd[own]]
+            for i in range(0, len(own), TOGETHER):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + TOGETHER]) for c in columns], names=["word", "class", "doc", "place", "shape", "odd"])
 
     return docs.mapInArrow(run, INDEX)
 
 
+def together(batches, columns: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of many rows at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= TOGETHER:
+            yield {c: np.concatenate([b.column(c).to_numpy() for b in held]) for c in columns}
+            held, n = [], 0
+    if n:
+        yield {c: np.concatenate([b.column(c).to_numpy() for b in held]) for c in columns}
+
+
 def candidates(index: DataFrame, low: int, high: int) -> DataFrame:
     """later, earlier: classes that share a prefix word and pass the filters, the earlier one being among those of
-    rank low to high - 1 of that word. Rows of rank above that come once more with earlier null."""
+    rank low to high - 1 of that word. Rows of rank above that come once more with earlier null.
+
+    Filters by length, by the place of the shared word, and by the words on odd bits: the latter differ in no more
+    bits than the sets differ in words.
+    """
 
     def run(batches):
         head, seen, held = None, 0, None
-        for batch in batches:
-            new = {c: batch.column(c).to_numpy() for c in ("word", "class", "size", "at")}
-            n = batch.num_rows
-            if not n:
-                continue
+        for new in together(batches, ("word", "class", "shape", "odd")):
             carried = 0
             if held is not None and new["word"][0] == held:
                 carried = len(head["word"])
                 new = {c: np.concatenate([head[c], x]) for c, x in new.items()}
-            word = new["word"]
+            word, name, odd = new["word"], new["class"], new["odd"]
+            size, at = new["shape"] >> 32, new["shape"] & 0xFFFFFFFF
             begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             lengths = np.diff(np.append(begin, len(word)))
-            rank = np.arange(len(word)) - np.repeat(begin, lengths)
+            first = np.repeat(begin, lengths)
+            rank = np.arange(len(word)) - first
             if carried:
                 rank[carried : lengths[0]] += seen - carried
-            first = np.repeat(begin, lengths)
-            isnew = np.arange(len(word)) >= carried
+            rest = size - at - 1
+            x = np.flatnonzero((rank > low) & (np.arange(len(word)) >= carried))
             for k in range(low, high):
-                x = np.flatnonzero((rank > k) & isnew)
+                x = x[rank[x] > k]
                 if not len(x):
                     break
                 y = first[x] + k
-                a, b, i, j = new["size"][x], new["size"][y], new["at"][x], new["at"][y]
-                good = (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (1 + np.minimum(a - i - 1, b - j - 1) >= (4 * (a + b) + 8) // 9) & (new["class"][x] != new["class"][y])
+                whole = size[x] + size[y]
+                shared = (4 * whole + 8) // 9
+                good = (np.bitwise_count((odd[x] ^ odd[y]).view(U)) <= whole - 2 * shared) & (1 + np.minimum(rest[x], rest[y]) >= shared) & (5 * np.minimum(size[x], size[y]) >= 4 * np.maximum(size[x], size[y])) & (name[x] != name[y])
                 if good.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(new["class"][x[good]]), pa.array(new["class"][y[good]]), pa.array(word[x[good]])], names=["later", "earlier", "word"])
-            x = np.flatnonzero((rank >= high) & isnew)
+                    yield pa.RecordBatch.from_arrays([pa.array(name[x[good]]), pa.array(name[y[good]]), pa.array(word[x[good]])], names=["later", "earlier", "word"])
+            x = np.flatnonzero((rank >= high) & (np.arange(len(word)) >= carried))
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(new["class"][x]), pa.nulls(len(x), pa.int64()), pa.array(word[x])], names=["later", "earlier", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(name[x]), pa.nulls(len(x), pa.int64()), pa.array(word[x])], names=["later", "earlier", "word"])
             last = begin[-1]
-            seen = int(rank[-1]) + 1
-            held = word[-1]
+            seen, held = int(rank[-1]) + 1, word[-1]
             head = {c: v[last : last + high].copy() for c, v in new.items()}
 
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = index.select("word", "doc", "tag", "line", "class", "size", "at").repartition(parts, "word").sortWithinPartitions("word", "doc", "tag", "line")
+    rows = index.repartition(parts, "word").sortWithinPartitions("word", "doc", "place")
     return rows.mapInArrow(run, "later long, earlier long, word long")
 
 
@@ -254,7 +316,7 @@ def word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             line = begin + np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
             at = bit_of(doc, tag, line)
             chosen = np.flatnonzero((known.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
-            words = [[x - (1 << 64) if x >> 63 else x for x in map(_words.__getitem__, {*split[i].lower().split()})] for i in chosen.tolist()]
+            words = [[x - (1 << 64) if x >> 63 else x for x in map(xxhash.xxh64_intdigest, {*split[i].lower().encode().translate(SPACED).split()})] for i in chosen.tolist()]
             for i in range(0, len(chosen), 5000):
                 c = chosen[i : i + 5000]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[c]), pa.array(tag[c]), pa.array(line[c].astype(np.int32)), pa.array(words[i : i + 5000], pa.list_(pa.int64()))], names=["doc", "tag", "line", "words"])
@@ -279,11 +341,12 @@ def matched(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc, tag, line of every line that goes, from rows of keyed()."""
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(rarity(docs))
-    rows = write_table(emitted(docs, known), "lines")
-    lines, index = rows.where("kind = 0").select("class", "doc", "tag", "line"), rows.where("kind = 1")
+    rows = write_table(counted(docs), "lines")
+    known = spark.sparkContext.broadcast(rarity(rows))
+    lines = rows.where("block is null").select("class", "doc", "tag", "line")
     place = F.struct("doc", "tag", "line")
     firsts = write_table(lines.groupBy("class").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")).select("class", "p.*", "n"), "firsts")
+    index = emitted(docs, known)
     gone, low, high = None, 0, FIRST_ROUND
     while True:
         found = write_table(candidates(index, low, high).distinct(), "candidates")

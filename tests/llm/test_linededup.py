@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from corpusloom.llm import linededup
@@ -14,7 +15,7 @@ def brute(docs):
     for i, tag, text in order:
         kept = []
         for line in text.split("\n"):
-            words = frozenset(line.lower().split())
+            words = frozenset(w for w in re.split(r"[\t-\r\x1c- ]", line.lower()) if w)
             if not words:
                 kept.append(line)
                 continue
