@@ -1,9 +1,9 @@
 """Row predicates and their algebra."""
 
-from __future__ import annotations
-
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,9 +66,6 @@ def excluded_names(df: DataFrame, column: str, rules: DataFrame) -> DataFrame:
 
 def nfc(column: Column) -> Column:
     """Canonical composition, by an Arrow function: the engine has no expression for it."""
-    import unicodedata
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def compose(values: pd.Series) -> pd.Series:
