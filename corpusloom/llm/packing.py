@@ -93,6 +93,41 @@ def best_fit(lengths: list[int], items: list[int], home: np.ndarray, free: list[
             space.add(sequence, left - length)
 
 
+def exact_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """A packing that fills up each sequence, begun by the longest piece left, with one or two pieces if it can."""
+    stock: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for item in np.argsort(sizes, kind="stable").tolist():
+        stock[sizes[item]].append(item)
+    left = np.array([len(x) for x in stock])
+    home, sequence, longest = np.full(len(sizes), -1), 0, capacity
+
+    def take(size: int) -> int:
+        left[size] -= 1
+        home[stock[size].pop()] = sequence
+        return size
+
+    while True:
+        while longest and not left[longest]:
+            longest -= 1
+        if not longest:
+            return home
+        room = capacity - take(longest)
+        while room:
+            if left[room]:
+                room -= take(room)
+                continue
+            pairs = np.flatnonzero((left[1:room] > 0) & (left[room - 1 : 0 : -1] > 0)) + 1
+            pairs = pairs[(2 * pairs != room) | (left[pairs] > 1)]
+            if len(pairs):
+                room -= take(room - take(int(pairs[-1]))) + int(pairs[-1])
+                continue
+            fitting = np.flatnonzero(left[: room + 1])
+            if not len(fitting):
+                break
+            room -= take(int(fitting[-1]))
+        sequence += 1
+
+
 def fills(sizes: np.ndarray, home: np.ndarray) -> np.ndarray:
     return np.bincount(home, sizes)
 
@@ -130,9 +165,9 @@ def cross(sizes: np.ndarray, lengths: list[int], one: np.ndarray, two: np.ndarra
 def evolve(sizes: np.ndarray, elites: list[np.ndarray], seed: list[int], capacity: int = CAPACITY) -> np.ndarray:
     """The best packing an island finds: for each piece its sequence."""
     rng = np.random.default_rng(seed)
-    lengths, people = sizes.tolist(), list(elites)
+    lengths, people = sizes.tolist(), [*elites, exact_fit(sizes, capacity)]
     while len(people) < POPULATION:
-        noise = 1 if not people else np.exp(rng.normal(0, 0.02 * len(people), len(sizes)))
+        noise = 1 if len(people) < 2 else np.exp(rng.normal(0, 0.02 * len(people), len(sizes)))
         home, free = np.full(len(sizes), -1), []
         best_fit(lengths, np.argsort(-sizes * noise, kind="stable").tolist(), home, free, capacity)
         people.append(home)
