@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
         while True:
             up = hooked.select(F.col("node").alias("root"), F.col("root").alias("above"))
             longer = hooked.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved"))
-            longer = write_table(longer, "hooked")
+            longer = write_table(longer.join(up.toDF("root", "next"), "root").select("node", F.col("next").alias("root"), (F.col("moved") | (F.col("next") != F.col("root"))).alias("moved")), "hooked")
             hooked = longer.select("node", "root")
             if longer.where("moved").isEmpty():
                 break
@@ -35,3 +35,16 @@ def components(edges: DataFrame) -> DataFrame:
         moved = edges.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").where("x != y")
         edges = write_table(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     return roots if roots is not None else edges.toDF("node", "root")
+
+
+def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components (node, root) after more edges (a, b)."""
+    a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
+    between = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    between = write_table(between.where("a != b").distinct(), "edges")
+    if between.isEmpty():
+        return roots
+    ends = components(between).toDF("root", "end")
+    # a node without earlier links is its own root
+    known = roots.unionByName(ends.select(F.col("root").alias("node"), "root").join(roots, "node", "left_anti"))
+    return write_table(known.join(ends, "root", "left").select("node", F.coalesce("end", "root").alias("root")), "roots")

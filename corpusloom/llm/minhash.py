@@ -7,8 +7,10 @@ a register with the probability of their weighted Jaccard similarity. Only point
 bound grows until all registers are filled, so the minima are exact.
 
 Twenty bands of five registers name candidates (a pair of similarity 0.8 is missed once in 2,800). Documents of a
-band's bucket are first held against its least one; then, over the components found so far, ever later ones meet
-those of other components, until none are left. Pairs are verified by the overlap of their multisets.
+band's bucket are first held against its least one; then, over the components found so far, each meets ever more of
+those in other components, until none are left. Such pairs are ruled out by their sizes and by 1024 bits that tell of
+odd numbers of copies: two multisets differ in no fewer copies than bits. The others are verified by the overlap of
+their multisets.
 
 Equal texts are one node. Classes are the components of the verified pairs.
 
@@ -29,12 +31,16 @@ from pyspark.sql import functions as F
 from corpusloom.llm.bits import bit_filter, wanted
 from corpusloom.llm.common import text_or_empty, write_table
 from corpusloom.llm.encoding import Remembered
-from corpusloom.llm.graph import components
+from corpusloom.llm.graph import components, merged
 
 SHINGLE, BANDS, ROWS = 5, 20, 5
 REGISTERS = BANDS * ROWS
-#: Similarity 4/5.
-FIRST_ROUND, GROWTH = 8, 8
+#: Words of 64 bits that tell of each copy of a shingle, to rule out pairs; rows that are compared at a time.
+ODD_WORDS, TOGETHER = 16, 20_000
+#: Possible partners of a node in a bucket that are verified first, and by how many times more in each later round.
+FIRST_ROUND, GROWTH = 1, 16
+#: Nodes of a bucket that are held in memory at a time.
+HEAD = 50_000
 SEEN = 100_000
 U = np.uint64
 
@@ -106,6 +112,17 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return earliest.view(U)
 
 
+def odd_bits(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Documents x ODD_WORDS: bit k tells whether an odd number of copies of shingles falls on it."""
+    counts = np.concatenate([b[1] for b in bags])
+    level = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    bit = mixed(np.repeat(np.concatenate([b[0] for b in bags]), counts) + level.astype(U) * U(0xD6E8FEB86659FD93)) >> U(54)
+    owner = np.repeat(np.arange(len(bags)), [int(b[1].sum()) for b in bags])
+    out = np.zeros(len(bags) * ODD_WORDS, U)
+    np.bitwise_xor.at(out, owner * ODD_WORDS + (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63)))
+    return out.reshape(-1, ODD_WORDS)
+
+
 def band_keys(registers: np.ndarray) -> np.ndarray:
     """A hash for each band of each document."""
     parts = registers.reshape(len(registers), BANDS, ROWS)
@@ -129,7 +146,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
-    """A row for each distinct text: digest, node (a number), doc_id (the least), bands (array; empty without words)."""
+    """A row for each distinct text: digest, node (a number), doc_id (the least), bands (array; empty without words),
+    size (shingles with copies), odd (bits)."""
 
     def run(batches):
         seen: set[str] = set()
@@ -137,11 +155,13 @@ def nodes_of(rows: DataFrame) -> DataFrame:
         def out(part):
             bags = [shingles(t) for _, _, t in part]
             full = [k for k, b in enumerate(bags) if len(b[0])]
-            bands: list = [[] for _ in part]
+            bands, odd = [[] for _ in part], [b""] * len(part)
             if full:
-                for k, keys in zip(full, band_keys(signatures([bags[k] for k in full])).tolist(), strict=True):
-                    bands[k] = keys
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.string()), pa.array(bands, pa.list_(pa.int64()))], names=["digest", "bands"])
+                own = [bags[k] for k in full]
+                for k, keys, bits in zip(full, band_keys(signatures(own)).tolist(), odd_bits(own), strict=True):
+                    bands[k], odd[k] = keys, bits.tobytes()
+            sizes = [int(b[1].sum()) for b in bags]
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(odd, pa.binary())], names=["digest", "bands", "size", "odd"])
 
         for batch in batches:
             part, chars = [], 0
@@ -160,7 +180,7 @@ def nodes_of(rows: DataFrame) -> DataFrame:
                 yield out(part)
 
     ids = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    bands = rows.select("digest", "text").mapInArrow(run, "digest string, bands array<long>").dropDuplicates(["digest"])
+    bands = rows.select("digest", "text").mapInArrow(run, "digest string, bands array<long>, size long, odd binary").dropDuplicates(["digest"])
     return write_table(ids.join(bands, "digest").withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
@@ -193,59 +213,95 @@ def verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float)
     return write_table(both.select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long"), "links")
 
 
-def cross_pairs(buckets: DataFrame, low: int, high: int) -> DataFrame:
-    """a, b of a bucket (key, node, root): each node with those of rank low to high - 1 in it that have another root.
+def together(batches):
+    """Columns of many bucket rows at a time."""
+    held, n = [], 0
+
+    def out():
+        columns = {c: np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("key", "node", "root", "size")}
+        return columns | {"odd": np.frombuffer(b"".join(x for b in held for x in b.column("odd").to_pylist()), U).reshape(-1, ODD_WORDS)}
+
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= TOGETHER:
+            yield out()
+            held, n = [], 0
+    if n:
+        yield out()
 
-    Nodes of rank above come once more with a null.
+
+def cross_pairs(buckets: DataFrame, nodes: DataFrame, most: int, least: float, segment: int = 0) -> DataFrame:
+    """a, b of a bucket (key, node, root): each node with the first nodes before it that have another root and may be
+    alike, at most so many. Where there are more, a row with a null tells so (more true); where nodes of the bucket lie
+    beyond the segment of HEAD nodes that is held, one with more false.
     """
+    limit, floor, names = (1 - least) / (1 + least) + 1e-9, segment * HEAD, ("key", "node", "root", "size", "odd")
+
+    def row(a, b, key, more):
+        n = len(b)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if a is None else pa.array(a), pa.array(b), pa.array(key), pa.nulls(n, pa.bool_()) if more is None else pa.array(np.full(n, more))], names=["a", "b", "key", "more"])
 
     def run(batches):
         head, seen, held = None, 0, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = {c: batch.column(c).to_numpy() for c in ("key", "node", "root")}
-            carried = 0
-            if held is not None and new["key"][0] == held:
-                carried = len(head["key"])
-                new = {c: np.concatenate([head[c], x]) for c, x in new.items()}
+        for new in together(batches):
             key = new["key"]
+            on = held is not None and key[0] == held  # the chunk goes on with a bucket
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             lengths = np.diff(np.append(begin, len(key)))
-            first = np.repeat(begin, lengths)
-            rank = np.arange(len(key)) - first
-            if carried:
-                rank[carried : lengths[0]] += seen - carried
-            fresh = np.arange(len(key)) >= carried
-            for k in range(low, high):
-                x = np.flatnonzero((rank > k) & fresh)
-                if not len(x):
-                    break
-                y = first[x] + k
-                other = new["root"][x] != new["root"][y]
-                if other.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(new["node"][y[other]]), pa.array(new["node"][x[other]]), pa.array(key[x[other]])], names=["a", "b", "key"])
-            x = np.flatnonzero((rank >= high) & fresh)
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.array(new["node"][x]), pa.array(key[x])], names=["a", "b", "key"])
-            last = begin[-1]
+            rank = np.arange(len(key)) - np.repeat(begin, lengths)
+            if on:
+                rank[: lengths[0]] += seen
+            h = len(head["key"]) if on else 0
+            pool = {c: np.concatenate([head[c], new[c]]) for c in names} if h else new
+            # where the segment of a row's bucket begins in the pool
+            start = h + begin + floor
+            if on:
+                start[0] = 0 if h else floor - seen
+            start = np.repeat(start, lengths)
+            partners = np.minimum(rank - floor, HEAD)
+            node, root, size, odd = (pool[c] for c in names[1:])
+            passed, k = np.zeros(len(key), np.int64), 0
+            x = np.flatnonzero(partners > 0)
+            while len(x := x[partners[x] > k]):
+                z = x[root[x + h] != root[start[x] + k]]
+                y, w = start[z] + k, z + h
+                good = np.bitwise_count(odd[w] ^ odd[y]).sum(axis=1, dtype=np.int64) <= limit * (size[w] + size[y])
+                if good.any():
+                    z, y = z[good], y[good]
+                    use, end = passed[z] < most, passed[z] >= most
+                    if use.any():
+                        yield row(node[y[use]], node[z[use] + h], key[z[use]], None)
+                    if end.any():
+                        yield row(None, node[z[end] + h], key[z[end]], True)
+                    passed[z] += 1
+                    x = x[passed[x] <= most]
+                k += 1
+            beyond = np.flatnonzero(rank >= floor + HEAD)
+            if len(beyond):
+                yield row(None, node[beyond + h], key[beyond], False)
+            at = begin[-1]
+            mine = slice(at + max(0, floor - int(rank[at])), None)
+            stays = on and len(begin) == 1
+            tail = {c: new[c][mine] for c in names}
+            head = {c: (np.concatenate([head[c], tail[c]]) if stays else tail[c])[:HEAD].copy() for c in names}
             seen, held = int(rank[-1]) + 1, key[-1]
-            head = {c: v[last : last + high].copy() for c, v in new.items()}
 
     parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = buckets.select("key", "node", "root").repartition(parts, "key").sortWithinPartitions("key", "node")
-    return rows.mapInArrow(run, "a long, b long, key long")
+    rows = buckets.select("key", "node", "root").join(nodes.select("node", "size", "odd"), "node")
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, key long, more boolean")
 
 
-def mixed_keys(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Rows (key, node, root) of the buckets that hold nodes of several components."""
-    rows = buckets.select("key", "node")
-    rows = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+def mixed_keys(buckets: DataFrame, roots: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Rows (key, node, root) of the buckets that hold nodes of several components; among: the keys looked at."""
+    rows = buckets.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     several = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    if among is not None:
+        several = several.join(among, "key")
     return write_table(rows.join(several, "key", "left_semi"), "buckets")
 
 
-def links(rows: DataFrame, nodes: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame | None]:
+def links(rows: DataFrame, nodes: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) and the components of nodes (node, root) that they make."""
     keys = nodes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -254,19 +310,31 @@ def links(rows: DataFrame, nodes: DataFrame, least: float = 0.8) -> tuple[DataFr
     tested = write_table(star, "pairs")
     found = verified(rows, nodes, tested, least)
     roots = components(found)
-    low, high = 0, FIRST_ROUND
+    segment = 0
     while True:
-        buckets = mixed_keys(buckets, roots)
-        if buckets.isEmpty():
+        most, own, beyond, open_ = FIRST_ROUND, buckets, None, None
+        while True:
+            own = mixed_keys(own, roots, open_)
+            if own.isEmpty():
+                break
+            made = write_table(cross_pairs(own, nodes, most, least, segment), "cross")
+            pairs = write_table(made.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+            if not pairs.isEmpty():
+                tested = tested.union(pairs)
+                new = verified(rows, nodes, pairs, least)
+                found = found.union(new)
+                roots = merged(roots, new)
+            if beyond is None:
+                beyond = write_table(made.where("not more").select("key").distinct(), "beyond")
+            # only buckets where nodes have more partners go on
+            open_ = write_table(made.where("more").select("key").distinct(), "open")
+            if open_.isEmpty():
+                break
+            most *= GROWTH
+        if beyond is None or beyond.isEmpty():
             return found, roots
-        made = write_table(cross_pairs(buckets, low, high), "cross")
-        pairs = write_table(made.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(pairs)
-        found = found.union(verified(rows, nodes, pairs, least))
-        roots = components(found)
-        # only buckets with nodes beyond the ranks tested go on
-        buckets = buckets.join(made.where("a is null").select("key").distinct(), "key", "left_semi")
-        low, high = high, high * GROWTH
+        buckets = buckets.join(beyond, "key", "left_semi")
+        segment += 1
 
 
 def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:

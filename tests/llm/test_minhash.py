@@ -77,10 +77,10 @@ def variants(rng, words, base, n):
         yield " ".join(text)
 
 
-@pytest.mark.parametrize("first", [8, 1])
-def test_groups_equal_brute_force(spark, monkeypatch, first):
-    monkeypatch.setattr(minhash, "FIRST_ROUND", first)
-    monkeypatch.setattr(minhash, "GROWTH", 2)
+@pytest.mark.parametrize("held", [1000, 3])
+def test_groups_equal_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(minhash, "HEAD", held)
+    monkeypatch.setattr(minhash, "TOGETHER", 50)
     rng = random.Random(11)
     words = [f"w{i}" for i in range(500)]
     texts = [t for n in (3, 20, 80, 200) for _ in range(3) for t in variants(rng, words, [rng.choice(words) for _ in range(n)], 12)]
