@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 ARROW_ROWS = "1000"
 
 
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the application ends."""
+    small_batches(spark)
     path = f"{shared_folder(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
@@ -53,8 +58,14 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def write_at(df: DataFrame, path: str) -> DataFrame:
-    """As write_table, at a path that the caller can drop later."""
-    df.write.option("compression", "zstd").parquet(path)
+    """As write_table, at a path that the caller can drop later. The write's shuffle files go when it has ended."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -28,12 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.bits import bit_filter, wanted
 from corpusloom.llm.common import write_table
 
 #: Similarity of 4/5 in integers: with sizes a and b, the overlap is at least 4 (a + b) / 9.
 SLOTS, SLOT_BLOCK = 1 << 24, 1 << 16
 MASK40 = (1 << 40) - 1
-FIRST_ROUND, GROWTH = 64, 16
+#: Alike partners of a line and word that are verified first, and by how many times more in each later round.
+FIRST_ROUND, GROWTH = 2, 16
+#: Lines of a word that are held in memory at a time.
+HEAD = 200_000
 BITS = 1 << 26
 CLASSES = 200_000
 TOGETHER = 40_000
@@ -190,14 +194,13 @@ def rarity(rows: DataFrame) -> np.ndarray:
     return out
 
 
-INDEX = "word long, class long, doc long, place long, shape long, odd long"
+INDEX = "key long, class long, doc long, line long, size long, odd long"
+#: The key holds the word above and, in this many bits, its rank in the line.
+RANK_BITS = 23
 
 
-def emitted(docs: DataFrame, known) -> DataFrame:
-    """A row for each prefix word of the least line of a class in a task.
-
-    place is the line number; shape holds the size above and the word's rank in the line below.
-    """
+def emitted(docs: DataFrame, known, words=None) -> DataFrame:
+    """A row for each prefix word of the least line of a class in a task; words: a filter that they have to pass."""
 
     def run(batches):
         least: dict[int, tuple] = {}
@@ -216,10 +219,12 @@ def emitted(docs: DataFrame, known) -> DataFrame:
             prefix = lines.size - (4 * lines.size + 4) // 5 + 1
             at = np.arange(len(lines.word)) - np.repeat(lines.start, lines.size)
             use = (at < prefix[lines.owner]) & (lines.rank > 0) & fresh[lines.owner]
+            if words is not None:
+                use &= wanted(words.value, lines.word)
             own = lines.owner[use]
-            columns = [lines.word[use], lines.name[own], lines.doc[own], lines.line[own].astype(np.int64), (lines.size[own].astype(np.int64) << 32) | at[use], lines.odd[own]]
+            columns = [(lines.word[use] << RANK_BITS) | at[use], lines.name[own], lines.doc[own], lines.line[own].astype(np.int64), lines.size[own].astype(np.int64), lines.odd[own]]
             for i in range(0, len(own), TOGETHER):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + TOGETHER]) for c in columns], names=["word", "class", "doc", "place", "shape", "odd"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + TOGETHER]) for c in columns], names=["key", "class", "doc", "line", "size", "odd"])
 
     return docs.mapInArrow(run, INDEX)
 
@@ -237,51 +242,74 @@ def together(batches, columns: tuple[str, ...]) -> Iterator[dict[str, np.ndarray
         yield {c: np.concatenate([b.column(c).to_numpy() for b in held]) for c in columns}
 
 
-def candidates(index: DataFrame, low: int, high: int) -> DataFrame:
-    """later, earlier: classes that share a prefix word and pass the filters, the earlier one being among those of
-    rank low to high - 1 of that word. Rows of rank above that come once more with earlier null.
+def candidates(index: DataFrame, low: int, high: int, segment: int = 0) -> DataFrame:
+    """later, earlier: of the classes before it that share a prefix word and pass the filters, each class meets those
+    numbered low to high - 1. Where more pass, a row with earlier null and more true tells so; where lines of the word
+    lie beyond the segment of HEAD lines that is held, one with more false. With a column open, only its lines look
+    for earlier ones.
 
     Filters by length, by the place of the shared word, and by the words on odd bits: the latter differ in no more
     bits than the sets differ in words.
     """
 
+    floor, some = segment * HEAD, "open" in index.columns
+    names = ("key", "class", "size", "odd", *(("open",) if some else ()))
+
+    def row(later, earlier, word, more):
+        n = len(later)
+        return pa.RecordBatch.from_arrays([pa.array(later), pa.nulls(n, pa.int64()) if earlier is None else pa.array(earlier), pa.array(word), pa.nulls(n, pa.bool_()) if more is None else pa.array(np.full(n, more))], names=["later", "earlier", "word", "more"])
+
     def run(batches):
         head, seen, held = None, 0, None
-        for new in together(batches, ("word", "class", "shape", "odd")):
-            carried = 0
-            if held is not None and new["word"][0] == held:
-                carried = len(head["word"])
-                new = {c: np.concatenate([head[c], x]) for c, x in new.items()}
-            word, name, odd = new["word"], new["class"], new["odd"]
-            size, at = new["shape"] >> 32, new["shape"] & 0xFFFFFFFF
+        for new in together(batches, names):
+            word = new["key"] >> RANK_BITS
+            on = held is not None and word[0] == held  # the chunk goes on with a word
             begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             lengths = np.diff(np.append(begin, len(word)))
-            first = np.repeat(begin, lengths)
-            rank = np.arange(len(word)) - first
-            if carried:
-                rank[carried : lengths[0]] += seen - carried
-            rest = size - at - 1
-            x = np.flatnonzero((rank > low) & (np.arange(len(word)) >= carried))
-            for k in range(low, high):
-                x = x[rank[x] > k]
-                if not len(x):
-                    break
-                y = first[x] + k
-                whole = size[x] + size[y]
+            rank = np.arange(len(word)) - np.repeat(begin, lengths)
+            if on:
+                rank[: lengths[0]] += seen
+            h = len(head["key"]) if on else 0
+            pool = {c: np.concatenate([head[c], new[c]]) for c in names} if h else new
+            # where the segment of a row's word begins in the pool
+            start = h + begin + floor
+            if on:
+                start[0] = 0 if h else floor - seen
+            start = np.repeat(start, lengths)
+            partners = np.minimum(rank - floor, HEAD)
+            size, odd, name = pool["size"], pool["odd"], pool["class"]
+            rest = size - (pool["key"] & ((1 << RANK_BITS) - 1)) - 1
+            passed, k = np.zeros(len(word), np.int64), 0
+            x = np.flatnonzero((partners > 0) & (new["open"] > 0)) if some else np.flatnonzero(partners > 0)
+            while len(x := x[partners[x] > k]):
+                y, z = start[x] + k, x + h
+                whole = size[z] + size[y]
                 shared = (4 * whole + 8) // 9
-                good = (np.bitwise_count((odd[x] ^ odd[y]).view(U)) <= whole - 2 * shared) & (1 + np.minimum(rest[x], rest[y]) >= shared) & (5 * np.minimum(size[x], size[y]) >= 4 * np.maximum(size[x], size[y])) & (name[x] != name[y])
+                good = (np.bitwise_count((odd[z] ^ odd[y]).view(U)) <= whole - 2 * shared) & (1 + np.minimum(rest[z], rest[y]) >= shared) & (5 * np.minimum(size[z], size[y]) >= 4 * np.maximum(size[z], size[y])) & (name[z] != name[y])
                 if good.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(name[x[good]]), pa.array(name[y[good]]), pa.array(word[x[good]])], names=["later", "earlier", "word"])
-            x = np.flatnonzero((rank >= high) & (np.arange(len(word)) >= carried))
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(name[x]), pa.nulls(len(x), pa.int64()), pa.array(word[x])], names=["later", "earlier", "word"])
-            last = begin[-1]
+                    hit, with_ = x[good], y[good]
+                    use, end = (passed[hit] >= low) & (passed[hit] < high), passed[hit] >= high
+                    if use.any():
+                        yield row(name[hit[use] + h], name[with_[use]], word[hit[use]], None)
+                    if end.any():
+                        yield row(name[hit[end] + h], None, word[hit[end]], True)
+                    passed[hit] += 1
+                    x = x[passed[x] <= high]
+                k += 1
+            beyond = np.flatnonzero(rank >= floor + HEAD)
+            if len(beyond):
+                yield row(name[beyond + h], None, word[beyond], False)
+            at = begin[-1]
+            mine = slice(at + max(0, floor - int(rank[at])), None)
+            stays = on and len(begin) == 1
+            tail = {c: new[c][mine] for c in names}
+            head = {c: (np.concatenate([head[c], tail[c]]) if stays else tail[c])[:HEAD].copy() for c in names}
             seen, held = int(rank[-1]) + 1, word[-1]
-            head = {c: v[last : last + high].copy() for c, v in new.items()}
 
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = index.repartition(parts, "word").sortWithinPartitions("word", "doc", "place")
-    return rows.mapInArrow(run, "later long, earlier long, word long")
+    word = F.shiftright("key", RANK_BITS)
+    rows = index.repartition(parts, word).sortWithinPartitions(word, "doc", "line")
+    return rows.mapInArrow(run, "later long, earlier long, word long, more boolean")
 
 
 def bit_of(doc, tag, line) -> np.ndarray:
@@ -290,8 +318,8 @@ def bit_of(doc, tag, line) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - 26)
 
 
-def word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, words (array of 64-bit hashes) of the wanted lines (class, doc, tag, line).
+def word_sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """class, words (array of 64-bit hashes) of the lines (class, doc, tag, line).
 
     A filter of fixed size (8 MB of bits) tells the tasks which lines may be wanted; a join takes the rest out.
     """
@@ -301,7 +329,7 @@ def word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             at = bit_of(*(batch.column(c).to_numpy().astype(np.int64) for c in ("doc", "tag", "line")))
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], names=["bit"])
 
-    made = wanted.mapInArrow(bits, "bit long").select(F.floor(F.col("bit") / 32768).cast("int").alias("block"), (F.col("bit") % 32768).alias("place"))
+    made = lines.mapInArrow(bits, "bit long").select(F.floor(F.col("bit") / 32768).cast("int").alias("block"), (F.col("bit") % 32768).alias("place"))
     held = np.zeros(BITS // 8, np.uint8)
     for r in made.groupBy("block").agg(F.bitmap_construct_agg("place").alias("bits")).collect():  # at most 2048 blocks of 4 KB
         held[r.block * 4096 : r.block * 4096 + 4096] = np.frombuffer(r.bits, np.uint8)
@@ -322,13 +350,13 @@ def word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc[c]), pa.array(tag[c]), pa.array(line[c].astype(np.int32)), pa.array(words[i : i + 5000], pa.list_(pa.int64()))], names=["doc", "tag", "line", "words"])
 
     found = docs.mapInArrow(run, f"{LINE}, words array<long>")
-    return wanted.join(found, ["doc", "tag", "line"]).dropDuplicates(["doc", "tag", "line", "class"]).select("class", "words")
+    return lines.join(found, ["doc", "tag", "line"]).dropDuplicates(["doc", "tag", "line", "class"]).select("class", "words")
 
 
 def matched(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     """class of the later one of each pair whose similarity is 0.8 or more."""
-    wanted = pairs.select(F.col("later").alias("class")).union(pairs.select("earlier")).distinct().join(firsts, "class")
-    sets = write_table(word_sets(docs, wanted.select("class", "doc", "tag", "line")), "word_sets")
+    needed = pairs.select(F.col("later").alias("class")).union(pairs.select("earlier")).distinct().join(firsts, "class")
+    sets = write_table(word_sets(docs, needed.select("class", "doc", "tag", "line")), "word_sets")
     place = firsts.select("class", F.struct("doc", "tag", "line").alias("place"))
     full = sets.join(place, "class")
     named = lambda new: full.select(F.col("class").alias(new), F.col("words").alias(f"{new}_words"), F.col("place").alias(f"{new}_place"))
@@ -346,19 +374,34 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = rows.where("block is null").select("class", "doc", "tag", "line")
     place = F.struct("doc", "tag", "line")
     firsts = write_table(lines.groupBy("class").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")).select("class", "p.*", "n"), "firsts")
-    index = emitted(docs, known)
-    gone, low, high = None, 0, FIRST_ROUND
+    gone, segment, index = None, 0, emitted(docs, known)
     while True:
-        found = write_table(candidates(index, low, high).distinct(), "candidates")
-        pairs = found.where("earlier is not null").select("later", "earlier").distinct()
-        now = write_table(matched(docs, write_table(pairs, "pairs"), firsts), "matched")
-        gone = now if gone is None else gone.unionByName(now)
-        open_ = write_table(found.where("earlier is null").select(F.col("later").alias("class"), "word").join(gone, "class", "left_anti"), "open")
-        if open_.isEmpty():
+        low, high, rows, small, beyond = 0, FIRST_ROUND, index, None, None
+        while True:
+            found = write_table(candidates(rows, low, high, segment).distinct(), "candidates")
+            pairs = write_table(found.where("earlier is not null").select("later", "earlier").distinct(), "pairs")
+            if not pairs.isEmpty():
+                now = write_table(matched(docs, pairs, firsts), "matched")
+                gone = now if gone is None else gone.unionByName(now)
+            if beyond is None:
+                beyond = found.where("not more").select(F.col("later").alias("class"), "word")
+            more = found.where("more").select(F.col("later").alias("class"), "word")
+            open_ = write_table(more if gone is None else more.join(gone, "class", "left_anti"), "open")
+            if open_.isEmpty():
+                break
+            # next, only words of lines that are still open; as partners all lines of those words stay
+            if small is None:
+                small = write_table(emitted(docs, known, bit_filter(open_, "word")), "index")
+            flags = open_.select("class").distinct().withColumn("open", F.lit(1))
+            rows = small.join(flags, "class", "left").withColumn("open", F.coalesce("open", F.lit(0)))
+            low, high = high, high * GROWTH
+        beyond = write_table(beyond if gone is None else beyond.join(gone, "class", "left_anti"), "beyond")
+        if beyond.isEmpty():
             break
-        # next, only the words of lines that are still open; as partners all lines of those words stay
-        index = index.join(open_.select("word").distinct(), "word", "left_semi")
-        low, high = high, high * GROWTH
+        index = emitted(docs, known, bit_filter(beyond, "word"))
+        segment += 1
+    if gone is None:
+        gone = firsts.where("false").select("class")
     gone = gone.distinct().withColumn("gone", F.lit(True))
     doubtful = firsts.join(gone, "class", "left").where("gone or n > 1").select("class", F.struct("doc", "tag", "line").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
     return lines.join(doubtful, "class").where(F.col("gone") | (place > F.col("first"))).select("doc", "tag", "line").distinct()

@@ -45,8 +45,10 @@ def compare(spark, docs):
             assert r.text == want[-(2**63) if r.doc_id is None else r.doc_id, r.old], (r.doc_id, r.old[:200], r.text[:200])
 
 
-@pytest.mark.parametrize("first", [4, 1])
-def test_random_lines_equal_brute_force(spark, monkeypatch, first):
+@pytest.mark.parametrize(("first", "held"), [(2, 1000), (1, 7)])
+def test_random_lines_equal_brute_force(spark, monkeypatch, first, held):
+    monkeypatch.setattr(linededup, "HEAD", held)
+    monkeypatch.setattr(linededup, "TOGETHER", 50)
     monkeypatch.setattr(linededup, "FIRST_ROUND", first)
     monkeypatch.setattr(linededup, "GROWTH", 2)
     rng = random.Random(first)
