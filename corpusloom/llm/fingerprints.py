@@ -57,6 +57,8 @@ def likeness(a: str, b: str) -> Column:
 def with_next(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Adds next_<column> from the row with the next lower key (after the lowest: the highest).
 
+    Rows without a key come after the lowest; if no row has one, each follows itself.
+
     Rows are dealt by ranges of the key. The highest row of each range is also lent to the range above, so that
     no range needs another's rows; there are as many of those as ranges.
     """
@@ -65,7 +67,7 @@ def with_next(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     keys = rows.select(key)
     bounds = sorted({int(x) for x in keys.approxQuantile(key, [k / n for k in range(1, n)], 0.2 / n)}) if n > 1 else []
     span = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in bounds]), lambda x: x <= F.col(key))) if bounds else F.lit(0)
-    tops = sorted((r[0], r[1]) for r in keys.groupBy(span.alias("_span")).agg(F.max(key)).collect())  # a row for each range
+    tops = sorted((r[0], r[1]) for r in keys.groupBy(span.alias("_span")).agg(F.max(key)).collect() if r[1] is not None)  # a row for each range
     if not tops:
         return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     lent_to = {high: tops[(k + 1) % len(tops)][0] for k, (_, high) in enumerate(tops)}

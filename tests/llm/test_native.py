@@ -4,6 +4,7 @@ import re
 import pytest
 from corpusloom.llm import fingerprints, quality
 from corpusloom.llm.queries import ORACLE_SQL, QUERIES
+from pyspark.sql import functions as F
 from tests.oracle import mismatch
 
 SMALL = "/root/testdata/sf0.001"
@@ -92,5 +93,7 @@ def test_fingerprint_cases(spark):
     assert found[1].fingerprint == found[2].fingerprint == "" and found[2].near_next == 1.0
     assert len(found[3].fingerprint) == fingerprints.BINS and found[3].near_next == 0.0
     assert fingerprints.compare_edits(odd(spark).limit(0)).count() == 0
+    nameless = odd(spark).withColumn("doc_id", F.lit(None).cast("long"))
+    assert fingerprints.compare_edits(nameless).count() == nameless.count() and quality.quality(nameless).count() == nameless.count()
     alone = fingerprints.compare_edits(odd(spark).where("doc_id = 4")).collect()
     assert len(alone) == 1 and alone[0].near_next == 1.0
