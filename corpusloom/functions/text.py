@@ -184,14 +184,15 @@ def bound(value: Column, f) -> Column:
 
 
 def char_ngrams(text: Column | str, low: int, high: int) -> Column:
-    """All character n-grams of the lower-cased text with white space collapsed."""
+    """All character n-grams of the lower-cased text with white space collapsed, from an array of its characters."""
 
-    def grams(plain: Column, n: int) -> Column:
-        places = F.when(F.length(plain) >= n, F.sequence(F.lit(1), F.length(plain) - (n - 1))).otherwise(F.expr("cast(array() as array<int>)"))
-        return F.transform(places, lambda i: F.substring(plain, i, F.lit(n)))
+    def grams(chars: Column, n: int) -> Column:
+        places = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.transform(places, lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
 
     plain = F.lower(F.regexp_replace(col(text), r"\s+", " "))
-    return bound(plain, lambda p: F.concat(*[grams(p, n) for n in range(low, high + 1)]))
+    chars = F.filter(F.split(plain, ""), lambda c: c != "")
+    return bound(chars, lambda c: F.concat(*[grams(c, n) for n in range(low, high + 1)]))
 
 
 def random_words(text: Column | str, k: int, seed: int, key: Column | str) -> Column:
