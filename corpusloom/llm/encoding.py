@@ -27,7 +27,7 @@ PIECES = {
     "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"),
 }
 LONGEST = 48
-FULL = 500_000
+FULL = {"word": 500_000, "byte": 150_000}
 
 
 def byte_letters() -> list[str]:
@@ -43,7 +43,7 @@ def byte_letters() -> list[str]:
 class Remembered(dict):
     """A memo of two generations: when the newer is full it becomes the older one."""
 
-    def __init__(self, make, most: int = FULL):
+    def __init__(self, make, most: int = 500_000):
         super().__init__()
         self.make, self.most, self.older = make, most, {}
 
@@ -71,8 +71,8 @@ class Encoder:
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.table = {b: letter for b, letter in enumerate(byte_letters())}
-        self.words = Remembered(self._word)
-        self.chunks = Remembered(self._chunk)
+        self.words = Remembered(self._word, FULL[kind])
+        self.chunks = Remembered(self._chunk, FULL[kind])
         self.pieces = PIECES[kind]
 
     def _word(self, word: str) -> bytes:

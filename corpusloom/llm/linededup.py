@@ -20,7 +20,7 @@ table; other columns stay as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,8 @@ U = np.uint64
 PARTS = np.zeros(256, bool)
 PARTS[[*range(9, 14), *range(28, 33)]] = True
 BASE = 0x9E3779B97F4A7C15
-REACH = 1 << 22
+#: Texts of up to so many bytes share a table of powers; longer ones up to REACH have one made for them.
+USUAL, REACH = 1 << 20, 1 << 22
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -57,12 +58,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@cache
-def powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
+@lru_cache(1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse modulo 2**64."""
     made = []
     for base in (BASE, pow(BASE, -1, 1 << 64)):
-        found = np.full(REACH, base, U)
+        found = np.full(n, base, U)
         found[0] = 1
         made.append(np.cumprod(found, dtype=U))
     return made[0], made[1]
@@ -71,11 +72,11 @@ def powers() -> tuple[np.ndarray, np.ndarray]:
 def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and line number of each word of a text in UTF-8: polynomials over the bytes, for all words at once."""
     data = np.frombuffer(raw, np.uint8)
-    up, down = powers()
     if len(data) >= REACH:  # one very long line: word by word
         found = [(k, w) for k, line in enumerate(raw.split(b"\n")) for w in line.translate(SPACED).split()]
         sums = np.array([sum(c * pow(BASE, i, 1 << 64) for i, c in enumerate(w)) % (1 << 64) for _, w in found], U)
         return mixed(sums + np.array([len(w) for _, w in found], U)), np.array([k for k, _ in found], np.int64)
+    up, down = powers(USUAL if len(data) < USUAL else REACH)
     blank = np.concatenate([[True], PARTS[data], [True]])
     edges = np.flatnonzero(blank[1:] != blank[:-1])
     starts, ends = edges[::2], edges[1::2]

@@ -44,7 +44,7 @@ HEAD = 50_000
 SEEN = 100_000
 U = np.uint64
 
-_words = Remembered(xxhash.xxh64_intdigest, 400_000)
+_words = Remembered(xxhash.xxh64_intdigest, 50_000)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

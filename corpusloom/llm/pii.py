@@ -169,7 +169,7 @@ def spelled(original: str, value: str, kind: str) -> str:
     return "".join(x.upper() if c.isupper() else x for c, x in zip(original, value, strict=True))
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def first_draw(kind: str, value: str) -> str:
     return surrogate(kind, value, 0)
 
