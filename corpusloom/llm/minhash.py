@@ -338,20 +338,21 @@ def links(rows: DataFrame, nodes: DataFrame, least: float = 0.8) -> tuple[DataFr
 
 
 def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """doc_id, digest, class_id (the least doc_id of its class) for every row."""
+    """doc_id, digest, class_id (the least doc_id of its class) and root (its component, also where doc_ids are null or
+    repeated) for every row."""
     rows = keyed(docs)
     nodes = nodes_of(rows)
     _, roots = links(rows, nodes, least)
     rooted = nodes.join(roots, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = write_table(rooted.join(ids, "root").select("digest", "class_id"), "classes")
+    named = write_table(rooted.join(ids, "root").select("digest", "class_id", "root"), "classes")
     return rows.select("doc_id", "digest").join(named, "digest")
 
 
 def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """The rows whose doc_id is the least of their class, one row for each class, with the columns of the input."""
     found = write_table(classes(docs, least), "rows")
-    of_class = found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "digest")).alias("x"))
+    of_class = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "digest")).alias("x"))
     keepers = of_class.select("x.doc_id", "x.digest")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", F.md5(text_or_empty().cast("binary")).alias("digest"))
     same = rows["doc_id"].eqNullSafe(keepers["doc_id"]) & (rows["digest"] == keepers["digest"])

@@ -98,6 +98,13 @@ def test_cases(spark):
     assert minhash.classes(docs.limit(0)).count() == minhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_classes_with_null_and_equal_ids_stay_apart(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(30)) for x in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2] + " more"), (8, texts[3]), (8, texts[4]), (8, texts[5]), (9, texts[5]), (None, texts[0])]
+    kept = [(r.doc_id, r.text) for r in minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == 6 and {(t or "").removesuffix(" more") for _, t in kept} == set(texts)
+
+
 def test_table_equals_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     assert {r.doc_id: r.class_id for r in QUERIES["op2_bag_minhash"](spark, SMALL).collect()} == brute(docs)
