@@ -195,13 +195,21 @@ def rarity(rows: DataFrame) -> np.ndarray:
     return out
 
 
-INDEX = "key long, class long, doc long, line long, size long, odd long"
+INDEX = "key long, class long, doc long, tag long, line long, size long, odd long"
 #: The key holds the word above and, in this many bits, its rank in the line.
 RANK_BITS = 23
 
 
-def emitted(docs: DataFrame, known, words=None) -> DataFrame:
-    """A row for each prefix word of the least line of a class in a task; words: a filter that they have to pass."""
+def repeated_ids(lines: DataFrame):
+    """A filter that the docs with several tags pass: only among their lines the tag decides the order."""
+    return bit_filter(lines.groupBy("doc").agg(F.min("tag").alias("x"), F.max("tag").alias("y")).where("x != y"), "doc")
+
+
+def emitted(docs: DataFrame, known, repeated, words=None) -> DataFrame:
+    """A row for each prefix word of the least line of a class in a task; words: a filter that they have to pass.
+
+    The tag is 0 where the doc alone tells the document (not in the filter repeated), so that it packs well.
+    """
 
     def run(batches):
         least: dict[int, tuple] = {}
@@ -211,7 +219,7 @@ def emitted(docs: DataFrame, known, words=None) -> DataFrame:
             if not n:
                 continue
             fresh = np.zeros(n, bool)
-            for k, (name, place) in enumerate(zip(lines.name.tolist(), zip(lines.doc.tolist(), lines.line.tolist(), strict=True), strict=True)):
+            for k, (name, place) in enumerate(zip(lines.name.tolist(), zip(lines.doc.tolist(), lines.tag.tolist(), lines.line.tolist(), strict=True), strict=True)):
                 if name not in least or place < least[name]:
                     if len(least) >= CLASSES:
                         least.clear()
@@ -223,9 +231,10 @@ def emitted(docs: DataFrame, known, words=None) -> DataFrame:
             if words is not None:
                 use &= wanted(words.value, lines.word)
             own = lines.owner[use]
-            columns = [(lines.word[use] << RANK_BITS) | at[use], lines.name[own], lines.doc[own], lines.line[own].astype(np.int64), lines.size[own].astype(np.int64), lines.odd[own]]
+            tag = np.where(wanted(repeated.value, lines.doc), lines.tag, 0)
+            columns = [(lines.word[use] << RANK_BITS) | at[use], lines.name[own], lines.doc[own], tag[own], lines.line[own].astype(np.int64), lines.size[own].astype(np.int64), lines.odd[own]]
             for i in range(0, len(own), TOGETHER):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + TOGETHER]) for c in columns], names=["key", "class", "doc", "line", "size", "odd"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + TOGETHER]) for c in columns], names=["key", "class", "doc", "tag", "line", "size", "odd"])
 
     return docs.mapInArrow(run, INDEX)
 
@@ -249,6 +258,9 @@ def candidates(index: DataFrame, low: int, high: int, segment: int = 0) -> DataF
     lie beyond the segment of HEAD lines that is held, one with more false. With a column open, only its lines look
     for earlier ones.
 
+    Lines of a word stand in the order of their places, the same in every round: numbers and segments hold on, and a line
+    that is gone has no later one left to look at.
+
     Filters by length, by the place of the shared word, and by the words on odd bits: the latter differ in no more
     bits than the sets differ in words.
     """
@@ -309,7 +321,7 @@ def candidates(index: DataFrame, low: int, high: int, segment: int = 0) -> DataF
 
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     word = F.shiftright("key", RANK_BITS)
-    rows = index.repartition(parts, word).sortWithinPartitions(word, "doc", "line")
+    rows = index.repartition(parts, word).sortWithinPartitions(word, "doc", "tag", "line", "class")
     return rows.mapInArrow(run, "later long, earlier long, word long, more boolean")
 
 
@@ -375,7 +387,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = rows.where("block is null").select("class", "doc", "tag", "line")
     place = F.struct("doc", "tag", "line")
     firsts = write_table(lines.groupBy("class").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")).select("class", "p.*", "n"), "firsts")
-    gone, segment, index = None, 0, emitted(docs, known)
+    repeated = repeated_ids(lines)
+    gone, segment, index = None, 0, emitted(docs, known, repeated)
     while True:
         low, high, rows, small, beyond = 0, FIRST_ROUND, index, None, None
         while True:
@@ -392,14 +405,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
                 break
             # next, only words of lines that are still open; as partners all lines of those words stay
             if small is None:
-                small = write_table(emitted(docs, known, bit_filter(open_, "word")), "index")
+                small = write_table(emitted(docs, known, repeated, bit_filter(open_, "word")), "index")
             flags = open_.select("class").distinct().withColumn("open", F.lit(1))
             rows = small.join(flags, "class", "left").withColumn("open", F.coalesce("open", F.lit(0)))
             low, high = high, high * GROWTH
         beyond = write_table(beyond if gone is None else beyond.join(gone, "class", "left_anti"), "beyond")
         if beyond.isEmpty():
             break
-        index = emitted(docs, known, bit_filter(beyond, "word"))
+        index = emitted(docs, known, repeated, bit_filter(beyond, "word"))
         segment += 1
     if gone is None:
         gone = firsts.where("false").select("class")

@@ -66,6 +66,27 @@ def test_random_lines_equal_brute_force(spark, monkeypatch, first, held):
     compare(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
 
 
+@pytest.mark.parametrize("ids", [[None], [None, 1, 2]])
+def test_null_and_repeated_ids_equal_brute_force(spark, monkeypatch, ids):
+    monkeypatch.setattr(linededup, "HEAD", 7)
+    monkeypatch.setattr(linededup, "TOGETHER", 50)
+    monkeypatch.setattr(linededup, "FIRST_ROUND", 1)
+    monkeypatch.setattr(linededup, "GROWTH", 2)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    bases = [[rng.choice(words) for _ in range(rng.randint(8, 25))] for _ in range(6)]
+    rows = []
+    for _ in range(120):
+        lines = []
+        for _ in range(rng.randint(1, 5)):
+            line = list(rng.choice(bases))
+            for _ in range(rng.randint(0, 4)):
+                line[rng.randrange(len(line))] = rng.choice(words)
+            lines.append(" ".join(line))
+        rows.append((rng.choice(ids), "\n".join(lines)))
+    compare(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+
+
 def test_cases(spark):
     long = " ".join(f"t{i}" for i in range(60))
     rows = [(1, None, "a"), (2, "", "a"), (3, "One two\n\none TWO\nx", "a"), (None, "x\ny", "a"), (5, long + "\n" + long + " more\nz", "b"), (5, long + "\n" + long + " more\nz", "b"), (6, long, None), (7, "\n" * 70_000 + "x\nq r s", "a")]
