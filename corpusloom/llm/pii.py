@@ -3,7 +3,8 @@
 An entity is a kind and a canonical value (lower case; only digits for numbers). Its surrogate is drawn by a keyed
 hash, character class by character class, and put back in the spelling of each occurrence, so an entity has one
 surrogate wherever it occurs. Names are mapped token by token: given names by the gender of their title, family
-names on their own, each in its script.
+names on their own, each in its script. A title tells a name; the whole words of its document that repeat it, capitalised
+as well, are the same entity (of several, the first).
 
 Distinctness: over all entities of the corpus, surrogates that meet another surrogate or a real value are drawn
 again until none do. Only entities drawn more than once are kept as a table; they reach the documents by
@@ -47,6 +48,7 @@ TITLES = {
     "Mr.": "m", "Mrs.": "f", "Ms.": "f", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Monsieur": "m", "Madame": "f", "господин": "m", "госпожа": "f", "κύριος": "m", "κυρία": "f",
 }
 NAMED = re.compile(rf"(?<!\w)(?P<title>{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})\s+(?P<names>[^\W\d_a-z][^\W\d_]+(?:[ -][^\W\d_a-z][^\W\d_]+){{0,2}})")
+WORD = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
 #: Syllables of surrogate names and endings by gender, for each script (fixed values).
 SCRIPTS = {
     "latin": ("ba be da de fa ga ka ke la le li lo ma me mi na ne ni no pa ra re ri ro sa se si ta te ti to va ve vi za".split(), {"m": ["n", "s", "rd"], "f": ["na", "lia", "ra"], "": ["ner", "man", "ley"]}),
@@ -105,7 +107,33 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         if x[0] >= end:
             out.append(x)
             end = x[1]
-    return out
+    return repeats(text, out)
+
+
+def is_name(kind: str) -> bool:
+    return kind == "family" or kind.startswith("given")
+
+
+def repeats(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The entities and, outside them, the words that repeat a found name as it is spelled or capitalised as well."""
+    exact, names = {}, {}
+    for start, end, kind, value in found:
+        if is_name(kind):
+            exact.setdefault(text[start:end], (kind, value))
+            if not text[start].islower():
+                names.setdefault(value, (kind, value))
+    if not exact:
+        return found
+    more, k = [], 0
+    for m in WORD.finditer(text):
+        while k < len(found) and found[k][1] <= m.start():
+            k += 1
+        if k < len(found) and found[k][0] < m.end():
+            continue
+        entity = exact.get(m[0]) if m[0][0].islower() else names.get(lower(m[0])) or exact.get(m[0])
+        if entity:
+            more.append((m.start(), m.end(), *entity))
+    return sorted(found + more)
 
 
 def stream(kind: str, value: str, draw: int) -> Iterator[int]:
@@ -150,7 +178,7 @@ def surrogate(kind: str, value: str, draw: int) -> str:
         return f"{value[:2]}{98 - mod97(value[:2] + '00' + body):02d}{body}"
     if kind == "access":
         return value[:4] + like(value[4:], bits)
-    if kind == "family" or kind.startswith("given"):
+    if is_name(kind):
         syllables, endings = SCRIPTS[script_of(value)]
         ends = endings[kind.partition("-")[2]]
         return "".join(syllables[number(bits, len(syllables))] for _ in range(3 + draw // 4)) + ends[number(bits, len(ends))]
@@ -162,7 +190,7 @@ def spelled(original: str, value: str, kind: str) -> str:
     if kind in ("card", "phone", "ssn", "iban"):
         new = iter(value)
         return "".join((x.upper() if c.isupper() else x) if c.isalnum() and (x := next(new)) else c for c in original)
-    if kind == "family" or kind.startswith("given"):
+    if is_name(kind):
         return value.upper() if original.isupper() else value.capitalize()
     if len(value) != len(original):
         return value

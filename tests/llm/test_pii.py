@@ -51,6 +51,14 @@ def test_names_by_gender_and_script():
     assert re.search(r"госпожа [А-я]+(на|ла|ра) [А-я]+\.", text)
 
 
+def test_names_are_replaced_without_title():
+    text, kinds = one("Smith's son, Mr. John Smith, came. Later SMITH and John left: a blacksmith, a smith, Smithson, a@Smith.com.")
+    given, family = re.search(r"Mr\. (\w+) (\w+), came", text).groups()
+    start = f"{family}'s son, Mr. {given} {family}, came. Later {family.upper()} and {given} left: a blacksmith, a smith, Smithson, "
+    assert text.startswith(start) and kinds == ["family", "given-m", "family", "family", "given-m", "email"]
+    assert pii.find("Smith left.") == []
+
+
 @pytest.mark.parametrize("text", ["", "plain words, version 2.0.", "CC BY-NC 4.0.", "1234567890123456", "a @ b", "the token is here", "1.2.3", "2024-01-02 10:20:30"])
 def test_clean_texts_stay(text):
     assert one(text) == (text, [])
