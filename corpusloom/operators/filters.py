@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 
 
+#: Rules that are matched one by one.
+SHORT_LIST = 1000
+
+
 def not_blank(text: str = "text") -> Column:
     return F.length(X.clean(text)) > 0
 
@@ -58,12 +62,26 @@ def skip_lines(df: DataFrame, n: int, file: str, line: str) -> DataFrame:
 
 
 def excluded_names(df: DataFrame, column: str, rules: DataFrame) -> DataFrame:
-    """Rows whose name contains no part named by the rules (part: a short list); both sides in NFC."""
-    parts = [r.part for r in rules.select("part").distinct().limit(1000).collect()]
+    """Rows whose name contains no part named by the rules (part); both sides in NFC. Beyond SHORT_LIST rules they meet
+    the names' substrings of their lengths in a join."""
+    rules = rules.select("part").distinct()
+    parts = [r.part for r in rules.limit(SHORT_LIST + 1).collect()]
+    if len(parts) > SHORT_LIST:
+        return without_parts(df, column, rules)
     name = nfc(F.col(column))
     return df.where(~any_of(*[F.contains(name, nfc(F.lit(p))) for p in parts])) if parts else df
 
 
+def without_parts(df: DataFrame, column: str, rules: DataFrame) -> DataFrame:
+    """excluded_names for any number of rules."""
+    parts = rules.select(nfc(F.col("part")).alias("_part")).where("_part is not null").distinct()
+    names = df.select(F.col(column).alias("_name")).where("_name is not null").distinct().withColumn("_nfc", nfc(F.col("_name")))
+    lengths = parts.select(F.length("_part").alias("_n")).distinct()
+    pieces = names.join(lengths, F.col("_n") <= F.length("_nfc")).withColumn("_at", F.explode(F.expr("sequence(1, length(_nfc) - _n + 1)")))
+    hit = pieces.select("_name", F.expr("substring(_nfc, _at, _n)").alias("_part")).join(parts, "_part", "left_semi").select("_name").distinct()
+    return df.join(hit, df[column] == hit["_name"], "left_anti")
+
+
 def nfc(column: Column) -> Column:
     """Canonical composition, by an Arrow function: the engine has no expression for it."""
 

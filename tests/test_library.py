@@ -161,6 +161,12 @@ def test_writers(spark, tmp_path):
     assert spark.read.parquet(at).count() == 1 and sorted(os.listdir(tmp_path)) == ["j", "p", "t"]
 
 
+def test_excluded_names_by_many_rules(spark):
+    rules = spark.range(1200).selectExpr("concat('part', id, '.') AS part").union(spark.createDataFrame([(None,), ("cafe\u0301",)], "part string"))
+    names = spark.range(1200).selectExpr("concat('a part', id, '. b') AS name").union(spark.createDataFrame([(None,), ("a caf\u00e9",), ("part1",), ("part1",)], "name string"))
+    assert sorted(r.name or "" for r in filters.excluded_names(names, "name", rules).collect()) == ["", "part1", "part1"]
+
+
 def test_filters(spark):
     df = spark.createDataFrame([("123 4.5",), ("café rights",), ("plain",)], "name string")
     assert df.where(filters.numeric_line("name")).count() == 1
