@@ -183,11 +183,13 @@ def evolve(sizes: np.ndarray, elites: list[np.ndarray], seed: list[int], capacit
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to a written table of pieces."""
+    """Adds sequence_id and offset to a written table of numbered pieces. The numbers deal them, so that copies of a
+    piece spread over all blocks."""
+    columns = [c for c in pieces.columns if c != "number"]
     short = pieces.where(F.col("length") < capacity)
     blocks = max(1, -(-short.count() // BLOCK))
-    block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("long")
-    dealt = short.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct(*pieces.columns))).alias("items"))
+    block = F.pmod(F.xxhash64("number"), F.lit(blocks)).cast("long")
+    dealt = short.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("items"))
     dealt = write_table(dealt, "blocks")  # rows of bounded size, a few thousand pieces each
     islands = dealt.select("block", F.col("items.length").alias("sizes"), F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
     state = islands.withColumn("elite", F.expr("cast(array() as array<int>)"))
@@ -216,11 +218,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = dealt.join(best, "block").select("block", F.explode(F.arrays_zip("items", "home")).alias("x")).select("block", "x.items.*", F.col("x.home").cast("long").alias("home"))
     before = Window.partitionBy("block", "home").orderBy("doc_id", "piece", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     packed = rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
-    packed = packed.select(*pieces.columns, (F.col("block") * (1 << 24) + F.col("home")).alias("sequence_id"), "offset")
-    alone = pieces.where(F.col("length") == capacity).select(*pieces.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    packed = packed.select(*columns, (F.col("block") * (1 << 24) + F.col("home")).alias("sequence_id"), "offset")
+    alone = pieces.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone)
 
 
 def cut_and_pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """All pieces of all documents with their places."""
-    return pack(write_table(cut(docs, capacity, tokenizer), "pieces"), capacity)
+    return pack(write_table(cut(docs, capacity, tokenizer).withColumn("number", F.monotonically_increasing_id()), "pieces"), capacity)

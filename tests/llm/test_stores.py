@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -110,6 +111,14 @@ def test_packing_table(spark):
     assert used <= 1.02 * sum(r.length for r in rows) / 1024 + 1
 
 
+def test_copies_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 50)
+    docs = spark.createDataFrame([(None, None)] * 400, "doc_id long, text string").repartition(3)
+    rows = packing.cut_and_pack(docs).collect()
+    blocks = Counter(r.sequence_id >> 24 for r in rows)
+    assert len(rows) == 400 and len(blocks) == 8 and max(blocks.values()) < 100
+
+
 def test_packing_cases(spark):
     docs = docs_of(spark)
     check_packing(packing.cut_and_pack(docs.dropDuplicates(["doc_id"])).collect(), dict(enumerate(TEXTS)), 1024)
