@@ -8,9 +8,12 @@ one of them. The length and positional filters thin out the candidates and the w
 Rarity comes from a sketch of fixed size (a count for each of 2**24 slots of word hashes, 16 MB), which only
 orders words and skips those that stand in one line; it loses no pair. Of lines that share a prefix word, each is
 first held against the earliest few, and only lines that stay unmatched go on to the next ones, so a word with
-many nearly equal lines costs a few comparisons a line.
+many nearly equal lines costs a few comparisons a line. The lines of a very frequent
+word are dealt into parts: a line first meets those of its own part, and only if it stays unmatched it visits the
+other parts, so no task holds all lines of a word.
 
-Classes are named by 64-bit hashes of their word sets, words by 64-bit hashes (40 bits in prefixes).
+Words are told by 64-bit hashes, equal word sets by 128 bits over those. The 40 bits of a word that name its group of
+candidates can only add candidates; the word sets decide.
 
 Defined cases: null texts stay null; lines without words stay; a text may become empty; null doc_ids come first;
 rows with the same doc_id and text count as one document and are treated alike; an empty table gives an empty
@@ -33,6 +36,10 @@ from corpusloom.llm.common import write_table
 
 #: Similarity of 4/5 in integers: with sizes a and b, the overlap is at least 4 (a + b) / 9.
 SLOTS, SLOT_BLOCK = 1 << 24, 1 << 16
+#: Lines of a frequent word in a part, by the counts of the sketch.
+SPLIT = 100_000
+#: A line of more than so many words has 2, 4, 8, ... words of 64 odd bits.
+WIDER = (72, 176, 400, 900, 1900, 4000)
 MASK40 = (1 << 40) - 1
 #: Alike partners of a line and word that are verified first, and by how many times more in each later round.
 FIRST_ROUND, GROWTH = 2, 16
@@ -97,8 +104,14 @@ class Lines:
         hashes, owner = hashed_words("\n".join([x for p in parts for x in p[3]]).lower().encode())
         rank = np.zeros(len(hashes), U) if rarity is None else rarity[hashes & U(SLOTS - 1)].astype(U)
         key = (owner.astype(U) << U(48)) | (rank << U(40)) | (hashes & U(MASK40))
-        key.sort()
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        order = np.argsort(key)
+        key, hashes = key[order], hashes[order]
+        if ((key[1:] == key[:-1]) & (hashes[1:] != hashes[:-1])).any():  # different words with 40 bits in common
+            order = np.lexsort((hashes, key))
+            key, hashes = key[order], hashes[order]
+        if len(key):
+            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (hashes[1:] != hashes[:-1])])
+            key, hashes = key[fresh], hashes[fresh]
         full, self.owner, self.size = np.unique((key >> U(48)).astype(np.int64), return_inverse=True, return_counts=True)
         self.rank = (key >> U(40)) & U(255)
         self.word = (key & U(MASK40)).astype(np.int64)
@@ -107,14 +120,44 @@ class Lines:
         before = np.cumsum(counts) - counts
         self.doc, self.tag, begin = (np.array([p[k] for p in parts], np.int64)[of] for k in (0, 1, 2))
         self.line = (begin + full - before[of]).astype(np.int32)
+        self.each = mixed(hashes + U(1))
         if len(full):
-            each = mixed(self.word.astype(U) + U(1))
             #: equal sets have equal sums
-            self.name = mixed(np.add.reduceat(each, self.start) + self.size.astype(U)).astype(np.int64)
-            #: bit k: whether an odd number of words falls on it; a differing bit tells of a differing word
-            self.odd = np.bitwise_xor.reduceat(U(1) << (each >> U(58)), self.start).astype(np.int64)
+            self.name = mixed(np.add.reduceat(self.each, self.start) + self.size.astype(U)).astype(np.int64)
+            self.check = np.add.reduceat(mixed(self.each ^ U(BASE)), self.start).astype(np.int64)
         else:
-            self.name = self.odd = np.zeros(0, np.int64)
+            self.name = self.check = np.zeros(0, np.int64)
+
+    def odd_bits(self) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
+        """Bit k of a line tells whether an odd number of its words falls on it; a differing bit tells of a differing word.
+
+        Two words of 64 bits for each line (the second is 0 for short ones); long lines also have all their bits.
+        """
+        one, high = U(1) << (self.each >> U(58)), (self.each >> U(57)) & U(1)
+        second = (high > 0) & (self.size > WIDER[0])[self.owner]
+        odd, more = (np.bitwise_xor.reduceat(np.where(x, one, U(0)), self.start) if len(self.size) else np.zeros(0, U) for x in (~second, second))
+        wide: list[bytes | None] = [None] * len(self.size)
+        for k in np.flatnonzero(self.size > WIDER[1]).tolist():
+            part = slice(int(self.start[k]), int(self.start[k] + self.size[k]))
+            bits = np.zeros(width(int(self.size[k])), U)
+            # the last bit of the number of a word is that of the two words
+            np.bitwise_xor.at(bits, (high[part] | ((self.each[part] >> U(32)) & U(len(bits) // 2 - 1)) << U(1)).astype(np.int64), one[part])
+            wide[k] = bits.tobytes()
+        return odd.astype(np.int64), more.astype(np.int64), wide
+
+
+def width(size: int) -> int:
+    """Words of 64 odd bits of a line."""
+    return 1 << sum(size > x for x in WIDER)
+
+
+def far(a: bytes, b: bytes, most: int) -> bool:
+    """Whether the odd bits of two long lines differ in more than so many places."""
+    x, y = np.frombuffer(a, U), np.frombuffer(b, U)
+    if len(x) != len(y):  # the longer one is folded
+        n = min(len(x), len(y))
+        x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum()) > most
 
 
 def in_parts(batches, most: int = 60_000) -> Iterator[list[tuple[int, int, int, list[str]]]]:
@@ -140,12 +183,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("tag"), "text")
 
 
-COUNTED = f"block int, at binary, n binary, class long, {LINE}"
+COUNTED = f"block int, at binary, n binary, class long, check long, {LINE}"
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: each line with words (class, doc, tag, line), and the slots that a task has counted (block)."""
-    names = ["block", "at", "n", "class", "doc", "tag", "line"]
+    """Rows of two kinds: each line with words (class, check, doc, tag, line), and the slots that a task has counted (block)."""
+    names = ["block", "at", "n", "class", "check", "doc", "tag", "line"]
 
     def run(batches):
         found = np.zeros(SLOTS, np.uint16)
@@ -162,14 +205,14 @@ def counted(docs: DataFrame) -> DataFrame:
             if sum(map(len, pending)) > 2_000_000:
                 settle()
             n = len(lines.name)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *map(pa.array, (lines.name, lines.doc, lines.tag, lines.line))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *map(pa.array, (lines.name, lines.check, lines.doc, lines.tag, lines.line))], names=names)
         if pending:
             settle()
         for block in range(0, SLOTS, SLOT_BLOCK):
             at = np.flatnonzero(found[block : block + SLOT_BLOCK]).astype("<u2")
             if len(at):
                 values = [pa.array([block // SLOT_BLOCK], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([found[block : block + SLOT_BLOCK][at].astype("<u2").tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*values, *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.int32())], names=names)
+                yield pa.RecordBatch.from_arrays([*values, *(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.int32())], names=names)
 
     return docs.mapInArrow(run, COUNTED)
 
@@ -195,7 +238,7 @@ def rarity(rows: DataFrame) -> np.ndarray:
     return out
 
 
-INDEX = "key long, class long, doc long, tag long, line long, size long, odd long"
+INDEX = "key long, part long, class long, doc long, tag long, line long, size long, odd long, odd2 long, wide binary"
 #: The key holds the word above and, in this many bits, its rank in the line.
 RANK_BITS = 23
 
@@ -205,11 +248,18 @@ def repeated_ids(lines: DataFrame):
     return bit_filter(lines.groupBy("doc").agg(F.min("tag").alias("x"), F.max("tag").alias("y")).where("x != y"), "doc")
 
 
+def part_of(level: np.ndarray, name: np.ndarray, most: int) -> np.ndarray:
+    """The part of a word's lines that a class belongs to: parts << 32 | part, or 0 for a word in one part."""
+    parts = np.ceil(2.0 ** ((level.astype(np.float64) - 1) / 8) / most).astype(np.int64)
+    return np.where(parts > 1, (parts << 32) | (mixed(name.view(U) ^ U(BASE)) % np.maximum(parts, 1).astype(U)).astype(np.int64), 0)
+
+
 def emitted(docs: DataFrame, known, repeated, words=None) -> DataFrame:
     """A row for each prefix word of the least line of a class in a task; words: a filter that they have to pass.
 
     The tag is 0 where the doc alone tells the document (not in the filter repeated), so that it packs well.
     """
+    most = SPLIT
 
     def run(batches):
         least: dict[int, tuple] = {}
@@ -232,9 +282,11 @@ def emitted(docs: DataFrame, known, repeated, words=None) -> DataFrame:
                 use &= wanted(words.value, lines.word)
             own = lines.owner[use]
             tag = np.where(wanted(repeated.value, lines.doc), lines.tag, 0)
-            columns = [(lines.word[use] << RANK_BITS) | at[use], lines.name[own], lines.doc[own], tag[own], lines.line[own].astype(np.int64), lines.size[own].astype(np.int64), lines.odd[own]]
+            odd, odd2, wide = lines.odd_bits()
+            columns = [(lines.word[use] << RANK_BITS) | at[use], part_of(lines.rank[use], lines.name[own], most), lines.name[own], lines.doc[own], tag[own], lines.line[own].astype(np.int64), lines.size[own].astype(np.int64), odd[own], odd2[own]]
             for i in range(0, len(own), TOGETHER):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + TOGETHER]) for c in columns], names=["key", "class", "doc", "tag", "line", "size", "odd"])
+                bits = pa.array([wide[k] for k in own[i : i + TOGETHER].tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[i : i + TOGETHER]) for c in columns), bits], names=["key", "part", "class", "doc", "tag", "line", "size", "odd", "odd2", "wide"])
 
     return docs.mapInArrow(run, INDEX)
 
@@ -246,17 +298,18 @@ def together(batches, columns: tuple[str, ...]) -> Iterator[dict[str, np.ndarray
         held.append(batch)
         n += batch.num_rows
         if n >= TOGETHER:
-            yield {c: np.concatenate([b.column(c).to_numpy() for b in held]) for c in columns}
+            yield {c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in columns}
             held, n = [], 0
     if n:
-        yield {c: np.concatenate([b.column(c).to_numpy() for b in held]) for c in columns}
+        yield {c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in columns}
 
 
 def candidates(index: DataFrame, low: int, high: int, segment: int = 0) -> DataFrame:
     """later, earlier: of the classes before it that share a prefix word and pass the filters, each class meets those
-    numbered low to high - 1. Where more pass, a row with earlier null and more true tells so; where lines of the word
-    lie beyond the segment of HEAD lines that is held, one with more false. With a column open, only its lines look
-    for earlier ones.
+    numbered low to high - 1 in its part. Where more pass, a row with earlier null and more true tells so; where lines
+    of the word lie beyond the segment of HEAD lines that is held, one with more false. With a column open, only its
+    lines look for earlier ones, and they visit the other parts of their words as guests; without it, lines of words
+    in several parts count as having more. Guests have met nobody before the second round.
 
     Lines of a word stand in the order of their places, the same in every round: numbers and segments hold on, and a line
     that is gone has no later one left to look at.
@@ -266,62 +319,83 @@ def candidates(index: DataFrame, low: int, high: int, segment: int = 0) -> DataF
     """
 
     floor, some = segment * HEAD, "open" in index.columns
-    names = ("key", "class", "size", "odd", *(("open",) if some else ()))
+    guest_low = 0 if low == FIRST_ROUND else low
+    names = ("key", "part", "class", "size", "odd", "odd2", "wide", *(("open", "guest") if some else ()))
 
     def row(later, earlier, word, more):
         n = len(later)
-        return pa.RecordBatch.from_arrays([pa.array(later), pa.nulls(n, pa.int64()) if earlier is None else pa.array(earlier), pa.array(word), pa.nulls(n, pa.bool_()) if more is None else pa.array(np.full(n, more))], names=["later", "earlier", "word", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(later), pa.nulls(n, pa.int64()) if earlier is None else pa.array(earlier), pa.nulls(n, pa.int64()) if word is None else pa.array(word), pa.nulls(n, pa.bool_()) if more is None else pa.array(np.full(n, more))], names=["later", "earlier", "word", "more"])
 
     def run(batches):
         head, seen, held = None, 0, None
         for new in together(batches, names):
-            word = new["key"] >> RANK_BITS
-            on = held is not None and word[0] == held  # the chunk goes on with a word
-            begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            word, part = new["key"] >> RANK_BITS, new["part"]
+            on = held is not None and (word[0], part[0]) == held  # the chunk goes on with a word
+            begin = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (part[1:] != part[:-1])]))
             lengths = np.diff(np.append(begin, len(word)))
-            rank = np.arange(len(word)) - np.repeat(begin, lengths)
+            # guests look for partners but are none, and don't count
+            host = new["guest"] == 0 if some else np.ones(len(word), bool)
+            before = np.cumsum(host) - host
+            rank = before - np.repeat(before[begin], lengths)
             if on:
                 rank[: lengths[0]] += seen
             h = len(head["key"]) if on else 0
-            pool = {c: np.concatenate([head[c], new[c]]) for c in names} if h else new
+            hosts = {c: new[c][host] for c in names} if some else new
+            pool = {c: np.concatenate([head[c], hosts[c]]) for c in names} if h else hosts
             # where the segment of a row's word begins in the pool
-            start = h + begin + floor
+            start = h + before[begin] + floor
             if on:
                 start[0] = 0 if h else floor - seen
             start = np.repeat(start, lengths)
             partners = np.minimum(rank - floor, HEAD)
-            size, odd, name = pool["size"], pool["odd"], pool["class"]
-            rest = size - (pool["key"] & ((1 << RANK_BITS) - 1)) - 1
+            ours, theirs = ([c["size"], c["size"] - (c["key"] & ((1 << RANK_BITS) - 1)) - 1, c["odd"], c["odd2"], c["class"], c["wide"]] for c in (new, pool))
+            (size, rest, odd, odd2, name, wide), (size_, rest_, odd_, odd2_, name_, wide_) = ours, theirs
             passed, k = np.zeros(len(word), np.int64), 0
+            first = np.where(new["guest"] > 0, guest_low, low) if some else np.full(len(word), low)
+            if not some and (split := np.flatnonzero(part)).size:
+                yield row(new["class"][split], None, word[split], True)
             x = np.flatnonzero((partners > 0) & (new["open"] > 0)) if some else np.flatnonzero(partners > 0)
             while len(x := x[partners[x] > k]):
-                y, z = start[x] + k, x + h
-                whole = size[z] + size[y]
+                y = start[x] + k
+                whole = size[x] + size_[y]
                 shared = (4 * whole + 8) // 9
-                good = (np.bitwise_count((odd[z] ^ odd[y]).view(U)) <= whole - 2 * shared) & (1 + np.minimum(rest[z], rest[y]) >= shared) & (5 * np.minimum(size[z], size[y]) >= 4 * np.maximum(size[z], size[y])) & (name[z] != name[y])
-                if good.any():
-                    hit, with_ = x[good], y[good]
-                    use, end = (passed[hit] >= low) & (passed[hit] < high), passed[hit] >= high
+                near = np.flatnonzero((1 + np.minimum(rest[x], rest_[y]) >= shared) & (5 * np.minimum(size[x], size_[y]) >= 4 * np.maximum(size[x], size_[y])))
+                y, z, most = y[near], x[near], (whole - 2 * shared)[near]
+                a, b = (odd[z] ^ odd_[y]).view(U), (odd2[z] ^ odd2_[y]).view(U)
+                least = np.minimum(size[z], size_[y])
+                bits = np.where(least > WIDER[0], np.bitwise_count(a).astype(np.int64) + np.bitwise_count(b), np.bitwise_count(a ^ b))
+                good = np.flatnonzero((bits <= most) & (name[z] != name_[y]))
+                if len(good) and (long := good[least[good] > WIDER[1]]).size:
+                    unlike = [i for i in long.tolist() if far(wide[z[i]], wide_[y[i]], int(most[i]))]
+                    good = np.setdiff1d(good, unlike, assume_unique=True)
+                if len(good):
+                    hit, with_ = z[good], y[good]
+                    use, end = (passed[hit] >= first[hit]) & (passed[hit] < high), passed[hit] >= high
                     if use.any():
-                        yield row(name[hit[use] + h], name[with_[use]], word[hit[use]], None)
+                        yield row(name[hit[use]], name_[with_[use]], None, None)
                     if end.any():
-                        yield row(name[hit[end] + h], None, word[hit[end]], True)
+                        yield row(name[hit[end]], None, word[hit[end]], True)
                     passed[hit] += 1
                     x = x[passed[x] <= high]
                 k += 1
             beyond = np.flatnonzero(rank >= floor + HEAD)
             if len(beyond):
-                yield row(name[beyond + h], None, word[beyond], False)
+                yield row(name[beyond], None, word[beyond], False)
             at = begin[-1]
-            mine = slice(at + max(0, floor - int(rank[at])), None)
+            mine = slice(int(before[at]) + max(0, floor - int(rank[at])), None)
             stays = on and len(begin) == 1
-            tail = {c: new[c][mine] for c in names}
+            tail = {c: hosts[c][mine] for c in names}
             head = {c: (np.concatenate([head[c], tail[c]]) if stays else tail[c])[:HEAD].copy() for c in names}
-            seen, held = int(rank[-1]) + 1, word[-1]
+            seen, held = int(rank[-1]) + int(host[-1]), (word[-1], part[-1])
 
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     word = F.shiftright("key", RANK_BITS)
-    rows = index.repartition(parts, word).sortWithinPartitions(word, "doc", "tag", "line", "class")
+    if some:
+        # an open line also visits the other parts of its word
+        everywhere = F.sequence(F.shiftleft(F.shiftright("part", 32), 32), F.shiftleft(F.shiftright("part", 32), 32) + F.shiftright("part", 32) - 1)
+        visits = F.when((F.col("part") != 0) & (F.col("open") > 0), everywhere).otherwise(F.array("part"))
+        index = index.withColumn("own", F.col("part")).withColumn("part", F.explode(visits)).withColumn("guest", (F.col("part") != F.col("own")).cast("int")).drop("own")
+    rows = index.repartition(parts, word, "part").sortWithinPartitions(word, "part", "doc", "tag", "line", "class")
     return rows.mapInArrow(run, "later long, earlier long, word long, more boolean")
 
 
@@ -332,7 +406,7 @@ def bit_of(doc, tag, line) -> np.ndarray:
 
 
 def word_sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """class, words (array of 64-bit hashes) of the lines (class, doc, tag, line).
+    """The lines (class, doc, tag, line) with words (array of 64-bit hashes).
 
     A filter of fixed size (8 MB of bits) tells the tasks which lines may be wanted; a join takes the rest out.
     """
@@ -363,20 +437,21 @@ def word_sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc[c]), pa.array(tag[c]), pa.array(line[c].astype(np.int32)), pa.array(words[i : i + 5000], pa.list_(pa.int64()))], names=["doc", "tag", "line", "words"])
 
     found = docs.mapInArrow(run, f"{LINE}, words array<long>")
-    return lines.join(found, ["doc", "tag", "line"]).dropDuplicates(["doc", "tag", "line", "class"]).select("class", "words")
+    return lines.join(found, ["doc", "tag", "line"]).dropDuplicates(["doc", "tag", "line"])
 
 
 def matched(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """class of the later one of each pair whose similarity is 0.8 or more."""
+    """class and place (doc, tag, line) of the later one of each pair whose similarity is 0.8 or more."""
     needed = pairs.select(F.col("later").alias("class")).union(pairs.select("earlier")).distinct().join(firsts, "class")
     sets = write_table(word_sets(docs, needed.select("class", "doc", "tag", "line")), "word_sets")
-    place = firsts.select("class", F.struct("doc", "tag", "line").alias("place"))
-    full = sets.join(place, "class")
-    named = lambda new: full.select(F.col("class").alias(new), F.col("words").alias(f"{new}_words"), F.col("place").alias(f"{new}_place"))
+    place = F.struct("doc", "tag", "line")
+    named = lambda new: sets.select(F.col("class").alias(new), F.col("words").alias(f"{new}_words"), place.alias(f"{new}_place"))
     both = pairs.join(named("later"), "later").join(named("earlier"), "earlier")
     shared = F.size(F.array_intersect("later_words", "earlier_words"))
-    alike = both.where(shared * 9 >= (F.size("later_words") + F.size("earlier_words")) * 4)
-    return alike.select(F.when(F.col("later_place") > F.col("earlier_place"), F.col("later")).otherwise(F.col("earlier")).alias("class")).distinct()
+    alike = both.where((shared * 9 >= (F.size("later_words") + F.size("earlier_words")) * 4) & (F.col("later_place") != F.col("earlier_place")))
+    after = F.col("later_place") > F.col("earlier_place")
+    found = alike.select(F.when(after, F.col("later")).otherwise(F.col("earlier")).alias("class"), F.when(after, F.col("later_place")).otherwise(F.col("earlier_place")).alias("x"))
+    return found.select("class", "x.*").distinct()
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -384,21 +459,22 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = write_table(counted(docs), "lines")
     known = spark.sparkContext.broadcast(rarity(rows))
-    lines = rows.where("block is null").select("class", "doc", "tag", "line")
+    lines = rows.where("block is null").select("class", "check", "doc", "tag", "line")
     place = F.struct("doc", "tag", "line")
-    firsts = write_table(lines.groupBy("class").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")).select("class", "p.*", "n"), "firsts")
+    firsts = write_table(lines.groupBy("class", "check").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")).select("class", "check", "p.*", "n"), "firsts")
     repeated = repeated_ids(lines)
     gone, segment, index = None, 0, emitted(docs, known, repeated)
     while True:
         low, high, rows, small, beyond = 0, FIRST_ROUND, index, None, None
         while True:
             found = write_table(candidates(rows, low, high, segment).distinct(), "candidates")
-            pairs = write_table(found.where("earlier is not null").select("later", "earlier").distinct(), "pairs")
+            pairs = found.where("earlier is not null").select("later", "earlier")
             if not pairs.isEmpty():
                 now = write_table(matched(docs, pairs, firsts), "matched")
                 gone = now if gone is None else gone.unionByName(now)
-            if beyond is None:
-                beyond = found.where("not more").select(F.col("later").alias("class"), "word")
+            if low <= FIRST_ROUND:  # lines that go on by themselves, then guests
+                now = found.where("not more").select(F.col("later").alias("class"), "word")
+                beyond = now if beyond is None else beyond.union(now)
             more = found.where("more").select(F.col("later").alias("class"), "word")
             open_ = write_table(more if gone is None else more.join(gone, "class", "left_anti"), "open")
             if open_.isEmpty():
@@ -415,19 +491,19 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         index = emitted(docs, known, repeated, bit_filter(beyond, "word"))
         segment += 1
     if gone is None:
-        gone = firsts.where("false").select("class")
+        gone = firsts.where("false").select("class", "doc", "tag", "line")
     gone = gone.distinct().withColumn("gone", F.lit(True))
-    doubtful = firsts.join(gone, "class", "left").where("gone or n > 1").select("class", F.struct("doc", "tag", "line").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    return lines.join(doubtful, "class").where(F.col("gone") | (place > F.col("first"))).select("doc", "tag", "line").distinct()
-
-
-def remove_repeated_lines(docs: DataFrame) -> DataFrame:
-    """The rows with their repeated lines taken out of text; adds _removed (their number)."""
-    gone = write_table(repeated_lines(keyed(docs)), "gone").groupBy("doc", "tag").agg(F.sort_array(F.collect_list("line")).alias("_gone"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("tag"))
-    joined = rows.join(gone, ["doc", "tag"], "left")
-    joined = joined.withColumn("_lines", F.split(F.col("_row.text"), "\n"))
-    kept = F.expr(r"array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> get(_lines, i)), '\n')")
-    text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(kept)
-    columns = [text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
-    return joined.select(*columns, F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed"))
+    doubtful = firsts.join(gone, ["class", "doc", "tag", "line"], "left").where("gone or n > 1").select("class", "check", F.struct("doc", "tag", "line").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    return lines.join(doubtful, ["class", "check"]).where(F.col("gone") | (place > F.col("first"))).select("doc", "tag", "line").distinct()
+
+
+def remove_repeated_lines(docs: DataFrame, removed: str | None = None) -> DataFrame:
+    """The rows with their repeated lines taken out of text; removed: a further column that tells how many went."""
+    gone = write_table(repeated_lines(keyed(docs)), "gone").groupBy("doc", "tag").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("tag"))
+    joined = rows.join(gone, ["doc", "tag"], "left").withColumn("lines", F.split(F.col("row.text"), "\n"))
+    kept = F.expr(r"array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> get(lines, i)), '\n')")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
+    columns = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    number = [] if removed is None else [F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(removed)]
+    return joined.select(*columns, *number)

@@ -74,8 +74,7 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without their repeated lines."""
-    found = linededup.remove_repeated_lines(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "text", F.col("_removed").alias("n_removed"))
+    return linededup.remove_repeated_lines(common.read(spark, sf_dir, "documents").select("doc_id", "text"), "n_removed")
 
 
 def op8_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
