@@ -1,23 +1,30 @@
 """Personal data and secrets become keyed surrogates of the same type, format, script and gender (operator 6).
 
-An entity is a kind and a canonical value (lower case; only digits for numbers). Its surrogate is drawn by a keyed
-hash, character class by character class, and put back in the spelling of each occurrence, so an entity has one
-surrogate wherever it occurs. Names are mapped token by token: given names by the gender of their title, family
-names on their own, each in its script. A title tells a name; the whole words of its document that repeat it, capitalised
-as well, are the same entity (of several, the first).
+An entity is a kind and a canonical value (lower case; only digits for numbers, whatever the script of the digits). Its
+surrogate is drawn by a keyed hash, character class by character class, and put back in the spelling of each
+occurrence, so an entity has one surrogate wherever it occurs. Names are mapped token by token: given names by their
+gender, family names on their own, each in its script. A title, a field "name:" or a well-known given name before a
+capitalised word tells a name; the whole words of its document that repeat it, capitalised as well, are the same entity
+(of several, the first). Names that nothing of the kind tells are not found.
+
+The key is an argument, or the setting spark.corpusloom.surrogateKey of the session; the default one is public and
+only good for tests.
 
 Distinctness: over all entities of the corpus, surrogates that meet another surrogate or a real value are drawn
-again until none do. Only entities drawn more than once are kept as a table; they reach the documents by
-broadcast while they are few, and by a join beyond that.
+again until none do; every eighth draw makes them longer, so that no space of surrogates is ever used up (an
+address of four numbers becomes one of eight). Only entities drawn more than once are kept as a table; they reach the
+documents by broadcast while they are few, and by a join beyond that.
 
 Defined cases: null texts stay null, empty ones empty; nested finds give way to the longest of the earliest;
-repeated rows get equal results; an empty table gives an empty table; other columns stay as they are.
+digits of other scripts count as digits and stay in their script; repeated rows get equal results; an empty table
+gives an empty table; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import hmac
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -27,10 +34,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import write_table
 
-KEY = b"corpus surrogate key"
+KEY, KEY_SETTING = "corpus surrogate key", "spark.corpusloom.surrogateKey"
 #: Entities drawn more than once: up to so many are broadcast (a bound of about 10 MB).
 FEW = 100_000
-DRAWS = 50
+#: Draws after which surrogates grow by one character.
+GROWING = 8
 
 NUMBERS = re.compile(
     r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d))"
@@ -45,9 +53,22 @@ SECRET_WORDS = ("token", "secret", "passw", "api")
 MAIL_LEFT, MAIL_RIGHT = re.compile(r"[\w%+-]+(?:\.[\w%+-]+)*\Z"), re.compile(r"(?:[a-z0-9-]+\.)+[a-z]{2,24}", re.I)
 #: Titles and the gender they tell (fixed values).
 TITLES = {
-    "Mr.": "m", "Mrs.": "f", "Ms.": "f", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Monsieur": "m", "Madame": "f", "господин": "m", "госпожа": "f", "κύριος": "m", "κυρία": "f",
+    "Mr.": "m", "Mr": "m", "Mister": "m", "Sir": "m", "Mrs.": "f", "Mrs": "f", "Ms.": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Lady": "f", "Dr.": "", "Doctor": "", "Prof.": "", "Professor": "", "Judge": "",
+    "Herr": "m", "Herrn": "m", "Frau": "f", "Señor": "m", "Sr.": "m", "Don": "m", "Señora": "f", "Sra.": "f", "Señorita": "f", "Doña": "f",
+    "Monsieur": "m", "M.": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Signor": "m", "Signora": "f", "господин": "m", "госпожа": "f", "κύριος": "m", "κυρία": "f",
+}
+#: Given names that tell a name before a capitalised word, and their gender (fixed values).
+GIVEN = {
+    "m": "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew George Kevin Brian Edward Peter Hans Klaus Jürgen Wolfgang Stefan Carlos José Juan Luis Miguel Pedro Pablo Jean Pierre Jacques Luc François Antoine Иван Пётр Сергей Дмитрий Алексей Γιώργος Νίκος Δημήτρης".split(),
+    "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Laura Jane Ada Alice Anna Ursula Monika Petra Sabine María Carmen Isabel Lucía Sofía Marie Sophie Camille Isabelle Nathalie Анна Мария Ольга Елена Наталья Μαρία Ελένη Κατερίνα".split(),
 }
-NAMED = re.compile(rf"(?<!\w)(?P<title>{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})\s+(?P<names>[^\W\d_a-z][^\W\d_]+(?:[ -][^\W\d_a-z][^\W\d_]+){{0,2}})")
+GENDER = {name: gender for gender, names in GIVEN.items() for name in names}
+CAPITAL = r"[^\W\d_a-z][^\W\d_]+"
+NAMED = re.compile(rf"(?<!\w)(?P<title>{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})(?:[^\S\n]+(?:{'|'.join(re.escape(t) for t in TITLES if t.endswith('.'))}))*[^\S\n]+(?P<names>{CAPITAL}(?:[ -]{CAPITAL}){{0,2}})")
+FIELD = re.compile(rf"(?i:(?<!\w)(?:full |my )?(?:name|nombre|nom|имя|όνομα)(?: is|:))[^\S\n]*(?P<names>{CAPITAL}(?:[ -]{CAPITAL}){{1,2}})")
+KNOWN = re.compile(rf"(?<!\w)(?P<names>(?P<given>{'|'.join(GENDER)})(?:[ -]{CAPITAL}){{1,2}})")
+LETTERS = re.compile(r"[^\W\d_]+")
+TITLE_WORDS = frozenset(t.rstrip(".") for t in TITLES)
 WORD = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
 #: Syllables of surrogate names and endings by gender, for each script (fixed values).
 SCRIPTS = {
@@ -65,6 +86,14 @@ def mod97(account: str) -> int:
     return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
 
 
+OTHER_DIGIT = re.compile(r"(?![0-9])\d")
+
+
+def plain_digits(text: str) -> str:
+    """Digits of other scripts as 0 to 9, in their places."""
+    return text if text.isascii() else OTHER_DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), text)
+
+
 def digits_of(value: str) -> str:
     return "".join(c for c in value if c in "0123456789")
 
@@ -76,7 +105,8 @@ def lower(value: str) -> str:
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) of every entity, in order, without overlaps."""
-    found = []
+    found, written = [], text
+    text = plain_digits(text)
     at = text.find("@")
     while at >= 0:
         left, right = MAIL_LEFT.search(text[max(0, at - 64) : at]), MAIL_RIGHT.match(text, at + 1)
@@ -95,19 +125,29 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     small = text.lower()
     if any(w in small for w in SECRET_WORDS):
         found += [(m.start(1), m.end(1), "secret", lower(m[1])) for m in SECRET.finditer(text) if re.search(r"\d", m[1])]
-    if any(t in text for t in TITLES):
-        for m in NAMED.finditer(text):
-            parts = list(re.finditer(r"[^\W\d_]+", m["names"]))
-            for k, part in enumerate(parts):
-                kind = "family" if k == len(parts) - 1 else f"given-{TITLES[m['title']]}"
-                begin = m.start("names")
-                found.append((begin + part.start(), begin + part.end(), kind, lower(part[0])))
+    found += names_in(text)
     out, end = [], -1
     for x in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
         if x[0] >= end:
             out.append(x)
             end = x[1]
-    return repeats(text, out)
+    return repeats(written, out)
+
+
+def names_in(text: str) -> list[tuple[int, int, str, str]]:
+    """The tokens of names: after titles, in fields, and after well-known given names."""
+    held, out = set(LETTERS.findall(text)), []
+    runs = [(m, TITLES[m["title"]]) for m in NAMED.finditer(text)] if not TITLE_WORDS.isdisjoint(held) else []
+    if any(x in text for x in ("ame:", "ame is", "ombre:", "om:", "мя:", "νομα:")):
+        runs += [(m, None) for m in FIELD.finditer(text)]
+    if not GENDER.keys().isdisjoint(held):
+        runs += [(m, GENDER[m["given"]]) for m in KNOWN.finditer(text)]
+    for m, gender in runs:
+        parts, begin = list(LETTERS.finditer(m["names"])), m.start("names")
+        for k, part in enumerate(parts):
+            known = GENDER.get(part[0], "") if not gender else gender
+            out.append((begin + part.start(), begin + part.end(), "family" if k == len(parts) - 1 else f"given-{known}", lower(part[0])))
+    return out
 
 
 def is_name(kind: str) -> bool:
@@ -136,11 +176,11 @@ def repeats(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int
     return sorted(found + more)
 
 
-def stream(kind: str, value: str, draw: int) -> Iterator[int]:
+def stream(key: bytes, kind: str, value: str, draw: int) -> Iterator[int]:
     """Keyed bytes without end."""
     block = 0
     while True:
-        yield from hmac.digest(KEY, f"{kind}\0{value}\0{draw}\0{block}".encode(), "sha256")
+        yield from hmac.digest(key, f"{kind}\0{value}\0{draw}\0{block}".encode(), "sha256")
         block += 1
 
 
@@ -148,58 +188,74 @@ def number(bits: Iterator[int], below: int) -> int:
     return int.from_bytes(bytes(next(bits) for _ in range(6))) % below
 
 
-def like(value: str, bits: Iterator[int]) -> str:
-    """Each digit by a digit, each letter by a letter; hexadecimal values stay so."""
+def like(value: str, bits: Iterator[int], longer: int = 0) -> str:
+    """Each digit by a digit, each letter by a letter; hexadecimal values stay so. The last class goes on for so many more."""
     letters = "abcdef" if re.fullmatch("[0-9a-f]+", value) else "abcdefghijklmnopqrstuvwxyz"
-    return "".join(str(number(bits, 10)) if c in "0123456789" else letters[number(bits, len(letters))] if c.isalpha() else c for c in value)
+    last = next((c for c in reversed(value) if c.isalnum()), "a")
+    return "".join(str(number(bits, 10)) if c in "0123456789" else letters[number(bits, len(letters))] if c.isalpha() else c for c in value + last * longer)
 
 
 def script_of(value: str) -> str:
     return "cyrillic" if re.search("[Ѐ-ӿ]", value) else "greek" if re.search("[Ͱ-Ͽ]", value) else "latin"
 
 
-def surrogate(kind: str, value: str, draw: int) -> str:
+def surrogate(kind: str, value: str, draw: int, key: bytes) -> str:
     """The canonical surrogate of an entity at this draw."""
-    bits = stream(kind, value, draw)
+    bits, longer = stream(key, kind, value, draw), draw // GROWING
     if kind == "email":
         local, _, domain = value.partition("@")
         name, dot, top = domain.rpartition(".")
-        return f"{like(local, bits)}@{like(name, bits)}{dot}{top}"
+        return f"{like(local, bits, longer)}@{like(name, bits)}{dot}{top}"
     if kind == "ip":
+        if longer:
+            return ":".join(f"{number(bits, 65_536):x}" for _ in range(8))
         return ".".join(str(1 + number(bits, 254)) for _ in range(4))
     if kind == "card":
-        body = value[0] + like(value[1:-1], bits)
+        body = value[0] + like(value[1:-1], bits, longer)
         return next(body + d for d in "0123456789" if luhn(body + d))
     if kind == "phone":
         keep = max(1, len(value) - 10)
-        return value[:keep] + like(value[keep:], bits)
+        return value[:keep] + like(value[keep:], bits, longer)
     if kind == "iban":
-        body = like(value[4:], bits)
+        body = like(value[4:], bits, longer)
         return f"{value[:2]}{98 - mod97(value[:2] + '00' + body):02d}{body}"
     if kind == "access":
-        return value[:4] + like(value[4:], bits)
+        return value[:4] + like(value[4:], bits, longer)
     if is_name(kind):
         syllables, endings = SCRIPTS[script_of(value)]
         ends = endings[kind.partition("-")[2]]
         return "".join(syllables[number(bits, len(syllables))] for _ in range(3 + draw // 4)) + ends[number(bits, len(ends))]
-    return like(value, bits)
+    return like(value, bits, longer)
+
+
+def written(original: str, new: str) -> str:
+    """A character in the case, or with the script's digits, of the one it stands for."""
+    if new in "0123456789" and original.isdecimal() and not original.isascii():
+        return chr(ord(original) - unicodedata.decimal(original) + int(new))
+    return new.upper() if original.isupper() else new
 
 
 def spelled(original: str, value: str, kind: str) -> str:
-    """The surrogate in the spelling of an occurrence: its punctuation and case."""
+    """The surrogate in the spelling of an occurrence: its punctuation, case and digits."""
     if kind in ("card", "phone", "ssn", "iban"):
-        new = iter(value)
-        return "".join((x.upper() if c.isupper() else x) if c.isalnum() and (x := next(new)) else c for c in original)
+        new, out = iter(value), []
+        for c in original:
+            out.append(written(c, next(new, "")) if c.isalnum() else c)
+        return "".join(out) + "".join(written(original[-1], x) for x in new)
     if is_name(kind):
-        return value.upper() if original.isupper() else value.capitalize()
-    if len(value) != len(original):
+        return value.upper() if original.isupper() and len(original) > 1 else value.capitalize()
+    if len(value) < len(original) or kind == "ip":
         return value
-    return "".join(x.upper() if c.isupper() else x for c, x in zip(original, value, strict=True))
+    last = next((c for c in reversed(original) if c.isalnum()), "a")
+    if kind == "email" and len(value) > len(original):  # only the local part has grown
+        grown, (local, _, domain), (new, _, rest) = len(value) - len(original), original.partition("@"), value.partition("@")
+        return spelled(local + local[-1] * grown, new, "") + "@" + spelled(domain, rest, "")
+    return "".join(written(c, x) for c, x in zip(original + last * (len(value) - len(original)), value, strict=True))
 
 
 @lru_cache(20_000)
-def first_draw(kind: str, value: str) -> str:
-    return surrogate(kind, value, 0)
+def first_draw(kind: str, value: str, key: bytes) -> str:
+    return surrogate(kind, value, 0, key)
 
 
 def replaced(text: str, of: Callable[[str, str], str]) -> tuple[str, list[str]]:
@@ -225,19 +281,19 @@ def entities(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "kind string, value string").distinct()
 
 
-def redrawn(known: DataFrame) -> DataFrame:
+def redrawn(known: DataFrame, key: bytes) -> DataFrame:
     """kind, value, surrogate of the entities whose first draw meets a real value or another's surrogate."""
 
     def drawn(batches):
         for batch in batches:
             rows = batch.to_pylist()
-            made = [surrogate(r["kind"], r["value"], r["draw"]) for r in rows]
+            made = [surrogate(r["kind"], r["value"], r["draw"], key) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("value"), batch.column("draw"), pa.array(made, pa.string())], names=["kind", "value", "draw", "surrogate"])
 
     schema = "kind string, value string, draw int, surrogate string"
     open_, settled = known.withColumn("draw", F.lit(0)), None
     later = None
-    for _ in range(DRAWS):
+    while True:  # spaces grow with the draws, so rounds end
         rows = write_table(open_.mapInArrow(drawn, schema), "drawn")
         # the least value keeps a surrogate that several drew; real values and settled surrogates are taken
         first = rows.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
@@ -252,45 +308,47 @@ def redrawn(known: DataFrame) -> DataFrame:
         if rest.isEmpty():
             return later.select("kind", "value", "surrogate")
         open_ = rest.select("kind", "value", (F.col("draw") + 1).alias("draw"))
-    raise ValueError(f"surrogates still collide after {DRAWS} draws")
 
 
-def with_surrogates(docs: DataFrame) -> DataFrame:
-    """The rows with surrogates in text; adds _kinds (array: the kind of each entity, in order)."""
+def with_surrogates(docs: DataFrame, key: str | None = None, kinds: str | None = None) -> DataFrame:
+    """The rows with surrogates in text; kinds: a further column (array) with the kind of each entity, in order."""
     spark = docs.sparkSession
-    again = write_table(redrawn(write_table(entities(docs), "entities")), "exceptions")
+    secret = (key or spark.conf.get(KEY_SETTING, KEY)).encode()
+    again = write_table(redrawn(write_table(entities(docs), "entities"), secret), "exceptions")
     few = again.limit(FEW + 1).count() <= FEW
     known = spark.sparkContext.broadcast({(r.kind, r.value): r.surrogate for r in again.collect()} if few else {})
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
     if few:
-        docs = docs.withColumn("_again", F.expr("cast(null as array<struct<kind: string, value: string, surrogate: string>>)"))
+        rows = rows.withColumn("again", F.expr("cast(null as array<struct<kind: string, value: string, surrogate: string>>)"))
     else:
-        docs = with_exceptions(docs, again)
-    schema = docs.drop("_again").withColumn("_kinds", F.expr("cast(array() as array<string>)")).schema
+        rows = with_exceptions(rows, again)
+    rows = rows.withColumn("row", F.col("row").withField("text", F.lit(None).cast("string"))).select("row", "text", "again")
+    schema = rows.drop("again").withColumn("kinds", F.expr("cast(array() as array<string>)")).schema
 
     def run(batches):
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                made, kinds = [], []
-                for text, own in zip(part.column("text").to_pylist(), part.column("_again").to_pylist(), strict=True):
+                made, found = [], []
+                for text, own in zip(part.column("text").to_pylist(), part.column("again").to_pylist(), strict=True):
                     special = {(x["kind"], x["value"]): x["surrogate"] for x in own} if own else known.value
-                    new, found = (None, []) if text is None else replaced(text, lambda kind, value, s=special: s.get((kind, value)) or first_draw(kind, value))
+                    new, of = (None, []) if text is None else replaced(text, lambda kind, value, s=special: s.get((kind, value)) or first_draw(kind, value, secret))
                     made.append(new)
-                    kinds.append(found)
-                columns = [pa.array(made, pa.string()) if n == "text" else part.column(n) for n in part.schema.names if n != "_again"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.list_(pa.string()))], names=[*(n for n in part.schema.names if n != "_again"), "_kinds"])
+                    found.append(of)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(made, pa.string()), pa.array(found, pa.list_(pa.string()))], names=["row", "text", "kinds"])
 
-    return docs.mapInArrow(run, schema)
+    columns = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    return rows.mapInArrow(run, schema).select(*columns, *([] if kinds is None else [F.col("kinds").alias(kinds)]))
 
 
-def with_exceptions(docs: DataFrame, again: DataFrame) -> DataFrame:
-    """Adds _again: the exceptions that a text holds. Texts are keyed by their digest, so equal ones meet once."""
+def with_exceptions(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """Adds again to (row, text): the exceptions that a text holds. Texts are keyed by their digest, so equal ones meet once."""
 
     def run(batches):
         for batch in batches:
-            found = [(k, *x[2:]) for k, t in zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for x in find(t)]
-            yield pa.RecordBatch.from_pydict({"_key": pa.array([x[0] for x in found], pa.string()), "kind": pa.array([x[1] for x in found], pa.string()), "value": pa.array([x[2] for x in found], pa.string())})
+            found = [(k, *x[2:]) for k, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for x in find(t)]
+            yield pa.RecordBatch.from_pydict({"key": pa.array([x[0] for x in found], pa.string()), "kind": pa.array([x[1] for x in found], pa.string()), "value": pa.array([x[2] for x in found], pa.string())})
 
-    keyed = docs.withColumn("_key", F.sha2(F.col("text").cast("binary"), 256))
-    held = keyed.select("_key", "text").mapInArrow(run, "_key string, kind string, value string").distinct()
-    own = held.join(again, ["kind", "value"]).groupBy("_key").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("_again"))
-    return keyed.join(own, "_key", "left").drop("_key")
+    keyed = rows.withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
+    held = keyed.select("key", "text").mapInArrow(run, "key string, kind string, value string").distinct()
+    own = held.join(again, ["kind", "value"]).groupBy("key").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("again"))
+    return keyed.join(own, "key", "left").drop("key")

@@ -68,8 +68,8 @@ def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates for personal data and secrets."""
-    found = pii.with_surrogates(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "text", F.size("_kinds").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("_kinds")), ",").alias("kinds"))
+    found = pii.with_surrogates(common.read(spark, sf_dir, "documents").select("doc_id", "text"), kinds="found")
+    return found.select("doc_id", "text", F.size("found").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("kinds"))
 
 
 def op7_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
