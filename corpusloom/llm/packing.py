@@ -1,10 +1,11 @@
 """Packing of token pieces into sequences with a grouping genetic algorithm (operator 9).
 
 Documents longer than a sequence are cut, the remainder first. Full pieces fill sequences of their own. The rest
-is dealt at random into blocks of some thousand pieces, and each block is evolved on several islands: a child
-takes over whole well-filled sequences of one parent, the other parent's sequences that share pieces with them
-are dissolved, and the displaced pieces go where they fit best. After each epoch an island's best packing migrates
-to the next island of its block; the best packing of all islands stands.
+is dealt by number into blocks of some thousand pieces, and each block is evolved on several islands from noisy
+best-fit packings: a child keeps most of the well-filled sequences of one parent and takes over whole well-filled ones of
+the other, the sequences that share pieces with them are dissolved like all emptier ones, and the displaced pieces go
+where they fit best. After each epoch an island's best packing migrates to the next island of its block; the best
+packing of all islands stands.
 
 Defined cases: a null or empty text is the end id alone; null doc_ids are carried; repeated rows are all packed;
 equal lengths are dealt in a fixed order; an empty table gives an empty table; further columns are passed over.
@@ -23,7 +24,11 @@ from corpusloom.llm.common import write_table
 from corpusloom.llm.encoding import encoder, texts
 
 CAPACITY, BLOCK = 1024, 4000
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 10, 5
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 12, 5
+#: Noise of the lengths by which the packings of the beginning are sorted, more for each one.
+NOISE = 0.1
+#: Most of a parent's well-filled sequences that are dissolved all the same, and the share of the other one's that displace such.
+FORGET, DISPLACE = 0.6, 0.2
 END_ID = 2
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -93,41 +98,6 @@ def best_fit(lengths: list[int], items: list[int], home: np.ndarray, free: list[
             space.add(sequence, left - length)
 
 
-def exact_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """A packing that fills up each sequence, begun by the longest piece left, with one or two pieces if it can."""
-    stock: list[list[int]] = [[] for _ in range(capacity + 1)]
-    for item in np.argsort(sizes, kind="stable").tolist():
-        stock[sizes[item]].append(item)
-    left = np.array([len(x) for x in stock])
-    home, sequence, longest = np.full(len(sizes), -1), 0, capacity
-
-    def take(size: int) -> int:
-        left[size] -= 1
-        home[stock[size].pop()] = sequence
-        return size
-
-    while True:
-        while longest and not left[longest]:
-            longest -= 1
-        if not longest:
-            return home
-        room = capacity - take(longest)
-        while room:
-            if left[room]:
-                room -= take(room)
-                continue
-            pairs = np.flatnonzero((left[1:room] > 0) & (left[room - 1 : 0 : -1] > 0)) + 1
-            pairs = pairs[(2 * pairs != room) | (left[pairs] > 1)]
-            if len(pairs):
-                room -= take(room - take(int(pairs[-1]))) + int(pairs[-1])
-                continue
-            fitting = np.flatnonzero(left[: room + 1])
-            if not len(fitting):
-                break
-            room -= take(int(fitting[-1]))
-        sequence += 1
-
-
 def fills(sizes: np.ndarray, home: np.ndarray) -> np.ndarray:
     return np.bincount(home, sizes)
 
@@ -139,41 +109,46 @@ def fitness(sizes: np.ndarray, home: np.ndarray, capacity: int) -> tuple[int, fl
     return -int(used.sum()), float(np.square(full[used] / capacity).mean())
 
 
+def well_filled(full: np.ndarray) -> np.ndarray:
+    """The sequences as full as the middle one: the full ones, where half of them are."""
+    return full >= np.median(full[full > 0])
+
+
 def cross(sizes: np.ndarray, lengths: list[int], one: np.ndarray, two: np.ndarray, capacity: int, rng) -> np.ndarray:
-    """A child of one with whole well-filled sequences of two."""
-    full = fills(sizes, two)
-    good = np.flatnonzero(full >= np.quantile(full[full > 0], 0.3))
-    given = np.zeros(len(full), bool)
-    given[rng.choice(good, max(1, int(len(good) * rng.uniform(0.2, 0.6))), replace=False)] = True
-    injected = given[two]
-    dissolved = np.zeros(one.max() + 1, bool)
-    dissolved[one[injected]] = True
-    own = fills(sizes, one)
-    dissolved |= (own < np.quantile(own, 0.03)) & (own > 0)  # the emptiest sequences are tried anew
-    stays = ~dissolved[one] & ~injected
+    """A child of one with whole well-filled sequences of two.
+
+    Well-filled sequences of two that share no piece with those that one keeps come all, of the others some. Pieces that would be
+    held twice leave the sequences of one, which are dissolved, and what is displaced goes where it fits best.
+    """
+    good, full = well_filled(fills(sizes, one)), well_filled(fills(sizes, two))
+    kept = good & (rng.random(len(good)) >= rng.uniform(0, FORGET))
+    shared = np.bincount(two[kept[one]], minlength=len(full)) > 0
+    injected = (full & (~shared | (rng.random(len(full)) < DISPLACE)))[two]
+    kept[one[injected]] = False
+    stays = kept[one]
     child = np.full(len(sizes), -1)
-    kept, child[stays] = np.unique(one[stays], return_inverse=True)
+    mine, child[stays] = np.unique(one[stays], return_inverse=True)
     taken, child[injected] = np.unique(two[injected], return_inverse=True)
-    child[injected] += len(kept)
-    free = (capacity - np.bincount(child[child >= 0], sizes[child >= 0], len(kept) + len(taken))).astype(int).tolist()
+    child[injected] += len(mine)
     displaced = np.flatnonzero(child < 0)
-    displaced = displaced[np.argsort(-sizes[displaced], kind="stable")]
-    best_fit(lengths, displaced.tolist(), child, free, capacity)
+    displaced = displaced[np.argsort(-sizes[displaced] * np.exp(rng.normal(0, rng.choice([0, 0.02]), len(displaced))), kind="stable")]
+    free = capacity - np.bincount(child[child >= 0], sizes[child >= 0], len(mine) + len(taken)).astype(int)
+    best_fit(lengths, displaced.tolist(), child, free.tolist(), capacity)
     return child
 
 
-def evolve(sizes: np.ndarray, elites: list[np.ndarray], seed: list[int], capacity: int = CAPACITY) -> np.ndarray:
-    """The best packing an island finds: for each piece its sequence."""
+def evolve(sizes: np.ndarray, elites: list[np.ndarray], seed: list[int], capacity: int = CAPACITY, generations: int = GENERATIONS, noise: float = NOISE) -> np.ndarray:
+    """The best packing an island finds: for each piece its sequence. The noise of its first packing is that given."""
     rng = np.random.default_rng(seed)
-    lengths, people = sizes.tolist(), [*elites, exact_fit(sizes, capacity)]
+    lengths, people = sizes.tolist(), list(elites)
     while len(people) < POPULATION:
-        noise = 1 if len(people) < 2 else np.exp(rng.normal(0, 0.02 * len(people), len(sizes)))
         home, free = np.full(len(sizes), -1), []
-        best_fit(lengths, np.argsort(-sizes * noise, kind="stable").tolist(), home, free, capacity)
+        noisy = -sizes * np.exp(rng.normal(0, noise + NOISE * len(people), len(sizes)))
+        best_fit(lengths, np.argsort(noisy, kind="stable").tolist(), home, free, capacity)
         people.append(home)
     people = sorted(((fitness(sizes, p, capacity), k, p) for k, p in enumerate(people)), key=lambda x: x[:2], reverse=True)
     least = -(-int(sizes.sum()) // capacity)
-    for k in range(GENERATIONS):
+    for k in range(generations):
         if -people[0][0][0] == least:
             break
         a, b = rng.choice(len(people), 2, replace=False)
@@ -199,7 +174,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             for batch in batches:
                 for r in batch.to_pylist():
                     sizes, elite = np.array(r["sizes"]), np.array(r["elite"], int)
-                    home = evolve(sizes, [elite] if len(elite) else [], [r["block"], r["island"], number], capacity)
+                    home = evolve(sizes, [elite] if len(elite) else [], [r["block"], r["island"], number], capacity, noise=NOISE * r["island"])
                     count, mean = fitness(sizes, home, capacity)
                     yield pa.RecordBatch.from_pylist(
                         [{"block": r["block"], "island": r["island"], "rank": [float(count), mean], "home": home.tolist()}],

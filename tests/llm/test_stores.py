@@ -126,11 +126,35 @@ def test_packing_cases(spark):
     assert packing.cut_and_pack(docs.limit(0)).count() == 0
 
 
-def test_evolution_is_no_worse_than_best_fit():
-    rng = random.Random(2)
-    sizes = np.array([rng.randint(150, 700) for _ in range(600)])
-    home, free = np.full(600, -1), []
-    packing.best_fit(sizes.tolist(), np.argsort(-sizes, kind="stable").tolist(), home, free, 1024)
-    found = packing.evolve(sizes, [], [1, 2])
-    assert packing.fitness(sizes, found, 1024) >= packing.fitness(sizes, home, 1024)
+def lengths_of(seed):
+    """Lengths that leave room for better packings: many pieces of more than half a sequence, and others to go with them."""
+    rng = np.random.default_rng(seed)
+    return np.concatenate([rng.integers(520, 1000, 800), rng.integers(100, 500, 1200)])
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_evolution_beats_the_packings_that_it_begins_with(monkeypatch, seed):
+    sizes = lengths_of(seed)
+    begun = packing.evolve(sizes, [], [seed], generations=0, noise=0.3)
+    found = packing.evolve(sizes, [], [seed], generations=30, noise=0.3)
+    monkeypatch.setattr(packing, "cross", lambda sizes, lengths, one, two, capacity, rng: one.copy())
+    without = packing.evolve(sizes, [], [seed], generations=30, noise=0.3)
+    count = lambda home: -packing.fitness(sizes, home, 1024)[0]
+    assert count(found) < count(begun) == count(without)
     assert packing.fills(sizes, found).max() <= 1024
+    assert count(found) <= 1.02 * sizes.sum() / 1024
+
+
+def test_child_has_sequences_of_both_parents():
+    sizes, rng = lengths_of(7), np.random.default_rng(7)
+    one, two = (packing.evolve(sizes, [], [k], generations=0, noise=0.2) for k in (1, 2))
+    child = packing.cross(sizes, sizes.tolist(), one, two, 1024, rng)
+    held = lambda home: {tuple(np.flatnonzero(home == k)) for k in np.unique(home)}
+    assert len(held(child) & (held(one) - held(two))) > 50 and len(held(child) & (held(two) - held(one))) > 50
+    assert sorted(i for s in held(child) for i in s) == list(range(len(sizes))) and packing.fills(sizes, child).max() <= 1024
+
+
+@pytest.mark.parametrize("sizes", [[600] * 50, [512] * 31, [1], [1023, 1]])
+def test_evolution_cases(sizes):
+    home = packing.evolve(np.array(sizes), [], [1])
+    assert packing.fills(np.array(sizes), home).max() <= 1024 and -packing.fitness(np.array(sizes), home, 1024)[0] == {50: 50, 31: 16, 1: 1, 2: 1}[len(sizes)]
