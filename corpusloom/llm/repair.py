@@ -1,9 +1,14 @@
 """Token ids in files compressed by Re-Pair grammars (operator 8).
 
 Documents are dealt by ranges of doc_id and sorted, and each run of about half a million ids is a shard. Within a
-shard the frequent pairs of adjacent ids (never across documents) are replaced by nonterminals, round after
-round, until no pair pays for its rule or the 16-bit symbols run out. A shard stores its rules, their expansion
-lengths, the reduced sequence and where each document starts in it, so one document is decoded on its own.
+shard the frequent pairs of adjacent ids (never across documents) are replaced by nonterminals, until no pair pays for
+its rule or the 16-bit symbols run out. Pairs are counted anew in each round, without the overlaps inside runs of one id; a
+round goes from the most frequent pair down to a tenth of its count and leaves out pairs whose places could overlap those
+of a pair before them, so every count holds when its pair is replaced. Against one pair at a time this only changes
+the order of pairs whose counts lie within a factor of ten.
+
+A shard stores its rules, their expansion lengths, the reduced sequence and where each document starts in it. A
+document, or a range of its ids, is decoded on its own: lengths lead to the symbols, and only their rules are expanded.
 
 Defined cases: a null or empty text has only the end id; null ids sort first; repeated rows are all stored; a
 document longer than a shard is a shard of its own; an empty table gives no shard and an empty table; further
@@ -13,7 +18,6 @@ columns of the input are passed over.
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -29,7 +33,8 @@ from corpusloom.llm.files import read_blocks, write_blocks
 MAGIC = b"RPT1"
 SHARD, FILE_SHARDS = 500_000, 32
 SYMBOLS, FIRST_RULE = 65_536, 49_408
-LEAST, PER_ROUND, ROUNDS = 6, 4096, 12
+#: Occurrences that pay for a rule; least share of a round's most frequent pair.
+LEAST, SHARE = 6, 0.1
 SLOTS = 1 << 20
 #: magic, bytes after the header, partition, ids of the partition before it, ids, documents, rules, symbols
 HEADER = struct.Struct("<4sQIQQIII")
@@ -38,41 +43,63 @@ PLAIN_IDS = [i.to_bytes(2, "little") for i in range(FIRST_RULE)]
 END_ID = 2
 
 
+def places_of_pairs(seq: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which places begin a pair: not at a document's end, and only every other one in a run of one symbol."""
+    use = ~last[:-1]
+    same = np.flatnonzero((seq[:-1] == seq[1:]) & use)
+    starts = np.flatnonzero(np.diff(same, prepend=-2) != 1)
+    odd = (np.arange(len(same)) - np.repeat(starts, np.diff(np.append(starts, len(same))))) % 2 == 1
+    use[same[odd]] = False
+    return use
+
+
+def apart(pairs: np.ndarray) -> list[int]:
+    """Of pairs in this order, those that no place can share with an earlier one: no symbol begins one and ends another."""
+    begins, ends, taken = set(), set(), []
+    for k, (a, b) in enumerate(zip((pairs >> np.uint32(16)).tolist(), (pairs & np.uint32(65535)).tolist(), strict=True)):
+        if a in ends or b in begins or (a == b and a in begins):
+            continue
+        begins.add(a)
+        ends.add(b)
+        taken.append(k)
+    return taken
+
+
 def compress(ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (n, 2), the reduced sequence, and its marks of documents' last symbols."""
-    seq, rules = ids.astype(np.uint16), np.zeros((0, 2), np.uint16)
-    for _ in range(ROUNDS):
-        room = min(PER_ROUND, SYMBOLS - FIRST_RULE - len(rules))
-        if len(seq) < 2 or room <= 0:
-            break
+    seq, rules, made = ids.astype(np.uint16), [np.zeros(0, np.uint32)], 0
+    while len(seq) > 1 and made < SYMBOLS - FIRST_RULE:
         pair = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
+        # counts of slots are at least those of their pairs, so only pairs of busy slots are counted one by one
         slot = (pair * np.uint32(2654435761)) >> np.uint32(12)
-        slot[last[:-1]] = SLOTS
-        busy = np.bincount(slot, minlength=SLOTS + 1) >= LEAST
-        busy[SLOTS] = False
-        at = np.flatnonzero(busy[slot])
-        if not len(at):
-            break
-        found, back, counts = np.unique(pair[at], return_inverse=True, return_counts=True)
-        order = np.argsort(-counts, kind="stable")[:room]
-        order = order[counts[order] >= LEAST]
-        if not len(order):
+        slot[~places_of_pairs(seq, last)] = SLOTS
+        rough = np.bincount(slot, minlength=SLOTS + 1)
+        rough[SLOTS] = 0
+        least = LEAST
+        while True:
+            at = np.flatnonzero((rough >= max(least, SHARE * rough.max()))[slot])
+            found, back, counts = np.unique(pair[at], return_inverse=True, return_counts=True)
+            if not len(at) or counts.max() >= SHARE * rough.max():
+                break
+            rough[rough > counts.max()] = counts.max()  # busy slots of rare pairs
+        if not len(at) or counts.max() < LEAST:
             break
+        order = np.argsort(-counts, kind="stable")
+        order = order[counts[order] >= max(LEAST, SHARE * counts[order[0]])]
+        order = order[apart(found[order])][: SYMBOLS - FIRST_RULE - made]
         number = np.full(len(found), -1, np.int32)
         number[order] = np.arange(len(order), dtype=np.int32)
-        chosen = number[back] >= 0
-        at, which = at[chosen], number[back[chosen]]
-        # neighbouring places overlap: of each run of them every other one is replaced
-        starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        parity = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
-        at, which = at[parity % 2 == 0], which[parity % 2 == 0]
-        rules = np.concatenate([rules, np.stack([found[order] >> np.uint32(16), found[order] & np.uint32(65535)], 1).astype(np.uint16)])
-        seq[at] = FIRST_RULE + len(rules) - len(order) + which
+        which = number[back]
+        at, which = at[which >= 0], which[which >= 0]
+        rules.append(found[order])
+        seq[at] = FIRST_RULE + made + which
+        made += len(order)
+        last[at] = last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        last[at] = last[at + 1]
         seq, last = seq[stay], last[stay]
-    return rules, seq, last
+    pairs = np.concatenate(rules)
+    return np.stack([pairs >> np.uint32(16), pairs & np.uint32(65535)], 1).astype(np.uint16), seq, last
 
 
 def expansions(rules: np.ndarray) -> list[bytes]:
@@ -113,20 +140,51 @@ class Shard:
         self.ends, self.rules, self.lengths, self.seq = take("<u4", docs), take("<u2", 2 * rules).reshape(-1, 2), take("<u4", rules), take("<u2", symbols)
 
     @cached_property
-    def made(self) -> list[bytes]:
-        return expansions(self.rules)
+    def made(self) -> dict[int, bytes]:
+        """Expansions of the symbols that were needed so far."""
+        return {}
+
+    def expand(self, symbol: int) -> bytes:
+        """The ids (16-bit) of a symbol; its rule and those below it are expanded once."""
+        if symbol < FIRST_RULE:
+            return PLAIN_IDS[symbol]
+        if (found := self.made.get(symbol)) is None:
+            below, waiting = self.made, [symbol]
+            while waiting:
+                a, b = map(int, self.rules[waiting[-1] - FIRST_RULE])
+                open_ = [x for x in (a, b) if x >= FIRST_RULE and x not in below]
+                if open_:
+                    waiting += open_
+                else:
+                    below[waiting.pop()] = (PLAIN_IDS[a] if a < FIRST_RULE else below[a]) + (PLAIN_IDS[b] if b < FIRST_RULE else below[b])
+            found = below[symbol]
+        return found
 
     def length(self, k: int) -> int:
         """Ids of a document, from the stored lengths."""
-        part = self._symbols(k)
+        return int(self._lengths(self._symbols(k)).sum())
+
+    def _lengths(self, part: np.ndarray) -> np.ndarray:
+        out = np.ones(len(part), np.int64)
         high = part >= FIRST_RULE
-        return int((~high).sum() + self.lengths[part[high] - FIRST_RULE].sum())
+        out[high] = self.lengths[part[high] - FIRST_RULE]
+        return out
 
     def _symbols(self, k: int) -> np.ndarray:
         return self.seq[self.ends[k - 1] if k else 0 : self.ends[k]]
 
-    def decode(self, k: int) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.made.__getitem__, self._symbols(k).tolist())), "<u2")
+    def decode(self, k: int, made: list[bytes] | None = None) -> np.ndarray:
+        """The ids of a document; who reads all documents hands over the expansions of all symbols."""
+        return np.frombuffer(b"".join(map(made.__getitem__ if made else self.expand, self._symbols(k).tolist())), "<u2")
+
+    def ids_at(self, k: int, start: int, n: int) -> np.ndarray:
+        """n ids of a document from a place on: the lengths lead there."""
+        part = self._symbols(k)
+        after = np.cumsum(self._lengths(part))
+        first, end = np.searchsorted(after, [start, start + n - 1], "right")
+        skipped = start - (after[first - 1] if first else 0)
+        found = np.frombuffer(b"".join(map(self.expand, part[first : end + 1].tolist())), "<u2")
+        return found[skipped : skipped + n]
 
 
 def shards(content: bytes) -> Iterator[Shard]:
@@ -181,9 +239,9 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 for s in shards(batch.column("content")[k].as_py()):
-                    at = s.before
+                    at, made = s.before, expansions(s.rules)
                     for i in range(0, len(s.doc_ids), 100):
-                        ids = [s.decode(j) for j in range(i, min(i + 100, len(s.doc_ids)))]
+                        ids = [s.decode(j, made) for j in range(i, min(i + 100, len(s.doc_ids)))]
                         before = at + np.cumsum([0, *map(len, ids)])
                         at = int(before[-1])
                         yield pa.RecordBatch.from_arrays(
@@ -197,7 +255,3 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     base = totals.select("partition", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     rows = files.mapInArrow(decoded, "doc_id long, ids binary, inside long, partition int")
     return rows.join(F.broadcast(base), "partition").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "ids")
-
-
-def crc(ids: bytes) -> int:
-    return zlib.crc32(ids)

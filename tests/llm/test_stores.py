@@ -59,11 +59,29 @@ def test_repair_round_trip():
         keys = [None, *range(1, len(ids))]
         (shard,) = repair.shards(repair.pack(3, 9, keys, ids) + b"\n")
         assert shard.doc_ids == keys and shard.before == 9
-        assert all(shard.decode(k).tobytes() == x and shard.length(k) == len(x) // 2 for k, x in enumerate(ids))
+        for k, x in enumerate(ids):
+            assert shard.decode(k).tobytes() == x and shard.length(k) == len(x) // 2
+            for start, n in ((0, 1), (len(x) // 6, 3), (len(x) // 2 - 1, 1)):
+                assert shard.ids_at(k, start, n).tobytes() == x[2 * start : 2 * (start + n)]
         if alphabet < 100:
             assert len(shard.seq) < sizes.sum() / 2
 
 
+def test_grammar_is_complete_and_counts_hold():
+    """No pair that pays is left, and each rule stands for as many places as its pair had, without overlaps."""
+    rng = np.random.default_rng(4)
+    words = [rng.integers(10, 60, rng.integers(2, 7)) for _ in range(60)]
+    for ids in (np.concatenate([words[k] for k in rng.zipf(1.4, 8000) % 60]), np.full(5000, 7), np.tile([5, 5, 6], 900)):
+        last = np.zeros(len(ids), bool)
+        last[-1] = True
+        rules, seq, last = repair.compress(ids, last)
+        use = repair.places_of_pairs(seq, last)
+        pairs = Counter(zip(seq[:-1][use].tolist(), seq[1:][use].tolist(), strict=True))
+        assert not pairs or max(pairs.values()) < repair.LEAST
+        assert b"".join(repair.expansions(rules)[s] for s in seq.tolist()) == ids.astype("<u2").tobytes() and last[-1]
+    assert len(repair.compress(np.full(4096, 7), np.arange(4096) == 4095)[0]) >= 9
+
+
 @pytest.mark.parametrize("size", [500_000, 40])
 def test_token_files(spark, monkeypatch, size):
     monkeypatch.setattr(repair, "SHARD", size)
