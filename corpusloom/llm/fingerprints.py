@@ -5,8 +5,9 @@ An empty bin copies the first filled bin of a random order of its own (optimal d
 each bin are packed; a comparison counts equal bins and takes out the share that agrees by chance.
 
 Defined cases: null texts count as empty, and an empty text has an empty fingerprint, wholly like another empty
-one and unlike any other; a text of one to four words is one shingle; equal texts have equal fingerprints; a
-single document follows itself; an empty table gives an empty table; other columns are passed over.
+one and unlike any other; a text of one to four words is one shingle; equal texts have equal fingerprints; rows with
+the same doc_id follow one another in the descending order of their texts' MD5, and rows without one come after the
+lowest; a single document follows itself; an empty table gives an empty table; other columns are passed over.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import text_or_empty
+from corpusloom.llm.common import text_or_empty, write_table
 from corpusloom.llm.quality import with_words
 
 BINS, BITS, SHINGLE, PROBES = 256, 4, 5, 12
@@ -54,35 +55,36 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"case when size({a}) = 0 and size({b}) = 0 then 1D when size({a}) = 0 or size({b}) = 0 then 0D else {share} end")
 
 
-def with_next(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Adds next_<column> from the row with the next lower key (after the lowest: the highest).
+def with_next(rows: DataFrame, key: str, tie: str, columns: list[str]) -> DataFrame:
+    """Adds next_<column> from the row with the next lower key (after the lowest: the highest); rows is a written table.
 
-    Rows without a key come after the lowest; if no row has one, each follows itself.
-
-    Rows are dealt by ranges of the key. The highest row of each range is also lent to the range above, so that
-    no range needs another's rows; there are as many of those as ranges.
+    Rows without a key come after the lowest; equal keys go by tie, downwards too. Rows are dealt by ranges of this order,
+    whose bounds Spark's range partitioning of the keys finds, so a key of many rows spreads over many ranges. The
+    highest row of each range is also lent to the range above, so that no range needs another's rows; there are as many of
+    those as ranges.
     """
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = rows.select(key)
-    bounds = sorted({int(x) for x in keys.approxQuantile(key, [k / n for k in range(1, n)], 0.2 / n)}) if n > 1 else []
-    span = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in bounds]), lambda x: x <= F.col(key))) if bounds else F.lit(0)
-    tops = sorted((r[0], r[1]) for r in keys.groupBy(span.alias("_span")).agg(F.max(key)).collect() if r[1] is not None)  # a row for each range
-    if not tops:
-        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    lent_to = {high: tops[(k + 1) % len(tops)][0] for k, (_, high) in enumerate(tops)}
+    place = F.struct(F.col(key).isNotNull().alias("a"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("b"), F.col(tie).alias("c"), F.col("_number").alias("d"))
+    rows = rows.withColumn("_number", F.monotonically_increasing_id()).withColumn("_place", place)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("_place").repartitionByRange(n, "_place").withColumn("_span", F.spark_partition_id())
+    ranges = sorted(tuple(r) for r in dealt.groupBy("_span").agg(F.min("_place"), F.max("_place")).select("min(_place)", "max(_place)").collect())  # a row for each range
+    if not ranges:
+        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in columns]).drop("_number", "_place")
+    bounds = F.array(*[F.struct(*[F.lit(x) for x in low]) for low, _ in ranges])
+    steps = [1 << k for k in reversed(range(len(ranges).bit_length()))]
+    span = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda p, s: F.when(F.get(bounds, p + s) <= F.col("_place"), p + s).otherwise(p))
     own = rows.withColumn("_span", span).withColumn("_lent", F.lit(0))
-    pairs = F.create_map(*[F.lit(x) for pair in lent_to.items() for x in pair])
-    lent = rows.where(F.col(key).isin(list(lent_to))).withColumn("_span", pairs[F.col(key)]).withColumn("_lent", F.lit(1)).dropDuplicates(["_span"])
-    order = Window.partitionBy("_span").orderBy("_lent", F.col(key).desc())
+    lent = rows.where(F.col("_number").isin([high.d for _, high in ranges])).withColumn("_span", F.pmod(span + 1, F.lit(len(ranges)))).withColumn("_lent", F.lit(1))
+    order = Window.partitionBy("_span").orderBy("_lent", F.col("_place").desc())
     found = own.unionByName(lent).withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
-    return found.where("_lent = 0").drop("_span", "_lent")
+    return found.where("_lent = 0").drop("_span", "_lent", "_number", "_place")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text, bins of every row, and next_text and next_bins of the document that follows it downwards."""
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    return with_next(with_bins(rows, F.col("text"), "bins"), "doc_id", ["text", "bins"])
+    rows = write_table(with_bins(rows, F.col("text"), "bins").withColumn("digest", F.md5("text")), "bins")
+    return with_next(rows, "doc_id", "digest", ["text", "bins"]).drop("digest")
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:

@@ -1,14 +1,15 @@
 """Document rules and host verdicts, with DataFrame functions only (operator 5).
 
 A document fails its rules if it has too few words or if too many of its words stand in repeated windows. By
-host, failures are counted and the rate is shrunk towards all hosts by a beta prior fitted to the hosts' rates;
-a host whose shrunk rate is too high loses all its documents.
+host, failures are counted and the rate is shrunk towards that of all documents by a beta prior; a host whose shrunk
+rate is too high loses all its documents. The prior is fitted to the hosts by moments: hosts weigh by their documents,
+and what chance alone makes their rates differ is taken out, so it needs no bounds. If hosts differ no more than by
+chance, all have the rate of all documents.
 
-Windows are compared by the low bits of 64-bit hashes that sort together with their positions: a document of n
-words keeps 64 - log2(n) bits, so unequal windows practically never meet.
+Windows of a text are compared by hashes; where two are equal, the windows themselves decide.
 
 Defined cases: null and empty texts have no words and fail; a null host is a host of its own; repeated rows each
-get a verdict; an empty table gives an empty table; further columns of the input are passed over.
+get a verdict; an empty table gives an empty table; further columns of the input are passed over, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from corpusloom.llm.common import text_or_empty, write_table
 BLANK = r"[ \t-\r]+"
 #: A host goes if its shrunk failure rate is above this.
 MOST_FAILING = 0.5
-#: The prior counts as at least and at most so many documents.
-PRIOR = (1.0, 1000.0)
 #: Verdicts on up to so many rejected hosts are broadcast; beyond, the join is salted.
 FEW_HOSTS = 50_000
 SALTS = 16
@@ -45,34 +44,32 @@ def with_rules(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_symbols": (F.length(whole) - F.length(F.regexp_replace(whole, "[#*$%&|<>]+", ""))).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
-            "_bits": F.expr("cast(ceil(log2(size(_words) + 2)) as int)"),
         }
     )
-    # a window's hash above, its position below; sorting brings equal windows together
-    window = F.expr(
-        "sort_array(transform(slice(_hashes, 1, greatest(size(_hashes) - 2, 0)), (x, i) -> "
-        "shiftleft(xxhash64(x, get(_hashes, i + 1), get(_hashes, i + 2)), _bits) + i))"
-    )
-    again = F.expr(
-        "sort_array(transform(filter(_windows, (x, i) -> shiftright(x, _bits) <=> shiftright(get(_windows, i - 1), _bits) "
-        "or shiftright(x, _bits) <=> shiftright(get(_windows, i + 1), _bits)), x -> x & (shiftleft(1L, _bits) - 1)))"
-    )
-    covered = F.expr("aggregate(_again, struct(0L as n, -3L as last), (a, x) -> struct(a.n + least(3L, x - a.last) as n, x as last)).n")
-    found = found.withColumn("_windows", window).withColumn("_again", again).withColumn("n_repeat_words", covered)
+    found = found.withColumn("_three", F.expr("transform(slice(_hashes, 1, greatest(size(_hashes) - 2, 0)), (x, i) -> xxhash64(x, get(_hashes, i + 1), get(_hashes, i + 2)))"))
+    # where hashes repeat: sorting by hash and words brings equal windows together
+    window = F.expr("sort_array(transform(_three, (x, i) -> struct(x as h, concat_ws(' ', slice(_words, i + 1, 3)) as w, i as i)))")
+    again = F.expr("array_sort(transform(filter(_windows, (x, i) -> (x.h <=> get(_windows, i - 1).h and x.w = get(_windows, i - 1).w) or (x.h <=> get(_windows, i + 1).h and x.w = get(_windows, i + 1).w)), x -> x.i))")
+    covered = F.expr("aggregate(_again, struct(0L as n, -3 as last), (a, x) -> struct(a.n + least(3, x - a.last) as n, x as last)).n")
+    repeats = F.size(F.array_distinct("_three")) < F.size("_three")
+    found = found.withColumn("_windows", F.when(repeats, window)).withColumn("_again", F.when(F.col("_windows").isNotNull(), again)).withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    # never true, but keeps filters above from copying the figures' expressions below themselves
-    apart = F.monotonically_increasing_id() < 0
-    return found.withColumn("base_failed", failed | apart).drop("_words", "_lines", "_hashes", "_bits", "_windows", "_again")
+    return found.withColumn("base_failed", failed).drop("_words", "_lines", "_hashes", "_three", "_windows", "_again")
 
 
 def rejected_hosts(verdicts: DataFrame, host: str = "source") -> DataFrame:
     """Hosts above the limit, from rows with a host and base_failed: _host, failing_rate."""
     hosts = verdicts.groupBy(F.coalesce(host, F.lit("")).alias("_host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("k"))
-    hosts = hosts.withColumn("rate", F.col("k") / F.col("n"))
-    fit = hosts.agg(F.avg("rate").alias("m"), F.coalesce(F.var_samp("rate"), F.lit(0.0)).alias("v"))
-    strength = F.when(F.col("v") > 0, F.least(F.lit(PRIOR[1]), F.greatest(F.lit(PRIOR[0]), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(PRIOR[1]))
-    fit = fit.select("m", strength.alias("s"))  # one row
-    shrunk = (F.col("k") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s"))
+    n, k = F.col("n").cast("double"), F.col("k").cast("double")
+    total = hosts.agg(F.sum(n).alias("docs"), F.sum(k).alias("failed"), F.sum(n * n).alias("squares"), F.sum(k * k / n).alias("spread"), F.count(F.lit(1)).alias("hosts"))
+    fit = total.select((F.col("failed") / F.col("docs")).alias("m"), "docs", "squares", "spread", (F.col("hosts") - 1).cast("double").alias("free"))
+    # how far hosts differ beyond chance: 0 (not at all) to 1 (each wholly passes or fails)
+    by_chance = F.col("m") * (1 - F.col("m"))
+    between = (F.col("spread") - F.col("docs") * F.col("m") * F.col("m")) / by_chance - F.col("free")
+    room = F.col("docs") - F.col("squares") / F.col("docs") - F.col("free")
+    fit = fit.select("m", F.when((by_chance > 0) & (room > 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), between / room))).otherwise(F.lit(0.0)).alias("g"))  # one row
+    # the beta prior has (1 - g) / g documents, m of them failing
+    shrunk = (F.col("g") * k + (1 - F.col("g")) * F.col("m")) / (F.col("g") * n + 1 - F.col("g"))
     return hosts.join(F.broadcast(fit)).select("_host", shrunk.alias("failing_rate")).where(F.col("failing_rate") > MOST_FAILING)
 
 
@@ -97,11 +94,12 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows that pass, with the columns of the input."""
-    rules = with_rules(docs.select("doc_id", "source", "text")).select("source", "base_failed")
-    hosts = write_table(rejected_hosts(rules), "hosts")
-    own = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
-    return with_host_verdict(with_rules(own), hosts).where("kept").select("_row.*")
+    """The rows that pass, with the columns of the input. The rules' figures are made once: what passes them is written."""
+    own = with_rules(docs.select("doc_id", "source", "text", F.struct("*").alias("row")))
+    found = write_table(own.select("doc_id", "source", "base_failed", F.when(~F.col("base_failed"), F.col("row")).alias("row")), "quality")
+    hosts = write_table(rejected_hosts(found), "hosts")
+    kept = with_host_verdict(found, hosts).where("kept")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""
@@ -127,12 +125,14 @@ WITH w AS (
 ), f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
 ), h AS (
-  SELECT host, count(*) AS n, sum(base_failed::INT) AS k, sum(base_failed::INT) / count(*) AS rate FROM f GROUP BY host
+  SELECT host, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS k FROM f GROUP BY host
+), a AS (
+  SELECT sum(n) AS d, sum(k) / sum(n) AS m, sum(n * n) AS q, sum(k * k / n) AS s, count(*) - 1 AS o FROM h
 ), p AS (
-  SELECT avg(rate) AS m, CASE WHEN coalesce(var_samp(rate), 0) > 0
-         THEN least(1000.0, greatest(1.0, avg(rate) * (1 - avg(rate)) / var_samp(rate) - 1)) ELSE 1000.0 END AS s FROM h
+  SELECT m, CASE WHEN m * (1 - m) > 0 AND d - q / d - o > 0
+         THEN least(1.0, greatest(0.0, ((s - d * m * m) / (m * (1 - m)) - o) / (d - q / d - o))) ELSE 0.0 END AS g FROM a
 )
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (k + m * s) / (n + s) <= 0.5 AS kept
+       NOT base_failed AND (g * k + (1 - g) * m) / (g * n + 1 - g) <= 0.5 AS kept
 FROM f JOIN h ON f.host = h.host, p
 """

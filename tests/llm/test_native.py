@@ -1,7 +1,9 @@
 import hashlib
 import re
+import struct
 
 import pytest
+import xxhash
 from corpusloom.llm import fingerprints, quality
 from corpusloom.llm.queries import ORACLE_SQL, QUERIES
 from pyspark.sql import functions as F
@@ -88,6 +90,62 @@ def test_fingerprints(spark, partitions):
         assert same.setdefault(text, found[i].fingerprint) == found[i].fingerprint
 
 
+def reference_bits(text):
+    """The fingerprint, step by step."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    of_longs = lambda xs, seed=42: xs and of_longs(xs[1:], xxhash.xxh64_intdigest(struct.pack("<q", signed(xs[0])), seed)) or seed
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text)]
+    if not words:
+        return ""
+    least = {}
+    for i in range(max(1, len(words) - 4)):
+        h = signed(of_longs(words[i : i + 5]))
+        bin_ = h >> 56
+        least[bin_] = min(least.get(bin_, h), h)
+    bins = []
+    for j in range(256):
+        h = least.get(j - 128)
+        for t in range(fingerprints.PROBES):
+            if h is None:
+                seed = xxhash.xxh64_intdigest(struct.pack("<i", j), 42)
+                probe = signed(xxhash.xxh64_intdigest(struct.pack("<i", t), seed)) % 256
+                h = least.get(probe - 128)
+        if h is None:
+            seed = xxhash.xxh64_intdigest(struct.pack("<i", j), 42)
+            h = least[min(least, key=lambda b: signed(xxhash.xxh64_intdigest(struct.pack("<q", b), seed)))]
+        bins.append(h & 15)
+    return "".join(f"{x:x}" for x in bins)
+
+
+def test_fingerprints_equal_reference(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").unionByName(odd(spark).select("doc_id", "text"))
+    for r in fingerprints.fingerprints(docs).select("text", fingerprints.shown("bins").alias("bits"), "next_text").collect():
+        assert r.bits == reference_bits(r.text), r.text[:100]
+
+
+@pytest.mark.parametrize("partitions", ["1", "5"])
+def test_repeated_and_missing_ids_have_one_order(spark, partitions):
+    rows = [(7, f"a{i % 9}") for i in range(40)] + [(None, f"b{i % 5}") for i in range(30)] + [(i, f"c{i}") for i in (1, 9, 12)]
+    order = sorted(((i is not None, i or 0, hashlib.md5(t.encode()).hexdigest(), t) for i, t in rows), reverse=True)
+    want = sorted((x[3], order[(k + 1) % len(order)][3]) for k, x in enumerate(order))
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted((r.text, r.next_text) for r in found) == want
+
+
+def test_prior_takes_chance_out(spark):
+    verdicts = lambda hosts: spark.createDataFrame([(h, i < k) for h, n, k in hosts for i in range(n)], "source string, base_failed boolean")
+    rate = lambda hosts: {r._host: r.failing_rate for r in quality.rejected_hosts(verdicts(hosts)).collect()}
+    # one-document hosts tell nothing: a single failure among many hosts of one document is no reason to reject
+    assert rate([(f"h{i}", 1, i % 4 == 0) for i in range(80)]) == {}
+    # hosts that clearly differ keep about their own rates
+    assert 0.88 < rate([("bad", 100, 90), ("good", 100, 5), ("fine", 100, 8)])["bad"] < 0.9
+    assert rate([("only", 10, 10)]) == {"only": 1.0} and rate([("only", 10, 4)]) == {}
+
+
 def test_fingerprint_cases(spark):
     found = {r.doc_id: r for r in fingerprints.compare_edits(odd(spark).dropDuplicates(["doc_id"])).collect()}
     assert found[1].fingerprint == found[2].fingerprint == "" and found[2].near_next == 1.0
