@@ -1,8 +1,10 @@
 """Licence scans with a generalised suffix automaton over licence words (operator 4).
 
 The automaton holds every word run of the templates. Streaming a text through it gives matching statistics: for
-each word, the longest template run that ends there. Runs that cannot be extended and are long enough are
-chained, in the order of text and template alike, into spans; a span's coverage is the share of its template.
+each word, the longest template run that ends there, and all places of the templates where it stands. Runs that cannot be
+extended and are long enough are chained, in the order of text and template alike, into spans; a span's coverage is the
+share of its template. The templates are short licences as a whole and the notices by which long ones are applied;
+other collections can be given.
 
 Defined cases: a null or empty text has no words, no places and score 0; repeated rows give equal results; long
 texts are streamed whole; an empty table gives an empty table; only the key and text columns are read.
@@ -21,19 +23,70 @@ from pyspark.sql import DataFrame
 #: Phrases that count wherever their words stand consecutively (fixed values).
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Longer passages by which licences are known, under labels of this operator (fixed values).
+DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and
+the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+following disclaimer in the documentation and/or other materials provided with the distribution."""
+
+#: Public licence texts (without their copyright lines) and notices, under labels of this operator (fixed values).
 TEMPLATES = {
-    "gpl-notice": "this work is licensed under the gnu general public license version 3",
-    "gpl-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "apache-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
-    "apache-short": "released under the terms of the apache license version 2 0",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-    "mit-notice": "this software is released under the mit license",
-    "bsd-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "cc-by-nc-notice": "licensed under cc by nc 4 0",
-    "cc-by-sa-notice": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
-    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use,
+copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "mit-grant": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction""",
+    "mit-notice": "This software is released under the MIT License",
+    "bsd-2-text": f"{CONDITIONS} {DISCLAIMER}",
+    "bsd-3-text": f"""{CONDITIONS} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse
+or promote products derived from this software without specific prior written permission. {DISCLAIMER}""",
+    "bsd-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met""",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE
+AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION
+WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "isc-grant": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies""",
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of
+this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a
+product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be
+plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered
+from any source distribution.""",
+    "unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means.""",
+    "gpl-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This
+program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a
+copy of the GNU General Public License along with this program.""",
+    "gpl-notice": "This work is licensed under the GNU General Public License version 3",
+    "apache-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or
+agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY
+KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "apache-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+the License. You may obtain a copy of the License at""",
+    "apache-short": "released under the terms of the Apache License version 2.0",
+    "mpl-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at""",
+    "cc-by-nc-notice": "licensed under CC BY-NC 4.0",
+    "cc-by-sa-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
 }
 
 #: Bytes of words as they are, A-Z in lower case, all else a blank.
@@ -43,19 +96,20 @@ LEAST_COVER = 0.6
 
 
 class Automaton:
-    """Generalised suffix automaton over word ids; for each state, where its longest run ends in each template."""
+    """Generalised suffix automaton over word ids; for each state, all places where its runs end in each template."""
 
     def __init__(self, templates: Iterable[list[int]]):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.ends = [-1], [0], [dict()]
+        self.link, self.length, self.ends = [-1], [0], [{}]
         for number, words in enumerate(templates):
             last = 0
             for at, word in enumerate(words):
                 last = self._extend(last, word)
-                self.ends[last].setdefault(number, at)
+                self.ends[last].setdefault(number, set()).add(at)
         for state in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
             for number, at in self.ends[state].items():
-                self.ends[self.link[state]].setdefault(number, at)
+                self.ends[self.link[state]].setdefault(number, set()).update(at)
+        self.ends = [{number: sorted(at) for number, at in ends.items()} for ends in self.ends]
 
     def _new(self, length: int, moves: dict[int, int], link: int) -> int:
         self.next.append(moves)
@@ -101,9 +155,15 @@ class Automaton:
             yield state, size
 
 
+def words_of(text: str) -> list[bytes]:
+    return text.encode().translate(FOLD).split()
+
+
 class Scanner:
+    """Phrases and templates in one automaton."""
+
     def __init__(self, phrases: dict[str, str], templates: dict[str, str]):
-        held = [(label, text.encode().split(), True) for text, label in phrases.items()] + [(label, text.encode().split(), False) for label, text in templates.items()]
+        held = [(label, words_of(text), True) for text, label in phrases.items()] + [(label, words_of(text), False) for label, text in templates.items()]
         self.vocabulary: dict[bytes, int] = {}
         for _, words, _ in held:
             for w in words:
@@ -117,20 +177,39 @@ class Scanner:
         for run in runs:
             self.pairs[run[:-1], run[1:]] = True
         self.found = [self._phrases(s, runs) for s in range(len(self.automaton.link))]
+        self.shorter = [self._shorter(s) for s in range(len(self.automaton.link))]
 
     def _phrases(self, state: int, runs: list[list[int]]) -> list[int]:
         """The phrases that end wherever this state is reached, by its chain of suffix links."""
         a, out = self.automaton, []
         while state > 0:
             for number, at in a.ends[state].items():
-                if self.base[number] and at == self.sizes[number] - 1 and a.length[a.link[state]] < self.sizes[number] <= a.length[state]:
+                if self.base[number] and self.sizes[number] - 1 in at and a.length[a.link[state]] < self.sizes[number] <= a.length[state]:
                     out.append(number)
             state = a.link[state]
         return out
 
+    def _shorter(self, state: int) -> dict[int, tuple[int, list[int]]]:
+        """Templates that only hold the end of this state's runs: the longest such run and its places."""
+        a, out = self.automaton, {}
+        at = a.link[state]
+        while at > 0 and a.length[at] >= LEAST_RUN:
+            for number, places in a.ends[at].items():
+                if not self.base[number] and number not in a.ends[state]:
+                    out.setdefault(number, (a.length[at], places))
+            at = a.link[at]
+        return out
+
+    def _runs(self, state: int, size: int) -> dict[int, tuple[int, list[int]]]:
+        """For each template the longest run that ends here, if long enough, and its places."""
+        if size < LEAST_RUN:
+            return {}
+        own = {number: (size, at) for number, at in self.automaton.ends[state].items() if not self.base[number]}
+        return own | self.shorter[state]
+
     def scan(self, text: str) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, int, float]]]:
         """Words; (label, start) of each phrase; (label, start, words, coverage) of each chained span."""
-        words = text.encode().translate(FOLD).split()
+        words = words_of(text)
         n, none = len(words), len(self.vocabulary)
         if n < 2:
             return n, [], []
@@ -142,40 +221,51 @@ class Scanner:
         for run in np.split(joined, np.flatnonzero(np.diff(joined) > 1) + 1):
             begin, end = int(run[0]), int(run[-1]) + 2
             seen = list(self.automaton.statistics(ids[begin:end].tolist()))
+            runs = [self._runs(*x) for x in seen]
             for k, (state, size) in enumerate(seen):
                 places += [(self.labels[p], begin + k + 1 - self.sizes[p]) for p in self.found[state] if self.sizes[p] <= size]
-                if size >= LEAST_RUN and (k + 1 == len(seen) or seen[k + 1][1] <= size):
-                    for number, at in self.automaton.ends[state].items():
-                        if not self.base[number]:
-                            longest.setdefault(number, []).append((begin + k + 1 - size, size, at + 1 - size))
+                after = runs[k + 1] if k + 1 < len(runs) else {}
+                for number, (run, at) in runs[k].items():
+                    if number not in after or after[number][0] <= run:
+                        longest.setdefault(number, []).append((begin + k + 1 - run, run, [x + 1 - run for x in at]))
         return n, places, [x for number in sorted(longest) for x in self._chain(number, longest[number])]
 
-    def _chain(self, number: int, matches: list[tuple[int, int, int]]) -> Iterable[tuple[str, int, int, float]]:
-        """Matches in text order whose template places also rise belong together, if near enough to one another."""
+    def _chain(self, number: int, matches: list[tuple[int, int, list[int]]]) -> Iterable[tuple[str, int, int, float]]:
+        """Matches (start, words, places in the template) in text order whose template places also rise belong together, if
+        near enough to one another. Of several places the first after the chain so far leaves most room for others; words of
+        the text count once.
+        """
         chain: list[tuple[int, int, int]] = []
         for match in [*matches, None]:
-            if chain and match and match[2] >= chain[-1][2] + chain[-1][1] and match[0] - chain[-1][0] - chain[-1][1] <= self.sizes[number]:
-                chain.append(match)
-                continue
+            if match:
+                start, size, places = match
+                if chain and start - (end := chain[-1][0] + chain[-1][1]) <= self.sizes[number]:
+                    over = max(0, end - start)
+                    after = next((p + over for p in places if p + over >= chain[-1][2] + chain[-1][1]), None)
+                    if after is not None and over < size:
+                        chain.append((start + over, size - over, after))
+                        continue
             if chain and (cover := sum(m[1] for m in chain) / self.sizes[number]) >= LEAST_COVER:
                 yield self.labels[number], chain[0][0], chain[-1][0] + chain[-1][1] - chain[0][0], cover
-            chain = [match] if match else []
+            chain = [(start, size, places[0])] if match else []
 
 
 @cache
-def scanner() -> Scanner:
-    return Scanner(PHRASES, TEMPLATES)
+def scanner(templates: tuple[tuple[str, str], ...] = tuple(TEMPLATES.items())) -> Scanner:
+    """One scanner for each Python worker and collection of (label, text)."""
+    return Scanner(PHRASES, dict(templates))
 
 
 PLACE = pa.struct([("label", pa.string()), ("start", pa.int64())])
 SPAN = pa.struct([("label", pa.string()), ("start", pa.int64()), ("words", pa.int64()), ("coverage", pa.float64())])
 
 
-def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """For each row: key, n_words, places (each phrase found: label, start), spans (label, start, words, coverage)."""
+    collection = tuple(templates.items())
 
     def run(batches):
-        scan = scanner().scan
+        scan = scanner(collection).scan
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
                 found = [scan(t or "") for t in part.column(text).to_pylist()]

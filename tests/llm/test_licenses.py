@@ -36,6 +36,35 @@ def test_matching_statistics_equal_brute_force():
             assert size == max(n for n in range(k + 2) if n == 0 or tuple(words[k + 1 - n : k + 1]) in runs)
 
 
+def test_ends_are_all_places():
+    rng = random.Random(6)
+    templates = [[rng.randrange(3) for _ in range(rng.randint(1, 15))] for _ in range(4)]
+    automaton = licenses.Automaton(templates)
+    for number, t in enumerate(templates):
+        for i in range(len(t)):
+            for j in range(i + 1, len(t) + 1):
+                *_, (state, size) = automaton.statistics(t[i:j])
+                want = {n: [k + size - 1 for k in range(len(o) - size + 1) if o[k : k + size] == t[i:j]] for n, o in enumerate(templates)}
+                assert size == j - i and automaton.ends[state] == {n: at for n, at in want.items() if at}
+
+
+def test_chains_use_later_places_of_a_run():
+    scan = licenses.Scanner({}, {"x": "a b c p q r a b c s t u"}).scan
+    (span,) = scan("zz p q r zz a b c zz s t u")[2]
+    assert span == ("x", 1, 11, 0.75)
+    # overlapping runs of the text count once
+    (span,) = licenses.Scanner({}, {"y": "a b c d k c d e f g"}).scan("a b c d e f g")[2]
+    assert span[3] <= 0.7
+    text = licenses.TEMPLATES["mit-text"]
+    found = {s[0]: s[3] for s in licenses.scanner().scan("Copyright 2020 A. " + text.replace("sublicense", "licence again"))[2]}
+    assert found["mit-text"] > 0.95 and found["mit-grant"] == 1.0 and "isc-text" not in found
+
+
+def test_own_templates(spark):
+    docs = spark.createDataFrame([(1, "Do what you like with it, please")], "doc_id long, text string")
+    assert [s.label for s in licenses.scan_licenses(docs, templates={"free": "do what you like with it"}).first().spans] == ["free"]
+
+
 def test_spans_and_cases(spark):
     grant = licenses.TEMPLATES["mit-grant"]
     rows = [(1, None), (2, ""), (3, "x " + grant.title() + " y"), (4, " ".join(w for k, w in enumerate(grant.split()) if k != 12)), (5, "Licensed under CC BY-NC 4.0."), (6, "just a word")]
