@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,15 +59,22 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return write_at(df, scratch_path(df.sparkSession, name))
 
 
+@contextmanager
+def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is written inside drops its shuffle files when it has ended."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def write_at(df: DataFrame, path: str) -> DataFrame:
     """As write_table, at a path that the caller can drop later. The write's shuffle files go when it has ended."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, "false")
-    conf.set(key, "true")
-    try:
+    with dropped_shuffles(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -31,7 +31,8 @@ def op4_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(common.read(spark, sf_dir, "documents"))
     starts = F.col("places.start")
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
-    base_score = F.when(F.size("places") > 0, 1.0).otherwise(0.0)
+    # the coverage of the fullest span; a phrase without one counts as half a licence
+    base_score = F.when(F.size("places") > 0, 0.5).otherwise(0.0)
     return found.select(
         "doc_id",
         "n_words",
@@ -60,7 +61,7 @@ def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through WARC archives and back."""
     path = common.scratch_path(spark, "warc")
     warc.write_archives(common.read(spark, sf_dir, "pages"), path)
-    found = warc.read_archives(spark, path)
+    found = warc.read_archives(spark, path, payloads=False)
     return found.select(
         F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "verified"
     )

@@ -1,5 +1,6 @@
 """Archives, token files and packing: exact round trips and brute force."""
 
+import gzip
 import random
 import zlib
 from collections import Counter
@@ -9,6 +10,7 @@ import pytest
 from corpusloom.llm import packing, repair, warc
 from corpusloom.llm.common import scratch_path
 from corpusloom.llm.encoding import Encoder
+from corpusloom.llm.files import read_blocks, write_blocks
 from corpusloom.llm.queries import ORACLE_SQL, QUERIES
 from tests.oracle import mismatch
 
@@ -42,6 +44,36 @@ def test_archives_across_files(spark, monkeypatch):
     assert warc.read_archives(spark, path).count() == 0
 
 
+def test_records_have_the_fields_of_the_standard(spark):
+    same = "x" * 200
+    df = spark.createDataFrame([(1, "http://a/1", same), (2, "http://a/2", same), (3, "http://a/3", "y" * 20_000)], "page_id long, url string, html string")
+    path = scratch_path(spark, "warc")
+    warc.write_archives(df, path, "2024-01-02T03:04:05Z")
+    found = [x for r in read_blocks(spark, path).collect() for x in warc.parse(gzip.decompress(r.content))]
+    assert all({"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= f.keys() for f, _ in found)
+    assert len({f["WARC-Record-ID"] for f, _ in found}) == len(found) == 5
+    by = {f.get("X-Page-Id"): f for f, _ in found if f["WARC-Type"] != "continuation"}
+    assert by["2"]["WARC-Refers-To"] == by["1"]["WARC-Record-ID"] and by["2"]["WARC-Refers-To-Target-URI"] == "http://a/1"
+    assert by["2"]["WARC-Refers-To-Date"] == by["1"]["WARC-Date"] and by["2"]["WARC-Profile"].endswith("identical-payload-digest")
+    assert max(len(block) for _, block in found) <= warc.SEGMENT
+
+
+def test_revisits_are_verified_in_their_records(spark):
+    columns = "origin string, page_id string, url string, record_type string, refers_to_record string, payload_bytes long, payload_digest string, verified boolean, payload binary"
+    rows = [("a", "1", None, "response", None, 5, "d", True, None), ("b", "2", None, "response", None, None, None, False, None)]
+    rows += [(f"r{k}", f"1{k}", None, "revisit", to, None, digest, False, None) for k, (to, digest) in enumerate([("a", "d"), ("a", "e"), ("b", "d"), ("missing", "d"), (None, "d")])]
+    found = {r.page_id: r for r in warc.looked_up(spark.createDataFrame(rows, columns)).collect()}
+    assert len(found) == 7 and [found[f"1{k}"].verified for k in range(5)] == [True, False, False, False, False]
+    assert (found["10"].refers_to, found["10"].payload_bytes) == ("1", 5) and found["13"].refers_to is None
+
+
+def test_files_carry_all_bytes(spark):
+    rows = [(bytes(range(256)) * 3,), (bytes(reversed(range(256))),), (b"\xff\xfe\x80\x00\n\r",)]
+    path = scratch_path(spark, "bytes")
+    write_blocks(spark.createDataFrame(rows, "value binary").coalesce(1), "value", path, "|")
+    assert b"".join(bytes(r.content) for r in read_blocks(spark, path).collect()) == b"|".join(r[0] for r in rows) + b"|"
+
+
 def test_broken_records_are_marked():
     block = warc.HTTP + warc.chunked(b"x" * 10_000)
     good = [(1, None, {"WARC-Payload-Digest": "sha256:?"}, block[:8192]), (2, len(block), {}, block[8192:])]
