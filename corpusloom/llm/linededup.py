@@ -42,12 +42,14 @@ SPLIT = 100_000
 WIDER = (72, 176, 400, 900, 1900, 4000)
 MASK40 = (1 << 40) - 1
 #: Alike partners of a line and word that are verified first, and by how many times more in each later round.
-FIRST_ROUND, GROWTH = 2, 16
+FIRST_ROUND, GROWTH, MOST_AT_ONCE = 2, 16, 1000
 #: Lines of a word that are held in memory at a time.
 HEAD = 200_000
 BITS = 1 << 26
 CLASSES = 200_000
 TOGETHER = 40_000
+#: Documents whose numbers are broadcast.
+FEW_DOCS = 100_000
 LINE = "doc long, tag long, line int"
 U = np.uint64
 #: White space that parts words, besides line ends.
@@ -305,10 +307,10 @@ def together(batches, columns: tuple[str, ...]) -> Iterator[dict[str, np.ndarray
 
 
 def candidates(index: DataFrame, low: int, high: int, segment: int = 0) -> DataFrame:
-    """later, earlier: of the classes before it that share a prefix word and pass the filters, each class meets those
-    numbered low to high - 1 in its part. Where more pass, a row with earlier null and more true tells so; where lines
-    of the word lie beyond the segment of HEAD lines that is held, one with more false. With a column open, only its
-    lines look for earlier ones, and they visit the other parts of their words as guests; without it, lines of words
+    """later, word, earlier (array), more, beyond: of the classes before it that share a prefix word and pass the filters, a
+    class meets those numbered low to high - 1 in its part. more tells that others pass too; beyond, that lines of the
+    word lie behind the segment of HEAD lines that is held. Rows without any of it are left out. With a column open, only
+    its lines look for earlier ones, and they visit the other parts of their words as guests; without it, lines of words
     in several parts count as having more. Guests have met nobody before the second round.
 
     Lines of a word stand in the order of their places, the same in every round: numbers and segments hold on, and a line
@@ -322,10 +324,6 @@ def candidates(index: DataFrame, low: int, high: int, segment: int = 0) -> DataF
     guest_low = 0 if low == FIRST_ROUND else low
     names = ("key", "part", "class", "size", "odd", "odd2", "wide", *(("open", "guest") if some else ()))
 
-    def row(later, earlier, word, more):
-        n = len(later)
-        return pa.RecordBatch.from_arrays([pa.array(later), pa.nulls(n, pa.int64()) if earlier is None else pa.array(earlier), pa.nulls(n, pa.int64()) if word is None else pa.array(word), pa.nulls(n, pa.bool_()) if more is None else pa.array(np.full(n, more))], names=["later", "earlier", "word", "more"])
-
     def run(batches):
         head, seen, held = None, 0, None
         for new in together(batches, names):
@@ -352,8 +350,8 @@ def candidates(index: DataFrame, low: int, high: int, segment: int = 0) -> DataF
             (size, rest, odd, odd2, name, wide), (size_, rest_, odd_, odd2_, name_, wide_) = ours, theirs
             passed, k = np.zeros(len(word), np.int64), 0
             first = np.where(new["guest"] > 0, guest_low, low) if some else np.full(len(word), low)
-            if not some and (split := np.flatnonzero(part)).size:
-                yield row(new["class"][split], None, word[split], True)
+            more = np.zeros(len(word), bool) if some else part != 0
+            met: list[tuple[np.ndarray, np.ndarray]] = []
             x = np.flatnonzero((partners > 0) & (new["open"] > 0)) if some else np.flatnonzero(partners > 0)
             while len(x := x[partners[x] > k]):
                 y = start[x] + k
@@ -371,16 +369,19 @@ def candidates(index: DataFrame, low: int, high: int, segment: int = 0) -> DataF
                 if len(good):
                     hit, with_ = z[good], y[good]
                     use, end = (passed[hit] >= first[hit]) & (passed[hit] < high), passed[hit] >= high
-                    if use.any():
-                        yield row(name[hit[use]], name_[with_[use]], None, None)
-                    if end.any():
-                        yield row(name[hit[end]], None, word[hit[end]], True)
+                    met.append((hit[use], name_[with_[use]]))
+                    more[hit[end]] = True
                     passed[hit] += 1
                     x = x[passed[x] <= high]
                 k += 1
-            beyond = np.flatnonzero(rank >= floor + HEAD)
-            if len(beyond):
-                yield row(name[beyond], None, word[beyond], False)
+            beyond = rank >= floor + HEAD
+            whose = np.concatenate([m[0] for m in met]) if met else np.zeros(0, np.int64)
+            partner = np.concatenate([m[1] for m in met]) if met else np.zeros(0, np.int64)
+            many = np.bincount(whose, minlength=len(word))
+            out = np.flatnonzero((many > 0) | more | beyond)
+            if len(out):
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many[out])]).astype(np.int32)), pa.array(partner[np.argsort(whose, kind="stable")]))
+                yield pa.RecordBatch.from_arrays([pa.array(name[out]), pa.array(word[out]), lists, pa.array(more[out]), pa.array(beyond[out])], names=["later", "word", "earlier", "more", "beyond"])
             at = begin[-1]
             mine = slice(int(before[at]) + max(0, floor - int(rank[at])), None)
             stays = on and len(begin) == 1
@@ -396,7 +397,7 @@ def candidates(index: DataFrame, low: int, high: int, segment: int = 0) -> DataF
         visits = F.when((F.col("part") != 0) & (F.col("open") > 0), everywhere).otherwise(F.array("part"))
         index = index.withColumn("own", F.col("part")).withColumn("part", F.explode(visits)).withColumn("guest", (F.col("part") != F.col("own")).cast("int")).drop("own")
     rows = index.repartition(parts, word, "part").sortWithinPartitions(word, "part", "doc", "tag", "line", "class")
-    return rows.mapInArrow(run, "later long, earlier long, word long, more boolean")
+    return rows.mapInArrow(run, "later long, word long, earlier array<long>, more boolean, beyond boolean")
 
 
 def bit_of(doc, tag, line) -> np.ndarray:
@@ -408,8 +409,12 @@ def bit_of(doc, tag, line) -> np.ndarray:
 def word_sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """The lines (class, doc, tag, line) with words (array of 64-bit hashes).
 
-    A filter of fixed size (8 MB of bits) tells the tasks which lines may be wanted; a join takes the rest out.
+    A filter of fixed size (8 MB of bits) tells the tasks which lines may be wanted; a join takes the rest out. Of few
+    documents, only those reach the tasks.
     """
+    wanted_docs = lines.select("doc").distinct()
+    if wanted_docs.limit(FEW_DOCS + 1).count() <= FEW_DOCS:
+        docs = docs.join(F.broadcast(wanted_docs), "doc", "left_semi")
 
     def bits(batches):
         for batch in batches:
@@ -443,7 +448,8 @@ def word_sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
 def matched(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     """class and place (doc, tag, line) of the later one of each pair whose similarity is 0.8 or more."""
     needed = pairs.select(F.col("later").alias("class")).union(pairs.select("earlier")).distinct().join(firsts, "class")
-    sets = write_table(word_sets(docs, needed.select("class", "doc", "tag", "line")), "word_sets")
+    needed = write_table(needed.select("class", "doc", "tag", "line"), "needed")
+    sets = write_table(word_sets(docs, needed), "word_sets")
     place = F.struct("doc", "tag", "line")
     named = lambda new: sets.select(F.col("class").alias(new), F.col("words").alias(f"{new}_words"), place.alias(f"{new}_place"))
     both = pairs.join(named("later"), "later").join(named("earlier"), "earlier")
@@ -467,13 +473,15 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     while True:
         low, high, rows, small, beyond = 0, FIRST_ROUND, index, None, None
         while True:
-            found = write_table(candidates(rows, low, high, segment).distinct(), "candidates")
-            pairs = found.where("earlier is not null").select("later", "earlier")
+            found = write_table(candidates(rows, low, high, segment), "candidates")
+            # each pair once, however many words it shares
+            partners = found.where("size(earlier) > 0").groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("earlier"))).alias("earlier"))
+            pairs = write_table(partners.select("later", F.explode("earlier").alias("earlier")), "pairs")
             if not pairs.isEmpty():
                 now = write_table(matched(docs, pairs, firsts), "matched")
                 gone = now if gone is None else gone.unionByName(now)
             if low <= FIRST_ROUND:  # lines that go on by themselves, then guests
-                now = found.where("not more").select(F.col("later").alias("class"), "word")
+                now = found.where("beyond").select(F.col("later").alias("class"), "word")
                 beyond = now if beyond is None else beyond.union(now)
             more = found.where("more").select(F.col("later").alias("class"), "word")
             open_ = write_table(more if gone is None else more.join(gone, "class", "left_anti"), "open")
@@ -484,7 +492,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
                 small = write_table(emitted(docs, known, repeated, bit_filter(open_, "word")), "index")
             flags = open_.select("class").distinct().withColumn("open", F.lit(1))
             rows = small.join(flags, "class", "left").withColumn("open", F.coalesce("open", F.lit(0)))
-            low, high = high, high * GROWTH
+            low, high = high, min(high * GROWTH, high + MOST_AT_ONCE)
         beyond = write_table(beyond if gone is None else beyond.join(gone, "class", "left_anti"), "beyond")
         if beyond.isEmpty():
             break

@@ -77,7 +77,7 @@ def test_null_and_repeated_ids_equal_brute_force(spark, monkeypatch, ids):
     words = [f"w{i}" for i in range(40)]
     bases = [[rng.choice(words) for _ in range(rng.randint(8, 25))] for _ in range(6)]
     rows = []
-    for _ in range(60):
+    for _ in range(25):
         lines = []
         for _ in range(rng.randint(1, 5)):
             line = list(rng.choice(bases))
