@@ -70,7 +70,7 @@ def with_next(rows: DataFrame, key: str, tie: str, columns: list[str]) -> DataFr
     ranges = sorted(tuple(r) for r in dealt.groupBy("_span").agg(F.min("_place"), F.max("_place")).select("min(_place)", "max(_place)").collect())  # a row for each range
     if not ranges:
         return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in columns]).drop("_number", "_place")
-    bounds = F.array(*[F.struct(*[F.lit(x) for x in low]) for low, _ in ranges])
+    bounds = F.array(*[F.struct(*[F.lit(x) for x in low]) for low, _ in ranges]).cast("array<struct<a: boolean, b: bigint, c: string, d: bigint>>")
     steps = [1 << k for k in reversed(range(len(ranges).bit_length()))]
     span = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda p, s: F.when(F.get(bounds, p + s) <= F.col("_place"), p + s).otherwise(p))
     own = rows.withColumn("_span", span).withColumn("_lent", F.lit(0))
