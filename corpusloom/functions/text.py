@@ -23,20 +23,44 @@ def clean(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(col(text), F.lit("")), SPACES, " "))
 
 
+def nested(text: Column | str) -> Column:
+    """How deep templates stand in one another."""
+    marks = F.regexp_extract_all(col(text), F.lit(r"\{\{|\}\}"), 0)
+
+    def step(state: Column, mark: Column) -> Column:
+        depth = F.when(mark == "{{", state["depth"] + 1).otherwise(F.greatest(state["depth"] - 1, F.lit(0)))
+        return F.struct(depth.alias("depth"), F.greatest(state["most"], depth).alias("most"))
+
+    return F.aggregate(marks, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most")), step, lambda state: state["most"])
+
+
+#: Markup that goes or gives way to its text: before and after templates, which go from the innermost one on.
+WIKI_FIRST = ((r"(?s)<!--.*?-->", ""), (r"(?s)<ref\b[^>]*?(?:/>|>.*?</ref\s*>)", " "))
+WIKI_TEMPLATE = r"\{\{(?:[^{}]|\{(?!\{)|\}(?!\}))*\}\}"
+WIKI_LAST = (
+    (r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1"),
+    (r"\[\[([^\[\]|]*)\]\]", "$1"),
+    (r"\[(?:https?:)?//[^\s\]]+[ \t]*([^\]]*)\]", "$1"),
+    (r"(?m)^={1,6}[ \t]*(.*?)[ \t]*={1,6}[ \t]*$", "$1"),
+    (r"'{2,5}", ""),
+    (r"<[^>]+>", " "),
+)
+
+
 def strip_wiki(text: Column | str) -> Column:
-    """Templates, links, references, tags, headings and external links out of wiki markup, in this order."""
-    steps = [
-        (r"(?s)\{\{.*?\}\}", " "),
-        (r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", "$1"),
-        (r"(?s)<ref[^>]*>.*?</ref>", " "),
-        (r"<[^>]+>", " "),
-        (r"(?m)^=+\s*(.*?)\s*=+\s*$", "$1"),
-        (r"\[https?://\S+\s*([^\]]*)\]", "$1"),
-    ]
-    out = col(text)
-    for pattern, new in steps:
-        out = F.regexp_replace(out, pattern, new)
-    return clean(out)
+    """The text of wiki markup: no comments, references, templates (also in one another) and tags; links, headings and
+    emphasis leave their text."""
+
+    def replaced(out: Column, steps: tuple[tuple[str, str], ...]) -> Column:
+        for pattern, new in steps:
+            out = F.regexp_replace(out, pattern, new)
+        return out
+
+    def without_templates(out: Column) -> Column:
+        rounds = F.filter(F.sequence(F.lit(0), nested(out)), lambda k: k > 0)
+        return F.aggregate(rounds, out, lambda held, _: F.regexp_replace(held, WIKI_TEMPLATE, " "))
+
+    return clean(replaced(bound(replaced(col(text), WIKI_FIRST), without_templates), WIKI_LAST))
 
 
 def strip_join_marker(text: Column | str) -> Column:

@@ -47,12 +47,13 @@ def group_sizes(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def running(groups: DataFrame, by: list[str], key: str, value: Column) -> DataFrame:
+def running(groups: DataFrame, by: list[str], key: str, value: Column, digits: int = 3) -> DataFrame:
     """Adds before: the sum of value over earlier rows of by, in the order of a hexadecimal key.
 
-    Sums of up to 256 ranges of the key come first, so each task holds one range.
+    Sums of ranges of the key come first, so each task holds one range: 16 to the power of digits ranges, 4096 as it is,
+    which are 2.5 million rows each of a label of 10 billion.
     """
-    rows = groups.withColumn("_value", value).withColumn("_range", F.substring(key, 1, 2))
+    rows = groups.withColumn("_value", value).withColumn("_range", F.substring(key, 1, digits))
     sums = rows.groupBy(*by, "_range").agg(F.sum("_value").alias("_sum"))
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
@@ -175,12 +176,11 @@ def run_ids(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
 
 
 def row_numbers(df: DataFrame, order: str, name: str = "row_id") -> DataFrame:
-    """Numbers from 0 in the order of a column, by ranges: each task numbers its own range."""
+    """Numbers from 0 in the order of a column without equal values, by ranges: each task numbers its own range, which it finds by halving."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = sorted({int(x) for x in df.approxQuantile(order, [k / n for k in range(1, n)], 0.2 / n)}) if n > 1 else []
-    span = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in bounds]), lambda x: x <= F.col(order))) if bounds else F.lit(0)
-    rows = df.withColumn("_span", span)
+    rows = df.withColumn("_span", range_of(F.col(order), bounds))
     sizes = sorted((r[0], r[1]) for r in rows.groupBy("_span").count().collect())  # a row for each range
     base, at = {}, 0
     for k, size in sizes:
@@ -191,6 +191,24 @@ def row_numbers(df: DataFrame, order: str, name: str = "row_id") -> DataFrame:
     return rows.withColumn(name, (rank + start).cast("long")).drop("_span")
 
 
+def range_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are not above the value."""
+    if not bounds:
+        return F.lit(0)
+    held, steps = F.array(*[F.lit(x).cast("long") for x in bounds]), [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(F.get(held, at + s - 1) <= value, at + s).otherwise(at))
+
+
+def shuffled(df: DataFrame, seed: int, key: str = "id") -> DataFrame:
+    """All rows in a random order, which adds position (from 0)."""
+    return running(df.withColumn("_key", X.seeded(seed, key)), [], "_key", F.lit(1)).withColumnRenamed("before", "position").drop("_key").orderBy("position")
+
+
+def random_ids(df: DataFrame, name: str = "id") -> DataFrame:
+    """A random UUID for each row; write the result before it is used twice."""
+    return df.withColumn(name, F.uuid() if hasattr(F, "uuid") else F.expr("uuid()"))
+
+
 def zip_lines(a: DataFrame, b: DataFrame, number: str) -> DataFrame:
     """Rows with the same line number side by side; an error if one side has more lines."""
     counts = a.agg(F.count(F.lit(1)).alias("a")).crossJoin(b.agg(F.count(F.lit(1)).alias("b"))).first()  # one row each

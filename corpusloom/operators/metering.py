@@ -39,7 +39,8 @@ def sequential_charge(jobs: DataFrame, balances: DataFrame) -> DataFrame:
     """user_id, job_id, cost, accepted, balance: jobs in order; one that costs more than the balance is rejected and free.
 
     jobs: user_id, job_id, ord, cost; balances: user_id, balance. Each user's jobs are streamed in order, so a user
-    with very many jobs is never held in memory as a whole.
+    with very many jobs is never held in memory as a whole. A balance depends on all jobs before, so one user's jobs are one
+    task's work and cannot be salted.
     """
     rows = jobs.join(balances, "user_id").select("user_id", "job_id", "ord", F.col("cost").cast(MONEY).alias("cost"), F.col("balance").cast(MONEY).alias("balance"))
     parts = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -61,6 +62,28 @@ def sequential_charge(jobs: DataFrame, balances: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, f"user_id {kinds['user_id']}, job_id {kinds['job_id']}, cost {MONEY}, accepted boolean, balance {MONEY}")
 
 
+def set_rates(rates: DataFrame, changes: DataFrame) -> DataFrame:
+    """model_type, model_name, rate, is_active after changes with the same columns: new models come in, known ones get what is set."""
+    new = changes.select("model_type", "model_name", F.col("rate").alias("_rate"), F.col("is_active").alias("_active"))
+    both = rates.join(new, ["model_type", "model_name"], "full")
+    return both.select("model_type", "model_name", F.coalesce("_rate", "rate").alias("rate"), F.coalesce("_active", "is_active", F.lit(True)).alias("is_active"))
+
+
+def active_rates(rates: DataFrame, model_type: str) -> DataFrame:
+    """model_name, rate of the models that are offered, for charged()."""
+    return rates.where((F.col("model_type") == model_type) & F.col("is_active")).select("model_name", "rate")
+
+
+def with_tier(users: DataFrame, tiers: DataFrame) -> DataFrame:
+    """Users (tier) with their tier's price and credits; an unknown or missing tier is the free one, of price 0."""
+    free = tiers.where("price = 0").agg(F.min("tier").alias("_free"))  # one row
+    rows = users.join(F.broadcast(free)).join(tiers.select(F.col("tier").alias("_tier"), "price", "credits"), F.col("tier") == F.col("_tier"), "left")
+    base = tiers.where("price = 0").agg(F.min_by("credits", "tier").alias("_credits"))  # one row
+    rows = rows.join(F.broadcast(base))
+    known = F.col("_tier").isNotNull()
+    return rows.select(*[c for c in users.columns if c != "tier"], F.when(known, F.col("tier")).otherwise(F.col("_free")).alias("tier"), F.coalesce("price", F.lit(0)).alias("price"), F.when(known, F.col("credits")).otherwise(F.col("_credits")).alias("credits"))
+
+
 def page_charges(documents: DataFrame, rate: str = "0.1") -> DataFrame:
     """All pages are charged before they are read; failed documents are deleted (pages, failed)."""
     charge = (F.col("pages").cast(MONEY) * F.lit(rate).cast("decimal(18,8)")).cast(MONEY)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import audit, curate, metrics
-from corpusloom.plans.base import CONFIG, LABELS, corpus, query, table
+from corpusloom.plans.base import CONFIG, LABELS, corpus, query, scratch, table
 from corpusloom.plans.curation import split_sql, splits
+from corpusloom.sources import readers
 
 SPLITS = ("train", "val", "test")
 WORDS = r"len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))"
@@ -108,9 +109,9 @@ def smallest_class(spark, sf_dir):
     return found.select(F.col("smallest").alias("label"), F.col("least").alias("n"), F.round(F.col("smallest_share").cast("double"), 6).alias("share"))
 
 
-@query("SELECT label, count(*) AS rows, round(avg(regexp_matches(text, '[À-ſ]')::INT), 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || id)) AS r FROM c) WHERE r <= 50 GROUP BY label")
+@query("SELECT label, count(*) AS rows, round(avg(regexp_matches(text, '[À-ſ]')::INT), 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || id)) AS r FROM c) WHERE r <= 500 GROUP BY label")
 def script_share_sample(spark, sf_dir):
-    return rounded(audit.script_share(corpus(spark, sf_dir), CONFIG.script, 50, 42), "share")
+    return rounded(audit.script_share(corpus(spark, sf_dir), CONFIG.script, 500, 42), "share")
 
 
 @query("SELECT label, source, count(*) AS n FROM c WHERE NOT regexp_matches(text, '[À-ſ]') GROUP BY ALL")
@@ -123,11 +124,6 @@ def audit_json(spark, sf_dir):
     return audit.report_json(split_corpus(spark, sf_dir), CONFIG.script)
 
 
-@query()
-def issue_list(spark, sf_dir):
-    return audit.issues(split_corpus(spark, sf_dir), CONFIG.script).select(F.explode("issues").alias("issue"))
-
-
 SUITE = {
     "rows": "SELECT count(*) FROM c",
     "labels": "SELECT count(DISTINCT label) FROM c",
@@ -138,18 +134,29 @@ SUITE = {
     "no_script": "SELECT count(*) FROM c WHERE NOT regexp_matches(text, '[À-ſ]')",
     "repeated_ids": "SELECT count(*) - count(DISTINCT id) FROM c",
     "contradictory": "SELECT count(*) FROM (SELECT text FROM c GROUP BY text HAVING count(DISTINCT label) > 1)",
-    "leaking": "SELECT 0",
-    "groups_in_train_val": "SELECT 0",
-    "groups_in_train_test": "SELECT 0",
-    "groups_in_val_test": "SELECT 0",
+    "leaking": "SELECT count(*) FROM (SELECT group_id FROM sx GROUP BY group_id HAVING count(DISTINCT split) > 1)",
+    **{f"groups_in_{a}_{b}": f"SELECT count(*) FROM sx AS l JOIN sx AS r USING (group_id) WHERE l.split = '{a}' AND r.split = '{b}'" for a, b in (("train", "val"), ("train", "test"), ("val", "test"))},
 }
+SUITE_SQL = " UNION ALL ".join(f"SELECT '{k}' AS \"check\", ({v})::BIGINT AS value" for k, v in SUITE.items())
+#: Rows split one by one: groups leak, so that every counter has something to find.
+LEAKY_SQL = "sx AS (SELECT DISTINCT group_id, CASE id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM c)"
 
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS \"check\", ({v})::BIGINT AS value" for k, v in SUITE.items()))
+def leaky_corpus(spark, sf_dir):
+    split = F.element_at(F.array(*map(F.lit, SPLITS)), (F.col("id") % 3).cast("int") + 1)
+    return corpus(spark, sf_dir).withColumn("split", split)
+
+
+@query(f"WITH {split_sql('c')}, sx AS (SELECT DISTINCT group_id, split FROM c JOIN gs USING (group_id)) {SUITE_SQL}")
 def audit_suite(spark, sf_dir):
     return audit.suite(split_corpus(spark, sf_dir), SPLITS, CONFIG.script)
 
 
+@query(f"WITH {LEAKY_SQL} {SUITE_SQL}")
+def audit_suite_of_leaks(spark, sf_dir):
+    return audit.suite(leaky_corpus(spark, sf_dir), SPLITS, CONFIG.script)
+
+
 @query(
     "SELECT source, count(*) FILTER (label = 'es') AS original, count(*) FILTER (label IN ('de', 'fr', 'en')) AS replaced, count(*) FILTER (regexp_matches(text, 'ß')) AS other_script FROM c GROUP BY source"
 )
@@ -287,7 +294,15 @@ def split_terminators(spark, sf_dir):
     return corpus(spark, sf_dir).select("id", F.posexplode(X.parts("text", "[.,]")).alias("n", "part")).withColumn("n", F.col("n").cast("long"))
 
 
-@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)\{\{.*?\}\}', ' ', 'g'), '\[\[(?:[^|\]]*\|)?([^\]]*)\]\]', '\1', 'g'), '(?s)<ref[^>]*>.*?</ref>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+WIKI_STEPS = [(r"(?s)<!--.*?-->", ""), (r"(?s)<ref\b[^>]*?(?:/>|>.*?</ref\s*>)", " "), (r"\{\{[^{}]*\}\}", " "), (r"\{\{[^{}]*\}\}", " ")]
+WIKI_STEPS += [(r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", r"\1"), (r"\[\[([^\[\]|]*)\]\]", r"\1"), (r"\[(?:https?:)?//[^\s\]]+[ \t]*([^\]]*)\]", r"\1")]
+WIKI_STEPS += [(r"(?m)^={1,6}[ \t]*(.*?)[ \t]*={1,6}[ \t]*$", r"\1"), (r"[\x27]{2,5}", ""), (r"<[^>]+>", " "), (r"\s+", " ")]
+WIKI_SQL = "html"
+for _pattern, _new in WIKI_STEPS:
+    WIKI_SQL = f"regexp_replace({WIKI_SQL}, '{_pattern}', '{_new}', 'g')"
+
+
+@query(f"SELECT page_id, trim({WIKI_SQL}) AS text FROM pages")
 def strip_wiki(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.strip_wiki("html").alias("text"))
 
@@ -314,6 +329,75 @@ def melt_features(spark, sf_dir):
     return wide.unpivot("id", ["chars", "bytes"], "name", "value")
 
 
+SEVERITIES = {"leaking": "ERROR", "contradictory": "ERROR", "repeated_ids": "ERROR", "blank": "WARN", "short": "WARN", "no_script": "INFO"}
+ISSUES_SQL = " UNION ALL ".join(f"SELECT '{level}: {k} ' || n AS issue FROM (SELECT ({SUITE[k]}) AS n) WHERE n > 0" for k, level in SEVERITIES.items())
+
+
+@query(f"WITH {LEAKY_SQL} {ISSUES_SQL}")
+def issue_list(spark, sf_dir):
+    return audit.issues(leaky_corpus(spark, sf_dir), CONFIG.script).select(F.explode("issues").alias("issue"))
+
+
+BAD_LINES_SQL = """x AS (SELECT id AS number, CASE id % 5 WHEN 0 THEN 'invalid JSON' WHEN 1 THEN 'missing keys' WHEN 2 THEN 'empty label' WHEN 3 THEN 'empty text' END AS error FROM c)"""
+
+
+@query(f"WITH {BAD_LINES_SQL} SELECT number, error FROM x WHERE error IS NOT NULL")
+def jsonl_validate(spark, sf_dir):
+    """Lines of JSON made from the documents, four of five with an error each."""
+    rows = corpus(spark, sf_dir).withColumn("k", F.col("id") % 5)
+    label, text = F.when(F.col("k") == 2, " ").otherwise(F.col("label")), F.when(F.col("k") == 3, "").otherwise(F.col("text"))
+    whole = F.to_json(F.struct(text.alias("text"), label.alias("label")))
+    line = F.when(F.col("k") == 0, F.concat(F.lit("{"), F.left("label", F.lit(1)))).when(F.col("k") == 1, F.to_json(F.struct("text"))).otherwise(whole)
+    return audit.jsonl_errors(rows.select(F.col("id").alias("number"), line.alias("value"))).select("number", "error")
+
+
+FOUR_WORDS = r"array_to_string(list_slice(list_filter(string_split_regex(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), ' +'), lambda x: x <> ''), 1, 4), ' ')"
+
+
+def four_words(spark, sf_dir):
+    """id, source, words: the first four words of plain letters."""
+    plain = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]", " "), " +"), lambda w: w != "")
+    rows = corpus(spark, sf_dir).select("id", "source", F.array_join(F.slice(plain, 1, 4), " ").alias("words"))
+    return rows.where("words != ''")
+
+
+def gathered(rows, head: str, piece, between: str, tail: str):
+    """A text for each source, its documents' pieces in order."""
+    found = rows.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("id", piece.alias("x")))).alias("p"))
+    return found.select("source", F.concat(F.expr(head), F.array_join("p.x", between), F.lit(tail)).alias("value"))
+
+
+@query(f"WITH w AS (SELECT id, source, {FOUR_WORDS} AS words FROM c) SELECT source AS book, (id // 100)::VARCHAR AS chapter, id::VARCHAR AS verse, words AS text FROM w WHERE words <> ''")
+def usfx_scan(spark, sf_dir):
+    """A milestone XML for each source, written and read back."""
+    rows = four_words(spark, sf_dir)
+    verse = F.concat(F.lit('<p><v id="'), "id", F.lit('" bcv="'), "source", F.lit("."), F.floor(F.col("id") / 100), F.lit("."), "id", F.lit('"/>'), "words", F.lit("<ve/></p>"))
+    path = scratch(spark, "usfx")
+    books = gathered(rows, "concat('<usfx><book id=\"', source, '\"><id>skip</id>')", verse, "", "</book></usfx>")
+    books.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return readers.usfx(spark, f"{path}/part-*")
+
+
+@query(f"WITH w AS (SELECT id, source, {FOUR_WORDS} AS words FROM c) SELECT source || '_' || lpad((row_number() OVER (PARTITION BY source ORDER BY id) - 1)::VARCHAR, 5, '0') AS id, words AS text FROM w WHERE words <> ''")
+def book_dir_scan(spark, sf_dir):
+    """A directory with a text for each source, written and read back; sentences end with their marks."""
+    path = scratch(spark, "books")
+    books = gathered(four_words(spark, sf_dir), "''", F.concat("words", F.lit("<eos>")), "\n", "")
+    books.write.partitionBy("source").text(path)
+    found = readers.book_dirs(spark, path).withColumn("book", F.regexp_replace("book", "^source=", ""))
+    return readers.book_sentences(found).select("id", "text")
+
+
+@query(f"WITH w AS (SELECT id, source, {FOUR_WORDS} AS words FROM c) SELECT source || '.' || id AS id, words AS text FROM w WHERE words <> ''")
+def block_scan(spark, sf_dir):
+    """A file of annotated blocks for each source, written and read back."""
+    tokens = F.array_join(F.transform(F.split("words", " "), lambda w: F.concat(w, F.lit("\tX"))), "\n")
+    block = F.concat(F.lit("# id = "), "source", F.lit("."), "id", F.lit("\n"), tokens, F.lit("\n"))
+    path = scratch(spark, "blocks")
+    gathered(four_words(spark, sf_dir), "''", block, "\n", "").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return readers.block_annotated(spark, path)
+
+
 @query("SELECT gram, count(*)::BIGINT AS tf, count(DISTINCT id)::BIGINT AS df FROM (SELECT id, substr(t, i, 2) AS gram FROM (SELECT id, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM c), unnest(range(1, length(t))) AS r(i)) GROUP BY gram")
 def char_ngram_tf_df(spark, sf_dir):
     from corpusloom.operators.ml import ngram_frequencies

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,12 +39,28 @@ def query(sql: str | None = None, name: str | None = None):
             uses_p = " p" in sql.replace("\n", " ")
             lead = f"WITH {CORPUS_SQL}" + (f", {PREDICTED_SQL}" if uses_p else "")
             body = sql.strip()
-            ORACLE_SQL[key] = f"{lead}, {body[5:]}" if body.upper().startswith("WITH ") else f"{lead} {body}"
+            if body.upper().startswith("WITH RECURSIVE "):
+                ORACLE_SQL[key] = f"WITH RECURSIVE {lead[5:]}, {body[15:]}"
+            else:
+                ORACLE_SQL[key] = f"{lead}, {body[5:]}" if body.upper().startswith("WITH ") else f"{lead} {body}"
         return f
 
     return register
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; only a local session without one gets a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="corpusloom-")
+    path = f"{folder.rstrip('/')}/corpusloom-plans/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -363,9 +363,9 @@ def sort_source_id(spark, sf_dir):
     return corpus(spark, sf_dir).select("id", "source").orderBy("source", "id")
 
 
-@query("SELECT id FROM c WHERE length(text) >= 100 ORDER BY id LIMIT 350")
+@query("SELECT id FROM c WHERE length(text) >= 100 ORDER BY id LIMIT 35000")
 def global_limit(spark, sf_dir):
-    return corpus(spark, sf_dir).where(filters.long_enough(least=100)).orderBy("id").limit(350).select("id")
+    return corpus(spark, sf_dir).where(filters.long_enough(least=100)).orderBy("id").limit(35_000).select("id")
 
 
 @query("SELECT p_partkey, p_name FROM part")

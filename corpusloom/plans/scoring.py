@@ -174,9 +174,9 @@ def charge_default_rate(spark, sf_dir):
     return rows.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.sum("charge").cast("double").alias("cost"))
 
 
-@query(f"WITH {LINE_SQL} SELECT o_orderkey, coalesce((SELECT sum(charge) FROM u WHERE l_orderkey = o_orderkey AND l_partkey % 2 = 0), 0)::DECIMAL(18,4)::DOUBLE AS cost FROM orders")
+@query(f"WITH {LINE_SQL} SELECT o_orderkey, coalesce((SELECT sum(charge) FROM u WHERE l_orderkey = o_orderkey), 0)::DECIMAL(18,4)::DOUBLE AS cost FROM orders")
 def usage_left_join_cost(spark, sf_dir):
-    costs = metering.cost_by(line_usage(spark, sf_dir).where("l_partkey % 2 = 0"), "l_orderkey").withColumnRenamed("l_orderkey", "o_orderkey")
+    costs = metering.cost_by(line_usage(spark, sf_dir), "l_orderkey").withColumnRenamed("l_orderkey", "o_orderkey")
     found = metering.with_cost(table(spark, sf_dir, "orders").select("o_orderkey"), costs, "o_orderkey")
     return found.withColumn("cost", F.col("cost").cast("double"))
 
@@ -210,12 +210,37 @@ def document_assembly(spark, sf_dir):
     return metering.assembled(table(spark, sf_dir, "conversations"), "conv_id", "turn")
 
 
-@query()
+SEQUENTIAL_SQL = """WITH RECURSIVE o AS (
+  SELECT o_custkey AS user_id, o_orderkey AS job_id, o_totalprice::DECIMAL(18,4) AS cost, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders
+), b AS (
+  SELECT user_id, job_id, cost, r, cost <= 500000 AS accepted, (CASE WHEN cost <= 500000 THEN 500000 - cost ELSE 500000 END)::DECIMAL(18,4) AS balance FROM o WHERE r = 1
+  UNION ALL
+  SELECT o.user_id, o.job_id, o.cost, o.r, o.cost <= b.balance, (CASE WHEN o.cost <= b.balance THEN b.balance - o.cost ELSE b.balance END)::DECIMAL(18,4) FROM b JOIN o ON o.user_id = b.user_id AND o.r = b.r + 1
+)
+SELECT user_id, job_id, cost::DOUBLE AS cost, accepted, balance::DOUBLE AS balance FROM b JOIN customer ON c_custkey = user_id"""
+
+
+@query(SEQUENTIAL_SQL)
 def sequential_charge(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     rows = orders.select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("ord"), F.col("o_totalprice").cast("decimal(18,4)").alias("cost"))
     balances = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("500000").cast("decimal(18,4)").alias("balance"))
-    return metering.sequential_charge(rows, balances)
+    found = metering.sequential_charge(rows, balances)
+    return found.withColumns({"cost": F.col("cost").cast("double"), "balance": F.col("balance").cast("double")})
+
+
+@query("WITH r AS (SELECT p_type AS model_type, p_name AS model_name, p_retailprice AS rate FROM (SELECT *, row_number() OVER (PARTITION BY p_type, p_name ORDER BY p_partkey) AS k FROM part) WHERE k = 1) SELECT model_type, model_name, CASE WHEN length(model_name) % 2 = 0 THEN rate * 2 ELSE rate END AS rate, length(model_name) % 4 <> 0 AS is_active FROM r")
+def rates_set(spark, sf_dir):
+    """Rates of all models, then changes to every other one: twice the rate, and a part is no longer offered."""
+    rates = curate.keep_first(table(spark, sf_dir, "part"), ["p_type", "p_name"], ["p_partkey"]).select(F.col("p_type").alias("model_type"), F.col("p_name").alias("model_name"), F.col("p_retailprice").alias("rate"), F.lit(True).alias("is_active"))
+    even = rates.where(F.length("model_name") % 2 == 0)
+    return metering.set_rates(rates, even.withColumn("rate", F.col("rate") * 2).withColumn("is_active", F.length("model_name") % 4 != 0))
+
+
+@query("SELECT c_custkey AS user_id, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment ELSE 'FREE' END AS tier, CASE c_mktsegment WHEN 'BUILDING' THEN 10 WHEN 'MACHINERY' THEN 30 ELSE 0 END AS price, CASE c_mktsegment WHEN 'BUILDING' THEN 1000 WHEN 'MACHINERY' THEN 5000 ELSE 50 END AS credits FROM customer")
+def tiers_of_users(spark, sf_dir):
+    tiers = spark.createDataFrame([("FREE", 0, 50), ("BUILDING", 10, 1000), ("MACHINERY", 30, 5000)], "tier string, price int, credits int")
+    return metering.with_tier(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("tier")), tiers)
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -225,14 +250,90 @@ def stream_usage_tumbling(spark, sf_dir):
     return found.withColumn("total", F.round("total", 4))
 
 
+@query("WITH x AS (SELECT *, unnest([0, 1, 2, 3]) AS k FROM events) SELECT time_bucket(INTERVAL '15 minutes', ts) - k * INTERVAL '15 minutes' AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM x GROUP BY ALL")
+def stream_usage_sliding(spark, sf_dir):
+    """Windows of an hour that begin every quarter of an hour."""
+    found = jobs.usage_windows(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), slide="15 minutes")
+    return found.withColumn("total", F.round("total", 4))
+
+
+@query("WITH x AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER w + INTERVAL '30 minutes', true)::INT AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS \"end\", count(*) AS n FROM y GROUP BY user_id, s")
+def stream_usage_sessions(spark, sf_dir):
+    return jobs.usage_sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@query("SELECT '{\"job_id\":' || o_orderkey || ',\"step\":' || step || ',\"status\":\"' || ['queued', 'processing', s][step + 1] || '\",\"progress\":' || [0, 50, 100][step + 1] || '}' AS value FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'completed' END AS s, unnest([0, 1, 2]) AS step FROM orders)")
+def progress_events(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", "failed").otherwise("completed")
+    return jobs.progress_events(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), status.alias("status")))
+
+
+@query("SELECT id, row_number() OVER (ORDER BY md5('42|' || id)) - 1 AS position FROM c")
+def shuffle_rows(spark, sf_dir):
+    return curate.shuffled(corpus(spark, sf_dir).select("id"), 42)
+
+
+@query("SELECT count(*) AS rows, count(*) AS ids, count(*) AS well_formed FROM c")
+def random_row_ids(spark, sf_dir):
+    found = curate.random_ids(corpus(spark, sf_dir).select("text"), "id")
+    shape = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    return found.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"), F.count_if(F.col("id").rlike(shape)).alias("well_formed"))
+
+
+@query("WITH x AS (SELECT source, label, round(count(*) / sum(count(*)) OVER (PARTITION BY source), 6) AS share FROM c GROUP BY source, label) SELECT source, string_agg(label, ' > ' ORDER BY share DESC, label) AS ranked, max(share) AS most FROM x GROUP BY source")
+def scores_sorted(spark, sf_dir):
+    """Each source's labels by their shares, the highest first."""
+    counts = corpus(spark, sf_dir).groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("m"), F.sum("n").alias("all"))
+    scores = whole.select("source", F.transform_values("m", lambda k, v: F.round(v / F.col("all"), 6)).alias("scores"))
+    ranked = scores.select("source", ml.ranked_scores("scores").alias("r"))
+    return ranked.select("source", F.array_join("r.key", " > ").alias("ranked"), F.get("r.value", F.lit(0)).alias("most"))
+
+
 # models
 
+HEAD = [[((i * 7 + k * 3) % 11 - 5) / 10 for k in range(64)] for i in range(3)]
+HEAD_SQL = ", ".join(f"exp(list_inner_product(embedding::DOUBLE[], {row}::DOUBLE[])) AS e{i}" for i, row in enumerate(HEAD))
 
-@query()
+
+@query(f"WITH x AS (SELECT vec_id, {HEAD_SQL} FROM embeddings) SELECT vec_id, round(e0 / (e0 + e1 + e2), 6) AS score0, round(e1 / (e0 + e1 + e2), 6) AS score1, round(e2 / (e0 + e1 + e2), 6) AS score2, CASE WHEN e0 >= e1 AND e0 >= e2 THEN 0 WHEN e1 >= e2 THEN 1 ELSE 2 END AS best FROM x")
 def head_softmax(spark, sf_dir):
-    weights = [[((i * 7 + k * 3) % 11 - 5) / 10 for k in range(64)] for i in range(3)]
-    found = vectors.head_scores("embedding", weights)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(found, lambda x: F.round(x, 6)).alias("scores"), vectors.argmax(found).alias("best"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", vectors.head_scores("embedding", HEAD).alias("s"))
+    return rows.select("vec_id", *[F.round(F.get("s", F.lit(i)), 6).alias(f"score{i}") for i in range(3)], vectors.argmax("s").alias("best"))
+
+
+@query("WITH h AS (SELECT label::VARCHAR AS label, (row_number() OVER (ORDER BY label::VARCHAR) - 1)::INT AS id, 0.5::DOUBLE AS first, 64 AS size FROM (SELECT DISTINCT label FROM embeddings)), n AS (SELECT DISTINCT lang AS label FROM documents) SELECT * FROM h UNION ALL SELECT label, ((SELECT max(id) FROM h) + row_number() OVER (ORDER BY label))::INT, 0, 64 FROM n")
+def extend_head(spark, sf_dir):
+    """A head for the vectors' labels gets rows of zeros for the languages."""
+    labels = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("label")).distinct()
+    none = spark.createDataFrame([], "label string, id int")
+    head = curate.label_ids(none, labels.withColumn("position", F.col("label"))).withColumn("weights", F.array_repeat(F.lit(0.5), 64))
+    new = corpus(spark, sf_dir).select("label").distinct().withColumn("position", F.col("label"))
+    return ml.extended_head(head, new).select("label", "id", F.get("weights", F.lit(0)).alias("first"), F.size("weights").alias("size"))
+
+
+@query()
+def predict_proba(spark, sf_dir):
+    """Held-out documents with their label and its probability, and the sum of all probabilities."""
+    rows = curate.stratified_split(corpus(spark, sf_dir).select("id", "text", "label"), 0.9, 42)
+    train = rows.where("split = 'train'")
+    model = ml.fit_labels(train, ml.char_features(train, 1, 2, 1000), 1, 2, steps=20)
+    found = ml.predictions(model, rows.where("split = 'test'"), 1, 2)
+    best = vectors.best_entry("probabilities")
+    total = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda s, x: s + x)
+    return found.select("id", "label", "predicted_label", best["value"].alias("probability"), F.round(total, 6).alias("total"))
+
+
+@query()
+def word2vec_lr(spark, sf_dir):
+    """Held-out accuracy of mean word vectors and logistic regression."""
+    rows = curate.stratified_split(corpus(spark, sf_dir).select("id", "text", "label"), 0.9, 42)
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    words = ml.word_vectors(train)
+    index = ml.StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc").fit(train)
+    featured = lambda d: index.transform(words.transform(d.withColumn("words", X.words("text"))))
+    model = ml.LogisticRegression(featuresCol="features", labelCol="label_index", family="multinomial", maxIter=50).fit(featured(train))
+    return metrics.accuracy(model.transform(featured(test)), true="label_index", pred="prediction")
 
 
 @query()
@@ -241,8 +342,8 @@ def train_char_lr(spark, sf_dir):
     rows = corpus(spark, sf_dir).select("id", "text", "label")
     rows = curate.stratified_split(rows, 0.9, 42)
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
-    model = ml.fit_labels(train, ml.char_features(train, 1, 3, 5000), 1, 3, steps=20)
-    return metrics.accuracy(ml.predictions(model, test, 1, 3), true="label")
+    model = ml.fit_labels(train, ml.char_features(train))
+    return metrics.accuracy(ml.predictions(model, test), true="label")
 
 
 @query()

@@ -37,10 +37,19 @@ def jsonl(spark: SparkSession, path: str, labels: list[str] | None = None, schem
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """number (from 1 in each file), value, file. Line numbers come from whole files, so a file is one task's work."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.split("value", "\r?\n").alias("v"))
-    rows = whole.select("file", F.posexplode("v").alias("p", "value"), F.size("v").alias("n"))
-    return rows.where("not (p = n - 1 and value = '')").select("file", (F.col("p") + 1).cast("long").alias("number"), "value")
+    """file, number (from 1 in each file), value. Large files are read in blocks; the lines of the blocks before give a block's first number."""
+    rows = spark.read.option("lineSep", "\n").text(path)
+    rows = rows.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        F.regexp_replace("value", "\r$", "").alias("value"),
+    )
+    blocks = rows.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("path", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) + 1 - F.col("first")).alias("shift"))
+    return rows.join(starts, ["path", "block"]).select("file", (F.col("at") + F.col("shift")).alias("number"), "value")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -125,10 +134,10 @@ def usfx(spark: SparkSession, path: str) -> DataFrame:
 def book_dirs(spark: SparkSession, path: str) -> DataFrame:
     """book, text and metadata of a tree with a directory for each book; bad bytes are replaced."""
     parent = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path)
+    texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     texts = texts.select(F.url_decode(parent).alias("book"), F.col("value").alias("text"))
     fields = "title string, title_en string, author string, genre string, issued_date string, written_date string, ocr_confidence double"
-    meta = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json").text(path)
+    meta = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="metadata.json")
     meta = meta.select(F.url_decode(parent).alias("book"), F.from_json("value", F.lit(fields)).alias("m")).select("book", "m.*")
     return texts.join(meta, "book", "left")
 
@@ -142,7 +151,7 @@ def book_sentences(books: DataFrame) -> DataFrame:
 
 def json_map(spark: SparkSession, path: str) -> DataFrame:
     """group_id (the file name's first part), id, text of JSON objects from ids to texts."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     group = F.regexp_extract(F.col("_metadata.file_name"), r"^([^_.]+)", 1)
     return whole.select(group.alias("group_id"), F.explode(F.from_json("value", F.lit("map<string,string>"))).alias("id", "text"))
 

@@ -27,7 +27,8 @@ def segmented(jobs: DataFrame, strategies: tuple[str, ...] = ("sentence", "parag
 def run_jobs(jobs: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
     """Segment and score each micro-batch and append segments and job states below out.
 
-    A batch is written under its number, so a batch that is repeated after a failure replaces itself.
+    Each job's states also go out as events, one JSON object a line. A batch is written under its number, so a batch that is
+    repeated after a failure replaces itself.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
@@ -35,6 +36,7 @@ def run_jobs(jobs: DataFrame, score: Callable[[DataFrame], DataFrame], out: str,
         done.write.mode("overwrite").parquet(f"{out}/segments/batch={number}")
         states = rows.select("job_id", "user_id", "ts", F.when(F.length(X.clean("text")) > 0, "completed").otherwise("failed").alias("status"))
         states.write.mode("overwrite").parquet(f"{out}/states/batch={number}")
+        progress_events(states).write.mode("overwrite").text(f"{out}/events/batch={number}")
 
     return jobs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -44,13 +46,29 @@ def latest_states(spark: SparkSession, out: str) -> DataFrame:
     return states.groupBy("job_id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))
 
 
-def usage_windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """start, event_type, n, total for each window; batch or stream."""
+def progress_events(states: DataFrame) -> DataFrame:
+    """value: a JSON object for each step of a job (job_id, status): queued, processing, and how it ended."""
+    steps = F.array(F.lit("queued"), F.lit("processing"), F.col("status"))
+    rows = states.select("job_id", F.posexplode(steps).alias("step", "status"))
+    done = F.when(F.col("status") == "queued", 0).when(F.col("status") == "processing", 50).otherwise(100)
+    return rows.select(F.to_json(F.struct("job_id", "step", "status", done.alias("progress"))).alias("value"))
+
+
+def usage_windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
+    """start, event_type, n, total for each window; batch or stream. With slide a window begins that often, else when the last one ends."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
-    counted = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    window = F.window("ts", width, slide) if slide else F.window("ts", width)
+    counted = rows.groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return counted.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+def usage_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """user_id, start, end, n of each session: events of a user that follow one another within the gap; batch or stream."""
+    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    counted = rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
 def distinct_annotations(annotations: DataFrame, late: str = "1 day") -> DataFrame:
     """One annotation for each segment and user."""
     if annotations.isStreaming:
@@ -61,7 +79,8 @@ def distinct_annotations(annotations: DataFrame, late: str = "1 day") -> DataFra
 def charged(jobs: DataFrame, start: str = "1000") -> DataFrame:
     """user_id, job_id, accepted, balance: jobs (user_id, job_id, cost, ts) against each user's balance, kept as state.
 
-    Within a micro-batch a user's jobs go in order of time; a job that costs more than the balance is free and rejected.
+    Within a micro-batch a user's jobs go in order of time; a job that costs more than the balance is free and rejected. A
+    balance depends on all jobs before, so one user's jobs of a micro-batch are one task's work and cannot be salted.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

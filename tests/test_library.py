@@ -31,6 +31,7 @@ def one(spark, column, value):
         (X.strip_join_marker, "ab<psiX>c<PSI>d", "abcd"),
         (X.normalise_words, SINHALA + " Ab, 12\nc", "කර ab c"),
         (X.strip_wiki, "{{x}}a [[b|c]] <ref>d</ref>[http://e.org f] <b>g</b>", "a c f g"),
+        (X.strip_wiki, "{{a|{{b|{{c}} x}} y}}one {{d}}[[two]] <!-- {{ -->'''three''' <ref name=x/>[https://e.org]\n== Four ==\nfive {not six}", "one two three Four five {not six}"),
         (X.snippet, "x" * 41, "x" * 40 + "..."),
         (X.split_eos, "a<eos>b. c? d", ["a", "b.", "c?", "d"]),
         (X.split_danda, "a। b॥", ["a", "b"]),
@@ -73,7 +74,6 @@ def test_vectors(spark):
     scores = df.select(F.create_map(F.lit("b"), F.lit(0.5), F.lit("a"), F.lit(0.5)).alias("m")).select(vectors.best_entry("m").alias("b")).first().b
     assert (scores.key, scores.value) == ("a", 0.5)
     assert df.select(vectors.mean_vector(F.array("v", F.array(F.lit(3.0), F.lit(0.0))), 2)).first()[0] == [2.0, 1.0]
-    assert ml.extended_head([[1.0, 2.0]], 2) == [[1.0, 2.0], [0.0, 0.0], [0.0, 0.0]]
 
 
 @pytest.mark.parametrize(("groups", "want"), [(1, {"train": 1}), (2, {"train": 2}), (3, {"train": 1, "val": 1, "test": 1}), (5, {"train": 3, "val": 1, "test": 1}), (10, {"train": 8, "val": 1, "test": 1})])
@@ -129,6 +129,10 @@ def test_readers(spark, tmp_path):
     put("books/My Book/metadata.json", json.dumps({"title": "T", "ocr_confidence": 0.5}))
     books = readers.book_dirs(spark, str(tmp_path / "books"))
     assert books.first().title == "T" and [tuple(r)[:2] for r in readers.book_sentences(books).collect()] == [("My_Book_00000", "ab"), ("My_Book_00001", "c."), ("My_Book_00002", "d")]
+    put("books/Other/Other.txt", "one.\ntwo\nthree<eos>four\nfive")
+    put("books/Other/metadata.json", json.dumps({"title": "O", "author": "X"}, indent=2))
+    other = readers.book_dirs(spark, str(tmp_path / "books")).where("book = 'Other'").collect()
+    assert [(r.title, r.author, r.text) for r in other] == [("O", "X", "one.\ntwo\nthree<eos>four\nfive")]
     blocks = put("b.txt", "# id = a.b.1\nx\t1\ny\t2\n\n# id = a.b.2\nz\t3\n")
     assert sorted(tuple(r) for r in readers.block_annotated(spark, blocks).collect()) == [("a.b.1", "x y"), ("a.b.2", "z")]
     matrix = put("m.bin", struct.pack("<qq6f", 2, 3, *range(6)))
@@ -144,11 +148,49 @@ def test_readers(spark, tmp_path):
     wiki = put("w.xml", "<mediawiki><page><title>T</title><revision><text>a [[b]]</text></revision></page></mediawiki>")
     assert tuple(readers.mediawiki(spark, wiki).first()) == ("T", "a b")
     assert readers.json_map(spark, put("mn1_x.json", '{"s1": "t1", "s2": "t2"}')).count() == 2
+    assert sorted(tuple(r) for r in readers.json_map(spark, put("mn2_y.json", '{\n  "s1": "t1",\n  "s2": "t\\n2"\n}\n')).collect()) == [("mn2", "s1", "t1"), ("mn2", "s2", "t\n2")]
     assert readers.existing(spark, [csv, "/nowhere"], lambda p: readers.text_lines(spark, p)).count() == 3
     with pytest.raises(ValueError):
         readers.existing(spark, ["/nowhere"], None)
 
 
+def test_line_numbers_of_files_in_blocks(spark, tmp_path):
+    held = {"a.txt": [f"line {i} " + "x" * (i % 50) for i in range(4000)], "b.txt": ["only"], "c.txt": ["x", "", "y"]}
+    for name, lines in held.items():
+        (tmp_path / name).write_bytes("\r\n".join(lines).encode() + (b"\n" if name != "c.txt" else b""))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        rows = readers.lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 4004
+    for name, lines in held.items():
+        assert sorted((r.number, r.value) for r in rows if r.file == name) == list(enumerate(lines, 1))
+
+
+def test_heads_rates_and_scores(spark):
+    head = spark.createDataFrame([("a", 0, [1.0, 2.0])], "label string, id int, weights array<double>")
+    new = spark.createDataFrame([("c", 2), ("b", 1), ("a", 0)], "label string, position int")
+    assert sorted((r.id, r.label, r.weights) for r in ml.extended_head(head, new).collect()) == [(0, "a", [1.0, 2.0]), (1, "b", [0.0, 0.0]), (2, "c", [0.0, 0.0])]
+    rates = spark.createDataFrame([("t", "m1", 1.0, True), ("t", "m2", 2.0, True)], "model_type string, model_name string, rate double, is_active boolean")
+    changes = spark.createDataFrame([("t", "m2", None, False), ("t", "m3", 3.0, None)], "model_type string, model_name string, rate double, is_active boolean")
+    assert sorted(tuple(r) for r in metering.set_rates(rates, changes).collect()) == [("t", "m1", 1.0, True), ("t", "m2", 2.0, False), ("t", "m3", 3.0, True)]
+    assert sorted(r.model_name for r in metering.active_rates(metering.set_rates(rates, changes), "t").collect()) == ["m1", "m3"]
+    scores = spark.sql("SELECT map('a', 0.2D, 'c', 0.4D, 'b', 0.4D) AS m").select(ml.ranked_scores("m").alias("r")).first().r
+    assert [(x.key, x.value) for x in scores] == [("b", 0.4), ("c", 0.4), ("a", 0.2)]
+
+
+def test_issues_of_a_bad_corpus(spark):
+    rows = [(1, "a", "l1", "s", "g", "train"), (1, "a", "l2", "s", "g", "test"), (2, " ", "l1", "s", "h", "train"), (3, "ß long enough text", "l1", "s", "i", "val")]
+    df = spark.createDataFrame(rows, "id long, text string, label string, source string, group_id string, split string")
+    found = audit.issues(df, "ß-ß").first()
+    assert found.issues == ["ERROR: leaking 1", "ERROR: contradictory 1", "ERROR: repeated_ids 1", "WARN: blank 1", "WARN: short 3", "INFO: no_script 3"]
+    suite = {r["check"]: r["value"] for r in audit.suite(df, ("train", "val", "test"), "ß-ß").collect()}
+    assert suite["groups_in_train_test"] == 1 and suite["groups_in_train_val"] == 0 and suite["leaking"] == 1
+    assert json.loads(audit.report_json(df, "ß-ß").first().report)["blank"] == 1
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("a\nb", "x"), ("c", "y")], "text string, label string")
     writers.training_lines(df, str(tmp_path / "t"))
@@ -201,6 +243,16 @@ def test_streams(spark, tmp_path):
     query.awaitTermination(60)
     assert {r.job_id: r.status for r in jobs.latest_states(spark, str(tmp_path / "out")).collect()} == {1: "completed", 2: "failed"}
     assert spark.read.parquet(str(tmp_path / "out/segments")).count() == 2
+    events = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out/events")).collect()]
+    assert sorted((e["job_id"], e["step"], e["status"]) for e in events) == [(1, 0, "queued"), (1, 1, "processing"), (1, 2, "completed"), (2, 0, "queued"), (2, 1, "processing"), (2, 2, "failed")]
+    at = str(tmp_path / "ev")
+    spark.createDataFrame([(1, 1.0, "2024-01-01 00:00:00"), (1, 2.0, "2024-01-01 00:20:00"), (1, 4.0, "2024-01-01 09:00:00")], "user_id long, value double, ts string").selectExpr("user_id", "'x' AS event_type", "value", "CAST(ts AS timestamp) AS ts").coalesce(1).write.parquet(at)
+    stream = spark.readStream.schema(spark.read.parquet(at).schema).parquet(at)
+    for name, frame in (("sliding", jobs.usage_windows(stream, slide="30 minutes")), ("sessions", jobs.usage_sessions(stream))):
+        query = frame.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+        query.awaitTermination(60)
+    assert sorted(r.n for r in spark.sql("SELECT n FROM sessions").collect()) == [1, 2]
+    assert spark.sql("SELECT sum(n) AS n FROM sliding").first().n == 6
     costs = work.select("user_id", "job_id", F.lit("600").cast("decimal(18,4)").alias("cost"), "ts")
     costs.write.parquet(str(tmp_path / "costs"))
     charged = jobs.charged(spark.readStream.schema(costs.schema).parquet(str(tmp_path / "costs")))
