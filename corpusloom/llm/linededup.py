@@ -509,8 +509,9 @@ def remove_repeated_lines(docs: DataFrame, removed: str | None = None) -> DataFr
     """The rows with their repeated lines taken out of text; removed: a further column that tells how many went."""
     gone = write_table(repeated_lines(keyed(docs)), "gone").groupBy("doc", "tag").agg(F.sort_array(F.collect_list("line")).alias("gone"))
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("tag"))
-    joined = rows.join(gone, ["doc", "tag"], "left").withColumn("lines", F.split(F.col("row.text"), "\n"))
-    kept = F.expr(r"array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> get(lines, i)), '\n')")
+    joined = rows.join(gone, ["doc", "tag"], "left")
+    # only texts that lose lines are split, once each
+    kept = F.expr(r"get(transform(array(split(row.text, '\n')), lines -> array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> get(lines, i)), '\n')), 0)")
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
     columns = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
     number = [] if removed is None else [F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(removed)]

@@ -10,7 +10,8 @@ Twenty bands of five registers name candidates (a pair of similarity 0.8 is miss
 band's bucket are first held against its least one; then, over the components found so far, each meets ever more of
 those in other components, until none are left. Such pairs are ruled out by their sizes and by 1024 bits that tell of
 odd numbers of copies: two multisets differ in no fewer copies than bits. The others are verified by the overlap of
-their multisets.
+their multisets. A large bucket is dealt into parts, and the nodes outside its largest component visit all parts, so no
+task holds a bucket and what is shipped grows with the nodes that are still apart.
 
 Equal texts are one node. Classes are the components of the verified pairs.
 
@@ -39,8 +40,8 @@ REGISTERS = BANDS * ROWS
 ODD_WORDS, TOGETHER = 16, 20_000
 #: Possible partners of a node in a bucket that are verified first, and by how many times more in each later round.
 FIRST_ROUND, GROWTH = 1, 16
-#: Nodes of a bucket that are held in memory at a time.
-HEAD = 50_000
+#: Nodes of a bucket that are held in memory at a time, and nodes of a part of a bucket.
+HEAD, SPLIT = 50_000, 20_000
 SEEN = 100_000
 U = np.uint64
 
@@ -218,7 +219,7 @@ def together(batches):
     held, n = [], 0
 
     def out():
-        columns = {c: np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("key", "node", "root", "size")}
+        columns = {c: np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("key", "part", "guest", "node", "root", "size")}
         return columns | {"odd": np.frombuffer(b"".join(x for b in held for x in b.column("odd").to_pylist()), U).reshape(-1, ODD_WORDS)}
 
     for batch in batches:
@@ -232,11 +233,12 @@ def together(batches):
 
 
 def cross_pairs(buckets: DataFrame, nodes: DataFrame, most: int, least: float, segment: int = 0) -> DataFrame:
-    """a, b of a bucket (key, node, root): each node with the first nodes before it that have another root and may be
-    alike, at most so many. Where there are more, a row with a null tells so (more true); where nodes of the bucket lie
-    beyond the segment of HEAD nodes that is held, one with more false.
+    """a, b of a bucket's part (key, part, node, root, guest): each node with the first nodes before it that have another root and
+    may be alike, at most so many. Guests from other parts come last and are nobody's partners. Where there are more, a row
+    with a null tells so (more true); where nodes of the part lie beyond the segment of HEAD nodes that is held, one with
+    more false.
     """
-    limit, floor, names = (1 - least) / (1 + least) + 1e-9, segment * HEAD, ("key", "node", "root", "size", "odd")
+    limit, floor, names = (1 - least) / (1 + least) + 1e-9, segment * HEAD, ("key", "part", "guest", "node", "root", "size", "odd")
 
     def row(a, b, key, more):
         n = len(b)
@@ -245,60 +247,74 @@ def cross_pairs(buckets: DataFrame, nodes: DataFrame, most: int, least: float, s
     def run(batches):
         head, seen, held = None, 0, None
         for new in together(batches):
-            key = new["key"]
-            on = held is not None and key[0] == held  # the chunk goes on with a bucket
-            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            key, part, host = new["key"], new["part"], new["guest"] == 0
+            on = held is not None and (key[0], part[0]) == held  # the chunk goes on with a part
+            begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
             lengths = np.diff(np.append(begin, len(key)))
-            rank = np.arange(len(key)) - np.repeat(begin, lengths)
+            before = np.cumsum(host) - host
+            rank = before - np.repeat(before[begin], lengths)
             if on:
                 rank[: lengths[0]] += seen
             h = len(head["key"]) if on else 0
-            pool = {c: np.concatenate([head[c], new[c]]) for c in names} if h else new
-            # where the segment of a row's bucket begins in the pool
-            start = h + begin + floor
+            hosts = new if host.all() else {c: new[c][host] for c in names}
+            pool = {c: np.concatenate([head[c], hosts[c]]) for c in names} if h else hosts
+            # where the segment of a row's part begins in the pool
+            start = h + before[begin] + floor
             if on:
                 start[0] = 0 if h else floor - seen
             start = np.repeat(start, lengths)
             partners = np.minimum(rank - floor, HEAD)
-            node, root, size, odd = (pool[c] for c in names[1:])
+            (node, root, size, odd), (node_, root_, size_, odd_) = ([c[x] for x in names[3:]] for c in (new, pool))
             passed, k = np.zeros(len(key), np.int64), 0
             x = np.flatnonzero(partners > 0)
             while len(x := x[partners[x] > k]):
-                z = x[root[x + h] != root[start[x] + k]]
-                y, w = start[z] + k, z + h
-                good = np.bitwise_count(odd[w] ^ odd[y]).sum(axis=1, dtype=np.int64) <= limit * (size[w] + size[y])
+                z = x[root[x] != root_[start[x] + k]]
+                y = start[z] + k
+                good = np.bitwise_count(odd[z] ^ odd_[y]).sum(axis=1, dtype=np.int64) <= limit * (size[z] + size_[y])
                 if good.any():
                     z, y = z[good], y[good]
                     use, end = passed[z] < most, passed[z] >= most
                     if use.any():
-                        yield row(node[y[use]], node[z[use] + h], key[z[use]], None)
+                        one, two = node_[y[use]], node[z[use]]
+                        yield row(np.minimum(one, two), np.maximum(one, two), key[z[use]], None)
                     if end.any():
-                        yield row(None, node[z[end] + h], key[z[end]], True)
+                        yield row(None, node[z[end]], key[z[end]], True)
                     passed[z] += 1
                     x = x[passed[x] <= most]
                 k += 1
             beyond = np.flatnonzero(rank >= floor + HEAD)
             if len(beyond):
-                yield row(None, node[beyond + h], key[beyond], False)
+                yield row(None, node[beyond], key[beyond], False)
             at = begin[-1]
-            mine = slice(at + max(0, floor - int(rank[at])), None)
+            mine = slice(int(before[at]) + max(0, floor - int(rank[at])), None)
             stays = on and len(begin) == 1
-            tail = {c: new[c][mine] for c in names}
+            tail = {c: hosts[c][mine] for c in names}
             head = {c: (np.concatenate([head[c], tail[c]]) if stays else tail[c])[:HEAD].copy() for c in names}
-            seen, held = int(rank[-1]) + 1, key[-1]
+            seen, held = int(rank[-1]) + int(host[-1]), (key[-1], part[-1])
 
     parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = buckets.select("key", "node", "root").join(nodes.select("node", "size", "odd"), "node")
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, key long, more boolean")
+    rows = buckets.select("key", "part", "guest", "node", "root").join(nodes.select("node", "size", "odd"), "node")
+    return rows.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "guest", "node").mapInArrow(run, "a long, b long, key long, more boolean")
 
 
 def mixed_keys(buckets: DataFrame, roots: DataFrame, among: DataFrame | None = None) -> DataFrame:
-    """Rows (key, node, root) of the buckets that hold nodes of several components; among: the keys looked at."""
+    """Rows (key, part, guest, node, root) of the buckets that hold nodes of several components; among: the keys looked at.
+
+    A node has a row in its own part of the bucket, and one as a guest in each other part if it is outside the bucket's
+    largest component.
+    """
+    if "guest" in buckets.columns:
+        buckets = buckets.where("guest = 0")
     rows = buckets.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    several = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = counts.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.ceil(F.sum("n") / SPLIT).cast("int").alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main"))
+    several = several.where("roots > 1").select("key", "parts", "main")
     if among is not None:
         several = several.join(among, "key")
-    return write_table(rows.join(several, "key", "left_semi"), "buckets")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    visits = F.when(F.col("root") != F.col("main"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))
+    dealt = rows.join(several, "key").withColumn("own", own).select("key", "node", "root", "own", F.explode(visits).alias("part"))
+    return write_table(dealt.select("key", "part", (F.col("part") != F.col("own")).cast("int").alias("guest"), "node", "root"), "buckets")
 
 
 def links(rows: DataFrame, nodes: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:

@@ -77,9 +77,10 @@ def variants(rng, words, base, n):
         yield " ".join(text)
 
 
-@pytest.mark.parametrize("held", [1000, 3])
-def test_groups_equal_brute_force(spark, monkeypatch, held):
+@pytest.mark.parametrize(("held", "split"), [(1000, 20_000), (3, 20_000), (1000, 4), (3, 5)])
+def test_groups_equal_brute_force(spark, monkeypatch, held, split):
     monkeypatch.setattr(minhash, "HEAD", held)
+    monkeypatch.setattr(minhash, "SPLIT", split)
     monkeypatch.setattr(minhash, "TOGETHER", 50)
     rng = random.Random(11)
     words = [f"w{i}" for i in range(500)]
@@ -89,6 +90,23 @@ def test_groups_equal_brute_force(spark, monkeypatch, held):
     assert found == brute(docs)
 
 
+def test_recall_of_pairs_just_above_the_limit(spark):
+    """Pairs of similarity 0.8 to 0.83, each a class of its own: at least 0.95 of them are found (in fact nearly all)."""
+    rng, docs, pairs = random.Random(12), [], 0
+    while pairs < 300:
+        base = [f"p{pairs}w{i}" for i in range(rng.randint(120, 300))]
+        text = list(base)
+        for _ in range(rng.randint(2, 8)):
+            text[rng.randrange(len(text))] = f"x{rng.random()}"
+        a, b = bag(" ".join(base)), bag(" ".join(text))
+        if 0.8 <= sum((a & b).values()) / sum((a | b).values()) <= 0.83:
+            docs += [(2 * pairs, " ".join(base)), (2 * pairs + 1, " ".join(text))]
+            pairs += 1
+    found = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    recall = sum(found[2 * k + 1] == 2 * k for k in range(pairs)) / pairs
+    assert recall >= 0.95 and all(c // 2 == i // 2 for i, c in found.items())
+
+
 def test_cases(spark):
     rows = [(1, None, 7), (2, "", 7), (3, "a b", 7), (4, "A B", 7), (5, "word " * 9000, 7), (6, "word " * 8999, 7), (7, " ", 7), (3, "a b", 7), (9, "other text of some six words", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, node int")
