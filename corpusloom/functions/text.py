@@ -109,7 +109,7 @@ def split_eos(text: Column | str) -> Column:
     chunks = F.split(col(text), "<eos>")
     tail = F.split(F.element_at(chunks, -1), r"(?<=[.?!।])\s+")
     found = F.concat(F.slice(chunks, 1, F.size(chunks) - 1), tail)
-    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(found, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
 def paragraphs(text: Column | str) -> Column:
