@@ -4,7 +4,11 @@ import json
 import os
 import random
 import re
+import shutil
 import struct
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from corpusloom.functions import text as X
@@ -259,3 +263,19 @@ def test_streams(spark, tmp_path):
     query = charged.writeStream.format("memory").queryName("charged").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert [r.accepted for r in spark.sql("SELECT accepted FROM charged ORDER BY job_id").collect()] == [True, False]
+
+
+def test_entry_without_the_optional_part(tmp_path):
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "corpusloom", tmp_path / "corpusloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    ask = [sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries(), len(e.oracle_sql()))"]
+    here = os.environ | {"PYTHONPATH": str(tmp_path)}
+    found = subprocess.run(ask, cwd=tmp_path, env=here, capture_output=True, text=True)
+    from corpusloom import catalogue
+
+    assert found.stdout.split() == [str(len(catalogue.QUERIES)), "False", str(len(catalogue.ORACLE_SQL))], found.stderr
+    # a part that is there but lacks a module of its own is an error
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module\n")
+    broken = subprocess.run(ask, cwd=tmp_path, env=here, capture_output=True, text=True)
+    assert broken.returncode and "no_such_module" in broken.stderr
