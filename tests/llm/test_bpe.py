@@ -30,6 +30,14 @@ def test_segment_tree_equals_library(samples):
         assert own.decode(ids) == library.library.decode(ids.tolist(), skip_special_tokens=False)
 
 
+def test_long_pieces_equal_library():
+    rng, own, library = random.Random(8), bpe.SegmentTreeBpe(), Encoder("word")
+    for piece in ("a" * 100_000, "".join(rng.choice("aeionrst") for _ in range(100_000))):
+        ids = own.encode(piece)
+        assert ids.tobytes() == library.whole(piece)
+        assert own.decode(ids) == library.library.decode(ids.tolist(), skip_special_tokens=False)
+
+
 def test_query_cases(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "Hello world", "x"), (4, "Hello world", "y"), (None, "a", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
