@@ -43,6 +43,8 @@ def split_intersections(df: DataFrame, splits: tuple[str, ...], group: str = "gr
 
 
 def length_stats(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Least, mean, exact median and most characters and words by key. An exact median holds each key's distinct lengths, which are
+    as few as the longest text is long."""
     chars, words = F.length(text), X.word_count(text)
     stats = [
         f(c).cast("double" if name not in ("min", "max") else "long").alias(f"{name}_{unit}")

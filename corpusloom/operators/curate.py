@@ -37,9 +37,12 @@ def contradictions(df: DataFrame, text: str = "text", label: str = "label") -> D
 def resolve_contradictions(df: DataFrame, core: list[str], text: str = "text", label: str = "label") -> DataFrame:
     """Texts under several core labels go; under one core label and others, only the core rows stay."""
     is_core = F.col(label).isin(core)
-    labels = df.groupBy(text).agg(F.count_distinct(F.when(is_core, F.col(label))).alias("_core"))
+    # 128 bits of a text stand for it, so that texts aren't shuffled twice
+    df = df.withColumn("_digest", F.md5(text))
+    labels = df.groupBy("_digest").agg(F.count_distinct(F.when(is_core, F.col(label))).alias("_core"))
     several = labels.where("_core > 0")
-    joined = df.join(several, text, "left").withColumn("_core", F.coalesce("_core", F.lit(0)))
+    joined = df.join(several, "_digest", "left").withColumn("_core", F.coalesce("_core", F.lit(0))).drop("_digest")
+    df = df.drop("_digest")
     return joined.where((F.col("_core") == 0) | ((F.col("_core") == 1) & is_core)).select(*df.columns)
 
 
@@ -158,8 +161,9 @@ def replace_rows(df: DataFrame, gone: Column, new: DataFrame) -> DataFrame:
 def drop_mask(df: DataFrame, core: list[str], script: str, least: int, text: str = "text", label: str = "label") -> DataFrame:
     """Adds drop: contradictory among core labels, or non-core where a core label has the text, or without the script, or short."""
     is_core = F.col(label).isin(core)
-    counts = df.groupBy(text).agg(F.count_distinct(F.when(is_core, F.col(label))).alias("_core"), F.count_distinct(label).alias("_labels"))
-    rows = df.join(counts, text, "left")
+    digest = df.withColumn("_digest", F.md5(text))
+    counts = digest.groupBy("_digest").agg(F.count_distinct(F.when(is_core, F.col(label))).alias("_core"), F.count_distinct(label).alias("_labels"))
+    rows = digest.join(counts, "_digest", "left")
     core_labels = F.coalesce("_core", F.lit(0))
     drop = (core_labels > 1) | ((F.col("_labels") > 1) & (core_labels == 1) & ~is_core) | ~X.has_script(text, script) | (F.length(text) < least)
     return rows.withColumn("drop", F.coalesce(drop, F.lit(True))).select(*df.columns, "drop")
