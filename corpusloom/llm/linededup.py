@@ -491,7 +491,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
             if small is None:
                 small = write_table(emitted(docs, known, repeated, bit_filter(open_, "word")), "index")
             flags = open_.select("class").distinct().withColumn("open", F.lit(1))
-            rows = small.join(flags, "class", "left").withColumn("open", F.coalesce("open", F.lit(0)))
+            words = open_.select("word").distinct()
+            rows = small.join(words, F.shiftright(small["key"], RANK_BITS) == words["word"], "left_semi")
+            rows = rows.join(flags, "class", "left").withColumn("open", F.coalesce("open", F.lit(0)))
             low, high = high, min(high * GROWTH, high + MOST_AT_ONCE)
         beyond = write_table(beyond if gone is None else beyond.join(gone, "class", "left_anti"), "beyond")
         if beyond.isEmpty():

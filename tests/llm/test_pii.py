@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -126,3 +127,26 @@ def test_query_is_distinct_and_consistent(spark):
         for a, b in zip(old, new, strict=True):
             assert a[2] == b[2] and mapped.setdefault(a[2:], b[3]) == b[3]
     assert len(set(mapped.values())) == len(mapped) and not {v for _, v in mapped} & set(mapped.values())
+
+
+def test_planted_entities_equal_brute_force(spark):
+    """Texts made from templates with known entities: what stands between them stays, and each value has one surrogate of its own."""
+    rng = random.Random(9)
+    values = [f"{a}.{rng.randint(1, 99)}@mail{k}.example.org" for k, a in enumerate("anna boris cleo dora emil".split())]
+    values += [f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}" for _ in range(5)] + [f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}" for _ in range(5)]
+    values += [f"{rng.randint(11, 250)}.{rng.randint(1, 250)}.{rng.randint(1, 250)}.{rng.randint(1, 250)}" for _ in range(5)] + ["AKIA" + "".join(rng.choice("ABCDEFGH23456789") for _ in range(16)) for _ in range(3)]
+    rows, made = [], []
+    for i in range(80):
+        held = [rng.choice(values) for _ in range(rng.randint(0, 4))]
+        between = [" ".join(rng.choice(["plain", "words", "été", "слово", "v2", "on 2024-01-02,"]) for _ in range(rng.randint(1, 6))) for _ in range(len(held) + 1)]
+        rows.append((i, " ".join(x for pair in zip(between, [*held, ""], strict=True) for x in pair).rstrip()))
+        made.append((held, between))
+    found = {r.doc_id: r.text for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    mapped = {}
+    for i, (held, between) in enumerate(made):
+        new = re.fullmatch(" (.+?) ".join(map(re.escape, between)), found[i])
+        assert new and len(new.groups()) == len(held), found[i]
+        for old, x in zip(held, new.groups(), strict=True):
+            assert x != old and len(x) == len(old) or "." in old and "@" not in old
+            assert mapped.setdefault(old, x) == x
+    assert len(set(mapped.values())) == len(mapped) and not set(mapped) & set(mapped.values())
