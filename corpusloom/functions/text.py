@@ -1,7 +1,11 @@
-"""Text functions: columns in, columns out, all inside the JVM."""
+"""Text functions: columns in, columns out; all but segment_offsets inside the JVM."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,19 +41,15 @@ def nested(text: Column | str) -> Column:
 #: Markup that goes or gives way to its text: before and after templates, which go from the innermost one on.
 WIKI_FIRST = ((r"(?s)<!--.*?-->", ""), (r"(?s)<ref\b[^>]*?(?:/>|>.*?</ref\s*>)", " "))
 WIKI_TEMPLATE = r"\{\{(?:[^{}]|\{(?!\{)|\}(?!\}))*\}\}"
-WIKI_LAST = (
-    (r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1"),
-    (r"\[\[([^\[\]|]*)\]\]", "$1"),
-    (r"\[(?:https?:)?//[^\s\]]+[ \t]*([^\]]*)\]", "$1"),
-    (r"(?m)^={1,6}[ \t]*(.*?)[ \t]*={1,6}[ \t]*$", "$1"),
-    (r"'{2,5}", ""),
-    (r"<[^>]+>", " "),
-)
+WIKI_PAGES = ((r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1"), (r"\[\[([^\[\]|]*)\]\]", "$1"))
+#: Links to other sites and headings: their words are no running text, so they go unless they are asked for.
+WIKI_SITES, WIKI_HEADINGS = r"\[(?:https?:)?//[^\s\]]+[ \t]*([^\]]*)\]", r"(?m)^={1,6}[ \t]*(.*?)[ \t]*={1,6}[ \t]*$"
+WIKI_LAST = ((r"'{2,5}", ""), (r"<[^>]+>", " "))
 
 
-def strip_wiki(text: Column | str) -> Column:
-    """The text of wiki markup: no comments, references, templates (also in one another) and tags; links, headings and
-    emphasis leave their text."""
+def strip_wiki(text: Column | str, keep: bool = False) -> Column:
+    """The running text of wiki markup: no comments, references, templates (also in one another) and tags; links to pages and
+    emphasis leave their text, headings and links to other sites only with keep."""
 
     def replaced(out: Column, steps: tuple[tuple[str, str], ...]) -> Column:
         for pattern, new in steps:
@@ -60,7 +60,9 @@ def strip_wiki(text: Column | str) -> Column:
         rounds = F.filter(F.sequence(F.lit(0), nested(out)), lambda k: k > 0)
         return F.aggregate(rounds, out, lambda held, _: F.regexp_replace(held, WIKI_TEMPLATE, " "))
 
-    return clean(replaced(bound(replaced(col(text), WIKI_FIRST), without_templates), WIKI_LAST))
+    words = "$1" if keep else " "
+    last = (*WIKI_PAGES, (WIKI_SITES, words), (WIKI_HEADINGS, words), *WIKI_LAST)
+    return clean(replaced(bound(replaced(col(text), WIKI_FIRST), without_templates), last))
 
 
 def strip_join_marker(text: Column | str) -> Column:
@@ -105,11 +107,14 @@ def split_danda(text: Column | str) -> Column:
 
 
 def split_eos(text: Column | str) -> Column:
-    """Parts between <eos> marks; the part after the last mark is split after punctuation instead."""
-    chunks = F.split(col(text), "<eos>")
-    tail = F.split(F.element_at(chunks, -1), r"(?<=[.?!।])\s+")
-    found = F.concat(F.slice(chunks, 1, F.size(chunks) - 1), tail)
-    return F.filter(F.transform(found, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    """Parts between <eos> marks; the part after the last mark is split after punctuation and white space instead."""
+
+    def parted(chunks: Column) -> Column:
+        tail = F.split(F.element_at(chunks, -1), r"(?<=[.?!।॥])" + SPACES)
+        return F.concat(F.slice(chunks, 1, F.size(chunks) - 1), tail)
+
+    found = bound(F.split(col(text), "<eos>"), parted)
+    return F.filter(F.transform(found, lambda x: F.regexp_replace(x, f"^{SPACES}|{SPACES}$", "")), lambda x: x != "")
 
 
 def paragraphs(text: Column | str) -> Column:
@@ -130,20 +135,31 @@ def segments(text: Column | str, strategy: str) -> Column:
     return F.filter(found, lambda x: F.length(clean(x)) > 0)
 
 
+#: What SEGMENTS are to Python; paragraphs as they are found one by one.
+PATTERNS = {name: re.compile(pattern) for name, pattern in SEGMENTS.items()} | {"paragraph": re.compile(r"(?:[^\n][\n]?)+")}
+
+
+def spans(text: str | None, strategy: str | None) -> Iterator[tuple[str, int, int]]:
+    """(segment, start, end) of a text's segments in one pass over it."""
+    if not text or not text.strip():
+        return
+    if strategy not in PATTERNS:
+        yield text, 0, len(text)
+        return
+    for found in PATTERNS[strategy].finditer(text):
+        if found[0].strip():
+            yield found[0], found.start(), found.end()
+
+
 def segment_offsets(text: Column | str, strategy: str) -> Column:
-    """Structs (text, start, end): code points, end exclusive. Segments are found one after another."""
-    whole = col(text)
-    found = segments(whole, strategy)
-    empty = F.expr("cast(array() as array<struct<text: string, start: int, end: int>>)")
-    kind = "array<struct<text: string, start: int, end: int>>"
-
-    def step(done: Column, segment: Column) -> Column:
-        after = F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0))
-        start = F.locate_at(segment, whole, after) if hasattr(F, "locate_at") else F.call_function("locate", segment, whole, after + 1) - 1
-        new = F.struct(segment.alias("text"), start.alias("start"), (start + F.length(segment)).alias("end"))
-        return F.concat(done, F.array(new)).cast(kind)
-
-    return F.aggregate(found, empty, step)
+    """Structs (text, start, end): code points, end exclusive; none for null and blank texts. An Arrow function: expressions that
+    find places copy the array of segments for each of them."""
+
+    @F.pandas_udf("array<struct<text: string, start: int, end: int>>")
+    def found(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: [{"text": s, "start": a, "end": b} for s, a, b in spans(t, strategy)])
+
+    return found(col(text))
 
 
 def only(text: Column | str, chars: str) -> Column:

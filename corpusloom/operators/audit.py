@@ -96,38 +96,6 @@ def script_share(df: DataFrame, script: str, n: int, seed: int, label: str = "la
     return rows.groupBy(label).agg(F.count(F.lit(1)).alias("rows"), F.avg(X.has_script("text", script).cast("double")).alias("share"))
 
 
-def issues(df: DataFrame, script: str, least: int = 10) -> DataFrame:
-    """One row: counters, and the severities of those that are not zero."""
-    texts = df.groupBy("text").agg(F.count_distinct("label").alias("labels"))
-    groups = df.groupBy("group_id").agg(F.count_distinct("split").alias("splits"))
-    one = df.agg(
-        F.count_if(~not_blank()).alias("blank"),
-        F.count_if(F.length("text") < least).alias("short"),
-        F.count_if(~X.has_script("text", script)).alias("no_script"),
-        (F.count(F.lit(1)) - F.count_distinct("id")).alias("repeated_ids"),
-    )
-    one = one.crossJoin(texts.agg(F.count_if(F.col("labels") > 1).alias("contradictory"))).crossJoin(groups.agg(F.count_if(F.col("splits") > 1).alias("leaking")))  # one row each
-    severity = {"leaking": "ERROR", "contradictory": "ERROR", "repeated_ids": "ERROR", "blank": "WARN", "short": "WARN", "no_script": "INFO"}
-    found = F.array(*[F.when(F.col(c) > 0, F.concat(F.lit(f"{level}: {c} "), F.col(c).cast("string"))) for c, level in severity.items()])
-    return one.withColumn("issues", F.filter(found, lambda x: x.isNotNull()))
-
-
-def report_json(df: DataFrame, script: str) -> DataFrame:
-    """One row: the audit as JSON."""
-    found = issues(df, script)
-    return found.select(F.to_json(F.struct(*found.columns)).alias("report"))
-
-
-def suite(df: DataFrame, splits: tuple[str, ...], script: str) -> DataFrame:
-    """check, value: the counters of a curated corpus in one table."""
-    labels = df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("label").alias("labels"), F.count_distinct("source").alias("sources"), F.count_distinct("group_id").alias("groups"))
-    found = issues(df, script).drop("issues")
-    both = labels.crossJoin(found)  # one row each
-    long = both.unpivot([], both.columns, "check", "value")
-    pairs = split_intersections(df, splits).select(F.concat(F.lit("groups_in_"), "pair").alias("check"), F.col("groups").alias("value"))
-    return long.select("check", F.col("value").cast("long").alias("value")).unionByName(pairs.select("check", F.col("value").cast("long").alias("value")))
-
-
 def vocabulary(df: DataFrame, least: int, text: str = "text") -> DataFrame:
     words = df.select(F.explode(X.words(F.lower(text))).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)

@@ -6,7 +6,7 @@ key first and then over the ranges, so no task sees all groups.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
@@ -22,28 +22,56 @@ def finalise(df: DataFrame, config: Config) -> DataFrame:
     return rows.select([F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in CORPUS])
 
 
+def finalise_counted(df: DataFrame, config: Config) -> tuple[DataFrame, Observation]:
+    """finalise, and an observation that the job which reads the frame fills: rows, kept, null_text and blank_text (dropped), short (kept)."""
+    seen = Observation("finalised")
+    text = X.clean("text")
+    blank = F.length(text) == 0
+    rows = df.observe(
+        seen,
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(~blank).alias("kept"),
+        F.count_if(F.col("text").isNull()).alias("null_text"),
+        F.count_if(F.col("text").isNotNull() & blank).alias("blank_text"),
+        F.count_if(~blank & (F.length(text) < config.least_chars)).alias("short"),
+    )
+    return finalise(rows, config), seen
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key; null keys are equal."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """The first row of each key; null keys are equal.
+
+    Each task sends one candidate a key, so copies are dropped before the shuffle, however many there are.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    found = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")) if rest else df.distinct()
+    return found.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
 
 
 def contradictions(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """Texts under several labels: text, labels (sorted), rows."""
-    found = df.groupBy(text).agg(F.array_sort(F.collect_set(label)).alias("labels"), F.count(F.lit(1)).alias("rows"))
-    return found.where(F.size("labels") > 1)
+    found = df.groupBy(F.md5(text).alias("_digest")).agg(F.any_value(text).alias(text), F.array_sort(F.collect_set(label)).alias("labels"), F.count(F.lit(1)).alias("rows"))
+    return found.where(F.size("labels") > 1).drop("_digest")
+
+
+def contradicted(df: DataFrame, core: list[str], mixed: str, text: str, label: str) -> DataFrame:
+    """Adds _gone: a text under several labels goes, unless they are one core label and the mixed one (and perhaps more): then only
+    its mixed rows go. Null labels are no labels, and null texts contradict nothing.
+
+    128 bits of a text stand for it, and only texts under several labels are joined back.
+    """
+    rows = df.withColumn("_digest", F.md5(text))
+    labels = rows.groupBy("_digest").agg(F.collect_set(label).alias("_labels"))
+    several = labels.where((F.size("_labels") > 1) & F.col("_digest").isNotNull())
+    one_core = F.size(F.filter("_labels", lambda x: x.isin(core))) == 1
+    several = several.select("_digest", (one_core & F.array_contains("_labels", mixed)).alias("_only_mixed"))
+    gone = F.col("_only_mixed").isNotNull() & (~F.col("_only_mixed") | F.coalesce(F.col(label) == mixed, F.lit(False)))
+    return rows.join(several, "_digest", "left").withColumn("_gone", gone).drop("_digest", "_only_mixed")
 
 
-def resolve_contradictions(df: DataFrame, core: list[str], text: str = "text", label: str = "label") -> DataFrame:
-    """Texts under several core labels go; under one core label and others, only the core rows stay."""
-    is_core = F.col(label).isin(core)
-    # 128 bits of a text stand for it, so that texts aren't shuffled twice
-    df = df.withColumn("_digest", F.md5(text))
-    labels = df.groupBy("_digest").agg(F.count_distinct(F.when(is_core, F.col(label))).alias("_core"))
-    several = labels.where("_core > 0")
-    joined = df.join(several, "_digest", "left").withColumn("_core", F.coalesce("_core", F.lit(0))).drop("_digest")
-    df = df.drop("_digest")
-    return joined.where((F.col("_core") == 0) | ((F.col("_core") == 1) & is_core)).select(*df.columns)
+def resolve_contradictions(df: DataFrame, core: list[str], mixed: str, text: str = "text", label: str = "label") -> DataFrame:
+    """Rows whose text is under one label, and those that stay of texts under one core label and the mixed one."""
+    return contradicted(df, core, mixed, text, label).where("not _gone").select(*df.columns)
 
 
 def group_sizes(df: DataFrame, *keys: str) -> DataFrame:
@@ -112,17 +140,17 @@ def two_stage_split(df: DataFrame, by: list[str], seed: int = 42, group: str = "
     ranked = running(groups, by, "_key", F.lit(1)).join(totals, by)
     of_group = ranked.select(*by, group, cut("before", "_groups").alias("_of_group"), "_groups")
     rows = df.join(of_group, [*by, group]).withColumn("_row_key", X.seeded(seed, "id"))
-    rank = Window.partitionBy(*by)
     few = rows.where(F.col("_groups") < least)
-    few = few.withColumn("_n", F.count(F.lit(1)).over(rank)).withColumn("_at", F.row_number().over(rank.orderBy("_row_key", "id")) - 1).withColumn("split", cut("_at", "_n"))
+    sizes = few.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    few = running(few, by, "_row_key", F.lit(1)).join(sizes, by).withColumn("split", cut("before", "_n"))
     many = rows.where(F.col("_groups") >= least).withColumn("split", F.col("_of_group"))
     columns = [c for c in df.columns if c != "split"]
     return many.select(*columns, "split").unionByName(few.select(*columns, "split"))
 
 
 def cut(at: str, n: str) -> Column:
-    """80/10/10 by rank: train takes the ceiling, validation the floor of half the rest."""
-    train = F.ceil(F.col(n) * 0.8)
+    """80/10/10 by rank: train takes four fifths and validation half of the rest, both rounded down, so from 6 on none is empty."""
+    train = F.floor(F.col(n) * 4 / 5)
     val = F.floor((F.col(n) - train) / 2)
     return F.when(F.col(at) < train, "train").when(F.col(at) < train + val, "val").otherwise("test")
 
@@ -158,14 +186,10 @@ def replace_rows(df: DataFrame, gone: Column, new: DataFrame) -> DataFrame:
     return df.where(~F.coalesce(gone, F.lit(False))).unionByName(new, allowMissingColumns=True)
 
 
-def drop_mask(df: DataFrame, core: list[str], script: str, least: int, text: str = "text", label: str = "label") -> DataFrame:
-    """Adds drop: contradictory among core labels, or non-core where a core label has the text, or without the script, or short."""
-    is_core = F.col(label).isin(core)
-    digest = df.withColumn("_digest", F.md5(text))
-    counts = digest.groupBy("_digest").agg(F.count_distinct(F.when(is_core, F.col(label))).alias("_core"), F.count_distinct(label).alias("_labels"))
-    rows = digest.join(counts, "_digest", "left")
-    core_labels = F.coalesce("_core", F.lit(0))
-    drop = (core_labels > 1) | ((F.col("_labels") > 1) & (core_labels == 1) & ~is_core) | ~X.has_script(text, script) | (F.length(text) < least)
+def drop_mask(df: DataFrame, core: list[str], mixed: str, script: str, least: int, text: str = "text", label: str = "label") -> DataFrame:
+    """Adds drop: contradictory (as resolve_contradictions), or without the script, or short, or null."""
+    rows = contradicted(df, core, mixed, text, label)
+    drop = F.col("_gone") | ~X.has_script(text, script) | (F.length(text) < least)
     return rows.withColumn("drop", F.coalesce(drop, F.lit(True))).select(*df.columns, "drop")
 
 

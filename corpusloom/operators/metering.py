@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import decimal
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 
 MONEY = "decimal(18,4)"
+#: Smallest amounts in one.
+UNIT = 10_000
 
 
 def charged(usage: DataFrame, rates: DataFrame, name: str, quantity: str, default: str) -> DataFrame:
@@ -38,28 +37,31 @@ def with_cost(items: DataFrame, costs: DataFrame, key: str) -> DataFrame:
 def sequential_charge(jobs: DataFrame, balances: DataFrame) -> DataFrame:
     """user_id, job_id, cost, accepted, balance: jobs in order; one that costs more than the balance is rejected and free.
 
-    jobs: user_id, job_id, ord, cost; balances: user_id, balance. Each user's jobs are streamed in order, so a user
-    with very many jobs is never held in memory as a whole. A balance depends on all jobs before, so one user's jobs are one
-    task's work and cannot be salted.
+    jobs: user_id, job_id, ord, cost; balances: user_id, balance. Each user's jobs are streamed in order, in whole numbers of the
+    smallest amount, so a user with very many jobs is never held in memory as a whole. A balance depends on all jobs before, so one
+    user's jobs are one task's work and cannot be salted. A job without a cost is rejected.
     """
-    rows = jobs.join(balances, "user_id").select("user_id", "job_id", "ord", F.col("cost").cast(MONEY).alias("cost"), F.col("balance").cast(MONEY).alias("balance"))
+    small = lambda c: (F.col(c).cast(MONEY) * UNIT).cast("long")
+    rows = jobs.join(balances, "user_id").select("user_id", "job_id", "ord", small("cost").alias("cost"), small("balance").alias("balance"))
     parts = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "user_id").sortWithinPartitions("user_id", "ord", "job_id")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, left = None, decimal.Decimal(0)
-        for frame in frames:
+    def run(batches):
+        user, left = None, 0
+        for batch in batches:
             accepted, after = [], []
-            for r in frame.itertuples(index=False):
-                if r.user_id != user:
-                    user, left = r.user_id, r.balance
-                accepted.append(r.cost <= left)
-                left -= r.cost if accepted[-1] else 0
+            for who, cost, start in zip(*[batch.column(c).to_pylist() for c in ("user_id", "cost", "balance")], strict=True):
+                if who != user:
+                    user, left = who, start
+                fits = cost is not None and cost <= left
+                left -= cost if fits else 0
+                accepted.append(fits)
                 after.append(left)
-            yield frame.assign(accepted=accepted, balance=after)[["user_id", "job_id", "cost", "accepted", "balance"]]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("user_id", "job_id", "cost")] + [pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())], names=["user_id", "job_id", "cost", "accepted", "balance"])
 
     kinds = dict(rows.dtypes)
-    return rows.mapInPandas(run, f"user_id {kinds['user_id']}, job_id {kinds['job_id']}, cost {MONEY}, accepted boolean, balance {MONEY}")
+    done = rows.mapInArrow(run, f"user_id {kinds['user_id']}, job_id {kinds['job_id']}, cost long, accepted boolean, balance long")
+    return done.withColumns({c: (F.col(c).cast("decimal(20,0)") / UNIT).cast(MONEY) for c in ("cost", "balance")})
 
 
 def set_rates(rates: DataFrame, changes: DataFrame) -> DataFrame:
@@ -84,6 +86,18 @@ def with_tier(users: DataFrame, tiers: DataFrame) -> DataFrame:
     return rows.select(*[c for c in users.columns if c != "tier"], F.when(known, F.col("tier")).otherwise(F.col("_free")).alias("tier"), F.coalesce("price", F.lit(0)).alias("price"), F.when(known, F.col("credits")).otherwise(F.col("_credits")).alias("credits"))
 
 
+def without_tiers(tiers: DataFrame, gone: DataFrame) -> DataFrame:
+    """Tiers (tier, price) without those named; the free ones stay, whoever names them."""
+    named = gone.select(F.col("tier").alias("_tier")).distinct()
+    return tiers.join(named, F.col("tier") == F.col("_tier"), "left").where("_tier is null or price = 0").drop("_tier")
+
+
+def set_config(config: DataFrame, changes: DataFrame) -> DataFrame:
+    """key, value of a system's settings after changes: new keys come in, known ones get their value, a null value takes a key out."""
+    both = config.join(changes.select("key", F.col("value").alias("_value"), F.lit(True).alias("_set")), "key", "full")
+    return both.select("key", F.when(F.col("_set"), F.col("_value")).otherwise(F.col("value")).alias("value")).where("value is not null")
+
+
 def page_charges(documents: DataFrame, rate: str = "0.1") -> DataFrame:
     """All pages are charged before they are read; failed documents are deleted (pages, failed)."""
     charge = (F.col("pages").cast(MONEY) * F.lit(rate).cast("decimal(18,8)")).cast(MONEY)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from corpusloom.functions import tables
 from corpusloom.functions import text as X
-from corpusloom.operators import audit, curate, metrics
+from corpusloom.operators import audit, auditing, curate, metrics
 from corpusloom.plans.base import CONFIG, LABELS, corpus, query, scratch, table
-from corpusloom.plans.curation import split_sql, splits
-from corpusloom.sources import readers
+from corpusloom.plans.curation import CLEAN, split_sql, splits
+from corpusloom.sources import matrices, readers, scans
 
 SPLITS = ("train", "val", "test")
 WORDS = r"len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))"
@@ -119,13 +123,12 @@ def no_script_breakdown(spark, sf_dir):
     return audit.value_counts(corpus(spark, sf_dir).where(~X.has_script("text", CONFIG.script)), "label", "source")
 
 
-@query()
-def audit_json(spark, sf_dir):
-    return audit.report_json(split_corpus(spark, sf_dir), CONFIG.script)
-
-
 SUITE = {
     "rows": "SELECT count(*) FROM c",
+    "core_rows": "SELECT count(*) FROM c WHERE is_core",
+    "mixed_rows": "SELECT count(*) FROM c WHERE NOT is_core",
+    "long": "SELECT count(*) FROM c WHERE length(text) > 2000",
+    "exact_duplicates": "SELECT sum(n) FROM (SELECT count(*) AS n FROM c GROUP BY text, label HAVING count(*) > 1)",
     "labels": "SELECT count(DISTINCT label) FROM c",
     "sources": "SELECT count(DISTINCT source) FROM c",
     "groups": "SELECT count(DISTINCT group_id) FROM c",
@@ -147,14 +150,93 @@ def leaky_corpus(spark, sf_dir):
     return corpus(spark, sf_dir).withColumn("split", split)
 
 
+def suite(rows):
+    """check, value: the counters of a corpus."""
+    found = auditing.counters(auditing.summary(rows, CONFIG.script))
+    return found.unpivot([], found.columns, "check", "value")
+
+
 @query(f"WITH {split_sql('c')}, sx AS (SELECT DISTINCT group_id, split FROM c JOIN gs USING (group_id)) {SUITE_SQL}")
 def audit_suite(spark, sf_dir):
-    return audit.suite(split_corpus(spark, sf_dir), SPLITS, CONFIG.script)
+    return suite(split_corpus(spark, sf_dir))
 
 
 @query(f"WITH {LEAKY_SQL} {SUITE_SQL}")
 def audit_suite_of_leaks(spark, sf_dir):
-    return audit.suite(leaky_corpus(spark, sf_dir), SPLITS, CONFIG.script)
+    return suite(leaky_corpus(spark, sf_dir))
+
+
+def lacking(rows):
+    """A corpus in which much is wrong: subcorpora, null labels and groups, repeated ids and rows, a split of its own."""
+    wrong = {
+        "subcorpus": F.when(F.col("id") % 5 > 0, F.concat(F.lit("s"), (F.col("id") % 5).cast("string"))),
+        "label": F.when(F.col("id") % 13 > 0, F.col("label")),
+        "group_id": F.when(F.col("id") % 17 > 0, F.col("group_id")),
+        "split": F.when(F.col("id") % 19 > 0, F.col("split")),
+        "id": F.col("id") - F.col("id") % 23,
+    }
+    return rows.withColumns({c: wrong[c] for c in ("subcorpus", "label", "group_id", "split")}).withColumn("id", wrong["id"])
+
+
+LACKING_SQL = """lk AS (SELECT id - id % 23 AS id, text, CASE WHEN id % 13 > 0 THEN label END AS label, source, CASE WHEN id % 17 > 0 THEN group_id END AS group_id, is_core,
+  CASE WHEN id % 5 > 0 THEN 's' || (id % 5) END AS subcorpus, CASE WHEN id % 19 > 0 THEN CASE id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END END AS split FROM c),
+m AS (SELECT *, length(text) AS chars, """ + WORDS + """ AS words, regexp_matches(text, '[À-ſ]') AS script FROM lk),
+sp AS (SELECT DISTINCT group_id, split FROM lk WHERE group_id IS NOT NULL AND split IS NOT NULL),
+gz AS (SELECT group_id, count(*) AS n FROM lk WHERE group_id IS NOT NULL GROUP BY group_id)"""
+
+
+def step_sql(step: int, name: str, value: str, key: str = "''", rows: str = "m", by: str = "") -> str:
+    return f"SELECT {step} AS step, '{name}' AS name, {key} AS key, ({value})::DOUBLE AS value FROM {rows}" + (f" GROUP BY {by}" if by else "")
+
+
+def keyed(*columns: str) -> dict[str, str]:
+    return {"key": " || '|' || ".join(f"coalesce({c}, 'null')" for c in columns), "by": ", ".join(columns)}
+
+
+NAMES = ("id", "text", "label", "source", "subcorpus", "group_id", "is_core", "split")
+SHARE = "count(*) * 100.0 / (SELECT count(*) FROM m)"
+STEPS_SQL = [
+    step_sql(1, "rows", "count(*)"), step_sql(1, "columns", "8"), *[step_sql(2, "nulls", f"count(*) FILTER ({c} IS NULL)", f"'{c}'") for c in NAMES], step_sql(2, "blanks", "count(*) FILTER (words = 0)", "'text'"),
+    *[step_sql(k, "rows", "count(*)", **keyed(*c)) for k, c in ((3, ["label"]), (6, ["source"]), (7, ["source", "label"]), (8, ["split"]), (9, ["label", "split"]), (14, ["subcorpus"]))],
+    *[step_sql(k, "share", SHARE, **keyed(c)) for k, c in ((3, "label"), (6, "source"), (8, "split"), (14, "subcorpus"))],
+    step_sql(4, "core_rows", "count(*) FILTER (is_core)"), step_sql(4, "mixed_rows", "count(*) FILTER (NOT is_core)"),
+    step_sql(5, "rows", "count(*)", rows="m WHERE is_core", **keyed("label")), step_sql(5, "share", "count(*) * 100.0 / (SELECT count(*) FROM m WHERE is_core)", rows="m WHERE is_core", **keyed("label")),
+    step_sql(5, "imbalance", "max(n) / min(n)", rows="(SELECT count(*) AS n FROM m WHERE is_core GROUP BY label)"),
+    step_sql(10, "groups", "count(*)", rows="gz"), step_sql(10, "leaking", "count(*)", rows="(SELECT group_id FROM sp GROUP BY group_id HAVING count(*) > 1)"),
+    *[step_sql(10, f"groups_in_{a}_{b}", "count(*)", rows=f"sp AS l JOIN sp AS r USING (group_id) WHERE l.split = '{a}' AND r.split = '{b}'") for a, b in (("train", "val"), ("train", "test"), ("val", "test"))],
+    step_sql(11, "exact_duplicates", "coalesce(sum(n), 0)", rows="(SELECT count(*) AS n FROM m GROUP BY text, label HAVING count(*) > 1)"),
+    step_sql(11, "contradictory", "count(*)", rows="(SELECT text FROM m GROUP BY text HAVING count(DISTINCT label) > 1)"),
+    *[step_sql(12, n, f, **keyed("label")) for n, f in (("min", "min(chars)"), ("median", "median(chars)"), ("mean", "avg(chars)"), ("max", "max(chars)"), ("std", "stddev_samp(chars)"), ("short", "count(*) FILTER (chars < 10)"), ("long", "count(*) FILTER (chars > 2000)"))],
+    *[step_sql(13, n, f"{f}(words)", **keyed("label")) for n, f in (("min", "min"), ("median", "median"), ("mean", "avg"), ("max", "max"))],
+    *[step_sql(15, n, f, rows="gz") for n, f in (("min", "min(n)"), ("median", "median(n)"), ("mean", "avg(n)"), ("max", "max(n)"), ("large", "count(*) FILTER (n > 100)"))],
+    step_sql(16, "without_script", "count(*) FILTER (NOT script)", **keyed("label")), step_sql(16, "script_share", "100.0 - count(*) FILTER (NOT script) * 100.0 / count(*)", **keyed("label")),
+    step_sql(16, "source_without_script", "count(*) FILTER (NOT script)", **keyed("source")), step_sql(17, "repeated_ids", "count(*) - count(DISTINCT id)"),
+]
+
+
+@query(f"WITH {LACKING_SQL} SELECT step, name, key, round(value, 6) AS value FROM ({' UNION ALL '.join(STEPS_SQL)})")
+def audit_steps(spark, sf_dir):
+    """All numbers of the audit of a corpus in which much is wrong."""
+    return rounded(auditing.steps(auditing.summary(lacking(leaky_corpus(spark, sf_dir)), CONFIG.script)), "value")
+
+
+REPORT_COUNTS = {"exact_duplicates": 11, "contradictory": 11, "repeated_ids": 17, "leaking": 10}
+REPORT_SQL = ", ".join(f"(SELECT value::BIGINT FROM st WHERE name = '{n}') AS {n}" for n in REPORT_COUNTS)
+SAID_SQL = " || ".join(f"CASE WHEN {c} > 0 THEN '{level}: ' || {c} || ' {what};' ELSE '' END" for c, (level, what) in auditing.ISSUES.items())
+ENTRIES_SQL = "(SELECT '{{' || string_agg('\"' || coalesce({0}, 'null') || '\":' || n, ',' ORDER BY coalesce({0}, 'null')) || '}}' FROM (SELECT {0}, count(*) AS n FROM m {1} GROUP BY {0}))"
+
+
+@query(f"""WITH {LACKING_SQL}, st AS ({' UNION ALL '.join(STEPS_SQL)}), r AS (SELECT {REPORT_SQL}, (SELECT count(*) FROM m) AS total_rows, (SELECT count(*) FROM m WHERE is_core) AS core_rows, (SELECT count(*) FROM m WHERE NOT is_core) AS mixed_rows,
+  (SELECT count(*) FROM m WHERE NOT script) AS no_script, (SELECT count(*) FROM m WHERE chars < 10) AS short, (SELECT round(value, 2) FROM st WHERE name = 'imbalance') AS imbalance_ratio)
+SELECT total_rows, core_rows, mixed_rows, {ENTRIES_SQL.format('label', 'WHERE is_core')} AS core_balance, imbalance_ratio, {ENTRIES_SQL.format('source', '')} AS sources, CASE WHEN leaking = 0 THEN 'PASS' ELSE 'FAIL' END AS leakage_check,
+  exact_duplicates, contradictory AS contradictory_texts, no_script AS no_script_rows, repeated_ids AS duplicate_ids, {SAID_SQL} AS issues FROM r""")
+def audit_json(spark, sf_dir):
+    """The fields of the audit's JSON report."""
+    found = auditing.report(auditing.summary(lacking(leaky_corpus(spark, sf_dir)), CONFIG.script))
+    field = lambda c: F.get_json_object("report", f"$.{c}")
+    counts = [field(c).cast("long").alias(c) for c in ("total_rows", "core_rows", "mixed_rows", "exact_duplicates", "contradictory_texts", "no_script_rows", "duplicate_ids")]
+    issues = F.concat(F.array_join(F.from_json(field("issues"), F.lit("array<string>")), ";"), F.lit(";"))
+    return found.select(*counts, field("core_balance").alias("core_balance"), field("imbalance_ratio").cast("double").alias("imbalance_ratio"), field("sources").alias("sources"), field("leakage_check").alias("leakage_check"), issues.alias("issues"))
 
 
 @query(
@@ -258,10 +340,49 @@ segment_paragraph = segment_query("paragraph", "documents", "doc_id")
 segment_auto = segment_query("auto", "documents", "doc_id")
 
 
-@query()
+#: Matches of the pattern follow one another without a gap, after what the text begins with.
+OFFSETS_SQL = rf"""SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS segment_index, x AS text, first + before AS start, first + before + length(x) AS "end" FROM (
+  SELECT id, x, k, length(text) - total AS first, sum(length(x)) OVER (PARTITION BY id ORDER BY k) - length(x) AS before FROM (
+    SELECT id, text, list_sum(list_transform(s, lambda y: length(y))) AS total, unnest(s) AS x, unnest(range(len(s))) AS k FROM (SELECT id, text, regexp_extract_all(text, '{SEGMENT_SQL["auto"]}') AS s FROM c)))
+  WHERE trim(regexp_replace(x, '\s+', ' ', 'g')) <> ''"""
+
+
+@query(OFFSETS_SQL)
 def segment_offsets(spark, sf_dir):
-    rows = corpus(spark, sf_dir).select("id", F.posexplode(X.segment_offsets("text", "sentence")).alias("segment_index", "s"))
-    return rows.select("id", "segment_index", "s.text", "s.start", "s.end")
+    rows = corpus(spark, sf_dir).select("id", F.posexplode(X.segment_offsets("text", "auto")).alias("segment_index", "s"))
+    return rows.select("id", F.col("segment_index").cast("long").alias("segment_index"), "s.text", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
+
+
+@query(OFFSETS_SQL)
+def segments_by_table_function(spark, sf_dir):
+    """The same by SQL with a table function."""
+    tables.register(spark)
+    corpus(spark, sf_dir).createOrReplaceTempView("corpusloom_texts")
+    return spark.sql("SELECT d.id, CAST(s.segment_index AS BIGINT) AS segment_index, s.text, CAST(s.start AS BIGINT) AS start, CAST(s.end AS BIGINT) AS end FROM corpusloom_texts AS d, LATERAL segments(d.text, 'auto') AS s")
+
+
+@query("SELECT user_id, event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS purchase FROM events")
+def fill_by_table_function(spark, sf_dir):
+    """Each event's last purchase by its user, by a table function over partitions in order."""
+    tables.register(spark)
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("purchase"))
+    rows.createOrReplaceTempView("corpusloom_events")
+    return spark.sql("SELECT * FROM filled(TABLE(corpusloom_events) PARTITION BY user_id ORDER BY event_id)")
+
+
+@query("WITH d AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS n, embedding FROM embeddings) SELECT n AS number, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total, len(embedding) AS size FROM d WHERE n >= 100")
+def matrix_scan(spark, sf_dir):
+    """Vectors written as matrix files and read back in ranges of rows."""
+    path = scratch(spark, "matrix")
+    matrices.register(spark)
+    rows = curate.row_numbers(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "number")
+    # the number goes along in the first place, which a float holds exactly up to 2**24
+    weights = F.concat(F.array(F.col("number").cast("float")), F.transform("embedding", lambda x: x.cast("float")))
+    rows.repartition(3).select(weights.alias("weights")).write.format("dense_matrix").option("rowsPerTask", 300).mode("append").save(path)
+    found = matrices.dense_matrix(spark, path, rows_per_task=100).where("row >= 0")
+    own = F.slice("weights", 2, F.size("weights") - 1)
+    total = F.aggregate(own, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return found.select(F.get("weights", F.lit(0)).cast("long").alias("number"), F.round(total, 5).alias("total"), F.size(own).cast("long").alias("size")).where("number >= 100")
 
 
 @query("SELECT conv_id, turn, role, coalesce(lag(role) OVER w <> role, true) AS begins, coalesce(lead(role) OVER w <> role, true) AS ends FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
@@ -295,16 +416,24 @@ def split_terminators(spark, sf_dir):
 
 
 WIKI_STEPS = [(r"(?s)<!--.*?-->", ""), (r"(?s)<ref\b[^>]*?(?:/>|>.*?</ref\s*>)", " "), (r"\{\{[^{}]*\}\}", " "), (r"\{\{[^{}]*\}\}", " ")]
-WIKI_STEPS += [(r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", r"\1"), (r"\[\[([^\[\]|]*)\]\]", r"\1"), (r"\[(?:https?:)?//[^\s\]]+[ \t]*([^\]]*)\]", r"\1")]
-WIKI_STEPS += [(r"(?m)^={1,6}[ \t]*(.*?)[ \t]*={1,6}[ \t]*$", r"\1"), (r"[\x27]{2,5}", ""), (r"<[^>]+>", " "), (r"\s+", " ")]
-WIKI_SQL = "html"
-for _pattern, _new in WIKI_STEPS:
-    WIKI_SQL = f"regexp_replace({WIKI_SQL}, '{_pattern}', '{_new}', 'g')"
+WIKI_STEPS += [(r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", r"\1"), (r"\[\[([^\[\]|]*)\]\]", r"\1"), (r"\[(?:https?:)?//[^\s\]]+[ \t]*([^\]]*)\]", "KEPT")]
+WIKI_STEPS += [(r"(?m)^={1,6}[ \t]*(.*?)[ \t]*={1,6}[ \t]*$", "KEPT"), (r"[\x27]{2,5}", ""), (r"<[^>]+>", " "), (r"\s+", " ")]
+#: Each document as a page of markup: literals and columns in turn.
+WIKI_PARTS = ["{{box|", "source", "{{in|x}}}}\n== ", "label", " ==\n<!-- no -->[[Page|", "text", "]] '''b''' [[Page]] [https://e.org/1 ", "source", "]<ref name=a>r</ref><ref b/>\n=== End ===\n", "text"]
+
 
+def wiki_sql(kept: str) -> str:
+    sql = " || ".join(p if k % 2 else "'" + p.replace("'", "''") + "'" for k, p in enumerate(WIKI_PARTS))
+    for pattern, new in WIKI_STEPS:
+        sql = f"regexp_replace({sql}, '{pattern}', '{kept if new == 'KEPT' else new}', 'g')"
+    return sql
 
-@query(f"SELECT page_id, trim({WIKI_SQL}) AS text FROM pages")
+
+@query(f"SELECT id, trim({wiki_sql(' ')}) AS text, trim({wiki_sql(chr(92) + '1')}) AS all_text FROM c")
 def strip_wiki(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", X.strip_wiki("html").alias("text"))
+    page = F.concat(*[F.col(p) if k % 2 else F.lit(p) for k, p in enumerate(WIKI_PARTS)])
+    rows = corpus(spark, sf_dir).withColumn("page", page)
+    return rows.select("id", X.strip_wiki("page").alias("text"), X.strip_wiki("page", keep=True).alias("all_text"))
 
 
 @query(r"SELECT p_partkey, regexp_replace(trim(p_name), '\s+', '_', 'g') AS stub, lower(trim(p_name)) AS label, regexp_replace('__label__' || p_name, '^__label__', '') AS bare, left(p_name, 8) AS preview FROM part")
@@ -329,13 +458,12 @@ def melt_features(spark, sf_dir):
     return wide.unpivot("id", ["chars", "bytes"], "name", "value")
 
 
-SEVERITIES = {"leaking": "ERROR", "contradictory": "ERROR", "repeated_ids": "ERROR", "blank": "WARN", "short": "WARN", "no_script": "INFO"}
-ISSUES_SQL = " UNION ALL ".join(f"SELECT '{level}: {k} ' || n AS issue FROM (SELECT ({SUITE[k]}) AS n) WHERE n > 0" for k, level in SEVERITIES.items())
+ISSUES_SQL = " UNION ALL ".join(f"SELECT '{level}: ' || n || ' {what}' AS issue FROM (SELECT ({SUITE[k]}) AS n) WHERE n > 0" for k, (level, what) in auditing.ISSUES.items())
 
 
 @query(f"WITH {LEAKY_SQL} {ISSUES_SQL}")
 def issue_list(spark, sf_dir):
-    return audit.issues(leaky_corpus(spark, sf_dir), CONFIG.script).select(F.explode("issues").alias("issue"))
+    return auditing.issues(auditing.summary(leaky_corpus(spark, sf_dir), CONFIG.script)).select(F.explode("issues").alias("issue"))
 
 
 BAD_LINES_SQL = """x AS (SELECT id AS number, CASE id % 5 WHEN 0 THEN 'invalid JSON' WHEN 1 THEN 'missing keys' WHEN 2 THEN 'empty label' WHEN 3 THEN 'empty text' END AS error FROM c)"""
@@ -351,53 +479,71 @@ def jsonl_validate(spark, sf_dir):
     return audit.jsonl_errors(rows.select(F.col("id").alias("number"), line.alias("value"))).select("number", "error")
 
 
-FOUR_WORDS = r"array_to_string(list_slice(list_filter(string_split_regex(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), ' +'), lambda x: x <> ''), 1, 4), ' ')"
+def in_order(spark, sf_dir):
+    """id, source, text, in files by source and id."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = corpus(spark, sf_dir).select("id", "source", "text")
+    return rows.repartitionByRange(n, "source", "id").sortWithinPartitions("source", "id")
 
 
-def four_words(spark, sf_dir):
-    """id, source, words: the first four words of plain letters."""
-    plain = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]", " "), " +"), lambda w: w != "")
-    rows = corpus(spark, sf_dir).select("id", "source", F.array_join(F.slice(plain, 1, 4), " ").alias("words"))
-    return rows.where("words != ''")
+def with_marks(rows):
+    """value: milestone XML, with marks of books and chapters only where they change and at a file's beginning; odd verses name them."""
 
+    def run(batches):
+        book = chapter = None
+        for batch in batches:
+            out = []
+            for i, source, text in zip(*[batch.column(c).to_pylist() for c in ("id", "source", "text")], strict=True):
+                head = ""
+                if source != book:
+                    book, chapter, head = source, None, f'<book id="{source}"><id>skip <h>this</h></id>'
+                if i // 100 != chapter:
+                    chapter = i // 100
+                    head += f'<c id="{chapter}"/>'
+                own = f' bcv="{source}.{chapter}.{i}"' if i % 2 else ""
+                out.append(f'{head}<p>before <v id="{i}"{own}/>{escape(text)}<toc>no</toc></p><ve/>after')
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-def gathered(rows, head: str, piece, between: str, tail: str):
-    """A text for each source, its documents' pieces in order."""
-    found = rows.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("id", piece.alias("x")))).alias("p"))
-    return found.select("source", F.concat(F.expr(head), F.array_join("p.x", between), F.lit(tail)).alias("value"))
+    return rows.mapInArrow(run, "value string")
 
 
-@query(f"WITH w AS (SELECT id, source, {FOUR_WORDS} AS words FROM c) SELECT source AS book, (id // 100)::VARCHAR AS chapter, id::VARCHAR AS verse, words AS text FROM w WHERE words <> ''")
+@query(f"SELECT source AS book, (id // 100)::VARCHAR AS chapter, id::VARCHAR AS verse, {CLEAN} AS text FROM c WHERE {CLEAN} <> ''")
 def usfx_scan(spark, sf_dir):
-    """A milestone XML for each source, written and read back."""
-    rows = four_words(spark, sf_dir)
-    verse = F.concat(F.lit('<p><v id="'), "id", F.lit('" bcv="'), "source", F.lit("."), F.floor(F.col("id") / 100), F.lit("."), "id", F.lit('"/>'), "words", F.lit("<ve/></p>"))
+    """All documents as verses of milestone XML, written and read back."""
     path = scratch(spark, "usfx")
-    books = gathered(rows, "concat('<usfx><book id=\"', source, '\"><id>skip</id>')", verse, "", "</book></usfx>")
-    books.select("value").write.option("maxRecordsPerFile", 1).text(path)
-    return readers.usfx(spark, f"{path}/part-*")
+    with_marks(in_order(spark, sf_dir)).write.option("lineSep", "\n").text(path)
+    return readers.usfx(spark, path)
 
 
-@query(f"WITH w AS (SELECT id, source, {FOUR_WORDS} AS words FROM c) SELECT source || '_' || lpad((row_number() OVER (PARTITION BY source ORDER BY id) - 1)::VARCHAR, 5, '0') AS id, words AS text FROM w WHERE words <> ''")
+@query(f"""WITH b AS (SELECT id, source || '-' || (id // 1000) AS book, {CLEAN} AS text FROM c WHERE {CLEAN} <> '')
+SELECT book || '_' || lpad((row_number() OVER (PARTITION BY book ORDER BY id) - 1)::VARCHAR, 5, '0') AS id, text FROM b""")
 def book_dir_scan(spark, sf_dir):
-    """A directory with a text for each source, written and read back; sentences end with their marks."""
+    """Directories with a book of at most a thousand documents, written and read back."""
     path = scratch(spark, "books")
-    books = gathered(four_words(spark, sf_dir), "''", F.concat("words", F.lit("<eos>")), "\n", "")
-    books.write.partitionBy("source").text(path)
-    found = readers.book_dirs(spark, path).withColumn("book", F.regexp_replace("book", "^source=", ""))
-    return readers.book_sentences(found).select("id", "text")
+    books = corpus(spark, sf_dir).select("id", F.concat_ws("-", "source", F.floor(F.col("id") / 1000)).alias("book"), F.concat("text", F.lit("<eos>")).alias("value"))
+    books.repartition("book").sortWithinPartitions("book", "id").select("book", "value").write.partitionBy("book").text(path)
+    return scans.book_sentences(spark, path).withColumn("id", F.regexp_replace("id", "^book=", ""))
 
 
-@query(f"WITH w AS (SELECT id, source, {FOUR_WORDS} AS words FROM c) SELECT source || '.' || id AS id, words AS text FROM w WHERE words <> ''")
+@query(f"SELECT source || '.' || id AS id, {CLEAN} AS text FROM c WHERE {CLEAN} <> ''")
 def block_scan(spark, sf_dir):
-    """A file of annotated blocks for each source, written and read back."""
-    tokens = F.array_join(F.transform(F.split("words", " "), lambda w: F.concat(w, F.lit("\tX"))), "\n")
-    block = F.concat(F.lit("# id = "), "source", F.lit("."), "id", F.lit("\n"), tokens, F.lit("\n"))
+    """All documents as annotated blocks, a word a line, written and read back."""
     path = scratch(spark, "blocks")
-    gathered(four_words(spark, sf_dir), "''", block, "\n", "").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    tokens = F.array_join(F.transform(X.words("text"), lambda w: F.concat(w, F.lit("\tX"))), "\n")
+    block = F.concat(F.lit("# id = "), "source", F.lit("."), "id", F.lit("\n"), tokens, F.lit("\n"))
+    in_order(spark, sf_dir).select(block.alias("value")).write.text(path)
     return readers.block_annotated(spark, path)
 
 
+@query(r"""WITH t AS (SELECT id, string_split(replace(replace(text, ', ', '॥ '), chr(10), '<eos>'), '<eos>') AS p FROM c),
+s AS (SELECT id, list_concat(p[:len(p) - 1], string_split(regexp_replace(p[len(p)], '([.?!।॥])\s+', '\1' || chr(1), 'g'), chr(1))) AS p FROM t)
+SELECT id, n, part FROM (SELECT id, unnest(l) AS part, unnest(range(len(l))) AS n FROM (SELECT id, list_filter(list_transform(p, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM s))""")
+def eos_sentences(spark, sf_dir):
+    """Lines as sentences; the last line is split at punctuation, dandas among it."""
+    marked = F.replace(F.replace("text", F.lit(", "), F.lit("॥ ")), F.lit("\n"), F.lit("<eos>"))
+    return corpus(spark, sf_dir).select("id", F.posexplode(X.split_eos(marked)).alias("n", "part")).withColumn("n", F.col("n").cast("long"))
+
+
 @query("SELECT gram, count(*)::BIGINT AS tf, count(DISTINCT id)::BIGINT AS df FROM (SELECT id, substr(t, i, 2) AS gram FROM (SELECT id, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM c), unnest(range(1, length(t))) AS r(i)) GROUP BY gram")
 def char_ngram_tf_df(spark, sf_dir):
     from corpusloom.operators.ml import ngram_frequencies

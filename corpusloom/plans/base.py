@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.schema import Config
+from corpusloom.sources.scratch import scratch, written
+
+__all__ = ["CONFIG", "LABELS", "ORACLE_SQL", "QUERIES", "corpus", "predicted", "query", "scratch", "table", "written"]
 
 #: The driver tables hold other languages: accented Latin letters stand in for the target script.
 CONFIG = Config(core=("en", "de", "fr"), mixed="es", script="À-ſ", other_script="ß-ß")
@@ -50,20 +49,6 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; only a local session without one gets a folder of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="corpusloom-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = f"{folder.rstrip('/')}/corpusloom-plans/{name}-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

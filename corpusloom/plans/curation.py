@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import audit, curate, filters, labels
-from corpusloom.plans.base import CONFIG, LABELS, corpus, query, table
+from corpusloom.plans.base import CONFIG, LABELS, corpus, query, scratch, table, written
+from corpusloom.sources import waves
 
 CLEAN = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 TIDY_SQL = rf"""
@@ -78,6 +79,24 @@ def finalise_corpus(spark, sf_dir):
     return curate.finalise(corpus(spark, sf_dir), CONFIG)
 
 
+@query(rf"""WITH x AS (SELECT CASE WHEN id % 7 = 0 THEN NULL WHEN id % 11 = 0 THEN ' ' || chr(10) WHEN id % 13 = 0 THEN left(text, 4) ELSE text END AS text FROM c), y AS (SELECT text, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM x)
+SELECT count(*) AS rows, count(*) FILTER (t <> '') AS kept, count(*) FILTER (text IS NULL) AS null_text, count(*) FILTER (text IS NOT NULL AND t = '') AS blank_text, count(*) FILTER (t <> '' AND length(t) < 10) AS short, count(*) FILTER (t <> '') AS written FROM y""")
+def finalise_report(spark, sf_dir):
+    """A corpus with null, blank and short texts in its final form, written; the same job tells why rows were dropped."""
+    text = F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 11 == 0, " \n").when(F.col("id") % 13 == 0, F.left("text", F.lit(4))).otherwise(F.col("text"))
+    rows, seen = curate.finalise_counted(corpus(spark, sf_dir).withColumn("text", text), CONFIG)
+    done = written(rows, "finalised")
+    counts = seen.get
+    return done.agg(*[F.lit(counts[c]).alias(c) for c in ("rows", "kept", "null_text", "blank_text", "short")], F.count(F.lit(1)).alias("written"))
+
+
+@query("SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM (SELECT left(text, 25) AS part FROM benchmark UNION ALL SELECT 'ioncl') AS b WHERE contains(c.text, b.part))")
+def excluded_texts(spark, sf_dir):
+    """Documents that hold none of many parts: beginnings of the benchmark's passages."""
+    rules = table(spark, sf_dir, "benchmark").select(F.left("text", F.lit(25)).alias("part")).union(spark.createDataFrame([("ioncl",), ("",), (None,)], "part string"))
+    return filters.excluded_names(corpus(spark, sf_dir).select("id", "text"), "text", rules).select("id")
+
+
 @query("SELECT id, 'wiki_' || source || '_' || CASE WHEN length(id::VARCHAR) >= 6 THEN id::VARCHAR ELSE lpad(id::VARCHAR, 6, '0') END AS key FROM c")
 def key_build(spark, sf_dir):
     return corpus(spark, sf_dir).select("id", F.concat_ws("_", F.lit("wiki"), "source", X.padded("id", 6)).alias("key"))
@@ -117,9 +136,15 @@ def filter_short(spark, sf_dir):
     return corpus(spark, sf_dir).where(filters.long_enough()).select("id", filters.too_long().alias("long"))
 
 
-@query(r"SELECT doc, line FROM (SELECT id AS doc, unnest(string_split(text, chr(10))) AS line FROM c) WHERE regexp_matches(line, '^[0-9.,:;()\s-]+$')")
+#: One of these lines stands after each text: digits of three scripts, and marks that a number holds or not.
+NUMBERS = ["(1, 2)", "12.3 - 4:5", "෧෨ ෩.", "१२: ३", "1,2", "7 a", "- . :"]
+NUMBERS_SQL = "[" + ", ".join(f"'{x}'" for x in NUMBERS) + "]"
+
+
+@query(rf"SELECT doc, line FROM (SELECT id AS doc, unnest(string_split(text || chr(10) || {NUMBERS_SQL}[id % 7 + 1], chr(10))) AS line FROM c) WHERE regexp_matches(line, '^[\p{{Nd}}\s.:-]+$')")
 def filter_numeric_lines(spark, sf_dir):
-    rows = corpus(spark, sf_dir).select(F.col("id").alias("doc"), F.explode(F.split("text", "\n")).alias("line"))
+    more = F.get(F.array(*map(F.lit, NUMBERS)), (F.col("id") % 7).cast("int"))
+    rows = corpus(spark, sf_dir).select(F.col("id").alias("doc"), F.explode(F.split(F.concat("text", F.lit("\n"), more), "\n")).alias("line"))
     return rows.where(filters.numeric_line("line"))
 
 
@@ -143,20 +168,25 @@ def contradictions(spark, sf_dir):
     return curate.contradictions(corpus(spark, sf_dir), label="label2").withColumn("labels", F.array_join("labels", ","))
 
 
-CORE2 = ["L0", "L1", "L2"]
+#: Labels by source: of L0 to L4 two are core labels, L3 is the mixed one, and two are others.
+CORE5 = ["L0", "L1"]
+LABEL5_SQL = """x AS (SELECT id, text, 'L' || (CAST(substr(source, 4) AS INT) % 5) AS label FROM c),
+k AS (SELECT text, count(DISTINCT label) FILTER (label IN ('L0', 'L1')) AS cores, count(DISTINCT label) AS labels, count(*) FILTER (label = 'L3') AS mixed FROM x GROUP BY text),
+m AS (SELECT x.*, labels > 1 AND (NOT (cores = 1 AND mixed > 0) OR label = 'L3') AS gone FROM x JOIN k USING (text))"""
+
 
+def five_labels(spark, sf_dir):
+    return corpus(spark, sf_dir).withColumn("label", F.concat(F.lit("L"), (F.substring("source", 4, 9).cast("int") % 5).cast("string")))
 
-@query("WITH k AS (SELECT text, count(DISTINCT label2) FILTER (label2 <> 'L3') AS n FROM c GROUP BY text) SELECT id, label2 FROM c JOIN k USING (text) WHERE n = 0 OR n = 1 AND label2 <> 'L3'")
+
+@query(f"WITH {LABEL5_SQL} SELECT id, label FROM m WHERE NOT gone")
 def resolve_contradictions(spark, sf_dir):
-    return curate.resolve_contradictions(corpus(spark, sf_dir), CORE2, label="label2").select("id", "label2")
+    return curate.resolve_contradictions(five_labels(spark, sf_dir), CORE5, "L3").select("id", "label")
 
 
-@query(
-    """WITH k AS (SELECT text, count(DISTINCT label2) FILTER (label2 <> 'L3') AS n, count(DISTINCT label2) AS m FROM c GROUP BY text)
-SELECT id, n > 1 OR m > 1 AND n = 1 AND label2 = 'L3' OR NOT regexp_matches(text, '[À-ſ]') OR length(text) < 10 AS "drop" FROM c JOIN k USING (text)"""
-)
+@query(f"""WITH {LABEL5_SQL} SELECT id, gone OR NOT regexp_matches(text, '[À-ſ]') OR length(text) < 10 AS "drop" FROM m""")
 def drop_mask(spark, sf_dir):
-    return curate.drop_mask(corpus(spark, sf_dir), CORE2, CONFIG.script, 10, label="label2").select("id", "drop")
+    return curate.drop_mask(five_labels(spark, sf_dir), CORE5, "L3", CONFIG.script, 10).select("id", "drop")
 
 
 @query(
@@ -193,7 +223,7 @@ tr AS (SELECT *, row_number() OVER (PARTITION BY label, source ORDER BY md5('42|
 tc AS (SELECT c.id, label, source, group_id, tr.a, tr.n AS groups,
        row_number() OVER (PARTITION BY label, source ORDER BY md5('42|' || c.id), c.id) - 1 AS ra, count(*) OVER (PARTITION BY label, source) AS rn FROM c JOIN tr USING (label, source, group_id)),
 tn AS (SELECT id, label, CASE WHEN groups >= 3 THEN a ELSE ra END AS a, CASE WHEN groups >= 3 THEN groups ELSE rn END AS n FROM tc),
-ts AS (SELECT id, label, CASE WHEN a < ceil(n * 0.8) THEN 'train' WHEN a < ceil(n * 0.8) + floor((n - ceil(n * 0.8)) / 2) THEN 'val' ELSE 'test' END AS split FROM tn)"""
+ts AS (SELECT id, label, CASE WHEN a < n * 4 // 5 THEN 'train' WHEN a < n * 4 // 5 + (n - n * 4 // 5) // 2 THEN 'val' ELSE 'test' END AS split FROM tn)"""
 
 
 @query(f"WITH {TWO_STAGE_SQL} SELECT id, split FROM ts")
@@ -242,6 +272,15 @@ def streaming_quota(spark, sf_dir):
     return curate.quota(corpus(spark, sf_dir), 20, ["id"]).select("id", "label")
 
 
+@query("SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS r FROM c) WHERE r <= 20")
+def quota_of_files(spark, sf_dir):
+    """The first rows of each label from files in the order of ids; later files are not read."""
+    path = scratch(spark, "files")
+    corpus(spark, sf_dir).select("id", "label", "text").repartitionByRange(32, "id").sortWithinPartitions("id").write.parquet(path)
+    found, _ = waves.first_rows(spark, waves.files_below(spark, path), waves.parquet_files(spark), dict.fromkeys(LABELS, 20), "label")
+    return found.select("id", "label")
+
+
 @query("SELECT text, label, source FROM c WHERE NOT (label = 'es' OR source IN ('src3', 'src4')) UNION ALL SELECT text, 'bench', 'benchmark' FROM benchmark")
 def rehearsal_mix(spark, sf_dir):
     """Rows of other labels and sources, with the benchmark in their place."""

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.functions import vectors
-from corpusloom.operators import curate, metering, metrics, ml
-from corpusloom.plans.base import CONFIG, LABELS, corpus, predicted, query, table
-from corpusloom.plans.auditing import LETTERS, rounded
-from corpusloom.streaming import jobs
+from corpusloom.operators import curate, folds, heads, metering, metrics, ml, projection
+from corpusloom.plans.base import CONFIG, LABELS, corpus, predicted, query, table, written
+from corpusloom.plans.auditing import LETTERS, SEGMENT_SQL, rounded
+from corpusloom.streaming import jobs, settling
 
 SCORES_SQL = """
 l AS (SELECT unnest(['de', 'en', 'es', 'fr', 'it']) AS label),
@@ -145,10 +145,34 @@ def model_disagreement(spark, sf_dir):
     return metrics.disagreements(rows, "predicted_label", "other")
 
 
-@query("SELECT source, count(*) AS rows, round(avg((true_label = predicted_label)::INT), 6) AS accuracy FROM p GROUP BY source")
+#: A label of its own in one source: no other source can teach it.
+ONLY_SQL = "o AS (SELECT id, text, source, CASE WHEN source = 'src1' AND id % 3 = 0 THEN 'only' ELSE label END AS label FROM c)"
+FOLDS_SQL = f"""WITH {ONLY_SQL},
+g AS MATERIALIZED (SELECT id, source, label, gram, count(*) AS n FROM (SELECT id, source, label, substr(t, i, k) AS gram FROM (SELECT *, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM o),
+  (SELECT unnest([2, 3, 4]) AS k), unnest(range(1, length(t) - k + 2)) AS r(i)) GROUP BY ALL),
+sz AS (SELECT source AS fold, (SELECT count(*) FROM o) - count(*) AS docs FROM o GROUP BY source),
+sg AS (SELECT source, gram, sum(n) AS tf, count(*) AS df FROM g GROUP BY ALL),
+tg AS (SELECT gram, sum(tf) AS tf, sum(df) AS df FROM sg GROUP BY gram),
+fg AS (SELECT fold, docs, tg.gram, tg.tf - coalesce(sg.tf, 0) AS tf, tg.df - coalesce(sg.df, 0) AS df FROM sz CROSS JOIN tg LEFT JOIN sg ON sg.source = fold AND sg.gram = tg.gram),
+fv AS MATERIALIZED (SELECT *, ln((1.0 + docs) / (1.0 + df)) + 1 AS idf FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY tf DESC, gram) AS r FROM fg WHERE tf > 0) WHERE r <= 20000),
+fc AS (SELECT fold, g.label, g.gram, sum(n) AS tf FROM fv JOIN g ON g.gram = fv.gram AND g.source <> fold GROUP BY ALL),
+ft AS (SELECT fold, label, sum(tf) + (SELECT count(*) FROM fv WHERE fv.fold = fc.fold) AS total FROM fc GROUP BY fold, label),
+fr AS (SELECT fc.fold, fc.label, gram, ln(tf + 1.0) - ln(total) AS rate FROM fc JOIN ft USING (fold, label)),
+fw AS (SELECT id, fold, fv.gram, n * idf AS w FROM g JOIN fv ON fv.fold = g.source AND fv.gram = g.gram),
+fs AS (SELECT fw.id, ft.label, sum(w * coalesce(rate, -ln(total))) AS score FROM fw JOIN ft USING (fold) LEFT JOIN fr ON fr.fold = fw.fold AND fr.label = ft.label AND fr.gram = fw.gram GROUP BY ALL),
+fp AS (SELECT id, arg_max(label, {{'s': round(score, 6), 'l': label}}) AS predicted FROM fs GROUP BY id),
+fl AS (SELECT source, label, count(*) OVER (PARTITION BY label) > 1 AS covered FROM (SELECT DISTINCT source, label FROM o))
+SELECT source, count(*) AS test_rows, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (covered)), ', '), '') AS covered, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (NOT covered)), ', '), '') AS uncovered,
+  count(*) FILTER (covered) AS scored_rows, round(avg(coalesce(label = predicted, false)::INT) FILTER (covered), 6) AS accuracy FROM (SELECT * FROM o JOIN fl USING (source, label) LEFT JOIN fp USING (id)) GROUP BY source"""
+
+
+@query(FOLDS_SQL)
 def leave_one_source_out(spark, sf_dir):
-    """The rule needs no training, so each source is held out in one pass."""
-    return rounded(metrics.accuracy(predicted(spark, sf_dir), "source"), "accuracy")
+    """Each source's accuracy when only the others are learnt from."""
+    own = (F.col("source") == "src1") & (F.col("id") % 3 == 0)
+    rows = corpus(spark, sf_dir).select("id", "source", F.when(own, "only").otherwise(F.col("label")).alias("label"), "text")
+    grams = written(folds.document_ngrams(rows, 2, 4), "ngrams")
+    return rounded(folds.leave_one_source_out(rows.drop("text"), grams), "accuracy")
 
 
 # usage
@@ -229,6 +253,64 @@ def sequential_charge(spark, sf_dir):
     return found.withColumns({"cost": F.col("cost").cast("double"), "balance": F.col("balance").cast("double")})
 
 
+def spoken_jobs(spark, sf_dir):
+    """Each turn of a conversation as a job of one of fifty users."""
+    rows = table(spark, sf_dir, "conversations")
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    strategy = F.element_at(F.array(*map(F.lit, ["sentence", "paragraph", "auto", "full_text"])), (F.col("turn") % 4 + 1).cast("int"))
+    text = F.when(number % 11 == 0, " \n").otherwise(F.col("text"))
+    work = rows.select(number.alias("job_id"), (F.col("conv_id") % 50).alias("user_id"), text.alias("text"), strategy.alias("strategy"), F.col("role").alias("model_name"), F.timestamp_seconds(number).alias("ts"))
+    rates = spark.createDataFrame([("user", "0.002"), ("assistant", "0.0005")], "model_name string, rate string")
+    balances = spark.range(50).select(F.col("id").alias("user_id"), (F.col("id") * 0.02 + 0.5).cast("decimal(18,4)").alias("balance"))
+    return work, rates, balances
+
+
+WORDS_OF = r"len(list_filter(string_split_regex({}, '\s+'), lambda y: y <> ''))"
+SETTLED_SQL = rf"""WITH RECURSIVE w AS (SELECT conv_id * 1000 + turn AS job_id, conv_id % 50 AS user_id, CASE WHEN (conv_id * 1000 + turn) % 11 = 0 THEN ' ' || chr(10) ELSE text END AS text, turn % 4 AS k, role FROM conversations),
+sg AS (SELECT *, list_filter(CASE k WHEN 0 THEN regexp_extract_all(text, '{SEGMENT_SQL["sentence"]}') WHEN 1 THEN regexp_extract_all(text, '{SEGMENT_SQL["paragraph"]}') WHEN 2 THEN regexp_extract_all(text, '{SEGMENT_SQL["auto"]}') ELSE [text] END,
+  lambda x: {WORDS_OF.format('x')} > 0) AS s FROM w),
+tk AS (SELECT *, coalesce(list_sum(list_transform(s, lambda x: {WORDS_OF.format('x')})), 0)::BIGINT AS tokens FROM sg),
+pr AS (SELECT *, (tokens::DECIMAL(18,4) * CASE role WHEN 'user' THEN 0.002 WHEN 'assistant' THEN 0.0005 ELSE 0.001 END::DECIMAL(18,8))::DECIMAL(18,4) AS cost, row_number() OVER (PARTITION BY user_id ORDER BY job_id) AS r FROM tk),
+ch AS (
+  SELECT user_id, r, cost <= (user_id * 0.02 + 0.5)::DECIMAL(18,4) AS ok, ((user_id * 0.02 + 0.5)::DECIMAL(18,4) - CASE WHEN cost <= (user_id * 0.02 + 0.5)::DECIMAL(18,4) THEN cost ELSE 0 END)::DECIMAL(18,4) AS balance FROM pr WHERE r = 1
+  UNION ALL
+  SELECT pr.user_id, pr.r, pr.cost <= ch.balance, (ch.balance - CASE WHEN pr.cost <= ch.balance THEN pr.cost ELSE 0 END)::DECIMAL(18,4) FROM ch JOIN pr ON pr.user_id = ch.user_id AND pr.r = ch.r + 1)
+SELECT job_id, user_id, CASE WHEN tokens = 0 OR NOT ok THEN 'failed' ELSE 'completed' END AS status, CASE WHEN tokens = 0 THEN 'no text' WHEN NOT ok THEN 'insufficient credits' END AS reason, tokens,
+  (CASE WHEN tokens = 0 OR NOT ok THEN 0 ELSE cost END)::DOUBLE AS cost, balance::DOUBLE AS balance, CASE WHEN tokens = 0 OR NOT ok THEN 0 ELSE len(s) END AS segments FROM pr JOIN ch USING (user_id, r)"""
+
+
+@query(SETTLED_SQL)
+def settled_jobs(spark, sf_dir):
+    """Jobs charged in order of time; only those that are paid for have segments."""
+    done = settling.settled(*spoken_jobs(spark, sf_dir))
+    counts = settling.segments_of(done).groupBy("job_id").agg(F.count(F.lit(1)).alias("segments"))
+    rows = done.join(counts, "job_id", "left")
+    return rows.select("job_id", "user_id", "status", "reason", "tokens", F.col("cost").cast("double").alias("cost"), F.col("balance").cast("double").alias("balance"), F.coalesce("segments", F.lit(0)).alias("segments"))
+
+
+@query("SELECT c_mktsegment AS tier, min(c_custkey) AS price FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY c_mktsegment UNION ALL SELECT 'FREE', 0")
+def tiers_without(spark, sf_dir):
+    """Two tiers are to go; the free one stays."""
+    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("tier")).agg(F.min("c_custkey").alias("price"))
+    tiers = rows.unionByName(spark.createDataFrame([("FREE", 0)], "tier string, price long"))
+    return metering.without_tiers(tiers, spark.createDataFrame([("FREE",), ("BUILDING",), ("none",)], "tier string"))
+
+
+@query("SELECT n_name AS key, CASE WHEN n_regionkey = 1 THEN 'new ' || n_name ELSE n_nationkey::VARCHAR END AS value FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT r_name, r_regionkey::VARCHAR FROM region")
+def config_set(spark, sf_dir):
+    """Settings get new values, some go, others come in."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    changed = nation.where("n_regionkey in (1, 2)").select(F.col("n_name").alias("key"), F.when(F.col("n_regionkey") == 1, F.concat(F.lit("new "), "n_name")).alias("value"))
+    changes = changed.unionByName(region.select(F.col("r_name").alias("key"), F.col("r_regionkey").cast("string").alias("value")))
+    return metering.set_config(nation.select(F.col("n_name").alias("key"), F.col("n_nationkey").cast("string").alias("value")), changes)
+
+
+@query("SELECT doc_id, pages::BIGINT AS pages, (pages * 0.1)::DOUBLE AS charge, CASE WHEN failed THEN 'DELETED' ELSE 'READY' END AS status FROM (SELECT doc_id, 1 + n_chars // 3000 AS pages, n_chars % 10 = 0 AS failed FROM documents)")
+def page_charges(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", (1 + F.floor(F.col("n_chars") / 3000)).alias("pages"), (F.col("n_chars") % 10 == 0).alias("failed"))
+    return metering.page_charges(rows).select("doc_id", "pages", F.col("charge").cast("double").alias("charge"), "status")
+
+
 @query("WITH r AS (SELECT p_type AS model_type, p_name AS model_name, p_retailprice AS rate FROM (SELECT *, row_number() OVER (PARTITION BY p_type, p_name ORDER BY p_partkey) AS k FROM part) WHERE k = 1) SELECT model_type, model_name, CASE WHEN length(model_name) % 2 = 0 THEN rate * 2 ELSE rate END AS rate, length(model_name) % 4 <> 0 AS is_active FROM r")
 def rates_set(spark, sf_dir):
     """Rates of all models, then changes to every other one: twice the rate, and a part is no longer offered."""
@@ -348,13 +430,18 @@ def train_char_lr(spark, sf_dir):
 
 @query()
 def svd_2d(spark, sf_dir):
-    return ml.project_2d(table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
+    """All documents' character TF-IDF in two dimensions, with the singular values."""
+    rows = corpus(spark, sf_dir).select("id", "text")
+    found, names = projection.tfidf_rows(written(folds.document_ngrams(rows, 1, 4), "ngrams"), rows.count(), 10_000)
+    values, right = projection.singular_vectors(found, names)
+    points = projection.projected(found, right)
+    return points.select("id", *[F.get("point", F.lit(k)).alias(c) for k, c in enumerate("xy")], *[F.lit(float(v)).alias(f"value{k}") for k, v in enumerate(values)])
 
 
 @query()
 def fit_head(spark, sf_dir):
-    """Accuracy of a softmax head on the vectors it was fitted to."""
+    """Accuracy of a softmax head on the tenth of the vectors that was held out of its training."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("int").alias("label"))
-    model = ml.fit_head(rows, "embedding", "label", 20)
-    found = model.transform(rows.withColumn("features", ml.array_to_vector(F.transform("embedding", lambda x: x.cast("double")))))
-    return metrics.accuracy(found.withColumn("prediction", F.col("prediction").cast("int")), true="label", pred="prediction")
+    rows = curate.stratified_split(rows, 0.9, 42, key="vec_id")
+    head = heads.fit_sgd(rows.where("split = 'train'"), "embedding", "label", "vec_id")
+    return metrics.accuracy(heads.head_predictions(rows.where("split = 'test'"), head, "embedding"), true="label")

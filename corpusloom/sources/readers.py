@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import re
-import struct
-import xml.parsers.expat
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import text as X
 from corpusloom.schema import BENCHMARK, CORPUS
+from corpusloom.sources.matrices import dense_matrix
+from corpusloom.sources.scans import block_annotated, lines, usfx
 
+__all__ = ["block_annotated", "book_dirs", "book_sentences", "csv", "dense_matrix", "existing", "jdbc", "json_map", "jsonl", "lines", "mediawiki", "objects", "paired_lines", "text_lines", "tsv", "usfx"]
 
-def csv(spark: SparkSession, path: str, schema: T.StructType | None = CORPUS, sep: str = ",", na_tokens: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of a file with a header; quoted values may span lines. na_tokens are read as null."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", sep).option("encoding", "UTF-8")
+
+def csv(spark: SparkSession, path: str, schema: T.StructType | None = CORPUS, sep: str = ",", na_tokens: tuple[str, ...] = (), multi_line: bool = True) -> DataFrame:
+    """Rows of a file with a header; with multi_line quoted values may span lines, without it large files are read in blocks. na_tokens are read as null."""
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("sep", sep).option("encoding", "UTF-8")
     df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     if na_tokens:
         df = df.select([F.when(F.col(f.name).isin(list(na_tokens)), None).otherwise(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema])
@@ -36,22 +33,6 @@ def jsonl(spark: SparkSession, path: str, labels: list[str] | None = None, schem
     return df.where(F.col("label").isin(labels)) if labels else df
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, number (from 1 in each file), value. Large files are read in blocks; the lines of the blocks before give a block's first number."""
-    rows = spark.read.option("lineSep", "\n").text(path)
-    rows = rows.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_name").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
-        F.regexp_replace("value", "\r$", "").alias("value"),
-    )
-    blocks = rows.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("path", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) + 1 - F.col("first")).alias("shift"))
-    return rows.join(starts, ["path", "block"]).select("file", (F.col("at") + F.col("shift")).alias("number"), "value")
-
-
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """text, group_id (the file's name) for each line, however large the files."""
     return spark.read.text(path).select(X.clean("value").alias("text"), F.col("_metadata.file_name").alias("group_id"))
@@ -73,64 +54,6 @@ def mediawiki(spark: SparkSession, path: str) -> DataFrame:
     return pages.select("title", X.strip_wiki(text).alias("text")).where(F.length("text") > 0)
 
 
-def verses_of(content: bytes) -> Iterator[tuple[str, str, str, str]]:
-    """(book, chapter, verse, text) of a milestone XML: a verse is the text between its mark and the next mark."""
-    state = {"book": "", "chapter": "", "verse": None, "skip": 0}
-    parts: list[str] = []
-    out: list[tuple[str, str, str, str]] = []
-
-    def close() -> None:
-        text = re.sub(r"\s+", " ", "".join(parts)).strip()
-        if state["verse"] is not None and text:
-            out.append((state["book"], state["chapter"], state["verse"], text))
-        parts.clear()
-        state["verse"] = None
-
-    def start(name, attributes):
-        if name == "book":
-            close()
-            state["book"] = attributes.get("id", "")
-        elif name == "c":
-            close()
-            state["chapter"] = attributes.get("id", "")
-        elif name == "v":
-            close()
-            state["verse"] = attributes.get("id", "")
-            if (where := attributes.get("bcv", "").split(".")) and len(where) == 3:
-                state["book"], state["chapter"], state["verse"] = where
-        elif name == "ve":
-            close()
-        elif name in ("id", "h", "toc"):
-            state["skip"] += 1
-        elif parts:
-            parts.append(" ")
-
-    def end(name):
-        if name in ("id", "h", "toc"):
-            state["skip"] -= 1
-
-    def data(text):
-        if state["verse"] is not None and not state["skip"]:
-            parts.append(text)
-
-    parser = xml.parsers.expat.ParserCreate()
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, data
-    parser.Parse(content, True)
-    close()
-    yield from out
-
-
-def usfx(spark: SparkSession, path: str) -> DataFrame:
-    """book, chapter, verse, text of every verse."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame["content"]:
-                yield pd.DataFrame(list(verses_of(bytes(content))), columns=["book", "chapter", "verse", "text"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "book string, chapter string, verse string, text string")
-
-
 def book_dirs(spark: SparkSession, path: str) -> DataFrame:
     """book, text and metadata of a tree with a directory for each book; bad bytes are replaced."""
     parent = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
@@ -156,27 +79,6 @@ def json_map(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(group.alias("group_id"), F.explode(F.from_json("value", F.lit("map<string,string>"))).alias("id", "text"))
 
 
-def block_annotated(spark: SparkSession, path: str) -> DataFrame:
-    """id, text of blocks that a line "# id = ..." heads; words are the first tab-separated column."""
-    rows = lines(spark, path).where("value != ''")
-    head = F.col("value").startswith("# id =")
-    order = Window.partitionBy("file").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("block", F.sum(head.cast("int")).over(order))
-    name = F.max(F.when(head, F.trim(F.regexp_replace("value", "^# id =", ""))))
-    word = F.when(~F.col("value").startswith("#"), F.struct("number", F.split_part("value", F.lit("\t"), F.lit(1)).alias("w")))
-    blocks = rows.where("block > 0").groupBy("file", "block").agg(name.alias("id"), F.array_sort(F.collect_list(word)).alias("w"))
-    return blocks.select("id", F.array_join("w.w", " ").alias("text"))
-
-
-def dense_matrix(spark: SparkSession, path: str, rows: int, columns: int) -> list[list[float]]:
-    """A small matrix of known shape: two 64-bit counts, then 32-bit floats."""
-    (found,) = spark.read.format("binaryFile").load(path).select("content").limit(2).collect()
-    content = bytes(found.content)
-    if struct.unpack_from("<qq", content) != (rows, columns) or len(content) != 16 + 4 * rows * columns:
-        raise ValueError(f"not a matrix of {rows} x {columns}")
-    return np.frombuffer(content, "<f4", offset=16).reshape(rows, columns).tolist()
-
-
 def jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
     """A table of a database, read in ranges of a numeric key."""
     return spark.read.jdbc(url, table, column=key, lowerBound=low, upperBound=high, numPartitions=parts, properties=options)

@@ -25,18 +25,21 @@ def segmented(jobs: DataFrame, strategies: tuple[str, ...] = ("sentence", "parag
 
 
 def run_jobs(jobs: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """Segment and score each micro-batch and append segments and job states below out.
+    """Segment and score each micro-batch of free jobs and append segments and job states below out (settling.run charges first).
 
     Each job's states also go out as events, one JSON object a line. A batch is written under its number, so a batch that is
     repeated after a failure replaces itself.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        done = score(segmented(rows))
-        done.write.mode("overwrite").parquet(f"{out}/segments/batch={number}")
-        states = rows.select("job_id", "user_id", "ts", F.when(F.length(X.clean("text")) > 0, "completed").otherwise("failed").alias("status"))
-        states.write.mode("overwrite").parquet(f"{out}/states/batch={number}")
-        progress_events(states).write.mode("overwrite").text(f"{out}/events/batch={number}")
+        rows = rows.persist()  # it is written three times
+        try:
+            score(segmented(rows)).write.mode("overwrite").parquet(f"{out}/segments/batch={number}")
+            states = rows.select("job_id", "user_id", "ts", F.when(F.length(X.clean("text")) > 0, "completed").otherwise("failed").alias("status"))
+            states.write.mode("overwrite").parquet(f"{out}/states/batch={number}")
+            progress_events(states).write.mode("overwrite").text(f"{out}/events/batch={number}")
+        finally:
+            rows.unpersist()
 
     return jobs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
