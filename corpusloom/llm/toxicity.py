@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import common
 
 #: Labelled rows that are learnt from, and terms that they may give.
-EXAMPLES = 100_000
+EXAMPLES = 20_000
 VOCABULARY = 8192
 #: Distinct vectors that vote, and entries of a block of the index.
 NEIGHBOURS = 15
@@ -39,9 +39,9 @@ BEGINNINGS = range(3, 8)
 #: Rows of a point of the calibration at least.
 LEAST_POOL = 5
 WORD = re.compile(r"[^\W\d_]+")
-#: Words and partial counts that a task keeps at once.
-MEMO = 200_000
+#: Partial counts that a task keeps at once, and tasks that score the examples.
 PARTS = 400_000
+TASKS = 64
 
 
 def candidates(word: str) -> list[str]:
@@ -105,7 +105,7 @@ class Vectors:
 
     def __init__(self, terms: list[tuple[str, float]]):
         self.strength = {t: (ratio, -k) for k, (t, ratio) in enumerate(terms)}
-        self.memo: dict[str, int] = {}
+        self.heads = {t.rstrip("$")[: BEGINNINGS[0]] for t in self.strength}
 
     def term(self, word: str) -> int:
         best = max((self.strength[t] for t in candidates(word) if t in self.strength), default=None)
@@ -113,17 +113,15 @@ class Vectors:
 
     def counts(self, text: str | None) -> tuple[dict[int, int], int]:
         """Count of each term, and of the words without one, in lowest terms."""
-        held, rest, memo = {}, 0, self.memo
-        for word, n in words_of(text).items():
-            at = memo.get(word)
-            if at is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                at = memo[word] = self.term(word)
-            if at < 0:
-                rest += n
-            else:
+        words = WORD.findall(text.lower()) if text else []
+        heads, first = self.heads, BEGINNINGS[0]
+        held: dict[int, int] = {}
+        rest = len(words)
+        for word, n in Counter([w for w in words if w[:first] in heads]).items():
+            at = self.term(word)
+            if at >= 0:
                 held[at] = held.get(at, 0) + n
+                rest -= n
         if not held:
             return held, 1
         whole = math.gcd(rest, *held.values())  # equal directions are equal vectors
@@ -150,8 +148,8 @@ def vectors(docs: DataFrame, terms: list[tuple[str, float]], key: str, text: str
 class Index:
     """Entries as unit vectors in blocks of an inverted index that knows each term's greatest weight in each block.
 
-    Entries stand by their heaviest term and its weight, so that blocks are alike inside. A query bounds the cosines of each
-    block, and looks into blocks in the order of their bounds until no bound reaches the k-th best cosine.
+    Entries stand by their heaviest term and its weight, so that blocks are alike inside. A query bounds the cosines of each block.
+    The blocks of the highest bounds are scored first; the k-th best cosine there rules out all blocks whose bounds do not reach it.
     """
 
     def __init__(self, entries: list[tuple[list[int], list[int], int]], idf: np.ndarray):
@@ -160,17 +158,18 @@ class Index:
         heaviest = [(int(t[np.argmax(w)]), -float(w.max()), t.tolist(), w.tolist()) for t, w in made]
         self.order = sorted(range(len(made)), key=heaviest.__getitem__)
         size = [len(made[k][0]) for k in self.order]
+        none = np.zeros(0)
         entry = np.repeat(np.arange(len(made)), size)
-        term = np.concatenate([made[k][0] for k in self.order]) if made else np.zeros(0, np.int64)
-        weight = np.concatenate([made[k][1] for k in self.order]) if made else np.zeros(0)
+        term = np.concatenate([made[k][0] for k in self.order] or [none]).astype(np.int64)
+        weight = np.concatenate([made[k][1] for k in self.order] or [none])
         by = np.argsort(term, kind="stable")
-        self.entry, self.weight = entry[by], weight[by]
-        term, block = term[by], self.entry // BLOCK
+        term, self.entry, self.weight = term[by], entry[by], weight[by]
+        block = self.entry // BLOCK
         starts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
-        self.starts = np.r_[starts, len(term)]
         self.block = block[starts]
-        self.most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
-        self.lists = np.searchsorted(term[starts], np.arange(self.last + 2))
+        self.most = np.maximum.reduceat(self.weight, starts) if len(starts) else none
+        self.lists = np.searchsorted(term[starts], np.arange(self.last + 2)).tolist()
+        self.postings = np.searchsorted(term, np.arange(self.last + 2)).tolist()
         self.blocks = -(-len(made) // BLOCK)
 
     def unit(self, terms: list[int], counts: list[int], rest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,34 +178,37 @@ class Index:
         w = np.r_[np.asarray(counts, float) * self.idf[np.asarray(terms, np.int64)], [REST * rest] if rest else []]
         return t, w / math.sqrt(float(w @ w))
 
+    def scored(self, query: list[tuple[int, float]], several: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of some blocks and their cosines."""
+        place = np.full(self.blocks, -1)
+        place[several] = np.arange(len(several))
+        scores = np.zeros(len(several) * BLOCK)
+        for t, w in query:
+            entry, weight = self.entry[self.postings[t] : self.postings[t + 1]], self.weight[self.postings[t] : self.postings[t + 1]]
+            at = place[entry // BLOCK]
+            held = at >= 0
+            scores[at[held] * BLOCK + entry[held] % BLOCK] += w * weight[held]  # an entry has a term once
+        found = np.flatnonzero(scores > 0)
+        return several[found // BLOCK] * BLOCK + found % BLOCK, scores[found]
+
     def nearest(self, terms: list[int], counts: list[int], rest: int, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Entries and cosines of the k nearest; ties by the order of the index."""
-        t, w = self.unit(terms, counts, rest)
+        query = list(zip(*[x.tolist() for x in self.unit(terms, counts, rest)], strict=True))
         bound = np.zeros(self.blocks)
-        spans = [(int(self.lists[x]), int(self.lists[x + 1]), float(y)) for x, y in zip(t, w, strict=True)]
-        for low, high, y in spans:
-            bound[self.block[low:high]] += y * self.most[low:high]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        entries, cosines, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
-        while at < len(order):
-            if len(cosines) == k and bound[order[at]] < cosines[-1] - 1e-9:  # rounding apart
-                break
-            several = np.sort(order[at : at + step])
-            at, step = at + step, min(2 * step, 64)
-            scores = np.zeros(len(several) * BLOCK)
-            for low, high, y in spans:
-                here = low + np.searchsorted(self.block[low:high], several)
-                for n, x in enumerate(here.tolist()):
-                    if x < high and self.block[x] == several[n]:
-                        a, b = self.starts[x], self.starts[x + 1]
-                        scores[self.entry[a:b] - (several[n] - n) * BLOCK] += y * self.weight[a:b]
-            found = np.flatnonzero(scores > 0)
-            entries = np.r_[entries, several[found // BLOCK] * BLOCK + found % BLOCK]
-            cosines = np.r_[cosines, scores[found]]
-            best = np.lexsort((entries, -cosines))[:k]
-            entries, cosines = entries[best], cosines[best]
-        return entries, np.minimum(cosines, 1.0)
+        for t, w in query:
+            low, high = self.lists[t], self.lists[t + 1]
+            bound[self.block[low:high]] += w * self.most[low:high]
+        first = np.argsort(-bound, kind="stable")[: 2 + k // BLOCK]
+        entries, cosines = self.scored(query, np.sort(first))
+        least = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
+        more = bound >= least - 1e-9  # rounding apart
+        more[first] = False
+        more &= bound > 0
+        if more.any():
+            others, of = self.scored(query, np.flatnonzero(more))
+            entries, cosines = np.r_[entries, others], np.r_[cosines, of]
+        best = np.lexsort((entries, -cosines))[:k]
+        return entries[best], np.minimum(cosines[best], 1.0)
 
 
 class Voters:
@@ -276,7 +278,7 @@ def scored(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_i
                         out.append((voters.value.share(r["terms"], r["counts"], r["rest"], y)[0], float(many * y), float(many)))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.float64()) for i in range(3)], names=["share", "told", "rows"])
 
-    shares = merged.select("terms", "counts", "rest", "rows", "told").mapInArrow(leave_out, "share double, told double, rows double").collect()  # twice the examples
+    shares = merged.select("terms", "counts", "rest", "rows", "told").repartition(TASKS).mapInArrow(leave_out, "share double, told double, rows double").collect()  # twice the examples
     levels = rising([r.share for r in shares], [r.told for r in shares], [r.rows for r in shares])
 
     kind = made.schema[key].dataType.simpleString()
