@@ -2,8 +2,8 @@
 
 The automaton holds every word run of the templates. Streaming a text through it gives matching statistics: for
 each word, the longest template run that ends there, and all places of the templates where it stands. Runs that cannot be
-extended and are long enough are chained, in the order of text and template alike, into spans; a span's coverage is the
-share of its template. The templates are short licences as a whole and the notices by which long ones are applied;
+extended and are long enough are chained into spans: the heaviest chains whose places rise in text and template alike, found with
+a table of the best chain to each place of the template, so that stray runs are passed over; a span's coverage is the share of its template. The templates are short licences as a whole and the notices by which long ones are applied;
 other collections can be given.
 
 Defined cases: a null or empty text has no words, no places and score 0; repeated rows give equal results; long
@@ -12,6 +12,8 @@ texts are streamed whole; an empty table gives an empty table; only the key and
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterable
 from functools import cache
 from itertools import repeat
@@ -231,23 +233,62 @@ class Scanner:
         return n, places, [x for number in sorted(longest) for x in self._chain(number, longest[number])]
 
     def _chain(self, number: int, matches: list[tuple[int, int, list[int]]]) -> Iterable[tuple[str, int, int, float]]:
-        """Matches (start, words, places in the template) in text order whose template places also rise belong together, if
-        near enough to one another. Of several places the first after the chain so far leaves most room for others; words of
-        the text count once.
-        """
-        chain: list[tuple[int, int, int]] = []
-        for match in [*matches, None]:
-            if match:
-                start, size, places = match
-                if chain and start - (end := chain[-1][0] + chain[-1][1]) <= self.sizes[number]:
-                    over = max(0, end - start)
-                    after = next((p + over for p in places if p + over >= chain[-1][2] + chain[-1][1]), None)
-                    if after is not None and over < size:
-                        chain.append((start + over, size - over, after))
-                        continue
-            if chain and (cover := sum(m[1] for m in chain) / self.sizes[number]) >= LEAST_COVER:
-                yield self.labels[number], chain[0][0], chain[-1][0] + chain[-1][1] - chain[0][0], cover
-            chain = [(start, size, places[0])] if match else []
+        """Spans of the heaviest chains of a template's matches (start, words, places in the template)."""
+        pairs = {(start + k, place + k) for start, size, places in matches for place in places for k in range(size)}
+        for start, end, weight in spans_of(pairs, self.sizes[number]):
+            yield self.labels[number], start, end + 1 - start, weight / self.sizes[number]
+
+
+def spans_of(pairs: set[tuple[int, int]], length: int) -> list[tuple[int, int, int]]:
+    """(first text word, last, words) of chains that cover enough of a template, in order and apart, as heavy together as can be.
+
+    A chain is a sequence of pairs (place in the text, place in the template) in which both rise, and no more text than the template is long
+    stands between two of them; runs that do not fit in are passed over. Of equally heavy chains to a place the one that begins last
+    counts, so that texts that follow one another are not mixed.
+    """
+    if len({p for _, p in pairs}) < LEAST_COVER * length:
+        return []
+    base = 1 + max(t for t, _ in pairs)  # a chain's weight and beginning in one number
+    top = np.full(length, -1, np.int64)
+    held: dict[int, deque[tuple[int, int]]] = {}
+    order = sorted(pairs, key=lambda x: (x[0], -x[1]))
+    best: dict[int, int] = {}  # for each text word the best chain that ends with it
+    gone = 0
+    for t, p in order:
+        while order[gone][0] < t - 1 - length:  # too far away for what comes
+            old, q = order[gone]
+            queue = held[q]
+            if queue and queue[0][0] == old:
+                queue.popleft()
+                top[q] = queue[0][1] if queue else -1
+            gone += 1
+        before = int(top[:p].max()) if p else -1
+        chain = before + base if before >= 0 else base + t
+        best[t] = max(best.get(t, -1), chain)
+        queue = held.setdefault(p, deque())
+        while queue and queue[-1][1] <= chain:
+            queue.pop()
+        queue.append((t, chain))
+        top[p] = queue[0][1]
+    return apart([(t, c % base, c // base) for t, c in sorted(best.items()) if c // base >= LEAST_COVER * length])
+
+
+def apart(chains: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of chains (end, start, weight), by their ends, those that do not overlap and weigh most together, as (start, end, weight)."""
+    ends, total, taken = [c[0] for c in chains], [0], []
+    for end, start, weight in chains:
+        before = bisect_left(ends, start)
+        taken.append(total[before] + weight > total[-1])
+        total.append(max(total[-1], total[before] + weight))
+    out, k = [], len(chains)
+    while k:
+        end, start, weight = chains[k - 1]
+        if taken[k - 1]:
+            out.append((start, end, weight))
+            k = bisect_left(ends, start)
+        else:
+            k -= 1
+    return out[::-1]
 
 
 @cache

@@ -60,6 +60,42 @@ def test_chains_use_later_places_of_a_run():
     assert found["mit-text"] > 0.95 and found["mit-grant"] == 1.0 and "isc-text" not in found
 
 
+def heaviest(pairs, length):
+    """Weight of the heaviest chain, by all pairs."""
+    order, best = sorted(pairs), {}
+    for t, p in order:
+        best[t, p] = 1 + max((best[x] for x in best if x[0] < t and x[1] < p and t - x[0] - 1 <= length), default=0)
+    return max(best.values(), default=0)
+
+
+def test_chains_are_heaviest():
+    rng = random.Random(8)
+    for _ in range(400):
+        length = rng.randint(1, 12)
+        pairs = set()
+        for _ in range(rng.randint(0, 8)):
+            t, p, n = rng.randrange(40), rng.randrange(length), rng.randint(1, 6)
+            pairs |= {(t + k, p + k) for k in range(n) if p + k < length}
+        found = licenses.spans_of(pairs, length)
+        weight = heaviest(pairs, length)
+        assert bool(found) == (weight >= licenses.LEAST_COVER * length)
+        assert all(a[1] < b[0] for a, b in zip(found, found[1:], strict=False)) and sum(x[2] for x in found) >= (weight if found else 0)
+        for start, end, n in found:
+            assert n == heaviest({x for x in pairs if start <= x[0] <= end}, length) <= length
+
+
+def test_stray_runs_are_passed_over():
+    scan = licenses.scanner().scan
+    for label in ("mit-text", "bsd-2-text", "zlib-text", "isc-text"):
+        words = licenses.TEMPLATES[label].split()
+        for stray in (words[:7], words[-7:], ["foreign"] * 7, words[len(words) // 3 : len(words) // 3 + 3]):
+            for at in (len(words) // 2, len(words) // 4):
+                spans = [x for x in scan(" ".join(["Copyright", *words[:at], *stray, *words[at:], "end"]))[2] if x[0] == label]
+                assert len(spans) == 1 and spans[0][3] > 0.97 and spans[0][1] <= 1 + len(stray), (label, stray)
+    twice = scan(" ".join([licenses.TEMPLATES["mit-text"]] * 3))[2]
+    assert [round(x[3], 6) for x in twice if x[0] == "mit-text"] == [1.0] * 3
+
+
 def test_own_templates(spark):
     docs = spark.createDataFrame([(1, "Do what you like with it, please")], "doc_id long, text string")
     assert [s.label for s in licenses.scan_licenses(docs, templates={"free": "do what you like with it"}).first().spans] == ["free"]
