@@ -1,19 +1,20 @@
 """Personal data and secrets become keyed surrogates of the same type, format, script and gender (operator 6).
 
-An entity is a kind and a canonical value (lower case; only digits for numbers, whatever the script of the digits). Its
-surrogate is drawn by a keyed hash, character class by character class, and put back in the spelling of each
-occurrence, so an entity has one surrogate wherever it occurs. Names are mapped token by token: given names by their
-gender, family names on their own, each in its script. A title, a field "name:" or a well-known given name before a
-capitalised word tells a name; the whole words of its document that repeat it, capitalised as well, are the same entity
+An entity is a kind and a canonical value (lower case; only digits for numbers, whatever the script of the digits; of phone
+numbers the last ten). Its surrogate is drawn by a keyed hash, character class by character class, and put back in the spelling of
+each occurrence, so an entity has one surrogate wherever it occurs. The domain of an address is an entity of its own. Names are
+mapped token by token: given names by their gender, family names on their own, each in its script. A name's gender is no part of
+the entity: what most occurrences in the corpus tell holds for all of them. A title, a field "name:" or a well-known given name
+before a capitalised word tells a name; the whole words of its document that repeat it, capitalised as well, are the same entity
 (of several, the first). Names that nothing of the kind tells are not found.
 
 The key is an argument, or the setting spark.corpusloom.surrogateKey of the session; the default one is public and
 only good for tests.
 
 Distinctness: over all entities of the corpus, surrogates that meet another surrogate or a real value are drawn
-again until none do; every eighth draw makes them longer, so that no space of surrogates is ever used up (an
-address of four numbers becomes one of eight). Only entities drawn more than once are kept as a table; they reach the
-documents by broadcast while they are few, and by a join beyond that.
+again until none do, itself among the real values; every eighth draw makes them longer, so that no space of surrogates is ever
+used up (an address of four numbers becomes one of eight). Only entities drawn more than once, and names whose gender is told
+elsewhere, are kept as a table; they reach the documents by broadcast while they are few, and by a join beyond that.
 
 Defined cases: null texts stay null, empty ones empty; nested finds give way to the longest of the earliest;
 digits of other scripts count as digits and stay in their script; repeated rows get equal results; an empty table
@@ -23,11 +24,14 @@ gives an empty table; other columns stay as they are, whatever their names.
 from __future__ import annotations
 
 import hmac
+import ipaddress
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +43,8 @@ KEY, KEY_SETTING = "corpus surrogate key", "spark.corpusloom.surrogateKey"
 FEW = 100_000
 #: Draws after which surrogates grow by one character.
 GROWING = 8
+#: Last digits of a phone number that tell it, with or without its country's.
+NATIONAL = 10
 
 NUMBERS = re.compile(
     r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d))"
@@ -50,6 +56,8 @@ ACCOUNT = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?
 ACCESS = re.compile(r"(?i)(?<![a-z0-9])akia[0-9a-z]{16}(?![a-z0-9])")
 SECRET = re.compile(r"""(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key)\s*[=:]\s*["']?([a-z0-9_+/=.-]{8,})""")
 SECRET_WORDS = ("token", "secret", "passw", "api")
+#: Addresses of eight groups, or fewer with a double colon, checked when found.
+IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,7}(?::?[0-9A-Fa-f]{1,4}){1,7}(?![\w:])|(?<![\w:.])::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])")
 MAIL_LEFT, MAIL_RIGHT = re.compile(r"[\w%+-]+(?:\.[\w%+-]+)*\Z"), re.compile(r"(?:[a-z0-9-]+\.)+[a-z]{2,24}", re.I)
 #: Titles and the gender they tell (fixed values).
 TITLES = {
@@ -63,13 +71,19 @@ GIVEN = {
     "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Laura Jane Ada Alice Anna Ursula Monika Petra Sabine María Carmen Isabel Lucía Sofía Marie Sophie Camille Isabelle Nathalie Анна Мария Ольга Елена Наталья Μαρία Ελένη Κατερίνα".split(),
 }
 GENDER = {name: gender for gender, names in GIVEN.items() for name in names}
-CAPITAL = r"[^\W\d_a-z][^\W\d_]+"
+#: Capitals of the scripts that names are found in, and lower-case words inside names (fixed values).
+UPPER = "".join(c for c in map(chr, [*range(0x530), *range(0x1E00, 0x2000)]) if c.isupper())
+PARTICLES = ("van", "von", "de", "der", "den", "del", "della", "di", "da", "du", "la", "le", "bin", "ter")
+CAPITAL = rf"(?:(?:{'|'.join(PARTICLES)})[ ])*[{UPPER}](?:['’][{UPPER}])?[^\W\d_]+"
+#: Words that begin a sentence and no name (fixed values).
+NO_NAMES = frozenset("And But Or If When Then He She It They We You In On At For From With As The This That There So Yes No Not".split())
 NAMED = re.compile(rf"(?<!\w)(?P<title>{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})(?:[^\S\n]+(?:{'|'.join(re.escape(t) for t in TITLES if t.endswith('.'))}))*[^\S\n]+(?P<names>{CAPITAL}(?:[ -]{CAPITAL}){{0,2}})")
 FIELD = re.compile(rf"(?i:(?<!\w)(?:full |my )?(?:name|nombre|nom|имя|όνομα)(?: is|:))[^\S\n]*(?P<names>{CAPITAL}(?:[ -]{CAPITAL}){{1,2}})")
 KNOWN = re.compile(rf"(?<!\w)(?P<names>(?P<given>{'|'.join(GENDER)})(?:[ -]{CAPITAL}){{1,2}})")
 LETTERS = re.compile(r"[^\W\d_]+")
+PART = re.compile(rf"[^\W\d_](?:['’][{UPPER}])?[^\W\d_]*")
 TITLE_WORDS = frozenset(t.rstrip(".") for t in TITLES)
-WORD = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
+WORD = re.compile(rf"(?<!\w){PART.pattern}(?!\w)")
 #: Syllables of surrogate names and endings by gender, for each script (fixed values).
 SCRIPTS = {
     "latin": ("ba be da de fa ga ka ke la le li lo ma me mi na ne ni no pa ra re ri ro sa se si ta te ti to va ve vi za".split(), {"m": ["n", "s", "rd"], "f": ["na", "lia", "ra"], "": ["ner", "man", "ley"]}),
@@ -109,19 +123,25 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     text = plain_digits(text)
     at = text.find("@")
     while at >= 0:
-        left, right = MAIL_LEFT.search(text[max(0, at - 64) : at]), MAIL_RIGHT.match(text, at + 1)
+        begin = at
+        while begin and (text[begin - 1].isalnum() or text[begin - 1] in "_%+-."):
+            begin -= 1
+        left, right = MAIL_LEFT.search(text[begin:at]), MAIL_RIGHT.match(text, at + 1)
         if left and right:
-            found.append((at - len(left[0]), right.end(), "email", lower(left[0] + "@" + right[0])))
+            found.append((at - len(left[0]), at, "email", lower(left[0] + "@" + right[0])))
+            found.append((at + 1, right.end(), "domain", lower(right[0])))
         at = text.find("@", at + 1)
     if re.search(r"\d", text):
         for m in NUMBERS.finditer(text):
             kind, digits = m.lastgroup if m.lastgroup != "gap" else "card", digits_of(m[0])
             if kind != "card" or luhn(digits):
-                found.append((m.start(), m.end(), kind, m[0] if kind == "ip" else digits))
+                found.append((m.start(), m.end(), kind, m[0] if kind == "ip" else digits[-NATIONAL:] if kind == "phone" else digits))
         for m in ACCOUNT.finditer(text):
             if mod97(value := m[0].replace(" ", "")) == 1:
                 found.append((m.start(), m.end(), "iban", lower(value)))
         found += [(m.start(), m.end(), "access", lower(m[0])) for m in ACCESS.finditer(text)]
+    if text.count(":") > 2:
+        found += [(m.start(), m.end(), "ip6", value) for m in IP6.finditer(text) if (value := address(m[0]))]
     small = text.lower()
     if any(w in small for w in SECRET_WORDS):
         found += [(m.start(1), m.end(1), "secret", lower(m[1])) for m in SECRET.finditer(text) if re.search(r"\d", m[1])]
@@ -143,13 +163,24 @@ def names_in(text: str) -> list[tuple[int, int, str, str]]:
     if not GENDER.keys().isdisjoint(held):
         runs += [(m, GENDER[m["given"]]) for m in KNOWN.finditer(text)]
     for m, gender in runs:
-        parts, begin = list(LETTERS.finditer(m["names"])), m.start("names")
+        parts, begin = [x for x in PART.finditer(m["names"]) if x[0] not in PARTICLES], m.start("names")
+        if parts[0][0] in NO_NAMES:
+            continue
         for k, part in enumerate(parts):
             known = GENDER.get(part[0], "") if not gender else gender
             out.append((begin + part.start(), begin + part.end(), "family" if k == len(parts) - 1 else f"given-{known}", lower(part[0])))
     return out
 
 
+def address(text: str) -> str | None:
+    """An address of eight groups in full, if it is one that names a host or net by three groups or more."""
+    try:
+        found = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    return found.exploded if len(re.findall("[0-9A-Fa-f]+", text)) > 2 else None
+
+
 def is_name(kind: str) -> bool:
     return kind == "family" or kind.startswith("given")
 
@@ -204,8 +235,12 @@ def surrogate(kind: str, value: str, draw: int, key: bytes) -> str:
     bits, longer = stream(key, kind, value, draw), draw // GROWING
     if kind == "email":
         local, _, domain = value.partition("@")
-        name, dot, top = domain.rpartition(".")
-        return f"{like(local, bits, longer)}@{like(name, bits)}{dot}{top}"
+        return f"{like(local, bits, longer)}@{domain}"  # the domain is an entity of its own
+    if kind == "domain":
+        name, dot, top = value.rpartition(".")
+        return f"{like(name, bits, longer)}{dot}{top}"
+    if kind == "ip6":
+        return ":".join(f"{number(bits, 65_536):04x}" for _ in range(8 + longer))
     if kind == "ip":
         if longer:
             return ":".join(f"{number(bits, 65_536):x}" for _ in range(8))
@@ -214,8 +249,7 @@ def surrogate(kind: str, value: str, draw: int, key: bytes) -> str:
         body = value[0] + like(value[1:-1], bits, longer)
         return next(body + d for d in "0123456789" if luhn(body + d))
     if kind == "phone":
-        keep = max(1, len(value) - 10)
-        return value[:keep] + like(value[keep:], bits, longer)
+        return value[:1] + like(value[1:], bits, longer)
     if kind == "iban":
         body = like(value[4:], bits, longer)
         return f"{value[:2]}{98 - mod97(value[:2] + '00' + body):02d}{body}"
@@ -239,17 +273,20 @@ def spelled(original: str, value: str, kind: str) -> str:
     """The surrogate in the spelling of an occurrence: its punctuation, case and digits."""
     if kind in ("card", "phone", "ssn", "iban"):
         new, out = iter(value), []
+        stays = max(0, sum(c.isalnum() for c in original) - NATIONAL) if kind == "phone" else 0  # the country's digits
         for c in original:
-            out.append(written(c, next(new, "")) if c.isalnum() else c)
+            out.append(c if not c.isalnum() or (stays := stays - 1) >= 0 else written(c, next(new, "")))
         return "".join(out) + "".join(written(original[-1], x) for x in new)
     if is_name(kind):
         return value.upper() if original.isupper() and len(original) > 1 else value.capitalize()
-    if len(value) < len(original) or kind == "ip":
+    if kind == "email":
+        value = value.partition("@")[0]
+    if len(value) < len(original) or kind in ("ip", "ip6"):
         return value
+    if kind == "domain":  # what has grown stands before the last part
+        name, dot, top = original.rpartition(".")
+        return spelled(name, value.rpartition(".")[0], "") + dot + top
     last = next((c for c in reversed(original) if c.isalnum()), "a")
-    if kind == "email" and len(value) > len(original):  # only the local part has grown
-        grown, (local, _, domain), (new, _, rest) = len(value) - len(original), original.partition("@"), value.partition("@")
-        return spelled(local + local[-1] * grown, new, "") + "@" + spelled(domain, rest, "")
     return "".join(written(c, x) for c, x in zip(original + last * (len(value) - len(original)), value, strict=True))
 
 
@@ -267,18 +304,24 @@ def replaced(text: str, of: Callable[[str, str], str]) -> tuple[str, list[str]]:
     return "".join(parts) + text[end:], kinds
 
 
-ENTITY = pa.schema([("kind", pa.string()), ("value", pa.string())])
+ENTITY = pa.schema([("told", pa.string()), ("value", pa.string()), ("n", pa.int64())])
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """Distinct (kind, value) over all documents."""
+    """kind, value, told (the kind as each occurrence tells it) over all documents: the gender of a given name is the one that most
+    occurrences tell, the lesser of several; one that nothing tells gives way to any."""
 
     def run(batches):
         for batch in batches:
-            found = sorted({x[2:] for t in batch.column("text").to_pylist() if t for x in find(t)})
-            yield pa.RecordBatch.from_pydict({"kind": [x[0] for x in found], "value": [x[1] for x in found]}, ENTITY)
+            found = Counter(x[2:] for t in batch.column("text").to_pylist() if t for x in find(t))
+            yield pa.RecordBatch.from_pydict({"told": [x[0] for x in found], "value": [x[1] for x in found], "n": list(found.values())}, ENTITY)
 
-    return docs.select("text").mapInArrow(run, "kind string, value string").distinct()
+    counted = docs.select("text").mapInArrow(run, "told string, value string, n long").groupBy("told", "value").agg(F.sum("n").alias("n"))
+    base = F.split_part("told", F.lit("-"), F.lit(1))
+    given = counted.withColumn("base", base)
+    rank = F.struct((F.col("told") != "given-").alias("sure"), "n", F.when(F.col("told") == "given-f", 1).otherwise(0).alias("f"))
+    best = given.groupBy("base", "value").agg(F.max_by("told", rank).alias("kind"), F.collect_set("told").alias("told"))
+    return best.select("kind", "value", F.explode("told").alias("told"))
 
 
 def redrawn(known: DataFrame, key: bytes) -> DataFrame:
@@ -314,7 +357,8 @@ def with_surrogates(docs: DataFrame, key: str | None = None, kinds: str | None =
     """The rows with surrogates in text; kinds: a further column (array) with the kind of each entity, in order."""
     spark = docs.sparkSession
     secret = (key or spark.conf.get(KEY_SETTING, KEY)).encode()
-    again = write_table(redrawn(write_table(entities(docs), "entities"), secret), "exceptions")
+    found = write_table(entities(docs), "entities")
+    again = write_table(with_genders(redrawn(found.select("kind", "value").distinct(), secret), found, secret), "exceptions")
     few = again.limit(FEW + 1).count() <= FEW
     known = spark.sparkContext.broadcast({(r.kind, r.value): r.surrogate for r in again.collect()} if few else {})
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
@@ -340,6 +384,17 @@ def with_surrogates(docs: DataFrame, key: str | None = None, kinds: str | None =
     return rows.mapInArrow(run, schema).select(*columns, *([] if kinds is None else [F.col("kinds").alias(kinds)]))
 
 
+def with_genders(again: DataFrame, found: DataFrame, key: bytes) -> DataFrame:
+    """The exceptions, also under the kinds that single occurrences tell, and names whose gender is told elsewhere."""
+
+    @F.pandas_udf("string")
+    def drawn(kinds: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(k, v, 0, key) for k, v in zip(kinds, values, strict=True)], dtype=object)
+
+    other = found.where("told != kind").join(again, ["kind", "value"], "left")
+    return again.unionByName(other.select(F.col("told").alias("kind"), "value", F.coalesce("surrogate", drawn("kind", "value")).alias("surrogate")))
+
+
 def with_exceptions(rows: DataFrame, again: DataFrame) -> DataFrame:
     """Adds again to (row, text): the exceptions that a text holds. Texts are keyed by their digest, so equal ones meet once."""
 
