@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import bound
@@ -36,6 +36,14 @@ def best_entry(scores: Column | str) -> Column:
     return F.struct(top["key"].alias("key"), (-top["minus"]).alias("value"))
 
 
+def means_by(df: DataFrame, vector: str, *keys: str) -> DataFrame:
+    """keys, rows, mean of the vectors of each key, null ones left out; numbers meet as sums of each place, never as vectors."""
+    rows = df.where(F.col(vector).isNotNull())
+    each = rows.select(*keys, F.posexplode(vector).alias("_at", "_x")).groupBy(*keys, "_at").agg(F.avg(F.col("_x").cast("double")).alias("_mean"), F.count(F.lit(1)).alias("_n"))
+    places = F.array_sort(F.collect_list(F.struct("_at", "_mean")))  # as many as a vector has
+    return each.groupBy(*keys).agg(F.max("_n").alias("rows"), F.transform(places, lambda p: p["_mean"]).alias("mean"))
+
+
 def mean_vector(vectors: Column | str, size: int) -> Column:
     """Mean of an array of vectors; zeros if there are none."""
     zero = F.array_repeat(F.lit(0.0), size)

@@ -104,6 +104,11 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return counts.join(F.broadcast(whole)).select(label, "n", (F.col("_all") / (F.col("_k") * F.col("n"))).alias("weight"))
 
 
+def fit_verdicts(train: Column, val: Column) -> Column:
+    """fit_verdict of columns."""
+    return F.when(train - val > 0.05, "overfit").when(F.greatest(train, val) < 0.70, "underfit").otherwise("good")
+
+
 def fit_verdict(train: float, val: float) -> str:
     return "overfit" if train - val > 0.05 else "underfit" if max(train, val) < 0.70 else "good"
 

@@ -196,7 +196,7 @@ def keyed(*columns: str) -> dict[str, str]:
 NAMES = ("id", "text", "label", "source", "subcorpus", "group_id", "is_core", "split")
 SHARE = "count(*) * 100.0 / (SELECT count(*) FROM m)"
 STEPS_SQL = [
-    step_sql(1, "rows", "count(*)"), step_sql(1, "columns", "8"), *[step_sql(2, "nulls", f"count(*) FILTER ({c} IS NULL)", f"'{c}'") for c in NAMES], step_sql(2, "blanks", "count(*) FILTER (words = 0)", "'text'"),
+    step_sql(1, "rows", "count(*)"), step_sql(1, "columns", "max(8)"), *[step_sql(2, "nulls", f"count(*) FILTER ({c} IS NULL)", f"'{c}'") for c in NAMES], step_sql(2, "blanks", "count(*) FILTER (words = 0)", "'text'"),
     *[step_sql(k, "rows", "count(*)", **keyed(*c)) for k, c in ((3, ["label"]), (6, ["source"]), (7, ["source", "label"]), (8, ["split"]), (9, ["label", "split"]), (14, ["subcorpus"]))],
     *[step_sql(k, "share", SHARE, **keyed(c)) for k, c in ((3, "label"), (6, "source"), (8, "split"), (14, "subcorpus"))],
     step_sql(4, "core_rows", "count(*) FILTER (is_core)"), step_sql(4, "mixed_rows", "count(*) FILTER (NOT is_core)"),

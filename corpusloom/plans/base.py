@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.schema import Config
 from corpusloom.sources.scratch import scratch, written
 
-__all__ = ["CONFIG", "LABELS", "ORACLE_SQL", "QUERIES", "corpus", "predicted", "query", "scratch", "table", "written"]
+__all__ = ["CONFIG", "LABELS", "ORACLE_SQL", "QUERIES", "corpus", "language_rule", "predicted", "query", "scratch", "table", "written"]
 
 #: The driver tables hold other languages: accented Latin letters stand in for the target script.
 CONFIG = Config(core=("en", "de", "fr"), mixed="es", script="À-ſ", other_script="ß-ß")
@@ -67,7 +67,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def language_rule():
+    """A simple rule as a classifier of text."""
+    return F.when(F.col("text").rlike("[ßäöü]"), "de").when(F.col("text").rlike("[ñóí]"), "es").when(F.col("text").rlike("[À-ſ]"), "fr").otherwise("en")
+
+
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus(spark, sf_dir)
-    rule = F.when(F.col("text").rlike("[ßäöü]"), "de").when(F.col("text").rlike("[ñóí]"), "es").when(F.col("text").rlike("[À-ſ]"), "fr").otherwise("en")
-    return rows.withColumn("true_label", F.col("label")).withColumn("predicted_label", rule)
+    return rows.withColumn("true_label", F.col("label")).withColumn("predicted_label", language_rule())

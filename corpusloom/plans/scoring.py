@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.functions import vectors
 from corpusloom.operators import curate, folds, heads, metering, metrics, ml, projection
-from corpusloom.plans.base import CONFIG, LABELS, corpus, predicted, query, table, written
+from corpusloom.plans.base import CONFIG, LABELS, corpus, language_rule, predicted, query, table, written
 from corpusloom.plans.auditing import LETTERS, SEGMENT_SQL, rounded
 from corpusloom.streaming import jobs, settling
 
@@ -175,6 +175,44 @@ def leave_one_source_out(spark, sf_dir):
     return rounded(folds.leave_one_source_out(rows.drop("text"), grams), "accuracy")
 
 
+@query("SELECT label, count(*) AS rows, i AS place, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, unnest(range(1, 65)) AS r(i) GROUP BY label, i")
+def mean_vectors(spark, sf_dir):
+    found = vectors.means_by(table(spark, sf_dir, "embeddings").where("embedding is not null"), "embedding", "label")
+    long = found.select("label", "rows", F.posexplode("mean").alias("place", "mean"))
+    return rounded(long.select("label", "rows", (F.col("place") + 1).cast("long").alias("place"), "mean"), "mean")
+
+
+#: Ids of some words; 0 is padding and 1 stands for all others.
+KNOWN_WORDS = {"the": 2, "die": 3, "de": 4, "la": 5, "and": 6}
+KNOWN_SQL = "CASE x " + " ".join(f"WHEN '{w}' THEN {n}" for w, n in KNOWN_WORDS.items()) + " ELSE 1 END"
+
+
+@query(rf"SELECT id, array_to_string(list_transform(list_slice(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), 1, 20), lambda x: {KNOWN_SQL}), ' ') AS ids FROM c")
+def encode_words(spark, sf_dir):
+    """The first twenty words as ids."""
+    known = F.create_map(*[F.lit(x) for pair in KNOWN_WORDS.items() for x in pair])
+    rows = corpus(spark, sf_dir).withColumn("words", X.words("text"))
+    return rows.select("id", F.array_join(F.transform(X.encoded("words", known, 20), lambda n: n.cast("string")), " ").alias("ids"))
+
+
+@query("WITH a AS (SELECT source, avg((true_label = predicted_label)::INT) FILTER (id % 5 > 0) AS train, avg((true_label = predicted_label)::INT) FILTER (id % 5 = 0) AS val FROM p GROUP BY source) SELECT source, round(train, 6) AS train, round(val, 6) AS val, CASE WHEN train - val > 0.05 THEN 'overfit' WHEN greatest(train, val) < 0.7 THEN 'underfit' ELSE 'good' END AS verdict FROM a")
+def fit_verdicts(spark, sf_dir):
+    """Each source's accuracy on two parts, and what that says."""
+    hit = (F.col("true_label") == F.col("predicted_label")).cast("double")
+    held = F.col("id") % 5 == 0
+    found = predicted(spark, sf_dir).groupBy("source").agg(F.avg(F.when(~held, hit)).alias("train"), F.avg(F.when(held, hit)).alias("val"))
+    return rounded(found.withColumn("verdict", metrics.fit_verdicts(F.col("train"), F.col("val"))), "train", "val")
+
+
+@query(r"""WITH w AS (SELECT id, label, k, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM c, (SELECT unnest([1, 3, 5]) AS k)),
+f AS (SELECT id, label, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS t FROM (SELECT *, CASE WHEN len(w) >= k THEN 1 + ('0x' || substr(md5('42|' || id), 1, 8))::BIGINT % (len(w) - k + 1) ELSE 1 END AS s FROM w))
+SELECT label, k, count(*) AS rows, count(*) FILTER (label = CASE WHEN regexp_matches(t, '[ßäöü]') THEN 'de' WHEN regexp_matches(t, '[ñóí]') THEN 'es' WHEN regexp_matches(t, '[À-ſ]') THEN 'fr' ELSE 'en' END) AS hits FROM f GROUP BY label, k""")
+def robustness_of_fragments(spark, sf_dir):
+    """How often the rule knows the label of few words in a row."""
+    found = ml.robustness(corpus(spark, sf_dir).select("id", "label", "text"), lambda rows: rows.withColumn("predicted_label", language_rule()))
+    return found.groupBy("label", F.col("k").cast("int").alias("k")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label") == F.col("predicted_label")).alias("hits"))
+
+
 # usage
 
 
