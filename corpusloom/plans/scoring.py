@@ -155,7 +155,9 @@ sg AS (SELECT source, gram, sum(n) AS tf, count(*) AS df FROM g GROUP BY ALL),
 tg AS (SELECT gram, sum(tf) AS tf, sum(df) AS df FROM sg GROUP BY gram),
 fg AS (SELECT fold, docs, tg.gram, tg.tf - coalesce(sg.tf, 0) AS tf, tg.df - coalesce(sg.df, 0) AS df FROM sz CROSS JOIN tg LEFT JOIN sg ON sg.source = fold AND sg.gram = tg.gram),
 fv AS MATERIALIZED (SELECT *, ln((1.0 + docs) / (1.0 + df)) + 1 AS idf FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY tf DESC, gram) AS r FROM fg WHERE tf > 0) WHERE r <= 20000),
-fc AS (SELECT fold, g.label, g.gram, sum(n) AS tf FROM fv JOIN g ON g.gram = fv.gram AND g.source <> fold GROUP BY ALL),
+gl AS MATERIALIZED (SELECT source, label, gram, sum(n) AS tf FROM g GROUP BY ALL),
+tl AS (SELECT label, gram, sum(tf) AS tf FROM gl GROUP BY ALL),
+fc AS (SELECT fold, tl.label, fv.gram, tl.tf - coalesce(gl.tf, 0) AS tf FROM fv JOIN tl ON tl.gram = fv.gram LEFT JOIN gl ON gl.source = fold AND gl.label = tl.label AND gl.gram = fv.gram WHERE tl.tf > coalesce(gl.tf, 0)),
 ft AS (SELECT fold, label, sum(tf) + (SELECT count(*) FROM fv WHERE fv.fold = fc.fold) AS total FROM fc GROUP BY fold, label),
 fr AS (SELECT fc.fold, fc.label, gram, ln(tf + 1.0) - ln(total) AS rate FROM fc JOIN ft USING (fold, label)),
 fw AS (SELECT id, fold, fv.gram, n * idf AS w FROM g JOIN fv ON fv.fold = g.source AND fv.gram = g.gram),
