@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import auditing, curation, scoring
+from corpusloom.plans import auditing, curation, files, scoring
 from corpusloom.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "auditing", "curation", "scoring"]
+__all__ = ["ORACLE_SQL", "QUERIES", "auditing", "curation", "files", "scoring"]

@@ -71,8 +71,9 @@ def null_profile(df: DataFrame, text: str = "text") -> DataFrame:
 
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     """Every row whose keys occur more than once."""
-    many = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return df.join(many, list(keys))
+    rows = df.withColumn("_digest", F.md5(F.to_json(F.struct(*keys))))  # 128 bits stand for the keys
+    many = rows.groupBy("_digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return rows.join(many, "_digest").drop("_digest")
 
 
 def id_uniqueness(df: DataFrame, key: str = "id") -> DataFrame:

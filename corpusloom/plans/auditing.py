@@ -322,6 +322,7 @@ def latin_ratio(spark, sf_dir):
     return rounded(corpus(spark, sf_dir).select("id", X.latin_ratio("text").alias("ratio")), "ratio")
 
 
+#: The patterns of text.SEGMENTS for the SQL (fixed values).
 SEGMENT_SQL = {"sentence": r"[^.!?।\n]+(?:[.!?।\n]+|$)", "paragraph": r"(?:[^\n][\n]?)+", "auto": r"[^.!?।\n,;:()\[\]]+(?:[.!?।\n,;:()\[\]]+|$)"}
 
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
+#: Columns of the common schema, and the thresholds below (fixed values).
 CORPUS = T.StructType(
     [T.StructField(n, T.BooleanType() if n == "is_core" else T.StringType()) for n in ("id", "text", "label", "source", "subcorpus", "group_id", "is_core", "split")]
 )

@@ -14,7 +14,7 @@ from corpusloom.sources.scans import block_annotated, lines, usfx
 __all__ = ["block_annotated", "book_dirs", "book_sentences", "csv", "dense_matrix", "existing", "jdbc", "json_map", "jsonl", "lines", "mediawiki", "objects", "paired_lines", "text_lines", "tsv", "usfx"]
 
 
-def csv(spark: SparkSession, path: str, schema: T.StructType | None = CORPUS, sep: str = ",", na_tokens: tuple[str, ...] = (), multi_line: bool = True) -> DataFrame:
+def csv(spark: SparkSession, path: str, schema: T.StructType | str | None = CORPUS, sep: str = ",", na_tokens: tuple[str, ...] = (), multi_line: bool = True) -> DataFrame:
     """Rows of a file with a header; with multi_line quoted values may span lines, without it large files are read in blocks. na_tokens are read as null."""
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("sep", sep).option("encoding", "UTF-8")
     df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
@@ -23,7 +23,7 @@ def csv(spark: SparkSession, path: str, schema: T.StructType | None = CORPUS, se
     return df
 
 
-def tsv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def tsv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     return csv(spark, path, schema, "\t")
 
 

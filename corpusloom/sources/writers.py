@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from corpusloom.schema import CORPUS
 
 
-def csv(df: DataFrame, path: str, columns: list[str] | None = None, by: list[str] | None = None) -> None:
-    """CSV in the order of the schema, replacing what is there."""
-    writer = df.select(*(columns or CORPUS.names)).write.mode("overwrite").option("header", True).option("escape", '"')
+def csv(df: DataFrame, path: str, columns: list[str] | None = None, by: list[str] | None = None, sep: str = ",") -> None:
+    """CSV in the order of the schema, replacing what is there; blanks at the ends of values stay."""
+    writer = df.select(*(columns or CORPUS.names)).write.mode("overwrite").option("header", True).option("escape", '"').option("sep", sep)
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     (writer.partitionBy(*by) if by else writer).csv(path)
 
 
