@@ -1,6 +1,6 @@
-"""The audit of a corpus in two passes over it, whatever the number of its steps.
+"""The audit of a corpus in one pass over its texts, whatever the number of its steps.
 
-One pass counts by keys of few values (labels, sources, splits, subcorpora, lengths), the other by keys of many (groups, texts, ids) with as few
+Digests, flags and lengths of the texts are written once, as a narrow table. One pass over it counts by keys of few values (labels, sources, splits, subcorpora, lengths), the other by keys of many (groups, texts, ids) with as few
 numbers as they need; both use grouping sets, so every row is read once for all sets. The many keys are then counted by what they came
 to. What is left is a small table, from which all steps, counters and the report are made.
 """
@@ -50,9 +50,18 @@ def by_sets(rows: DataFrame, sets: dict[str, list[str]], *measures: Column) -> D
 def summary(df: DataFrame, script: str, least: int = 10, most: int = 2000, splits: tuple[str, ...] = SPLITS, seed: int = 42) -> DataFrame:
     """The small table that everything else is made from. Columns of the common schema that df lacks count as null."""
     rows = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS]).withColumn("is_core", F.col("is_core").cast("string"))
-    chars, words = F.coalesce(F.length("text"), F.lit(0)), X.word_count("text")
-    few = rows.withColumns({"chars": chars, "words": words, "_script": F.coalesce(X.has_script("text", script), F.lit(False)), "_key": X.seeded(seed, "id")})
-    example = F.struct("_key", F.col("id").cast("string").alias("id"), "source", F.left("text", F.lit(PREVIEW)).alias("text"))
+    facts = {
+        "chars": F.coalesce(F.length("text"), F.lit(0)),
+        "words": X.word_count("text"),
+        "digest": F.md5("text"),
+        "_script": F.coalesce(X.has_script("text", script), F.lit(False)),
+        "_blank": ~not_blank(),
+        "_key": X.seeded(seed, "id"),
+        "text": F.left("text", F.lit(PREVIEW)),
+    }
+    # written, else each set of keys would work them out anew
+    few = written(rows.withColumns(facts), "audit-facts")
+    example = F.struct("_key", F.col("id").cast("string").alias("id"), "source", "text")
     third = F.conv(F.substring("_key", -2, 2), 16, 10).cast("int") % THIRDS
     of_rows = by_sets(
         few,
@@ -61,7 +70,7 @@ def summary(df: DataFrame, script: str, least: int = 10, most: int = 2000, split
         F.count_if(F.col("chars") < least).alias("short"),
         F.count_if(F.col("chars") > most).alias("long"),
         F.count_if(~F.col("_script")).alias("no_script"),
-        F.count_if(~not_blank()).alias("blank"),
+        F.count_if("_blank").alias("blank"),
         *[f(F.col(c)).cast("double").alias(f"{name}_{c}") for c in ("chars", "words") for name, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_samp))],
         *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in COLUMNS],
         F.array_compact(F.array(*[F.min(F.when(third == k, example)) for k in range(THIRDS)])).alias("examples"),
@@ -71,7 +80,7 @@ def summary(df: DataFrame, script: str, least: int = 10, most: int = 2000, split
     bit = F.lit(0)
     for k, s in enumerate(splits):
         bit = F.when(F.col("split") == s, 1 << k).otherwise(bit)
-    many = rows.select("id", "label", "group_id", F.md5("text").alias("digest"), F.when(F.col("split").isNotNull() & (bit == 0), 1 << len(splits)).otherwise(bit).alias("_bit"))
+    many = few.select("id", "label", "group_id", "digest", F.when(F.col("split").isNotNull() & (bit == 0), 1 << len(splits)).otherwise(bit).alias("_bit"))
     # null groups and ids are no keys; null texts are equal to none
     keys = by_sets(many, MANY, F.count(F.lit(1)).alias("n"), F.bit_or("_bit").alias("bits"), F.min("label").alias("_least"), F.max("label").alias("_most"))
     keys = keys.where((F.col("part") != "group") | F.col("group_id").isNotNull()).where(~F.col("part").startswith("text") | F.col("digest").isNotNull())

@@ -148,8 +148,9 @@ def model_disagreement(spark, sf_dir):
 #: A label of its own in one source: no other source can teach it.
 ONLY_SQL = "o AS (SELECT id, text, source, CASE WHEN source = 'src1' AND id % 3 = 0 THEN 'only' ELSE label END AS label FROM c)"
 FOLDS_SQL = f"""WITH {ONLY_SQL},
-g AS MATERIALIZED (SELECT id, source, label, gram, count(*) AS n FROM (SELECT id, source, label, substr(t, i, k) AS gram FROM (SELECT *, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM o),
-  (SELECT unnest([2, 3, 4]) AS k), unnest(range(1, length(t) - k + 2)) AS r(i)) GROUP BY ALL),
+ch AS (SELECT id, source, label, unnest(s) AS a, unnest(range(len(s))) AS i FROM (SELECT *, string_split(lower(regexp_replace(text, '\\s+', ' ', 'g')), '') AS s FROM o) WHERE text <> ''),
+nb AS (SELECT id, source, label, a || lead(a, 1) OVER w AS x, a || lead(a, 1) OVER w || lead(a, 2) OVER w AS y, a || lead(a, 1) OVER w || lead(a, 2) OVER w || lead(a, 3) OVER w AS z FROM ch WINDOW w AS (PARTITION BY id ORDER BY i)),
+g AS MATERIALIZED (SELECT id, source, label, gram, count(*) AS n FROM (SELECT id, source, label, unnest([x, y, z]) AS gram FROM nb) WHERE gram IS NOT NULL GROUP BY ALL),
 sz AS (SELECT source AS fold, (SELECT count(*) FROM o) - count(*) AS docs FROM o GROUP BY source),
 sg AS (SELECT source, gram, sum(n) AS tf, count(*) AS df FROM g GROUP BY ALL),
 tg AS (SELECT gram, sum(tf) AS tf, sum(df) AS df FROM sg GROUP BY gram),
