@@ -86,10 +86,11 @@ def with_tier(users: DataFrame, tiers: DataFrame) -> DataFrame:
     return rows.select(*[c for c in users.columns if c != "tier"], F.when(known, F.col("tier")).otherwise(F.col("_free")).alias("tier"), F.coalesce("price", F.lit(0)).alias("price"), F.when(known, F.col("credits")).otherwise(F.col("_credits")).alias("credits"))
 
 
-def without_tiers(tiers: DataFrame, gone: DataFrame) -> DataFrame:
-    """Tiers (tier, price) without those named; the free ones stay, whoever names them."""
+def without_tiers(tiers: DataFrame, gone: DataFrame, free: Column | None = None) -> DataFrame:
+    """Tiers (tier, price) without those named; the free ones (by default all of price 0) stay, whoever names them."""
     named = gone.select(F.col("tier").alias("_tier")).distinct()
-    return tiers.join(named, F.col("tier") == F.col("_tier"), "left").where("_tier is null or price = 0").drop("_tier")
+    stays = F.coalesce(F.col("price") == 0 if free is None else free, F.lit(False))
+    return tiers.join(named, F.col("tier") == F.col("_tier"), "left").where(F.col("_tier").isNull() | stays).drop("_tier")
 
 
 def set_config(config: DataFrame, changes: DataFrame) -> DataFrame:
