@@ -1,6 +1,9 @@
 """Inputs on which queries once differed from their SQL or did work that grew too fast."""
 
+import random
+
 from corpusloom.catalogue import ORACLE_SQL, QUERIES
+from corpusloom.operators import folds
 from tests.oracle import mismatch
 
 
@@ -11,3 +14,15 @@ def test_tiers_whose_first_customer_has_number_zero(spark, tmp_path):
     for name in ("documents", "embeddings"):
         (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
     assert mismatch(spark, QUERIES["tiers_without"], ORACLE_SQL["tiers_without"], tmp_path) is None
+
+
+def test_folds_of_texts_equal_folds_of_their_ngrams(spark, monkeypatch):
+    """No table of each document's n-grams is made, and models come in passes of a few folds."""
+    rng = random.Random(5)
+    rows = [(k, f"s{k % 5}", y, "".join(rng.choice({"a": "abcDe ", "b": "bcdef\n", "c": "xyz\U0001f600ab "}[y]) for _ in range(rng.randint(0, 25)))) for k in range(150) for y in [rng.choice("abc")]]
+    rows += [(500, None, "a", "abc"), (501, "s1", "only", "qqq"), (502, "s2", "a", None)]
+    df = spark.createDataFrame(rows, "id long, source string, label string, text string")
+    want = folds.leave_one_source_out(df.drop("text"), folds.document_ngrams(df, 1, 2).cache(), 60).collect()
+    monkeypatch.setattr(folds, "FOLDS", 2)
+    monkeypatch.setattr(folds, "HELD", 40)
+    assert sorted(map(tuple, folds.leave_one_source_out(df, k=60, low=1, high=2).collect())) == sorted(map(tuple, want)) and len(want) == 5
