@@ -1,9 +1,13 @@
 """Inputs on which queries once differed from their SQL or did work that grew too fast."""
 
 import random
+from collections import Counter
 
+import pytest
 from corpusloom.catalogue import ORACLE_SQL, QUERIES
-from corpusloom.operators import folds
+from corpusloom.functions import ngrams
+from corpusloom.operators import folds, metrics, ml, projection
+from pyspark.sql import functions as F
 from tests.oracle import mismatch
 
 
@@ -24,5 +28,35 @@ def test_folds_of_texts_equal_folds_of_their_ngrams(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id long, source string, label string, text string")
     want = folds.leave_one_source_out(df.drop("text"), folds.document_ngrams(df, 1, 2).cache(), 60).collect()
     monkeypatch.setattr(folds, "FOLDS", 2)
-    monkeypatch.setattr(folds, "HELD", 40)
+    monkeypatch.setattr(folds, "CHARACTERS", 40)
     assert sorted(map(tuple, folds.leave_one_source_out(df, k=60, low=1, high=2).collect())) == sorted(map(tuple, want)) and len(want) == 5
+
+
+@pytest.mark.parametrize("chars", ["ab \0\U0001f600", "".join(map(chr, range(0x4E00, 0x9FA0)))])
+def test_ngrams_by_sorting(chars):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(chars) for _ in range(rng.choice([0, 1, 2, 9, 40000]))) for _ in range(8)] + ["", "a"]
+    grams, doc, gram, n = ngrams.counted(texts, 2, 4)
+    want = {(k, g): c for k, t in enumerate(texts) for g, c in Counter(t[i : i + m] for m in (2, 3, 4) for i in range(len(t) - m + 1)).items()}
+    assert len(set(grams)) == len(grams) and {(int(d), grams[g]): int(c) for d, g, c in zip(doc, gram, n, strict=True)} == want
+    assert [len(x) for x in ngrams.counted(["", "a"], 2, 3)] == [0, 0, 0, 0]
+
+
+def test_rows_of_texts_equal_rows_of_their_ngrams(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, ""), (-2, None)], "id long, text string"))
+    want, names = projection.tfidf_rows(folds.document_ngrams(docs, 1, 3), docs.count(), 500)
+    found, ours = projection.text_rows(docs, 1, 3, 500)
+    held = {r.id: r for r in found.collect()}
+    assert ours == names and len(held) == want.count() and not held.keys() & {-1, -2}
+    for r in want.collect():
+        assert r.features == held[r.id].features and r.weights == pytest.approx(held[r.id].weights)
+
+
+def test_counts_equal_the_array_of_ngrams(spark):
+    df = spark.createDataFrame([(1, "a B\n\n bA"), (2, ""), (3, "xyx b")], "id long, text string")
+    features = ml.char_features(df, 1, 2, 6)
+    whole = features.transform(df.withColumn("grams", ml.X.char_ngrams("text", 1, 2)))
+    ours = ml.char_counts(df, features, 1, 2)
+    assert [r.counts for r in ours.orderBy("id").collect()] == [r.counts for r in whole.orderBy("id").collect()]
+    assert "grams" not in ours.columns
