@@ -51,13 +51,23 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def block_annotated(spark: SparkSession, path: str) -> DataFrame:
-    """id, text of parts that a line "# id = ..." heads; the first tab-separated column of each line that is not blank is a word."""
-    head = F.col("value").startswith("# id =")
-    rows = carried(pieces(spark, path).where(~F.col("value").rlike(r"\A\s*\z")), {"part": head.cast("int")})
-    name = F.max(F.when(head, F.trim(F.regexp_replace("value", "^# id =|\r$", ""))))
-    word = F.when(~head, F.struct("block", "at", F.regexp_extract("value", "^[^\t\r]*", 0).alias("w")))
-    found = rows.where("part > 0").groupBy("path", "part").agg(name.alias("id"), F.array_sort(F.collect_list(word)).alias("words"))  # one part's words
-    return found.where("id != '' and size(words) > 0").select("id", F.array_join("words.w", " ").alias("text"))
+    """id, text of parts that a line "# id = ..." heads; the first tab-separated column of each line that is not blank is a word.
+
+    Files are split at such lines, so a part is one piece and no words are shuffled; what stands before a file's first head is one piece
+    too, of at most 2 GB. Only a file's first piece keeps the mark of its head.
+    """
+    mark = "# id ="
+    rows = pieces(spark, path, "\n" + mark)
+    begun = rows.where("block = 0")
+    firsts = begun.groupBy("path").agg(F.min("at").alias("first"))  # a row for each file
+    first, headed = F.col("at") == F.col("first"), F.col("value").startswith(mark)
+    begun = begun.join(firsts, "path").where(~first | headed)  # no more than a block of a file
+    begun = begun.select(F.when(first, F.substr("value", F.lit(len(mark) + 1))).otherwise(F.col("value")).alias("value"))
+    rows = rows.where("block > 0").select("value").unionByName(begun).select(F.split("value", "\n").alias("l"))
+    name = F.trim(F.regexp_replace(F.get("l", F.lit(0)), "\r$", ""))
+    filled = F.filter(F.slice("l", F.lit(2), F.size("l")), lambda x: ~x.rlike(r"\A\s*\z"))
+    found = rows.select(name.alias("id"), F.transform(filled, lambda x: F.regexp_extract(x, "^[^\t\r]*", 0)).alias("words"))
+    return found.where("id != '' and size(words) > 0").select("id", F.array_join("words", " ").alias("text"))
 
 
 #: A tag up to its end and the text after it; attributes may hold ">" in quotes.

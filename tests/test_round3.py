@@ -3,10 +3,13 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from corpusloom.catalogue import ORACLE_SQL, QUERIES
 from corpusloom.functions import ngrams
+from corpusloom.functions import text as X
 from corpusloom.operators import folds, metrics, ml, projection
+from corpusloom.sources import readers
 from pyspark.sql import functions as F
 from tests.oracle import mismatch
 
@@ -60,3 +63,33 @@ def test_counts_equal_the_array_of_ngrams(spark):
     ours = ml.char_counts(df, features, 1, 2)
     assert [r.counts for r in ours.orderBy("id").collect()] == [r.counts for r in whole.orderBy("id").collect()]
     assert "grams" not in ours.columns
+
+
+@pytest.mark.parametrize("size", ["30", "128m"])
+@pytest.mark.parametrize("start", ["", "loose\tx\n", "\n", "# id\n"])
+def test_annotated_blocks_without_windows(spark, tmp_path, size, start):
+    (tmp_path / "a.txt").write_text(start + "# id = one \r\na\tx\r\n\n \nb\n# id =# id = two\n#\tx\n\tempty\nc # id = no\n# id =\nlost\n# id = three\n# id = four\nd")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    found = readers.block_annotated(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [("# id = two", "#  c # id = no"), ("four", "d"), ("one", "a b")]
+    assert "Window" not in found._jdf.queryExecution().toString()
+    for k, v in held.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("strategy", ["sentence", "auto", "paragraph", "whole"])
+def test_segments_are_listed_in_slices(spark, strategy, monkeypatch):
+    texts = ["a. b!\n\nc, (d)", None, "", " \n", "\U0001f600. e", *[f"x{k}. y;" for k in range(250)]]
+    want = [[{"text": s, "start": a, "end": b} for s, a, b in X.spans(t, strategy)] for t in texts]
+    assert X.TEXTS < len(texts) and X.listed(pa.array(texts), strategy).to_pylist() == want
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string").coalesce(1)
+    found = df.select("k", X.segment_offsets("t", strategy).alias("s")).orderBy("k").collect()
+    assert [[x.asDict() for x in r.s] for r in found] == want
+
+
+def test_word_vectors_are_learnt_in_parts(spark):
+    df = spark.createDataFrame([(k, "a b c" if k % 2 else "x y z") for k in range(40)], "id long, text string")
+    assert ml.word_vectors(df, size=4).getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ml.word_vectors(df, size=4, parts=1).getNumPartitions() == 1
