@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -151,13 +152,27 @@ def spans(text: str | None, strategy: str | None) -> Iterator[tuple[str, int, in
             yield found[0], found.start(), found.end()
 
 
+#: Texts whose segments are Python objects at once.
+TEXTS = 100
+
+
+def listed(values: pa.Array, strategy: str) -> pa.Array:
+    """The segments of each text as a list of (text, start, end)."""
+    found = [list(spans(t, strategy)) for t in values.to_pylist()]
+    ends = np.cumsum([0, *map(len, found)])
+    each = [s for part in found for s in part]
+    columns = [pa.array([s[k] for s in each], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32()))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["text", "start", "end"]))
+
+
 def segment_offsets(text: Column | str, strategy: str) -> Column:
     """Structs (text, start, end): code points, end exclusive; none for null and blank texts. An Arrow function: expressions that
     find places copy the array of segments for each of them."""
 
-    @F.pandas_udf("array<struct<text: string, start: int, end: int>>")
-    def found(values: pd.Series) -> pd.Series:
-        return values.map(lambda t: [{"text": s, "start": a, "end": b} for s, a, b in spans(t, strategy)])
+    @F.arrow_udf("array<struct<text: string, start: int, end: int>>")
+    def found(values: pa.Array) -> pa.Array:
+        parts = [listed(values.slice(at, TEXTS), strategy) for at in range(0, len(values), TEXTS)]
+        return pa.concat_arrays(parts) if parts else listed(values, strategy)
 
     return found(col(text))
 
