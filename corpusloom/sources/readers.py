@@ -50,8 +50,8 @@ def mediawiki(spark: SparkSession, path: str) -> DataFrame:
     """title, text of every page with a text; compressed dumps too."""
     schema = "title string, revision struct<text: struct<_VALUE: string>>"
     pages = spark.read.format("xml").option("rowTag", "page").option("ignoreNamespace", True).schema(schema).load(path)
-    text = F.col("revision.text._VALUE")
-    return pages.select("title", X.strip_wiki(text).alias("text")).where(F.length("text") > 0)
+    text = F.array(X.strip_wiki("revision.text._VALUE"))
+    return pages.select("title", F.explode(F.filter(text, lambda t: F.length(t) > 0)).alias("text"))  # a filter on text would strip it twice
 
 
 def book_dirs(spark: SparkSession, path: str) -> DataFrame:
