@@ -114,8 +114,8 @@ class SegmentTreeBpe:
 
     def _ordinary(self, text: str) -> bytes:
         text = unicodedata.normalize("NFC", text)
-        if PLAIN.fullmatch(text):
-            return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+        if PLAIN.fullmatch(shown := text.lower()):  # small letters of some capitals lie beyond U+024F
+            return b"".join(map(self.chunks.__getitem__, shown.split()))
         lower = "".join(c.lower() for c in text)
         return b"".join(map(self._piece, ANY_PIECES.findall(lower)))
 

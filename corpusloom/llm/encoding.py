@@ -84,6 +84,8 @@ class Encoder:
 
     def _chunk(self, chunk: str) -> bytes:
         if self.kind == "word":
+            if chunk.isalpha():  # one piece: below U+0250 these are LETTERS
+                return self._word(chunk)
             pieces = self.pieces.findall(chunk)
         else:
             first, *rest = self.pieces.findall(" " + chunk)
@@ -100,12 +102,13 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
+        shown = text.lower() if self.kind == "word" else text  # small letters of some capitals lie beyond U+024F
+        if not PLAIN.fullmatch(shown) or any(s in text for s in self.special):
             return self.whole(text)
         if self.kind == "word":
             if not unicodedata.is_normalized("NFC", text):
                 return self.whole(text)
-            return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+            return b"".join(map(self.chunks.__getitem__, shown.split()))
         if "  " in text:
             return self.whole(text)
         first, *rest = text.split(" ")

@@ -35,7 +35,8 @@ SHARD, FILE_SHARDS = 500_000, 32
 SYMBOLS, FIRST_RULE = 65_536, 49_408
 #: Occurrences that pay for a rule; least share of a round's most frequent pair.
 LEAST, SHARE = 6, 0.1
-SLOTS = 1 << 20
+#: Slots of pairs in a round; their counts (2 MB) stay in a core's cache.
+SLOT_BITS = 18
 #: magic, bytes after the header, partition, ids of the partition before it, ids, documents, rules, symbols
 HEADER = struct.Struct("<4sQIQQIII")
 #: The two bytes of each id.
@@ -68,21 +69,23 @@ def apart(pairs: np.ndarray) -> list[int]:
 def compress(ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (n, 2), the reduced sequence, and its marks of documents' last symbols."""
     seq, rules, made = ids.astype(np.uint16), [np.zeros(0, np.uint32)], 0
+    # a pair that has become too rare stays so: only pairs with a new symbol are counted where one was given up
+    live = np.ones(len(seq), bool)
     while len(seq) > 1 and made < SYMBOLS - FIRST_RULE:
-        pair = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
+        at = np.flatnonzero(places_of_pairs(seq, last) & live[:-1])
+        pair = (seq[at].astype(np.uint32) << np.uint32(16)) | seq[at + 1]
         # counts of slots are at least those of their pairs, so only pairs of busy slots are counted one by one
-        slot = (pair * np.uint32(2654435761)) >> np.uint32(12)
-        slot[~places_of_pairs(seq, last)] = SLOTS
-        rough = np.bincount(slot, minlength=SLOTS + 1)
-        rough[SLOTS] = 0
-        least = LEAST
+        slot = ((pair * np.uint32(2654435761)) >> np.uint32(32 - SLOT_BITS)).astype(np.intp)
+        rough = np.bincount(slot, minlength=1 << SLOT_BITS)
+        most, rough = rough.max(), rough[slot]
+        live[at[rough < LEAST]] = False
         while True:
-            at = np.flatnonzero((rough >= max(least, SHARE * rough.max()))[slot])
-            found, back, counts = np.unique(pair[at], return_inverse=True, return_counts=True)
-            if not len(at) or counts.max() >= SHARE * rough.max():
+            busy = np.flatnonzero(rough >= max(LEAST, SHARE * most))
+            found, back, counts = np.unique(pair[busy], return_inverse=True, return_counts=True)
+            if not len(busy) or counts.max() >= SHARE * most:
                 break
-            rough[rough > counts.max()] = counts.max()  # busy slots of rare pairs
-        if not len(at) or counts.max() < LEAST:
+            most = counts.max()  # busy slots of rare pairs
+        if not len(busy) or counts.max() < LEAST:
             break
         order = np.argsort(-counts, kind="stable")
         order = order[counts[order] >= max(LEAST, SHARE * counts[order[0]])]
@@ -90,14 +93,15 @@ def compress(ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         number = np.full(len(found), -1, np.int32)
         number[order] = np.arange(len(order), dtype=np.int32)
         which = number[back]
-        at, which = at[which >= 0], which[which >= 0]
+        at, which = at[busy[which >= 0]], which[which >= 0]
         rules.append(found[order])
         seq[at] = FIRST_RULE + made + which
         made += len(order)
         last[at] = last[at + 1]
+        live[at] = live[np.maximum(at - 1, 0)] = True
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
+        seq, last, live = seq[stay], last[stay], live[stay]
     pairs = np.concatenate(rules)
     return np.stack([pairs >> np.uint32(16), pairs & np.uint32(65535)], 1).astype(np.uint16), seq, last
 
