@@ -86,6 +86,8 @@ class Encoder:
         if self.kind == "word":
             if chunk.isalpha():  # one piece: below U+0250 these are LETTERS
                 return self._word(chunk)
+            if chunk[-1] in ",.;:!?" and chunk[:-1].isalpha():
+                return self.chunks[chunk[:-1]] + self.chunks[chunk[-1]]
             pieces = self.pieces.findall(chunk)
         else:
             first, *rest = self.pieces.findall(" " + chunk)

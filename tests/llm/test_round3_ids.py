@@ -31,7 +31,7 @@ def test_words_of_letters_are_not_split():
 
     own.pieces = Counted()
     assert own.encode("Uxora éblouitàß zq, x1") == own.whole("Uxora éblouitàß zq, x1")
-    assert Counted.asked == ["zq,", ",", "x1", "1"]
+    assert Counted.asked == [",", "x1", "1"]
 
 
 @pytest.mark.parametrize("bits", [2, 18])
