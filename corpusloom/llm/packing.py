@@ -14,6 +14,7 @@ equal lengths are dealt in a fixed order; an empty table gives an empty table; f
 from __future__ import annotations
 
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import write_table
-from corpusloom.llm.encoding import encoder, texts
+from corpusloom.llm.encoding import encoder, keyed_texts
 
 CAPACITY, BLOCK = 1024, 4000
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 12, 5
@@ -37,11 +38,11 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None)
     """doc_id, piece, start, length and ids_crc32 of every piece of every document."""
 
     def run(batches):
-        encode, end = encoder("byte", tokenizer).encode, END_ID.to_bytes(2, "little")
-        for batch in batches:
+        end, rows = END_ID.to_bytes(2, "little"), encoder("byte", tokenizer).encode_all(keyed_texts(batches))
+        while some := list(islice(rows, 1000)):
             keys, number, starts, lengths, crcs = [], [], [], [], []
-            for key, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                ids = np.frombuffer(encode(text) + end, "<u2").astype("<u4")
+            for key, found in some:
+                ids = np.frombuffer(found + end, "<u2").astype("<u4")
                 first = len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
