@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 from typing import Any
@@ -35,6 +34,8 @@ DOUBLE_SPACE = re.compile(r"\s\s")
 TEXT_START, LINE_START = "\x1c", "\x1d"
 #: Characters of the texts whose chunks are looked up together.
 TOGETHER = 1 << 24
+#: The two bytes of each id.
+TWO_BYTES = [i.to_bytes(2, "little") for i in range(1 << 16)]
 LONGEST = 48
 FULL = 500_000
 
@@ -89,7 +90,8 @@ class Encoder:
             shown = word.replace(" ", "\u0120")
         else:
             shown = word.encode().decode("latin-1").translate(self.table)
-        return array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        tokens = self.model.tokenize(shown)
+        return TWO_BYTES[tokens[0].id] if len(tokens) == 1 else b"".join([TWO_BYTES[t.id] for t in tokens])
 
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.encoding import encoder, texts
+from corpusloom.llm.encoding import encoder, keyed_texts
 from corpusloom.llm.files import read_blocks, write_blocks
 
 MAGIC = b"RPT1"
@@ -206,21 +206,20 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
     """Encode all documents and write their shards in ascending doc_id order."""
 
     def run(batches):
-        encode, partition, total = encoder("word", tokenizer).encode, TaskContext.get().partitionId(), 0
+        encode, partition, total = encoder("word", tokenizer).encode_all, TaskContext.get().partitionId(), 0
         keys, ids, size, end = [], [], 0, END_ID.to_bytes(2, "little")
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array([pack(partition, total, keys, ids)], pa.binary())], names=["shard"])
 
-        for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                found = encode(text) + end
-                if keys and size + len(found) // 2 > SHARD:
-                    yield out()
-                    total, keys, ids, size = total + size, [], [], 0
-                keys.append(key)
-                ids.append(found)
-                size += len(found) // 2
+        for key, found in encode(keyed_texts(batches)):
+            found += end
+            if keys and size + len(found) // 2 > SHARD:
+                yield out()
+                total, keys, ids, size = total + size, [], [], 0
+            keys.append(key)
+            ids.append(found)
+            size += len(found) // 2
         if keys:
             yield out()
 
