@@ -10,7 +10,8 @@ orders words and skips those that stand in one line; it loses no pair. Of lines
 first held against the earliest few, and only lines that stay unmatched go on to the next ones, so a word with
 many nearly equal lines costs a few comparisons a line. The lines of a very frequent
 word are dealt into parts: a line first meets those of its own part, and only if it stays unmatched it visits the
-other parts, so no task holds all lines of a word.
+other parts, so no task holds all lines of a word. Prefix words are dealt out in blocks whose number grows with the
+words, many to a row; later rounds work on plain rows of the words that are still open, which the first round leaves.
 
 Words are told by 64-bit hashes, equal word sets by 128 bits over those. The 40 bits of a word that name its group of
 candidates can only add candidates; the word sets decide.
@@ -42,12 +43,16 @@ SPLIT = 100_000
 WIDER = (72, 176, 400, 900, 1900, 4000)
 MASK40 = (1 << 40) - 1
 #: Alike partners of a line and word that are verified first, and by how many times more in each later round.
-FIRST_ROUND, GROWTH, MOST_AT_ONCE = 2, 16, 1000
+FIRST_ROUND, GROWTH, MOST_AT_ONCE = 2, 128, 1000
 #: Lines of a word that are held in memory at a time.
 HEAD = 200_000
+#: Rows of the index in a row that is shuffled, and in memory before they are; words of lines in a block.
+PACKED, FLUSH, BLOCK_WORDS = 500, 400_000, 1_000_000
 BITS = 1 << 26
 CLASSES = 200_000
 TOGETHER = 40_000
+#: Rows of whole blocks that are sorted and compared at a time.
+SORTED = 150_000
 #: Documents whose numbers are broadcast.
 FEW_DOCS = 100_000
 LINE = "doc long, tag long, line int"
@@ -86,15 +91,18 @@ def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         sums = np.array([sum(c * pow(BASE, i, 1 << 64) for i, c in enumerate(w)) % (1 << 64) for _, w in found], U)
         return mixed(sums + np.array([len(w) for _, w in found], U)), np.array([k for k, _ in found], np.int64)
     up, down = powers(USUAL if len(data) < USUAL else REACH)
-    blank = np.concatenate([[True], PARTS[data], [True]])
+    blank = np.frombuffer(b"\1" + raw.translate(BLANK) + b"\1", bool)
     edges = np.flatnonzero(blank[1:] != blank[:-1])
     starts, ends = edges[::2], edges[1::2]
     sums = np.zeros(len(data) + 1, U)
     np.cumsum(data * up[: len(data)], out=sums[1:], dtype=U)
     hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
-    return hashes, np.searchsorted(np.flatnonzero(data == 10), starts)
+    # words before each line end
+    before = np.concatenate([[0], np.searchsorted(starts, np.flatnonzero(data == 10)), [len(starts)]])
+    return hashes, np.repeat(np.arange(len(before) - 1), np.diff(before))
 
 
+BLANK = PARTS.tobytes()
 SPACED = bytes(32 if PARTS[c] else c for c in range(256))
 
 
@@ -104,20 +112,25 @@ class Lines:
     def __init__(self, parts: list[tuple[int, int, int, list[str]]], rarity: np.ndarray | None):
         counts = [len(p[3]) for p in parts]
         hashes, owner = hashed_words("\n".join([x for p in parts for x in p[3]]).lower().encode())
-        rank = np.zeros(len(hashes), U) if rarity is None else rarity[hashes & U(SLOTS - 1)].astype(U)
-        key = (owner.astype(U) << U(48)) | (rank << U(40)) | (hashes & U(MASK40))
+        key = (owner.astype(U) << U(48)) | (hashes & U(MASK40))
+        if rarity is not None:
+            key |= rarity[hashes & U(SLOTS - 1)].astype(U) << U(40)
         order = np.argsort(key)
         key, hashes = key[order], hashes[order]
-        if ((key[1:] == key[:-1]) & (hashes[1:] != hashes[:-1])).any():  # different words with 40 bits in common
+        again = key[1:] == key[:-1]
+        if (again & (hashes[1:] != hashes[:-1])).any():  # different words with 40 bits in common
             order = np.lexsort((hashes, key))
             key, hashes = key[order], hashes[order]
-        if len(key):
-            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (hashes[1:] != hashes[:-1])])
+            again = (key[1:] == key[:-1]) & (hashes[1:] == hashes[:-1])
+        if again.any():
+            fresh = np.concatenate([[True], ~again])
             key, hashes = key[fresh], hashes[fresh]
-        full, self.owner, self.size = np.unique((key >> U(48)).astype(np.int64), return_inverse=True, return_counts=True)
+        line = (key >> U(48)).astype(np.int64)
+        self.start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
+        self.size, full = np.diff(np.append(self.start, len(line))), line[self.start]
+        self.owner = np.repeat(np.arange(len(full)), self.size)
         self.rank = (key >> U(40)) & U(255)
         self.word = (key & U(MASK40)).astype(np.int64)
-        self.start = (np.cumsum(self.size) - self.size).astype(np.int64)
         of = np.repeat(np.arange(len(parts)), counts)[full] if len(full) else np.zeros(0, np.int64)
         before = np.cumsum(counts) - counts
         self.doc, self.tag, begin = (np.array([p[k] for p in parts], np.int64)[of] for k in (0, 1, 2))
@@ -126,9 +139,13 @@ class Lines:
         if len(full):
             #: equal sets have equal sums
             self.name = mixed(np.add.reduceat(self.each, self.start) + self.size.astype(U)).astype(np.int64)
-            self.check = np.add.reduceat(mixed(self.each ^ U(BASE)), self.start).astype(np.int64)
         else:
-            self.name = self.check = np.zeros(0, np.int64)
+            self.name = np.zeros(0, np.int64)
+
+    @property
+    def check(self) -> np.ndarray:
+        """Another sum, for equal sets."""
+        return np.add.reduceat(mixed(self.each ^ U(BASE)), self.start).astype(np.int64) if len(self.size) else np.zeros(0, np.int64)
 
     def odd_bits(self) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
         """Bit k of a line tells whether an odd number of its words falls on it; a differing bit tells of a differing word.
@@ -219,8 +236,8 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, COUNTED)
 
 
-def rarity(rows: DataFrame) -> np.ndarray:
-    """For each slot 0 (its word stands in one line) or 1 + 8 log2 of its lines, from rows of counted()."""
+def rarity(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """For each slot 0 (its word stands in one line) or 1 + 8 log2 of its lines, from rows of counted(); and the sum over all slots."""
 
     def summed(batches):
         blocks: dict[int, np.ndarray] = {}
@@ -230,17 +247,20 @@ def rarity(rows: DataFrame) -> np.ndarray:
                 total[np.frombuffer(r["at"], "<u2")] += np.frombuffer(r["n"], "<u2")
         for block, total in blocks.items():
             level = np.where(total > 1, np.minimum(255, 1 + 8 * np.log2(np.maximum(total, 1))), 0).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "level"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary()), pa.array([int(total.sum())], pa.int64())], names=["block", "level", "n"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = rows.where("block is not null").select("block", "at", "n").repartition(parts, "block").mapInArrow(summed, "block int, level binary")
-    out = np.zeros(SLOTS, np.uint8)
+    made = rows.where("block is not null").select("block", "at", "n").repartition(parts, "block").mapInArrow(summed, "block int, level binary, n long")
+    out, n = np.zeros(SLOTS, np.uint8), 0
     for r in made.collect():  # at most 256 blocks of 64 KB
         out[r.block * SLOT_BLOCK : (r.block + 1) * SLOT_BLOCK] = np.frombuffer(r.level, np.uint8)
-    return out
+        n += r.n
+    return out, n
 
 
-INDEX = "key long, part long, class long, doc long, tag long, line long, size long, odd long, odd2 long, wide binary"
+NUMBERS = ("key", "part", "class", "doc", "tag", "line", "size", "odd", "odd2")
+INDEX = f"{', '.join(f'{c} long' for c in NUMBERS)}, wide binary"
+FOUND = f"later long, word long, earlier array<long>, more boolean, beyond boolean, {INDEX}"
 #: The key holds the word above and, in this many bits, its rank in the line.
 RANK_BITS = 23
 
@@ -256,41 +276,126 @@ def part_of(level: np.ndarray, name: np.ndarray, most: int) -> np.ndarray:
     return np.where(parts > 1, (parts << 32) | (mixed(name.view(U) ^ U(BASE)) % np.maximum(parts, 1).astype(U)).astype(np.int64), 0)
 
 
-def emitted(docs: DataFrame, known, repeated, words=None) -> DataFrame:
-    """A row for each prefix word of the least line of a class in a task; words: a filter that they have to pass.
+def wide_bytes(size: np.ndarray) -> np.ndarray:
+    """Bytes of all odd bits of lines; short ones have none."""
+    return np.where(size > WIDER[1], 8 << sum((size > x).astype(np.int64) for x in WIDER), 0)
+
 
-    The tag is 0 where the doc alone tells the document (not in the filter repeated), so that it packs well.
+def prefix_words(batches, known, repeated, words, most: int) -> Iterator[tuple[np.ndarray, dict[int, bytes]]]:
+    """Rows of INDEX, a column of the array for each, and wide bits by row: the prefix words of the least line of a class in a task.
+
+    words: a filter that they have to pass. The tag is 0 where the doc alone tells the document (not in the filter
+    repeated), so that it packs well.
+    """
+    least: dict[int, tuple] = {}
+    for part in in_parts(batches):
+        lines = Lines(part, known.value)
+        n = len(lines.name)
+        if not n:
+            continue
+        fresh = np.zeros(n, bool)
+        for k, (name, place) in enumerate(zip(lines.name.tolist(), zip(lines.doc.tolist(), lines.tag.tolist(), lines.line.tolist(), strict=True), strict=True)):
+            if name not in least or place < least[name]:
+                if len(least) >= CLASSES:
+                    least.clear()
+                least[name] = place
+                fresh[k] = True
+        prefix = np.where(fresh, lines.size - (4 * lines.size + 4) // 5 + 1, 0)
+        at = np.arange(int(prefix.sum())) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+        use = np.repeat(lines.start, prefix) + at
+        kept = lines.rank[use] > 0
+        if words is not None:
+            kept &= wanted(words.value, lines.word[use])
+        use, at = use[kept], at[kept]
+        own = lines.owner[use]
+        tag = np.where(wanted(repeated.value, lines.doc), lines.tag, 0)
+        odd, odd2, wide = lines.odd_bits()
+        made = [(lines.word[use] << RANK_BITS) | at, part_of(lines.rank[use], lines.name[own], most), lines.name[own], lines.doc[own], tag[own], lines.line[own], lines.size[own], odd[own], odd2[own]]
+        yield np.stack([c.astype(np.int64) for c in made]), {int(k): wide[own[k]] for k in np.flatnonzero(lines.size[own] > WIDER[1])}
+
+
+def emitted(docs: DataFrame, known, repeated, blocks: int, words=None) -> DataFrame:
+    """The rows of prefix_words() by block, some hundred in a row: all of a word's part fall in one block.
+
+    So Spark deals out and sorts few rows; the tasks that get a block sort it (indexed()).
     """
+
     most = SPLIT
 
     def run(batches):
-        least: dict[int, tuple] = {}
-        for part in in_parts(batches):
-            lines = Lines(part, known.value)
-            n = len(lines.name)
-            if not n:
+        held, wides, n = [], {}, 0
+
+        def flush():
+            columns = np.concatenate(held, axis=1)
+            block = (mixed((columns[0] >> RANK_BITS).astype(U) ^ mixed(columns[1].astype(U))) % U(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            columns, block = columns[:, order], block[order]
+            long = np.flatnonzero(columns[NUMBERS.index("size")] > WIDER[1])
+            edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])).tolist()
+            pieces = [(i, min(i + PACKED, end)) for begin, end in zip(edges, edges[1:], strict=False) for i in range(begin, end, PACKED)]
+            # wide bits stand behind the numbers; sizes tell their lengths
+            tails = [b"".join(wides[k] for k in order[long[slice(*np.searchsorted(long, (i, j)))]].tolist()) for i, j in pieces] if len(long) else [b""] * len(pieces)
+            data = [columns[:, i:j].tobytes() + tail for (i, j), tail in zip(pieces, tails, strict=True)]
+            at = pa.array(block[[i for i, _ in pieces]], pa.int32())
+            made = pa.RecordBatch.from_arrays([at, pa.array([j - i for i, j in pieces], pa.int32()), pa.array(data, pa.binary())], names=["block", "n", "data"])
+            held.clear()
+            wides.clear()
+            yield from (made.slice(i, 500) for i in range(0, len(pieces), 500))
+
+        for columns, wide in prefix_words(batches, known, repeated, words, most):
+            if not columns.shape[1]:
                 continue
-            fresh = np.zeros(n, bool)
-            for k, (name, place) in enumerate(zip(lines.name.tolist(), zip(lines.doc.tolist(), lines.tag.tolist(), lines.line.tolist(), strict=True), strict=True)):
-                if name not in least or place < least[name]:
-                    if len(least) >= CLASSES:
-                        least.clear()
-                    least[name] = place
-                    fresh[k] = True
-            prefix = lines.size - (4 * lines.size + 4) // 5 + 1
-            at = np.arange(len(lines.word)) - np.repeat(lines.start, lines.size)
-            use = (at < prefix[lines.owner]) & (lines.rank > 0) & fresh[lines.owner]
-            if words is not None:
-                use &= wanted(words.value, lines.word)
-            own = lines.owner[use]
-            tag = np.where(wanted(repeated.value, lines.doc), lines.tag, 0)
-            odd, odd2, wide = lines.odd_bits()
-            columns = [(lines.word[use] << RANK_BITS) | at[use], part_of(lines.rank[use], lines.name[own], most), lines.name[own], lines.doc[own], tag[own], lines.line[own].astype(np.int64), lines.size[own].astype(np.int64), odd[own], odd2[own]]
-            for i in range(0, len(own), TOGETHER):
-                bits = pa.array([wide[k] for k in own[i : i + TOGETHER].tolist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[i : i + TOGETHER]) for c in columns), bits], names=["key", "part", "class", "doc", "tag", "line", "size", "odd", "odd2", "wide"])
-
-    return docs.mapInArrow(run, INDEX)
+            held.append(columns)
+            wides |= {n + k: bits for k, bits in wide.items()}
+            n += columns.shape[1]
+            if n >= FLUSH:
+                yield from flush()
+                n = 0
+        if n:
+            yield from flush()
+
+    return docs.mapInArrow(run, "block int, n int, data binary")
+
+
+def indexed(batches) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of INDEX from rows of emitted() in the order of blocks: whole blocks, in the order of word, part and place."""
+    held, n, last = [], 0, None
+    for batch in batches:
+        for block, count, data in zip(*(batch.column(c).to_pylist() for c in ("block", "n", "data")), strict=True):
+            if block != last and n >= SORTED:
+                yield in_order(held)
+                held, n = [], 0
+            held.append((count, data))
+            n, last = n + count, block
+    if n:
+        yield in_order(held)
+
+
+def in_order(held: list[tuple[int, bytes]]) -> dict[str, np.ndarray]:
+    """The rows of some blocks, in the order of word, part and place."""
+    numbers = np.concatenate([np.frombuffer(data, np.int64, len(NUMBERS) * n).reshape(len(NUMBERS), n) for n, data in held], axis=1)
+    new = dict(zip(NUMBERS, numbers, strict=True))
+    wide = np.full(numbers.shape[1], None, object)
+    row = 0
+    for n, data in held:
+        at = 8 * len(NUMBERS) * n
+        if len(data) > at:
+            lengths = wide_bytes(new["size"][row : row + n])
+            for k in np.flatnonzero(lengths).tolist():
+                wide[row + k] = data[at : at + int(lengths[k])]
+                at += int(lengths[k])
+        row += n
+    word, low, high = new["key"] >> RANK_BITS, int(new["doc"].min()), int(new["doc"].max())
+    if not new["tag"].any() and high - low < 1 << 39 and int(new["line"].max()) < 1 << 24:
+        # one number for a place; its rank and the word make another one
+        place = np.argsort(((new["doc"] - low) << 24) | new["line"])
+    else:
+        place = np.lexsort((new["line"], new["tag"], new["doc"]))
+    if new["part"].any() or len(word) >= 1 << 23:
+        order = place[np.lexsort((new["part"][place], word[place]))]
+    else:
+        order = place[np.argsort((word[place] << 23) | np.arange(len(word)))]
+    return {c: v[order] for c, v in new.items()} | {"wide": wide[order]}
 
 
 def together(batches, columns: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
@@ -307,7 +412,9 @@ def together(batches, columns: tuple[str, ...]) -> Iterator[dict[str, np.ndarray
 
 
 def candidates(index: DataFrame, low: int, high: int, segment: int = 0) -> DataFrame:
-    """later, word, earlier (array), more, beyond: of the classes before it that share a prefix word and pass the filters, a
+    """From rows of emitted() or, with a column open, of INDEX: FOUND, in rows of two kinds.
+
+    later, word, earlier (array), more, beyond: of the classes before it that share a prefix word and pass the filters, a
     class meets those numbered low to high - 1 in its part. more tells that others pass too; beyond, that lines of the
     word lie behind the segment of HEAD lines that is held. Rows without any of it are left out. With a column open, only
     its lines look for earlier ones, and they visit the other parts of their words as guests; without it, lines of words
@@ -316,6 +423,8 @@ def candidates(index: DataFrame, low: int, high: int, segment: int = 0) -> DataF
     Lines of a word stand in the order of their places, the same in every round: numbers and segments hold on, and a line
     that is gone has no later one left to look at.
 
+    Rows of the other kind (class, not later) are those of INDEX, without open, for each word with a line that has more.
+
     Filters by length, by the place of the shared word, and by the words on odd bits: the latter differ in no more
     bits than the sets differ in words.
     """
@@ -323,10 +432,31 @@ def candidates(index: DataFrame, low: int, high: int, segment: int = 0) -> DataF
     floor, some = segment * HEAD, "open" in index.columns
     guest_low = 0 if low == FIRST_ROUND else low
     names = ("key", "part", "class", "size", "odd", "odd2", "wide", *(("open", "guest") if some else ()))
+    most = 4 * TOGETHER
+    fields = FOUND.replace("array<long>", "array").replace(",", "").split()[::2]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), *[pa.int64()] * len(NUMBERS), pa.binary()]
+
+    def batch_of(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else pa.nulls(n, kind) for c, kind in zip(fields, kinds, strict=True)], names=fields)
 
     def run(batches):
+        if some:
+            yield from met_by(together(batches, names), None)
+            return
+        for rows in indexed(batches):
+            n, asked = len(rows["key"]), []
+            yield from met_by(({c: rows[c][i : i + most] for c in names} for i in range(0, n, most)), asked)
+            # all lines of words that some line has more of
+            word = rows["key"] >> RANK_BITS
+            begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            stay = np.flatnonzero(np.repeat(np.logical_or.reduceat(np.concatenate(asked), begin), np.diff(np.append(begin, n))))
+            for i in range(0, len(stay), TOGETHER):
+                at = stay[i : i + TOGETHER]
+                yield batch_of(len(at), **{c: v[at] for c, v in rows.items()})
+
+    def met_by(chunks, asked: list[np.ndarray] | None):
         head, seen, held = None, 0, None
-        for new in together(batches, names):
+        for new in chunks:
             word, part = new["key"] >> RANK_BITS, new["part"]
             on = held is not None and (word[0], part[0]) == held  # the chunk goes on with a word
             begin = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (part[1:] != part[:-1])]))
@@ -358,13 +488,13 @@ def candidates(index: DataFrame, low: int, high: int, segment: int = 0) -> DataF
                 whole = size[x] + size_[y]
                 shared = (4 * whole + 8) // 9
                 near = np.flatnonzero((1 + np.minimum(rest[x], rest_[y]) >= shared) & (5 * np.minimum(size[x], size_[y]) >= 4 * np.maximum(size[x], size_[y])))
-                y, z, most = y[near], x[near], (whole - 2 * shared)[near]
+                y, z, differ = y[near], x[near], (whole - 2 * shared)[near]
                 a, b = (odd[z] ^ odd_[y]).view(U), (odd2[z] ^ odd2_[y]).view(U)
                 least = np.minimum(size[z], size_[y])
                 bits = np.where(least > WIDER[0], np.bitwise_count(a).astype(np.int64) + np.bitwise_count(b), np.bitwise_count(a ^ b))
-                good = np.flatnonzero((bits <= most) & (name[z] != name_[y]))
+                good = np.flatnonzero((bits <= differ) & (name[z] != name_[y]))
                 if len(good) and (long := good[least[good] > WIDER[1]]).size:
-                    unlike = [i for i in long.tolist() if far(wide[z[i]], wide_[y[i]], int(most[i]))]
+                    unlike = [i for i in long.tolist() if far(wide[z[i]], wide_[y[i]], int(differ[i]))]
                     good = np.setdiff1d(good, unlike, assume_unique=True)
                 if len(good):
                     hit, with_ = z[good], y[good]
@@ -381,7 +511,9 @@ def candidates(index: DataFrame, low: int, high: int, segment: int = 0) -> DataF
             out = np.flatnonzero((many > 0) | more | beyond)
             if len(out):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many[out])]).astype(np.int32)), pa.array(partner[np.argsort(whose, kind="stable")]))
-                yield pa.RecordBatch.from_arrays([pa.array(name[out]), pa.array(word[out]), lists, pa.array(more[out]), pa.array(beyond[out])], names=["later", "word", "earlier", "more", "beyond"])
+                yield batch_of(len(out), later=name[out], word=word[out], earlier=lists, more=more[out], beyond=beyond[out])
+            if asked is not None:
+                asked.append(more)
             at = begin[-1]
             mine = slice(int(before[at]) + max(0, floor - int(rank[at])), None)
             stays = on and len(begin) == 1
@@ -390,14 +522,15 @@ def candidates(index: DataFrame, low: int, high: int, segment: int = 0) -> DataF
             seen, held = int(rank[-1]) + int(host[-1]), (word[-1], part[-1])
 
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not some:
+        return index.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(run, FOUND)
     word = F.shiftright("key", RANK_BITS)
-    if some:
-        # an open line also visits the other parts of its word
-        everywhere = F.sequence(F.shiftleft(F.shiftright("part", 32), 32), F.shiftleft(F.shiftright("part", 32), 32) + F.shiftright("part", 32) - 1)
-        visits = F.when((F.col("part") != 0) & (F.col("open") > 0), everywhere).otherwise(F.array("part"))
-        index = index.withColumn("own", F.col("part")).withColumn("part", F.explode(visits)).withColumn("guest", (F.col("part") != F.col("own")).cast("int")).drop("own")
+    # an open line also visits the other parts of its word
+    everywhere = F.sequence(F.shiftleft(F.shiftright("part", 32), 32), F.shiftleft(F.shiftright("part", 32), 32) + F.shiftright("part", 32) - 1)
+    visits = F.when((F.col("part") != 0) & (F.col("open") > 0), everywhere).otherwise(F.array("part"))
+    index = index.withColumn("own", F.col("part")).withColumn("part", F.explode(visits)).withColumn("guest", (F.col("part") != F.col("own")).cast("int")).drop("own")
     rows = index.repartition(parts, word, "part").sortWithinPartitions(word, "part", "doc", "tag", "line", "class")
-    return rows.mapInArrow(run, "later long, word long, earlier array<long>, more boolean, beyond boolean")
+    return rows.mapInArrow(run, FOUND)
 
 
 def bit_of(doc, tag, line) -> np.ndarray:
@@ -461,15 +594,17 @@ def matched(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc, tag, line of every line that goes, from rows of keyed()."""
+    """doc, tag, line of every line that goes, from rows of keyed(); more than once for rows that are equal."""
     spark = docs.sparkSession
     rows = write_table(counted(docs), "lines")
-    known = spark.sparkContext.broadcast(rarity(rows))
+    level, n_words = rarity(rows)
+    known = spark.sparkContext.broadcast(level)
+    blocks = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_words // BLOCK_WORDS)
     lines = rows.where("block is null").select("class", "check", "doc", "tag", "line")
     place = F.struct("doc", "tag", "line")
     firsts = write_table(lines.groupBy("class", "check").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")).select("class", "check", "p.*", "n"), "firsts")
     repeated = repeated_ids(lines)
-    gone, segment, index = None, 0, emitted(docs, known, repeated)
+    gone, segment, index = None, 0, emitted(docs, known, repeated, blocks)
     while True:
         low, high, rows, small, beyond = 0, FIRST_ROUND, index, None, None
         while True:
@@ -489,7 +624,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
                 break
             # next, only words of lines that are still open; as partners all lines of those words stay
             if small is None:
-                small = write_table(emitted(docs, known, repeated, bit_filter(open_, "word")), "index")
+                small = found.where("class is not null").select(*NUMBERS, "wide")
             flags = open_.select("class").distinct().withColumn("open", F.lit(1))
             words = open_.select("word").distinct()
             rows = small.join(words, F.shiftright(small["key"], RANK_BITS) == words["word"], "left_semi")
@@ -498,18 +633,18 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         beyond = write_table(beyond if gone is None else beyond.join(gone, "class", "left_anti"), "beyond")
         if beyond.isEmpty():
             break
-        index = emitted(docs, known, repeated, bit_filter(beyond, "word"))
+        index = emitted(docs, known, repeated, blocks, bit_filter(beyond, "word"))
         segment += 1
     if gone is None:
         gone = firsts.where("false").select("class", "doc", "tag", "line")
     gone = gone.distinct().withColumn("gone", F.lit(True))
     doubtful = firsts.join(gone, ["class", "doc", "tag", "line"], "left").where("gone or n > 1").select("class", "check", F.struct("doc", "tag", "line").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    return lines.join(doubtful, ["class", "check"]).where(F.col("gone") | (place > F.col("first"))).select("doc", "tag", "line").distinct()
+    return lines.join(doubtful, ["class", "check"]).where(F.col("gone") | (place > F.col("first"))).select("doc", "tag", "line")
 
 
 def remove_repeated_lines(docs: DataFrame, removed: str | None = None) -> DataFrame:
     """The rows with their repeated lines taken out of text; removed: a further column that tells how many went."""
-    gone = write_table(repeated_lines(keyed(docs)), "gone").groupBy("doc", "tag").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    gone = write_table(repeated_lines(keyed(docs)), "gone").groupBy("doc", "tag").agg(F.sort_array(F.collect_set("line")).alias("gone"))
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("tag"))
     joined = rows.join(gone, ["doc", "tag"], "left")
     # only texts that lose lines are split, once each
